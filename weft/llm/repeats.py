@@ -73,8 +73,8 @@ def base_table(docs: DataFrame, w: Windows, joiner: bytes) -> DataFrame:
 def repeated_by_document(base: DataFrame, w: Windows) -> DataFrame:
     """(doc_id, rare, common): the document's representatives that also stand elsewhere. Written."""
     pairs = base.where("doc_id is not null").select("doc_id", F.explode("reps").alias("h"))
-    counts = pairs.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    found = pairs.join(counts.where("lo < hi").select("h", "n"), "h").select("doc_id", "h", (F.col("n") > w.common).alias("hot"))
+    counts = pairs.groupBy("h").agg(F.count("*").alias("n"))  # a row lists each of its representatives once
+    found = pairs.join(counts.where("n > 1"), "h").select("doc_id", "h", (F.col("n") > w.common).alias("hot"))
     if w.within:
         found = found.union(base.where("doc_id is not null").select("doc_id", F.explode("twice"), F.lit(False)))
     lists = [F.array_distinct(F.collect_list(F.when(F.col("hot") == hot, F.col("h")))).alias(name) for hot, name in ((False, "rare"), (True, "common"))]
