@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import covered, read_table, runs
-from .repeats import Windows, base_table, by_route, candidates, repeated_by_document, segments
+from .repeats import Windows, base_table, by_route, candidates, packed, repeated_by_document, segments, shards, unpack
 
 LENGTH = 100
 GRAM = 32
@@ -34,7 +34,7 @@ def byte_units(text: bytes) -> tuple[np.ndarray, bytes]:
 
 
 def byte_windows(common: int = 4096) -> Windows:
-    return Windows(LENGTH, GRAM, True, 4, byte_units, lambda text, s, e: text[s:e], common)
+    return Windows(LENGTH, GRAM, True, 8, byte_units, lambda text, s, e: text[s:e], common)
 
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
@@ -160,15 +160,16 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     base = base_table(texts, w, b"")
     repeated = repeated_by_document(base, w)
-    classes = segments(texts, repeated, w).groupBy("route", "seg").agg(F.min(F.struct("doc_id", "start")).alias("at")).select("route", "seg", "at.doc_id", "at.start")
-    firsts = classes.repartition("route").sortWithinPartitions("route").mapInArrow(first_places, "doc_id bigint, s bigint, e bigint")
+    moved = packed(texts)
+    classes = shards(segments(moved, repeated, w), [F.min(F.struct("doc_id", "start")).alias("at")]).select("route", "seg", "at.doc_id", "at.start")
+    firsts = classes.mapInArrow(first_places, "doc_id bigint, s bigint, e bigint")
     firsts = firsts.groupBy("doc_id").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
 
     def rows(batches):
         for b in batches:
             out = [[], [], [], [], [], []]
             for doc_id, text, rare, hot, begin, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                text = text or b""
+                text = unpack(text)
                 ids, _ = byte_units(text)
                 late = np.zeros(max(0, len(text) - LENGTH + 1), bool)
                 for at, reps, _, is_candidate, _ in candidates(ids, rare, hot, w):
@@ -183,7 +184,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "sha", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = texts.where("doc_id is not null").join(repeated, "doc_id").join(firsts, "doc_id", "left").select("doc_id", "text", "rare", "common", "s", "e")
+    joined = moved.join(repeated, "doc_id").join(firsts, "doc_id", "left").select("doc_id", "text", "rare", "common", "s", "e")
     removed = joined.mapInArrow(rows, "doc_id bigint, sha string, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return base.select("doc_id", "n", "sha"), removed
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, covered, gram_hashes, read_table, runs, write_shared
-from .repeats import Windows, base_table, by_route, candidates, repeated_by_document, segments
+from .repeats import Windows, base_table, by_route, candidates, packed, repeated_by_document, segments, shards, unpack
 
 LENGTH = 50
 SHARD_WORDS = 20_000
@@ -169,15 +169,17 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     base = base_table(texts, w, b" ")
     repeated = repeated_by_document(base, w)
-    passages = segments(texts, repeated, w).groupBy("route", "seg").agg(F.min("doc_id").alias("doc_id"))
-    firsts = passages.repartition("route").sortWithinPartitions("route").mapInArrow(lambda b: first_windows(b, length), "doc_id bigint, firsts array<bigint>")
+    moved = packed(texts)
+    passages = shards(segments(moved, repeated, w), [F.min("doc_id").alias("doc_id")])
+    firsts = passages.mapInArrow(lambda b: first_windows(b, length), "doc_id bigint, firsts array<bigint>")
     firsts = firsts.groupBy("doc_id").agg(F.flatten(F.collect_list("firsts")).alias("firsts"))
 
     def rows(batches):
         for b in batches:
             out = [[], [], [], [], []]
             for doc_id, text, rare, hot, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, words = word_units(text or b"")
+                text = unpack(text)
+                ids, words = word_units(text)
                 whole = gram_hashes(ids, length)
                 late = np.zeros(len(whole), bool)
                 for at, reps, _, is_candidate, _ in candidates(ids, rare, hot, w):
@@ -192,7 +194,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "sha", "n_removed", "kept_sha256", "kept_text"])
 
-    joined = texts.where("doc_id is not null").join(repeated, "doc_id").join(firsts, "doc_id", "left").select("doc_id", "text", "rare", "common", "firsts")
+    joined = moved.join(repeated, "doc_id").join(firsts, "doc_id", "left").select("doc_id", "text", "rare", "common", "firsts")
     removed = joined.mapInArrow(rows, "doc_id bigint, sha string, n_removed bigint, kept_sha256 string, kept_text binary")
     return base.select("doc_id", "n", "sha"), removed
 

@@ -114,27 +114,62 @@ def parts(ids: np.ndarray, at: int, reps: np.ndarray, grams: np.ndarray, is_cand
             yield int(cores[core_at[x - s] - s]), at + x, at + y
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the text compressed, for the joins that must move whole texts. Rows with a null id go."""
+    import pyarrow as pa
+    import zstandard
+
+    def rows(batches):
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([compress(t or b"") for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "text"])
+
+    return docs.where("doc_id is not null").mapInArrow(rows, "doc_id bigint, text binary")
+
+
+def unpack(text: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(text)
+
+
 def segments(docs: DataFrame, repeated: DataFrame, w: Windows) -> DataFrame:
-    """(route, seg, doc_id, start): the candidate windows from `start` on, as the text that they cover."""
+    """(route, seg, doc_id, start): candidate windows as the text that they cover, with the first place where a task met that text.
+
+    docs: packed(). Copies meet in a table of bounded size in the task, before they are shuffled.
+    """
     import pyarrow as pa
 
+    def batch(met: dict):
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        columns = list(zip(*((*k, *v) for k, v in met.items()), strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["route", "seg", "doc_id", "start"])
+
     def rows(batches):
+        met: dict[tuple[int, bytes], tuple[int, int]] = {}
         for b in batches:
-            out = [[], [], [], []]
             for doc_id, text, rare, common in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, units = w.units(text or b"")
+                ids, units = w.units(unpack(text))
                 for piece in candidates(ids, rare, common, w):
                     if piece[3].any():
                         for route, s, e in parts(ids, *piece, w):
-                            for x, value in zip(out, (route, w.join(units, s, e - 1 + w.length), doc_id, s), strict=True):
-                                x.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["route", "seg", "doc_id", "start"])
-
-    joined = docs.where("doc_id is not null").join(repeated, "doc_id").select("doc_id", "text", "rare", "common")
+                            key, at = (route, w.join(units, s, e - 1 + w.length)), (doc_id, s)
+                            if (was := met.get(key)) is None or at < was:
+                                met[key] = at
+                if len(met) >= 50_000:
+                    yield batch(met)
+                    met.clear()
+        yield batch(met)
+
+    joined = docs.join(repeated, "doc_id").select("doc_id", "text", "rare", "common")
     return joined.mapInArrow(rows, "route bigint, seg binary, doc_id bigint, start bigint")
 
 
+def shards(found: DataFrame, first: list) -> DataFrame:
+    """Distinct segments with their first place, dealt by route, each task's rows sorted by route. One shuffle."""
+    return found.repartition("route").groupBy("route", "seg").agg(*first).sortWithinPartitions("route")
+
+
 def by_route(batches) -> Iterator[list[tuple]]:
     """The rows of a task, which come sorted by route, one route at a time."""
     group: list[tuple] = []
