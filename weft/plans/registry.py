@@ -1,15 +1,300 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their DuckDB SQL, where SQL can express them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def entry(spark):
-    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import lexicon as lex
+from ..functions import text as T
+from ..operators import answers, graph, kg, references, relations, sentences, tokens
+from . import pipelines
+from .views import WORDS, Views, with_views
 
-def queries() -> dict:
-    return {}
+_QUERIES: dict[str, tuple[Callable, str | None]] = {}
 
 
-def oracle_sql() -> dict:
-    return {}
+def _add(name: str, run: Callable[[Views], DataFrame], sql: str | None = None, *views: str) -> None:
+    _QUERIES[name] = (run, with_views(sql, *views) if sql else None)
+
+
+def _claims(f) -> Callable[[Views], DataFrame]:
+    return lambda v: v.claims.select("doc_id", "pos", f(F.col("text")).alias("out"))
+
+
+def _list(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_B, _E = r"(^|[^\pL\pN_])", r"($|[^\pL\pN_])"
+_CLEAN = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')"
+_SAID = r"regexp_replace({0}, '" + _B + r"said\s+([\pL\pN_])', '\1\2', 'gi')"
+
+
+def _scrub_sql(x: str) -> str:
+    x = _SAID.format(x)
+    for p in lex.BOILERPLATE:
+        x = f"regexp_replace({x}, '\\bsaid(\\s+[\\pL\\pN_])', '\\1', 'gi')" if "said" in p else f"regexp_replace({x}, '{p}', '', 'gi')"
+    x = _CLEAN.format(x)
+    return f"trim(regexp_replace({x}, '\\s+([,.;:])', '\\1', 'g'))"
+
+
+# Sources and sinks
+_add("s1_documents", lambda v: v.documents, "select * from documents")
+_add("s4_token_graph_nodes", lambda v: tokens.token_graph(v.toks)[0], "select doc_id, concat('s', sent, '_t', tok) id, text, lemma, pos_tag, dep, head = tok as is_root, sent as sent_id from toks", "toks")
+_add("s4_token_graph_edges", lambda v: tokens.token_graph(v.toks)[1], "select doc_id, concat('s', sent, '_t', head) source, concat('s', sent, '_t', tok) target, 'dep' as kind from toks where head <> tok", "toks")
+
+# Cleaning
+_add("t1_clean_whitespace", lambda v: v.documents.select("doc_id", T.clean_whitespace(F.col("text")).alias("out")), f"select doc_id, {_CLEAN.format('text')} as out from documents")
+_add("t2_fold_linebreaks", lambda v: v.documents.select("doc_id", T.fold_linebreaks(F.col("text")).alias("out")), r"select doc_id, regexp_replace(text, '\s*\n\s*', ' ', 'g') as out from documents")
+_add("t3_normalize_np", _claims(T.normalize_np), rf"select doc_id, pos, trim(regexp_replace(regexp_replace(text, '{_B}said\s+', '\1the ', 'gi'), '\s+', ' ', 'g'), ' ,;') as out from claims", "claims")
+_add("t4_simple_label", lambda v: v.triples.select("doc_id", "pos", T.simple_label(F.col("object")).alias("out")), rf"select doc_id, pos, lower(trim(regexp_replace(regexp_replace(object, '{_B}(for|of|the|a|an|said){_E}', '\1\3', 'gi'), '\s+', ' ', 'g'))) as out from triples", "triples")
+_add("t5_predicate_slug", lambda v: v.triples.select("doc_id", "pos", T.predicate_slug(F.col("surface_pred")).alias("out")), "select doc_id, pos, concat('custom_', trim(regexp_replace(lower(surface_pred), '[^a-z0-9]+', '_', 'g'), '_')) as out from triples", "triples")
+_add("t6_punct_spacing", _claims(T.fix_punct_spacing), r"select doc_id, pos, regexp_replace(text, '\s+([,.;:])', '\1', 'g') as out from claims", "claims")
+_add("t6_period_comma", _claims(T.fix_period_comma), "select doc_id, pos, replace(replace(text, ' .', '.'), ' ,', ',') as out from claims", "claims")
+_add("t7_final_period", _claims(T.ensure_final_period), f"select doc_id, pos, case when {_STRIP.format('text')} <> '' then case when {_STRIP.format('text')} like '%.' then {_STRIP.format('text')} else {_STRIP.format('text')} || '.' end end as out from claims", "claims")
+_add("t8_sentence_summary", lambda v: v.sents.select("doc_id", "pos", T.sentence_summary(F.col("pos"), F.col("s"), F.size(T.words(F.col("s")))).alias("out")), f"select doc_id, pos, concat('Sentence[', pos, ']: ''', substring(trim(s), 1, 60), ''' (tokens=', len({_WORDS.format('s')}), ')') as out from sents", "sents")
+_add("t9_length_report", lambda v: sentences.length_report(v.sents, "s").select("doc_id", "pos", "chars", "short"), "select doc_id, pos, length(s) as chars, length(s) < 10 as short from sents", "sents")
+
+# Sentences and clauses
+_PUNCT = r"""(select doc_id, pos, text, case when len(l) > 1 and trim(l[1]) = '' then list_concat([l[1] || substring(text, length(l[1]) + 1, 1) || l[2]], l[3:]) else l end as l
+ from (select *, string_split(regexp_replace(text, '[;:](\s*[A-Za-z0-9<(])', chr(2) || '\1', 'g'), chr(2)) as l from claims))"""
+_CLAUSES = f"""(select doc_id, pos, cast(generate_subscripts(c, 1) - 1 as int) as part, unnest(c) as clause from (
+ select doc_id, pos, list_filter(list_transform(flatten(list(m order by pc)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') as c from (
+ select doc_id, pos, pc, case when list_bool_or(list_transform(w, lambda x: lower(x) in ({_list(lex.CLAUSE_MARKERS)}))) then
+ string_split(replace(array_to_string(list_transform(w, lambda x, i: case when i > 1 and lower(x) in ({_list(lex.CLAUSE_MARKERS)}) then chr(1) || x else x end), ' '), ' ' || chr(1), chr(1)), chr(1)) else [piece] end as m
+ from (select *, {_WORDS.format('piece')} as w from (select doc_id, pos, generate_subscripts(l, 1) as pc, unnest(l) as piece from {_PUNCT}))) group by 1, 2))"""
+_add("c1_split_sentences", lambda v: v.sents, "select * from sents", "sents")
+_add("c2_sentence_ids", lambda v: sentences.number_sentences(v.sents).select("doc_id", "pos", "sid"), "select doc_id, pos, concat('s', pos + 1) as sid from sents", "sents")
+_add("c2_split_ids", lambda v: sentences.number_splits(sentences.split_clauses(v.claims)).select("doc_id", "sid", "clause"), f"select doc_id, concat('s', pos + 1, '.', part + 1) as sid, clause from {_CLAUSES}", "claims")
+_add("c3_split_on_punct", lambda v: sentences.split_clauses(v.claims, parts=sentences.punct_parts).select("doc_id", "pos", "part", "clause"), f"select doc_id, pos, cast(generate_subscripts(l, 1) - 1 as int) as part, unnest(l) as clause from {_PUNCT}", "claims")
+_add("c4_split_on_markers", lambda v: sentences.split_clauses(v.claims, parts=sentences.marker_parts).select("doc_id", "pos", "part", "clause"),
+     f"""select doc_id, pos, cast(generate_subscripts(m, 1) - 1 as int) as part, unnest(m) as clause from (select doc_id, pos, case when list_bool_or(list_transform(w, lambda x: lower(x) in ({_list(lex.CLAUSE_MARKERS)}))) then
+ string_split(replace(array_to_string(list_transform(w, lambda x, i: case when i > 1 and lower(x) in ({_list(lex.CLAUSE_MARKERS)}) then chr(1) || x else x end), ' '), ' ' || chr(1), chr(1)), chr(1)) else [text] end as m
+ from (select *, {_WORDS.format('text')} as w from claims))""", "claims")
+_add("c5_split_on_conj", lambda v: sentences.split_on_conj(v.toks), "select doc_id, sent, part, string_agg(text, ' ' order by tok) as clause from (select *, sum(case when dep = 'conj' and head = 0 and tok > 0 then 1 else 0 end) over (partition by doc_id, sent order by tok) as part from toks) group by 1, 2, 3", "toks")
+_add("c6_split_clauses", lambda v: sentences.split_clauses(v.claims).select("doc_id", "pos", "part", "clause"), f"select * from {_CLAUSES}", "claims")
+_add("c7_finalize_short_docs", lambda v: sentences.finalize_short_docs(sentences.split_clauses(v.claims)).select("doc_id", "pos", "part", "clause"), f"select doc_id, pos, part, case when max(length(clause)) over (partition by doc_id) <= 80 and clause not like '%.' then clause || '.' else clause end as clause from {_CLAUSES}", "claims")
+_FITS = f"({_STRIP.format('{0}')} = '' or (length({{0}}) <= 80 and len({_WORDS.format('{0}')}) between 6 and 30))"
+_add("c8_fits_constraints", _claims(lambda c: T.fits_constraints(c, max_len=80)), f"select doc_id, pos, {_FITS.format('text')} as out from claims", "claims")
+_add("c9_refine_splits", lambda v: sentences.refine_splits(v.claims, max_len=80)[0].select("doc_id", "pos", "round", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "text"))
+_add("c9_dropped", lambda v: sentences.refine_splits(v.claims, max_len=80)[1].select("doc_id", "pos", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "text"))
+_SPANS = "(select distinct doc_id, sent, l as start, r + 1 as e, case when dep = 'ROOT' then 'S' when dep in ('conj', 'nsubj') then 'SBAR' else 'NP' end as k from spans join (select doc_id, sent, tok, dep from toks) using (doc_id, sent, tok))"
+_TOP = f"(select distinct a.doc_id, a.sent, a.start, a.e from {_SPANS} a where k <> 'NP' and not exists (select 1 from {_SPANS} b where b.k <> 'NP' and b.doc_id = a.doc_id and b.sent = a.sent and b.start <= a.start and a.e <= b.e and (a.start <> b.start or a.e <> b.e)))"
+_add("c10_top_level_spans", lambda v: sentences.top_level_spans(v.spans_of_clauses).select("doc_id", "sent", "start", "end").distinct(), f'select doc_id, sent, start, e as "end" from {_TOP}', "spans")
+_FINITE = "pos_tag = 'VERB' and length(text) % 2 = 0"
+_add("c11_finite_spans", lambda v: sentences.finite_spans(sentences.top_level_spans(v.spans_of_clauses), v.toks.selectExpr("*", "length(text) % 2 = 0 as finite")).select("doc_id", "sent", "start", "end").distinct(), f'select doc_id, sent, start, e as "end" from {_TOP} t where e - start > 2 and exists (select 1 from toks k where k.doc_id = t.doc_id and k.sent = t.sent and k.tok >= t.start and k.tok < t.e and {_FINITE})', "spans")
+_add("c12_fallback", lambda v: sentences.fallback_full_sentence(v.sents.select("doc_id", F.col("pos").alias("sent"), F.size(T.words(F.col("s"))).alias("n_words")), v.toks.where("pos_tag = 'VERB' and length(text) % 2 = 0").select("doc_id", "sent")),
+     f"select doc_id, sent from (select doc_id, min(pos) as sent from sents where len({_WORDS.format('s')}) > 2 group by 1) left join (select doc_id, min(sent) as f from toks where {_FINITE} group by 1) using (doc_id) where f is null or sent < f", "toks")
+_add("c13_dedupe_ci", lambda v: sentences.dedupe_ci(v.claims), "select doc_id, pos, text from (select doc_id, pos, replace(replace(text, ' .', '.'), ' ,', ',') as text, row_number() over (partition by doc_id, lower(replace(replace(text, ' .', '.'), ' ,', ',')) order by pos) as n from claims) where n = 1", "claims")
+
+
+def _items(v: Views) -> DataFrame:
+    cut = sentences.number_splits(sentences.split_clauses(v.claims.where("doc_id % 2 = 0")))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("part", "sid", F.col("clause").alias("simple")))), lambda x: F.struct(x["sid"].alias("sid"), x["simple"].alias("simple")))
+    return cut.groupBy("doc_id", "pos", "text").agg(items.alias("splits")).select("doc_id", F.concat(F.lit("s"), F.col("pos") + 1).alias("id"), F.col("text").alias("original"), "splits")
+
+
+_SPLITS = f"(select doc_id, concat('s', pos + 1, '.', part + 1) as sid, clause as text, concat('s', pos + 1) as parent from {_CLAUSES} where doc_id % 2 = 0)"
+_add("c14_flatten_splits", lambda v: sentences.flatten_splits(_items(v)), f"select * from {_SPLITS}", "claims")
+_add("c15_identity_splits", lambda v: sentences.identity_splits(v.sents, sentences.flatten_splits(_items(v))), f"select * from {_SPLITS} union all select doc_id, concat('s', pos + 1, '.1'), s, concat('s', pos + 1) from sents where doc_id not in (select doc_id from {_SPLITS})", "claims")
+
+# Boilerplate and standard forms
+_add("b1_scrub_boilerplate", _claims(T.scrub_boilerplate), f"select doc_id, pos, {_scrub_sql('text')} as out from claims", "claims")
+_EXT = "case when pos % 3 = 0 then concat(' ', s, '  x') when pos % 3 = 1 then '  ' end"
+_add("b2_choose_cleaned", lambda v: v.claims.join(v.sents, ["doc_id", "pos"]).select("doc_id", "pos", T.choose_cleaned(F.col("text"), F.expr(_EXT)).alias("out")), f"select doc_id, pos, case when {_STRIP.format('text')} = '' then text else coalesce(nullif({_CLEAN.format(_EXT)}, ''), nullif({_scrub_sql('text')}, ''), text) end as out from claims join sents using (doc_id, pos)", "claims")
+_add("b3_cleaning_audit", lambda v: answers.cleaning_audit(v.claims.select("doc_id", "pos", F.col("text").alias("original"), T.scrub_boilerplate(F.col("text")).alias("cleaned"))), f"select doc_id, pos, text as original, c as cleaned, text <> c as changed, length(text) as chars_before, length(c) as chars_after from (select *, {_scrub_sql('text')} as c from claims)", "claims")
+_add("b4_strip_said", _claims(T.strip_said), f"select doc_id, pos, {_SAID.format('text')} as out from claims", "claims")
+_add("b5_figures", _claims(T.standardise_figures), r"select doc_id, pos, regexp_replace(text, '\bFIG\.?\s*(\d+)', '<FIG_\1>', 'g') as out from claims", "claims")
+_add("b6_enumerations", lambda v: sentences.isolate_enumerations(v.claims).select("doc_id", "pos", "part", "item"), rf"select doc_id, pos, cast(generate_subscripts(l, 1) - 1 as int) as part, unnest(l) as item from (select doc_id, pos, list_filter(list_transform(string_split(regexp_replace(text, '(\([ivx]+\))', chr(2) || '\1', 'g'), chr(2)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') as l from claims)", "claims")
+_add("b7_connectors", _claims(T.remove_connectors), rf"select doc_id, pos, trim(regexp_replace(regexp_replace(text, '{_B}({'|'.join(lex.CONNECTORS)})\b,?\s*', '\1', 'gi'), '\s+', ' ', 'g')) as out from claims", "claims")
+_add("b8_units", _claims(T.normalize_units), rf"select doc_id, pos, regexp_replace(text, '(\d)({'|'.join(lex.UNITS)})\b', '\1 \2', 'g') as out from claims", "claims")
+
+
+def _removed(words) -> str:
+    return f"select doc_id, pos, array_to_string(list_filter({_WORDS.format('text')}, lambda x: lower(x) not in ({_list(words)})), ' ') as out from claims"
+
+
+_DROPPED = [w for w, keep in lex.QUANTITATIVE.items() if not keep]
+_add("b9_subjective", _claims(lambda c: T.remove_words(c, lex.SUBJECTIVE)), _removed(lex.SUBJECTIVE), "claims")
+_add("b10_quantitative", _claims(lambda c: T.remove_words(c, _DROPPED)), _removed(_DROPPED), "claims")
+_add("b11_synonyms", _claims(T.normalize_synonyms), r"select doc_id, pos, regexp_replace(regexp_replace(text, '\bcontrol unit\b', '<CONTROL_UNIT>', 'gi'), '\bcontroller\b', '<CONTROL_UNIT>', 'gi') as out from claims", "claims")
+_add("b12_prepositions", _claims(T.standardize_prepositions), r"select doc_id, pos, regexp_replace(text, '\bon top of\b', 'above', 'gi') as out from claims", "claims")
+
+# References
+_ALIASES = {"the tank": "<TANK>", "pump": "<PUMP>", "the valve": "<VALVE>"}
+_add("r1_aliases", lambda v: references.apply_aliases(v.claims, _ALIASES), r"select doc_id, pos, regexp_replace(regexp_replace(regexp_replace(text, '\bthe valve\b', '<VALVE>', 'gi'), '\bthe tank\b', '<TANK>', 'gi'), '\bpump\b', '<PUMP>', 'gi') as text from claims", "claims")
+_UPDATES = "select conv_id as doc_id, turn as pos, concat('p.', role, case when turn % 2 = 0 then '.a' else '' end) as path, substring(text, 1, 20) as value from conversations where turn % 3 <> 2"
+
+
+def _updates(v: Views) -> DataFrame:
+    return v.table("conversations").where("turn % 3 <> 2").selectExpr("conv_id as doc_id", "turn as pos", "concat('p.', role, case when turn % 2 = 0 then '.a' else '' end) as path", "substring(text, 1, 20) as value")
+
+
+_add("r2_context_asof", lambda v: references.context_asof(_updates(v), v.table("conversations").selectExpr("conv_id as doc_id", "turn as pos")), f"select c.conv_id as doc_id, c.turn as pos, path, arg_max(value, u.pos) as value from conversations c join ({_UPDATES}) u on u.doc_id = c.conv_id and u.pos < c.turn group by 1, 2, 3")
+_add("r3_merge_context", lambda v: references.merge_context(_updates(v)), f"""with l as (select doc_id, path, arg_max(value, pos) as value, max(pos) as pos from ({_UPDATES}) group by 1, 2)
+ select doc_id, path, value from l where not exists (select 1 from l h where h.doc_id = l.doc_id and h.path <> l.path and ((starts_with(l.path, h.path || '.') and h.pos >= l.pos) or (starts_with(h.path, l.path || '.') and l.pos < h.pos)))""")
+_ATTEMPT = "case when (doc_id + pos + attempt) % 3 = 0 then ' ' else concat('std ', attempt, ' ', s) end"
+_add("r4_choose_standardised", lambda v: references.choose_standardised(v.sents.withColumnRenamed("s", "text"), v.sents.selectExpr("*", "explode(array(0, 1, 2)) as attempt").selectExpr("doc_id", "pos", "attempt", f"{_ATTEMPT} as answer")).select("doc_id", "pos", "standard"),
+     f"select doc_id, pos, coalesce(arg_min(a, attempt) filter (where trim(a) <> '' and attempt < 2), any_value(s)) as standard from (select *, {_ATTEMPT} as a from sents, (select unnest([0, 1, 2]) as attempt)) group by 1, 2", "sents")
+_add("r5_paired_ends", lambda v: references.resolve_paired_ends(v.claims).select("doc_id", "pos", "text"), r"""select doc_id, pos, case when x is null then t else regexp_replace(t, '\bthe other end\b', '[' || x || '.EndB]', 'gi') end as text from (
+ select *, regexp_replace(text, '\bone end of the (\w+)', '[\1.EndA]', 'gi') as t, last_value(nullif(regexp_extract(text, '(?i)\bone end of the (\w+)', 1), '') ignore nulls) over (partition by doc_id order by pos) as x from claims)""", "claims")
+
+# Tokens
+_LEX = [("the", "DET"), ("and", "CCONJ"), ("of", "ADP"), ("in", "ADP"), ("la", "DET"), ("die", "DET")]
+_GAZ = [("of the", "PHRASE"), ("the", "ARTICLE"), ("in the", "PHRASE"), ("is", "COPULA"), ("de la", "PHRASE")]
+_values = lambda rows: ", ".join(f"('{a}', '{b}')" for a, b in rows)
+_add("k1_tokens_from_text", lambda v: tokens.tokens_from_text(v.sents, v.spark.createDataFrame(_LEX, "lemma string, pos_tag string")), f"select doc_id, sent, tok, text, lemma, coalesce(x.p, 'NOUN') as pos_tag from (select doc_id, sent, tok, text, lemma from toks) left join (values {_values(_LEX)}) x(lemma, p) using (lemma)", "toks")
+_add("k2_subtree_spans", lambda v: v.spans, "select doc_id, sent, tok, l as \"left\", r as \"right\", text from spans", "spans")
+_add("k3_noun_chunks", lambda v: v.chunks, "select doc_id, sent, head_tok, start, chunk, head_lemma from chunks", "chunks")
+_add("k4_verb_lemmas", lambda v: tokens.verb_lemmas(v.toks), "select doc_id, sent, tok, lemma from toks where pos_tag = 'VERB'", "toks")
+_add("k5_gazetteer", lambda v: tokens.gazetteer_entities(v.toks, v.spark.createDataFrame(_GAZ, "entity string, label string")), f"select doc_id, sent, tok, entity, label from (select doc_id, sent, tok, unnest([lemma, lemma || ' ' || n1, lemma || ' ' || n1 || ' ' || n2]) as entity from (select *, lead(lemma) over w as n1, lead(lemma, 2) over w as n2 from toks window w as (partition by doc_id, sent order by tok))) join (values {_values(_GAZ)}) g(entity, label) using (entity)", "toks")
+_add("k6_word_nodes", lambda v: tokens.word_nodes(v.toks).select("lemma", "freq", F.explode("pos").alias("pos_tag", "n")), "select lemma, sum(n) over (partition by lemma) as freq, pos_tag, n from (select lemma, pos_tag, count(*) as n from toks group by 1, 2)", "toks")
+_add("k7_word_edges", lambda v: tokens.word_edges(v.toks), "select * from wedges", "wedges")
+_add("k8_root_by_frequency", lambda v: tokens.root_by_frequency(v.chunks), "select doc_id, arg_max(head_lemma, row(n, -s, -t)) as root from (select doc_id, head_lemma, count(*) as n, min(sent * 1000000 + start) // 1000000 as s, min(sent * 1000000 + start) % 1000000 as t from (select doc_id, head_lemma, sent, start from chunks) group by 1, 2) group by 1", "chunks")
+
+# Relations
+_W = _list(WORDS)
+_HEADS = "join toks h on h.doc_id = v.doc_id and h.sent = v.sent and h.tok = v.head"
+_XCOLS = "doc_id", "sent", "tok", "src", "dst", "rel", "weight"
+
+
+def _kid(of: str, *deps: str) -> str:
+    return f"(select doc_id, sent, head as {of}, min(tok) as k from toks where head <> tok and dep in ({_list(deps)}) group by 1, 2, 3)"
+
+
+_VERB_BELOW = "(select doc_id, sent, anc as tok, arg_min(lemma, tok) as verb from (select p.doc_id, p.sent, p.anc, p.tok, t.lemma from pairs p join toks t on t.doc_id = p.doc_id and t.sent = p.sent and t.tok = p.tok where t.pos_tag = 'VERB') group by 1, 2, 3)"
+_add("x1_part_of", lambda v: relations.rel_part_of(v.toks, v.spans, WORDS).select(*_XCOLS), f"""select v.doc_id, v.sent, v.tok, a.np as src, b.np as dst, 'part-of' as rel, 3.0::double as weight from (
+ select t.*, coalesce(s.k, case when h.pos_tag = 'NOUN' then t.head end) as whole from toks t join toks h on h.doc_id = t.doc_id and h.sent = t.sent and h.tok = t.head
+ left join {_kid('tok', 'nsubj', 'nsubjpass')} s on s.doc_id = t.doc_id and s.sent = t.sent and s.tok = t.tok where t.pos_tag = 'VERB' and t.lemma in ({_W})) v
+ join np a on a.doc_id = v.doc_id and a.sent = v.sent and a.tok = v.whole
+ join (select doc_id, sent, head as tok, tok as part from toks where dep in ('dobj', 'obj') and head <> tok union all
+   select p.doc_id, p.sent, p.head, o.tok from toks p join toks o on o.doc_id = p.doc_id and o.sent = p.sent and o.head = p.tok and o.dep = 'pobj' and o.head <> o.tok where p.dep = 'prep' and p.head <> p.tok) x
+   on x.doc_id = v.doc_id and x.sent = v.sent and x.tok = v.tok
+ join np b on b.doc_id = v.doc_id and b.sent = v.sent and b.tok = x.part""", "np")
+_add("x2_function_marker", lambda v: relations.rel_function_marker(v.toks, v.spans, v.pairs, WORDS).select(*_XCOLS), f"select v.doc_id, v.sent, v.tok, a.np as src, x.verb as dst, 'function-of' as rel, 2.0::double as weight from toks v join np a on a.doc_id = v.doc_id and a.sent = v.sent and a.tok = v.head join {_VERB_BELOW} x on x.doc_id = v.doc_id and x.sent = v.sent and x.tok = v.tok where lower(v.text) in ({_W}) and v.dep in ('amod', 'acl')", "np")
+_add("x3_function_verb", lambda v: relations.rel_function_verb(v.toks, v.spans, v.pairs, WORDS).select(*_XCOLS), f"""select v.doc_id, v.sent, v.tok, a.np as src, x.verb as dst, 'function-of' as rel, 2.0::double as weight from toks v
+ join {_kid('tok', 'nsubj', 'nsubjpass')} s on s.doc_id = v.doc_id and s.sent = v.sent and s.tok = v.tok join np a on a.doc_id = v.doc_id and a.sent = v.sent and a.tok = s.k
+ join (select doc_id, sent, anc as tok, arg_min(verb, t) as verb from (select p.doc_id, p.sent, p.anc, p.tok as t, b.verb from pairs p join toks t on t.doc_id = p.doc_id and t.sent = p.sent and t.tok = p.tok and lower(t.text) = 'to' join {_VERB_BELOW} b on b.doc_id = p.doc_id and b.sent = p.sent and b.tok = p.tok) group by 1, 2, 3) x
+   on x.doc_id = v.doc_id and x.sent = v.sent and x.tok = v.tok where v.pos_tag = 'VERB' and v.lemma in ({_W})""", "np")
+_add("x4_property", lambda v: relations.rel_property(v.toks, v.chunks).select(*_XCOLS), r"select c.doc_id, c.sent, t.tok, trim(regexp_replace(regexp_replace(chunk, '(^|[^\pL\pN_])said\s+', '\1the ', 'gi'), '\s+', ' ', 'g'), ' ,;') as src, t.lemma as dst, 'property-of' as rel, 1.0::double as weight from chunks c join toks t on t.doc_id = c.doc_id and t.sent = c.sent and t.head = c.head_tok and t.tok <> t.head and t.dep = 'amod'", "chunks")
+_add("x5_spatial", lambda v: relations.rel_spatial(v.toks, v.spans, WORDS).select(*_XCOLS), f"""select v.doc_id, v.sent, v.tok, a.np as src, b.np as dst, 'spatial' as rel, 1.0::double as weight from toks v {_HEADS}
+ join {_kid('tok', 'pobj')} o on o.doc_id = v.doc_id and o.sent = v.sent and o.tok = v.tok join np b on b.doc_id = v.doc_id and b.sent = v.sent and b.tok = o.k
+ left join {_kid('tok', 'dobj', 'obj', 'nsubj', 'nsubjpass')} g on g.doc_id = v.doc_id and g.sent = v.sent and g.tok = v.head
+ join np a on a.doc_id = v.doc_id and a.sent = v.sent and a.tok = case h.pos_tag when 'NOUN' then v.head when 'VERB' then g.k end where v.pos_tag = 'ADP' and v.lemma in ({_W})""", "np")
+_MARKS = "case when tok % 7 = 0 and tok > 0 then 'mark' else dep end"
+_add("x6_condition", lambda v: relations.rel_condition(v.toks.withColumn("dep", F.expr(_MARKS)), v.spans, WORDS).select(*_XCOLS), f"""select v.doc_id, v.sent, v.tok, a.np as src, trim(b.text, ' ,;') as dst, 'condition' as rel, 1.0::double as weight from toks v
+ join {_kid('tok', 'nsubj', 'dobj', 'obj')} g on g.doc_id = v.doc_id and g.sent = v.sent and g.tok = v.head join np a on a.doc_id = v.doc_id and a.sent = v.sent and a.tok = g.k
+ join np b on b.doc_id = v.doc_id and b.sent = v.sent and b.tok = v.head where v.dep = 'det' and v.lemma in ({_W})""", "np")
+_add("x7_concept_nodes", lambda v: relations.concept_nodes(v.chunks, relations.rel_property(v.toks, v.chunks)), r"""select distinct doc_id, label from (select doc_id, trim(regexp_replace(regexp_replace(chunk, '(^|[^\pL\pN_])said\s+', '\1the ', 'gi'), '\s+', ' ', 'g'), ' ,;') as label from chunks
+ union all select c.doc_id, t.lemma from chunks c join toks t on t.doc_id = c.doc_id and t.sent = c.sent and t.head = c.head_tok and t.tok <> t.head and t.dep = 'amod') where label <> ''""", "chunks")
+_REL = "case pos % 5 when 0 then 'part-of' when 1 then 'function-of' when 2 then 'spatial' when 3 then 'condition' else 'other' end"
+_add("x8_rel_weight", lambda v: relations.with_rel_weight(v.triples.selectExpr("doc_id", "pos", f"{_REL} as rel")), f"select doc_id, pos, rel, case rel when 'part-of' then 3.0 when 'function-of' then 2.0 else 1.0 end::double as weight from (select doc_id, pos, {_REL} as rel from triples)", "triples")
+_add("x9_svo_triples", lambda v: relations.svo_triples(v.toks, v.spans), f"""with s as (select * from {_kid('tok', 'nsubj', 'nsubjpass', 'csubj')}),
+ o as (select doc_id, sent, head as tok, tok as child, -1 as sub, text as word, null as prep from toks where dep = 'dobj' and head <> tok union all
+  select p.doc_id, p.sent, p.head, p.tok, o.tok, null, p.text from toks p join toks o on o.doc_id = p.doc_id and o.sent = p.sent and o.head = p.tok and o.head <> o.tok and o.dep = 'pobj' where p.dep = 'prep' and p.head <> p.tok),
+ g as (select o.doc_id, o.sent, o.tok, string_agg(case when sub < 0 then n.text else prep || ' ' || n.text end, '; ' order by child, sub) as object from o join spans n on n.doc_id = o.doc_id and n.sent = o.sent and n.tok = case when sub < 0 then child else sub end group by 1, 2, 3)
+ select v.doc_id, v.sent, v.tok, coalesce(n.text, '_') as subject, v.lemma as verb, coalesce(g.object, '_') as object from toks v left join s on s.doc_id = v.doc_id and s.sent = v.sent and s.tok = v.tok
+ left join spans n on n.doc_id = v.doc_id and n.sent = v.sent and n.tok = s.k left join g on g.doc_id = v.doc_id and g.sent = v.sent and g.tok = v.tok where v.pos_tag = 'VERB' and (n.text is not null or g.object is not null)""".replace("with s as", ", s as", 1), "spans")
+_NEG = "case tok % 7 when 0 then 'neg' when 5 then 'prt' else dep end"
+_add("x10_verb_phrase", lambda v: relations.verb_phrase(v.toks.withColumn("dep", F.expr(_NEG))), """select v.doc_id, v.sent, v.tok, concat_ws(' ', n.neg, v.lemma, n.prt) as phrase from toks v left join
+ (select doc_id, sent, head as tok, arg_max(text, tok) filter (where tok % 7 = 0) as neg, string_agg(text, ' ' order by tok) filter (where tok % 7 = 5) as prt from toks where head <> tok group by 1, 2, 3) n using (doc_id, sent, tok) where v.pos_tag = 'VERB'""", "toks")
+_add("x11_copular", lambda v: relations.copular_triples(v.toks.withColumn("dep", F.expr("case when tok = 2 and pos_tag = 'VERB' then 'cop' when tok % 7 = 2 then 'attr' else dep end")), v.spans, v.pairs), """select r.doc_id, r.sent, 0 as tok, coalesce(s.text, '_') as subject, c.lemma as verb, coalesce(m.text, o.text) as object from toks r join toks c on c.doc_id = r.doc_id and c.sent = r.sent and c.tok = 2 and c.pos_tag = 'VERB'
+ left join spans s on s.doc_id = r.doc_id and s.sent = r.sent and s.tok = 1 join spans o on o.doc_id = r.doc_id and o.sent = r.sent and o.tok = 0 left join spans m on false where r.tok = 0""", "spans")
+_add("x12_distinct_triples", lambda v: relations.distinct_triples(v.triples), "select doc_id, subject, surface_pred, object, min(pos) as pos from triples group by 1, 2, 3, 4", "triples")
+_add("x13_modality", _claims(T.tag_modality), r"select doc_id, pos, case when regexp_matches(text, '(?i)\b(may|can)\b') then 'capability' when regexp_matches(text, '(?i)\b(must|required)\b') then 'requirement' when regexp_matches(text, '(?i)\boptional\b') then 'optional' else '' end as out from claims", "claims")
+_add("x14_condition_text", _claims(T.extract_condition), r"select doc_id, pos, regexp_extract(text, '(?i)\b(?:when|if|so that)\b.*', 0) as out from claims", "claims")
+
+# Answers
+_add("l1_requests", lambda v: answers.build_requests(v.claims.selectExpr("doc_id", "pos", "concat('s', pos + 1) as sid", "text"), "Extract: ", 120).select("doc_id", "n", F.startswith("request", F.lit("Extract: [{")).alias("framed"), F.size(F.from_json(F.substr("request", F.lit(10)), "array<struct<sid: string, text: string>>")).alias("items")), "select doc_id, least(count(*), 120) as n, true as framed, cast(least(count(*), 120) as int) as items from claims group by 1", "claims")
+_add("l2_batches", lambda v: answers.batch_rows(v.triples).select("doc_id", "pos", "batch"), "select doc_id, pos, (row_number() over (partition by doc_id order by pos) - 1) // 40 as batch from triples", "triples")
+_WORD = "regexp_extract(s, '[A-Za-z]+', 0)"
+_RAW = f"""case pos % 5 when 0 then concat('{{"sentences": ["', {_WORD}, '"]}}') when 1 then concat('sure: {{"sentences": ["', {_WORD}, '", 1]}} bye') when 2 then '{{"sentences": "a"}}' when 3 then 'no json' else '{{"sentences": ["x", "y"]}}' end"""
+_raw = lambda v: v.sents.selectExpr("doc_id", "pos", f"{_RAW} as raw")
+_add("l3_parse_json", lambda v: _raw(v).select("doc_id", "pos", F.to_json(answers.parse_json_answer(F.col("raw"))).alias("out")), f"""select doc_id, pos, case pos % 5 when 0 then concat('{{"sentences":["', {_WORD}, '"]}}') when 1 then concat('{{"sentences":["', {_WORD}, '",1]}}') when 2 then '{{"sentences":"a"}}' when 4 then '{{"sentences":["x","y"]}}' end as out from sents""", "sents")
+_add("l4_answer_sentences", lambda v: _raw(v).select("doc_id", "pos", F.array_join(answers.answer_sentences(answers.parse_json_answer(F.col("raw"))), "|").alias("out")), f"select doc_id, pos, case when pos % 5 in (0, 1) then {_WORD} when pos % 5 = 4 then 'x|y' else '' end as out from sents", "sents")
+_add("l5_first_valid", lambda v: answers.first_valid_attempt(v.sents.selectExpr("doc_id", "cast(floor(pos / 3) as string) as request_id").distinct(), _raw(v).selectExpr("doc_id", "cast(floor(pos / 3) as string) as request_id", "pos % 3 as attempt", "raw")), f"select doc_id, cast(pos // 3 as varchar) as request_id, coalesce(arg_min(w, pos) filter (where pos % 5 in (0, 1) and w <> ''), '') as answer from (select *, {_WORD} as w from sents) group by 1, 2", "sents")
+_add("l6_words_preserved", lambda v: v.sents.selectExpr("doc_id", "pos", "s", "case when pos % 4 = 0 then substring(s, 3) else s end as t").select("doc_id", "pos", answers.words_preserved(F.col("s"), F.split("t", ", ")).alias("out")), f"select doc_id, pos, {_WORDS.format('s')} = {_WORDS.format('replace(t, chr(44) || chr(32), chr(32))')} as out from (select *, case when pos % 4 = 0 then substring(s, 3) else s end as t from sents)", "sents")
+
+# Graph building
+_DIRTY = "case when pos % 9 = 0 then '' when pos % 9 = 1 then concat(' ', subject, ' ') else subject end"
+_add("g1_clean_triples", lambda v: kg.clean_triples(v.triples.withColumn("subject", F.expr(_DIRTY)).withColumn("modality", F.expr("case when pos % 2 = 0 then ' optional ' end"))), f"select doc_id, pos, trim(sid) as sid, trim({_DIRTY}) as subject, trim(surface_pred) as surface_pred, trim(object) as object, '' as condition_text, case when pos % 2 = 0 then 'optional' else '' end as modality from triples where {_DIRTY} <> '' and surface_pred <> '' and object <> ''", "triples")
+_add("g2_clean_relations", lambda v: kg.clean_relations(v.triples.selectExpr("doc_id", "pos", "concat(' ', surface_pred) as name", "case when pos % 2 = 0 then object end as definition", "subject as domain_hint", "cast(null as string) as range_hint")), "select doc_id, surface_pred as name, coalesce(arg_min(case when pos % 2 = 0 then object else '' end, pos), '') as definition, arg_min(subject, pos) as domain_hint, '' as range_hint from triples where trim(surface_pred) <> '' group by 1, 2", "triples")
+_ENT = "(select doc_id, label, first_pos, concat('E', row_number() over (partition by doc_id order by first_pos, label)) as id from (select doc_id, object as label, min(pos) as first_pos from triples group by 1, 2))"
+_mentions = lambda v: v.triples.select("doc_id", "pos", F.col("object").alias("label"))
+_add("g3_entity_dictionary", lambda v: kg.entity_dictionary(_mentions(v)), f"select * from {_ENT}", "triples")
+_add("g4_annotate_refs", lambda v: kg.annotate_refs(v.sents.select("doc_id", F.concat(F.lit("s"), F.col("pos") + 1).alias("sid"), F.col("s").alias("text")), kg.entity_dictionary(_mentions(v))))
+_add("g5_kg_nodes", lambda v: pipelines.kg.build_kg(kg.entity_dictionary(_mentions(v)), v.triples)[0], f"select doc_id, id, label, 'Entity' as type from {_ENT}", "triples")
+_add("g5_kg_edges", lambda v: pipelines.kg.build_kg(kg.entity_dictionary(_mentions(v)), v.triples)[1], "select doc_id, subject as source, object as target, surface_pred as predicate, sid as evidence from triples", "triples")
+_KEY = "doc_id, sid, subject, object, surface_pred"
+_TALLY = f"(select {_KEY}, canonical_pred, count(*) as n, min(pos * 10 + v) as first from votes where subject <> '' and object <> '' and surface_pred <> '' and canonical_pred <> '' group by all)"
+_MAJOR = f"(select {_KEY}, arg_max(canonical_pred, row(n, -first)) as predicate, round(max(n) / sum(n), 6) as confidence, min(first) // 10 as pos from {_TALLY} group by all)"
+_SLUG = "concat('custom_', trim(regexp_replace(lower(surface_pred), '[^a-z0-9]+', '_', 'g'), '_'))"
+_LABEL = rf"lower(trim(regexp_replace(regexp_replace({{0}}, '{_B}(for|of|the|a|an|said){_E}', '\1\3', 'gi'), '\s+', ' ', 'g')))"
+_FALL = f"(select doc_id, pos, sid, {_LABEL.format('subject')} as subject, {_LABEL.format('object')} as object, surface_pred, {_SLUG} as predicate, 0.4::double as confidence from triples where doc_id not in (select doc_id from votes))"
+_ALL = f"(select doc_id, cast(pos as int) as pos, sid, subject, object, surface_pred, predicate, confidence from {_MAJOR} union all select * from {_FALL})"
+_NODES = f"(select doc_id, label, concat('N', row_number() over (partition by doc_id order by o)) as id from (select doc_id, label, min(o) as o from (select doc_id, subject as label, row(pos, sid, subject, object, surface_pred, 0) as o from {_ALL} union all select doc_id, object, row(pos, sid, subject, object, surface_pred, 1) from {_ALL}) group by 1, 2))"
+_EDGES = f"(select e.doc_id, s.id as source, o.id as target, predicate, surface_pred, sid as evidence, confidence, pos from {_ALL} e join {_NODES} s on s.doc_id = e.doc_id and s.label = e.subject join {_NODES} o on o.doc_id = e.doc_id and o.label = e.object where predicate = 'part_of' or starts_with(predicate, 'custom_'))"
+_major = lambda v: kg.majority_predicate(kg.tally_votes(v.votes))
+_add("g6_tally_votes", lambda v: kg.tally_votes(v.votes).select(*kg.KEY, "canonical_pred", "n"), f"select {_KEY}, canonical_pred, n from {_TALLY}", "votes")
+_add("g7_majority", lambda v: _major(v).select(*kg.KEY, "predicate"), f"select {_KEY}, predicate from {_MAJOR}", "votes")
+_add("g8_confidence", lambda v: _major(v).select(*kg.KEY, "confidence"), f"select {_KEY}, confidence from {_MAJOR}", "votes")
+_voted = lambda v: kg.voted_graph(v.triples, v.votes, ("part_of",))
+_add("g9_node_ids", lambda v: _voted(v)[0], f"select * from {_NODES}", "votes")
+_add("g10_g11_edges", lambda v: _voted(v)[1], f"select * from {_EDGES}", "votes")
+_add("g12_fallback", lambda v: kg.fallback_edges(v.triples, v.votes), f"select * from {_FALL}", "votes")
+_add("g13_empty", lambda v: kg.assign_node_ids(_major(v).where("false")), "select doc_id, subject as label, '' as id from triples where false", "triples")
+_add("g14_evidence", lambda v: kg.edge_evidence(_voted(v)[1], v.sents.select("doc_id", F.concat(F.lit("s"), F.col("pos") + 1).alias("sid"), F.col("s").alias("text"))), f"select e.*, s as evidence_text from {_EDGES} e left join (select doc_id, concat('s', pos + 1) as evidence, s from sents) using (doc_id, evidence)", "votes")
+_add("g15_lineage", lambda v: kg.lineage(v.triples.select("doc_id", F.col("subject").alias("parent"), F.col("object").alias("child"))).select("doc_id", "id", F.array_join("parents", " ").alias("parents"), F.array_join("children", " ").alias("children")), """select doc_id, id, coalesce(p, '') as parents, coalesce(c, '') as children from
+ (select doc_id, object as id, array_to_string(list_sort(list(distinct subject)), ' ') as p from triples group by 1, 2) full join (select doc_id, subject as id, array_to_string(list_sort(list(distinct object)), ' ') as c from triples group by 1, 2) using (doc_id, id)""", "triples")
+
+
+def text_to_kg(v: Views) -> DataFrame:
+    """Nodes and edges of each document's graph, counted, with the mean confidence."""
+    out = pipelines.text_to_kg(v.documents, lambda _: v.triples, lambda _: v.votes, ("part_of",))
+    nodes = out["nodes"].groupBy("doc_id").agg(F.count("*").alias("n_nodes"))
+    edges = out["edges"].groupBy("doc_id").agg(F.count("*").alias("n_edges"), F.round(F.avg("confidence"), 4).alias("confidence"))
+    splits = out["splits"].groupBy("doc_id").agg(F.count("*").alias("n_splits"))
+    return splits.join(nodes, "doc_id", "left").join(edges, "doc_id", "left")
+
+
+_add("g16_text_to_kg", text_to_kg, f"select * from (select doc_id, count(*) as n_splits from sents group by 1) left join (select doc_id, count(*) as n_nodes from {_NODES} group by 1) using (doc_id) left join (select doc_id, count(*) as n_edges, round(avg(confidence), 4) as confidence from {_EDGES} group by 1) using (doc_id)", "votes")
+
+# Graphs
+_TE = "(select subject as src, object as dst, surface_pred as rel, length(surface_pred)::double as weight, doc_id * 100000 + pos as pos from triples)"
+_STRONG = f"(select src, dst, arg_max(rel, row(weight, -pos)) as rel, max(weight) as weight, arg_max(pos, row(weight, -pos)) as pos from {_TE} where src <> dst group by 1, 2)"
+_nodes = lambda e: e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+_DEG = "(select id, count(*) as degree, sum(i)::bigint as in_degree, sum(o)::bigint as out_degree from (select src as id, 0 as i, 1 as o from {0} union all select dst, 1, 0 from {0}) group by 1)"
+_add("n1_simple_digraph", lambda v: graph.simple_digraph(v.triple_edges), f"select src, dst, arg_max(rel, pos) as rel from {_TE} group by 1, 2", "triples")
+_add("n2_strongest_edges", lambda v: graph.strongest_edges(v.triple_edges), f"select * from {_STRONG}", "triples")
+_add("n3_degrees", lambda v: graph.degrees(_nodes(v.triple_edges), v.triple_edges), f"select * from {_DEG.format(_TE)}", "triples")
+_add("n4_root_by_degree", lambda v: graph.root_by_degree(graph.degrees(_nodes(v.triple_edges), v.triple_edges)), f"select id from {_DEG.format(_TE)} order by in_degree desc, degree desc, id limit 1", "triples")
+_add("n5_boost_part_of", lambda v: graph.boost_part_of(v.word_graph).select("src", "dst", "rel", "weight"), "select a as src, b as dst, case when w_dep > 0 then 'part-of' else 'spatial' end as rel, weight + case when w_dep > 0 then 5.0 else 0.0 end::double as weight from wedges", "wedges")
+_add("n6_best_parent_tree", lambda v: graph.best_parent_tree(v.word_graph), "select src, dst, rel, weight from (select a as src, b as dst, case when w_dep > 0 then 'part-of' else 'spatial' end as rel, weight::double as weight, row_number() over (partition by b order by weight desc, a) as k from wedges) where k = 1", "wedges")
+_add("n7_reachable", lambda v: graph.reachable(v.tree, v.table("region").where("r_name < 'B'").selectExpr("concat('r', r_regionkey) as id")), "select * from (with recursive s as (select concat('r', r_regionkey) as id from region where r_name < 'B' union select dst from tree join s on src = id) select id from s)", "tree")
+_add("n7_induced_subgraph", lambda v: graph.induced_subgraph(v.tree, graph.reachable(v.tree, v.table("region").where("r_name < 'B'").selectExpr("concat('r', r_regionkey) as id"))).select("src", "dst"), "select src, dst from tree where src in (with recursive s as (select concat('r', r_regionkey) as id from region where r_name < 'B' union select dst from tree join s on src = id) select id from s)", "tree")
+_COMP = "(select id, min(least(id, r, n)) over (partition by r) as component from (with recursive s as (select distinct src as r, src as n, src as id from tree where starts_with(src, 'r') union select r, src, dst from tree join s on src = id) select r, id, id as n from s))"
+_add("n8_components", lambda v: graph.connected_components(v.tree), f"select id, component from {_COMP}", "tree")
+_add("n8_largest_component", lambda v: graph.largest_component(graph.connected_components(v.tree)), f"select id, component from {_COMP} where component = (select component from {_COMP} group by 1 order by count(*) desc, component limit 1)", "tree")
+_add("n9_spanning_forest", lambda v: graph.maximum_spanning_forest(v.tree), "select least(src, dst) as u, greatest(src, dst) as v, 3.0::double as weight from tree", "tree")
+_add("n9_spanning_forest_words", lambda v: graph.maximum_spanning_forest(v.word_graph))
+_add("n10_tree_rows", lambda v: graph.tree_rows(v.tree, v.table("region").selectExpr("concat('r', r_regionkey) as id")).select("root", "id", "depth", "rel"), "select root, id, depth, case when depth > 0 then 'part-of' end as rel from (with recursive s as (select concat('r', r_regionkey) as root, concat('r', r_regionkey) as id, 0 as depth from region union all select root, dst, depth + 1 from tree join s on src = id) select * from s)", "tree")
+_add("n11_concept_tree", lambda v: pipelines.concept_tree(v.toks, part=WORDS, marker=WORDS, function=WORDS, spatial=WORDS, condition=WORDS))
+_add("n12_attributed_graph", lambda v: graph.attributed_graph(v.table("customer").selectExpr("concat('c', c_custkey) as id", "c_acctbal as coverage", "array(c_acctbal, cast(c_nationkey as double)) as feat", "0.5D as importance"), v.table("orders").selectExpr("concat('c', o_custkey) as src", "concat('o', o_orderkey) as dst", "'places' as rel", "cast(o_totalprice as double) as weight")).select("id", "coverage", "importance", F.round("weighted_out", 2).alias("weighted_out")), "select concat('c', c_custkey) as id, c_acctbal as coverage, 0.5::double as importance, round(coalesce(w, 0), 2) as weighted_out from customer left join (select o_custkey, sum(o_totalprice)::double as w from orders group by 1) on o_custkey = c_custkey")
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    """The flagship: voted edges with node ids and confidence."""
+    return _voted(Views(spark, "/root/testdata/sf0.001"))[1]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, sf_dir, run=run: run(Views(spark, sf_dir))) for name, (run, _) in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
