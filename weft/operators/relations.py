@@ -105,18 +105,18 @@ def verb_phrase(tokens: DataFrame) -> DataFrame:
 
 
 def svo_triples(tokens: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, sent, tok, subject, verb, object) for each verb that is no auxiliary and has a subject or object; `_` fills a blank."""
+    """(doc_id, sent, tok, subject, verb, object) for each verb that is no auxiliary and has a subject or object or is the root; `_` fills a blank."""
     text = spans.select(*KEY, F.col("tok").alias("child"), "text")
     kid = tokens.where("head <> tok").select(*KEY, F.col("head").alias("tok"), F.col("tok").alias("child"), "dep", "pos_tag")
     subj = first_child(tokens, (*SUBJECTS, "csubj"), "child").join(text, [*KEY, "child"]).select(*KEY, "tok", F.col("text").alias("subject"))
-    direct = kid.where(F.col("dep").isin("dobj", "obj", "iobj", "dative", "attr", "oprd")).join(text, [*KEY, "child"]).select(*KEY, "tok", F.lit(0).alias("late"), "child", F.lit(-1).alias("sub"), "text")
-    pobj = kid.where("dep = 'pobj'").select(*KEY, F.col("tok").alias("prep"), F.col("child").alias("sub")).join(text.withColumnRenamed("child", "sub"), [*KEY, "sub"])
+    direct = kid.where(F.col("dep").isin("dobj", "obj", "iobj")).join(text, [*KEY, "child"]).select(*KEY, "tok", F.lit(0).alias("late"), "child", F.lit(-1).alias("sub"), "text")
+    pobj = kid.where("dep = 'pobj'").groupBy(*KEY, F.col("tok").alias("prep")).agg(F.min("child").alias("sub")).join(text.withColumnRenamed("child", "sub"), [*KEY, "sub"])
     prep = kid.where("dep = 'prep'").select(*KEY, "tok", F.col("child").alias("prep")).join(tokens.select(*KEY, F.col("tok").alias("prep"), F.col("text").alias("word")), [*KEY, "prep"])
     prep = prep.join(pobj, [*KEY, "prep"]).select(*KEY, "tok", F.lit(0), F.col("prep"), "sub", F.concat_ws(" ", "word", "text"))
-    late = kid.where("dep in ('npadvmod', 'advmod')").join(text, [*KEY, "child"]).select(*KEY, "tok", F.lit(1), "child", F.lit(-1), "text")
+    late = kid.where("dep in ('advmod', 'obl') and pos_tag in ('NOUN', 'PROPN', 'ADV')").join(text, [*KEY, "child"]).select(*KEY, "tok", F.lit(1), "child", F.lit(-1), "text")
     objects = direct.union(prep).union(late).groupBy(*KEY, "tok").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("late", "child", "sub", "text"))), lambda x: x["text"]), "; ").alias("object"))
-    verbs = tokens.where("pos_tag = 'VERB' and dep <> 'aux'").select(*KEY, "tok").join(verb_phrase(tokens).withColumnRenamed("phrase", "verb"), [*KEY, "tok"])
-    both = verbs.join(subj, [*KEY, "tok"], "left").join(objects, [*KEY, "tok"], "left").where("subject is not null or object is not null")
+    verbs = tokens.where("pos_tag = 'VERB' and dep <> 'aux'").select(*KEY, "tok", (F.col("head") == F.col("tok")).alias("is_root")).join(verb_phrase(tokens).withColumnRenamed("phrase", "verb"), [*KEY, "tok"])
+    both = verbs.join(subj, [*KEY, "tok"], "left").join(objects, [*KEY, "tok"], "left").where("subject is not null or object is not null or is_root")
     return both.select(*KEY, "tok", F.coalesce("subject", F.lit("_")).alias("subject"), "verb", F.coalesce("object", F.lit("_")).alias("object"))
 
 

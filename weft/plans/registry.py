@@ -199,7 +199,7 @@ _add("x9_svo_triples", lambda v: relations.svo_triples(v.toks, v.spans), f"""wit
   select p.doc_id, p.sent, p.head, p.tok, o.tok, null, p.text from toks p join toks o on o.doc_id = p.doc_id and o.sent = p.sent and o.head = p.tok and o.head <> o.tok and o.dep = 'pobj' where p.dep = 'prep' and p.head <> p.tok),
  g as (select o.doc_id, o.sent, o.tok, string_agg(case when sub < 0 then n.text else prep || ' ' || n.text end, '; ' order by child, sub) as object from o join spans n on n.doc_id = o.doc_id and n.sent = o.sent and n.tok = case when sub < 0 then child else sub end group by 1, 2, 3)
  select v.doc_id, v.sent, v.tok, coalesce(n.text, '_') as subject, v.lemma as verb, coalesce(g.object, '_') as object from toks v left join s on s.doc_id = v.doc_id and s.sent = v.sent and s.tok = v.tok
- left join spans n on n.doc_id = v.doc_id and n.sent = v.sent and n.tok = s.k left join g on g.doc_id = v.doc_id and g.sent = v.sent and g.tok = v.tok where v.pos_tag = 'VERB' and (n.text is not null or g.object is not null)""".replace("with s as", ", s as", 1), "spans")
+ left join spans n on n.doc_id = v.doc_id and n.sent = v.sent and n.tok = s.k left join g on g.doc_id = v.doc_id and g.sent = v.sent and g.tok = v.tok where v.pos_tag = 'VERB' and (n.text is not null or g.object is not null or v.head = v.tok)""".replace("with s as", ", s as", 1), "spans")
 _NEG = "case tok % 7 when 0 then 'neg' when 5 then 'prt' else dep end"
 _add("x10_verb_phrase", lambda v: relations.verb_phrase(v.toks.withColumn("dep", F.expr(_NEG))), """select v.doc_id, v.sent, v.tok, concat_ws(' ', n.neg, v.lemma, n.prt) as phrase from toks v left join
  (select doc_id, sent, head as tok, arg_max(text, tok) filter (where tok % 7 = 0) as neg, string_agg(text, ' ' order by tok) filter (where tok % 7 = 5) as prt from toks where head <> tok group by 1, 2, 3) n using (doc_id, sent, tok) where v.pos_tag = 'VERB'""", "toks")
