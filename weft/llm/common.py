@@ -39,13 +39,20 @@ def id_bucket(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus), F.lit(-1))
 
 
+def slices(batches, rows: int = 512):
+    """The batches in parts of a few hundred rows, so that a task's Python objects stay few."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 class WordHashes(dict):
-    """64-bit hash of a word, remembered; cleared when it holds a million words, so memory stays bounded."""
+    """64-bit hash of a word, remembered; cleared when it holds 200,000 words, so memory stays bounded."""
 
     def __missing__(self, word):
         import xxhash
 
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import covered, read_table, runs
+from .common import covered, read_table, runs, slices
 from .repeats import Windows, base_table, by_route, candidates, packed, repeated_by_document, segments, shards, unpack
 
 LENGTH = 100
@@ -166,7 +166,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     firsts = firsts.groupBy("doc_id").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
 
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [[], [], [], [], [], []]
             for doc_id, text, rare, hot, begin, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = unpack(text)

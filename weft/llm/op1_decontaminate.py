@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, read_table, runs, write_shared
+from .common import gram_hashes, read_table, runs, slices, WordHashes, write_shared
 
 SEED_WORDS = 5
 THRESHOLD = 0.6
@@ -111,7 +111,7 @@ def _by_broadcast(texts: DataFrame, tests: DataFrame, threshold: float) -> DataF
         known, seeds, owner, place = shared.value
         bits = np.zeros(1 << 20, bool)  # most seeds of a document are in no item
         bits[seeds >> np.uint64(44)] = True
-        for b in batches:
+        for b in slices(batches):
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = words_of(text)
@@ -136,7 +136,7 @@ def _by_shuffle(texts: DataFrame, tests: DataFrame, threshold: float) -> DataFra
 
     def seeds(id_name: str, df: DataFrame) -> DataFrame:
         def rows(batches):
-            for b in batches:
+            for b in slices(batches):
                 ids, hs, ps, ns = [], [], [], []
                 for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     words = words_of(text)
@@ -154,7 +154,7 @@ def _by_shuffle(texts: DataFrame, tests: DataFrame, threshold: float) -> DataFra
     pairs = write_shared(places.groupBy("doc_id", "item_id", "n").count().where(F.col("count") >= threshold * F.col("n")).select("doc_id", "item_id").distinct(), "pairs")
 
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             yield _batch([x for doc_id, item_id, item, text in zip(*(c.to_pylist() for c in b.columns), strict=True) if len(i := words_of(item)) >= SEED_WORDS for x in _compare(doc_id, item_id, i, words_of(text), threshold)])
 
     both = pairs.join(tests.withColumnRenamed("text", "item"), "item_id").join(texts, "doc_id")

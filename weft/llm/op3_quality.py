@@ -11,14 +11,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, read_table
+from .common import id_bucket, read_table, slices
 
 THRESHOLD = 0.3
 SAMPLE_ROWS = 4000  # labelled rows learned from: those of the least hash of the id
 SAMPLE_CHUNKS = 8  # chunks of each of them, evenly spaced
 BLOCK, CHUNK_BLOCKS, CHUNK_STEP = 64, 8, 7  # chunks of 512 bytes, one every 448
 EMBED, WIDTH, FILTERS = 4, 5, 16
-_PIECE_BLOCKS = 1 << 13
+_PIECE_BLOCKS = 1 << 11
 
 
 def _sample_chunks(text: bytes) -> list[bytes]:
@@ -34,7 +34,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> tu
     import pyarrow as pa
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches, 256):
             cuts = [_sample_chunks(t or b"") for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cuts, pa.list_(pa.binary()))], ["doc_id", "y", "chunks"])
 
@@ -118,9 +118,9 @@ def fit(chunks: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int = 600, ba
 
 def probabilities(model: dict, texts: list[bytes]) -> np.ndarray:
     """Probability of label 1 of each text, from all its bytes; an empty text is one block of zeros. Memory is bounded: long texts are worked through in pieces."""
-    blocks = [max(1, -(-len(t) // BLOCK)) for t in texts]
-    most = np.zeros((sum(blocks) + 1, FILTERS), np.float32)
     tail = WIDTH - 1
+    blocks = [-(-(len(t) + tail) // BLOCK) for t in texts]  # zeros after each text, so that no filter sees two texts
+    most = np.zeros((sum(blocks) + 1, FILTERS), np.float32)
 
     def respond(data: bytes, n: int) -> np.ndarray:  # n blocks and the first bytes of the next
         codes = np.frombuffer(data.ljust(n * BLOCK + tail, b"\0"), np.uint8)
@@ -137,7 +137,7 @@ def probabilities(model: dict, texts: list[bytes]) -> np.ndarray:
                 most[at : at + k] = respond(text[s * BLOCK : (s + k) * BLOCK + tail], k)
                 at += k
             continue
-        held.append(text.ljust(n * BLOCK, b"\0") if len(text) % BLOCK == 0 and text else (text + b"\0" * tail).ljust(n * BLOCK, b"\0")[: n * BLOCK])
+        held.append(text.ljust(n * BLOCK, b"\0"))
         waiting += n
         if waiting >= 1024:
             most[at : at + waiting] = respond(b"".join(held), waiting)
@@ -162,9 +162,9 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     import pyarrow as pa
 
     def rows(batches):
-        for b in batches:
+        for b in slices(batches, 256):
             texts = [t or b"" for t in b.column(1).to_pylist()]
-            p = np.concatenate([np.zeros(0), *(probabilities(model, texts[i : i + 256]) for i in range(0, len(texts), 256))])
+            p = probabilities(model, texts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(rows, "doc_id bigint, score double")
@@ -183,9 +183,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def rows(batches):
-        for b in batches:
+        for b in slices(batches, 256):
             texts = [(t or "").encode() for t in b.column(at).to_pylist()]
-            p = np.concatenate([np.zeros(0), *(probabilities(model, texts[i : i + 256]) for i in range(0, len(texts), 256))])
+            p = probabilities(model, texts)
             yield b.filter(pa.array(p >= THRESHOLD))
 
     return docs.mapInArrow(rows, docs.schema)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, write_shared
+from .common import components, slices, write_shared
 
 SHINGLE = 3
 THRESHOLD = 2
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     import pyarrow as pa
 
     def of(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = [fingerprint(t, shingle) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -120,10 +120,10 @@ def links(distinct_fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     def at(home_only: bool):
         def rows(batches):
-            for b in batches:
+            for b in slices(batches):
                 all_fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                for k in range(0, len(all_fps), 1024):
-                    fps = all_fps[k : k + 1024]
+                for k in range(0, len(all_fps), 256):
+                    fps = all_fps[k : k + 256]
                     who, anchor = anchors_of(fps, threshold, home_only)
                     yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fps[who])], ["anchor", "fp"])
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's encoder cuts text before merging (fixed value).
@@ -75,7 +75,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
 
     def rows(batches):
         encode, lengths = _encoder(shared.value)
-        for b in batches:
+        for b in slices(batches):
             out = [[], [], [], [], [], []]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = text or ""

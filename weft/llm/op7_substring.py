@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, covered, gram_hashes, read_table, runs, write_shared
+from .common import covered, gram_hashes, read_table, runs, slices, WordHashes, write_shared
 from .repeats import Windows, base_table, by_route, candidates, packed, repeated_by_document, segments, shards, unpack
 
 LENGTH = 50
@@ -175,7 +175,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     firsts = firsts.groupBy("doc_id").agg(F.flatten(F.collect_list("firsts")).alias("firsts"))
 
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [[], [], [], [], []]
             for doc_id, text, rare, hot, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = unpack(text)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, write_shared
+from .common import read_table, slices, write_shared
 
 BLOCK_ROWS = 20_000
 FAN_IN = 1_000
@@ -31,7 +31,7 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     import pyarrow as pa
 
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [t or b"" for t in b.column(2).to_pylist()]
             data = np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)
             space = _SPACE[data]

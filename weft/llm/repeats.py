@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, sliding, write_shared
+from .common import gram_hashes, slices, sliding, write_shared
 
 PIECE = 1 << 20
 
@@ -46,7 +46,7 @@ def base_table(docs: DataFrame, w: Windows, joiner: bytes) -> DataFrame:
     width = w.length - w.gram + 1
 
     def rows(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [[], [], [], []]
             for text in b.column(1).to_pylist():
                 ids, units = w.units(text or b"")
@@ -121,7 +121,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
     def rows(batches):
         compress = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([compress(t or b"") for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "text"])
 
     return docs.where("doc_id is not null").mapInArrow(rows, "doc_id bigint, text binary")
@@ -147,7 +147,7 @@ def segments(docs: DataFrame, repeated: DataFrame, w: Windows) -> DataFrame:
 
     def rows(batches):
         met: dict[tuple[int, bytes], tuple[int, int]] = {}
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text, rare, common in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids, units = w.units(unpack(text))
                 for piece in candidates(ids, rare, common, w):
