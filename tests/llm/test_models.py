@@ -103,7 +103,7 @@ def test_quality_reads_whole_texts_in_pieces_alike():
     for t, p in zip(texts, together, strict=True):
         assert abs(quality.probabilities(model, [t])[0] - p) < 1e-6
         n = -(-(len(t) + 4) // 64)
-        z = quality._responses(model, np.frombuffer(t.ljust(n * 64 + 4, b"\0"), np.uint8))
+        z = quality._responses(model, np.frombuffer((b"\0" * 4 + t).ljust(n * 64 + 4, b"\0"), np.uint8))
         blocks = np.maximum(z.reshape(n, 64, -1).max(axis=1) + model["bias"], 0)
         chunks = np.array([blocks[s : s + 8].max(axis=0) for s in range(0, max(1, n - 1), 7)])
         features = np.concatenate([chunks.mean(axis=0), chunks.max(axis=0)])

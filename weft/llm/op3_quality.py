@@ -119,7 +119,7 @@ def fit(chunks: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int = 600, ba
 def probabilities(model: dict, texts: list[bytes]) -> np.ndarray:
     """Probability of label 1 of each text, from all its bytes; an empty text is one block of zeros. Memory is bounded: long texts are worked through in pieces."""
     tail = WIDTH - 1
-    blocks = [-(-(len(t) + tail) // BLOCK) for t in texts]  # zeros after each text, so that no filter sees two texts
+    blocks = [-(-(len(t) + tail) // BLOCK) for t in texts]
     most = np.zeros((sum(blocks) + 1, FILTERS), np.float32)
 
     def respond(data: bytes, n: int) -> np.ndarray:  # n blocks and the first bytes of the next
@@ -128,6 +128,7 @@ def probabilities(model: dict, texts: list[bytes]) -> np.ndarray:
 
     at, held, waiting = 0, [], 0
     for text, n in zip(texts, blocks, strict=True):
+        text = b"\0" * tail + text  # so that no filter sees two texts
         if n > 256:
             if waiting:
                 most[at : at + waiting] = respond(b"".join(held), waiting)
