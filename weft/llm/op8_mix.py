@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, slices, write_shared
 
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 FAN_IN = 1_000
 MOST_COPIES = 3
 SEED = 8
