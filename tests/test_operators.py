@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import text as T
 from weft.operators import answers, graph, kg, references, relations, sentences, tokens
+from weft.plans import pipelines
 from weft.sources import documents, graph_xml
 from weft.streaming.sentences import stream_sentences
 
@@ -126,6 +127,24 @@ def test_votes(spark):
     assert (only["subject"], only["object"], only["predicate"], only["confidence"]) == ("", "b", "custom_is_in", 0.4)
 
 
+def test_annotated_mentions(spark):
+    splits = spark.createDataFrame([(1, "s1", "The red pump drives a Pump and pumps."), (1, "s2", "axb, a.b"), (1, "s3", "nothing"), (1, "s4", None), (2, "s1", "a red pump")], "doc_id int, sid string, text string")
+    entities = spark.createDataFrame([(1, "pump", "E1"), (1, "red pump", "E2"), (1, "a.b", "E3"), (2, "pump", "E1")], "doc_id int, label string, id string")
+    got = {(r["doc_id"], r["sid"]): r["text"] for r in kg.annotate_refs(splits, entities).collect()}
+    assert got == {(1, "s1"): "The red pump[Ref:E2] drives a Pump[Ref:E1] and pumps.", (1, "s2"): "axb, a.b[Ref:E3]", (1, "s3"): "nothing", (1, "s4"): None, (2, "s1"): "a red pump[Ref:E1]"}
+
+
+def test_concept_tree(toks):
+    alone = toks.where("sent = 2").withColumn("doc_id", F.lit(2).cast("bigint"))
+    got = {tuple(r) for r in pipelines.concept_tree(toks.unionByName(alone)).collect()}
+    # document 1: below its first head, the tank; of the other concepts none is reached
+    assert {r for r in got if r[0] == 1} == {(1, "The tank", "a red pump", "part-of", 8.0, "best-parent"), (1, "a red pump", "red", "property-of", 1.0, "best-parent")}
+    # document 2: no edge leaves "A sensor" itself, so the forest of all its edges stands; its pairs have no direction
+    sensor = "A sensor adapted to measure flow"
+    assert {r for r in got if r[0] == 2} >= {(2, sensor, "adapt", None, 2.0, "forest"), (2, sensor, "the pipe", None, 1.0, "forest")}
+    assert all(r[5] == "forest" for r in got if r[0] == 2)
+
+
 @pytest.mark.parametrize(
     ("f", "given", "want"),
     [
