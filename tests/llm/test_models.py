@@ -63,6 +63,14 @@ def test_decontamination(spark):
     assert decon.contaminated(cases.docs(spark, []), items).count() == 0 and decon.contaminated(df, items.limit(0)).count() == 0
 
 
+def test_decontamination_bounds_broadcast_in_any_script(spark, monkeypatch):
+    text = " ".join(f"слово{i} Дом" for i in range(40))
+    items = spark.createDataFrame([(1, text)], "item_id bigint, text string")
+    df = cases.docs(spark, [(1, f"до {text} после", "ru", "x"), (2, None, None, None)])
+    monkeypatch.setattr(decon, "_by_broadcast", lambda *_: pytest.fail("80 words were broadcast under a bound of 79"))
+    assert [(r["doc_id"], r["n_words"], r["coverage"]) for r in decon.contaminated(df, items, broadcast_words=79).collect()] == [(1, 80, 1.0)]
+
+
 def test_language(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     got = language.query(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()

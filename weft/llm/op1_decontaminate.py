@@ -6,7 +6,7 @@ unmarked in both is found by Karp-Rabin hashes (a match of n words implies one o
 halving), marked as a tile without overlap, and so on down to five words. A document is contaminated by an item of which
 its tiles cover at least `threshold`: the order of the passages doesn't matter.
 
-The items' seeds are broadcast while their words are at most BROADCAST_WORDS; beyond, seeds are joined by a shuffle.
+The items' seeds are broadcast while their bytes allow at most BROADCAST_WORDS words; beyond, seeds are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -91,8 +91,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     tests = items.where("item_id is not null").select(F.col("item_id").cast("bigint"), F.col("text"))
-    total = tests.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
-    if total <= broadcast_words:
+    # an item of n bytes has at most (n + 1) / 2 words in any script; the row itself counts as one more
+    most = tests.agg(F.sum(F.floor((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / 2) + 1)).first()[0] or 0
+    if most <= broadcast_words:
         return _by_broadcast(texts, tests, threshold)
     return _by_shuffle(texts, tests, threshold)
 
