@@ -93,15 +93,19 @@ _add("c12_fallback", lambda v: sentences.fallback_full_sentence(v.sents.select("
 _add("c13_dedupe_ci", lambda v: sentences.dedupe_ci(v.claims), "select doc_id, pos, text from (select doc_id, pos, replace(replace(text, ' .', '.'), ' ,', ',') as text, row_number() over (partition by doc_id, lower(replace(replace(text, ' .', '.'), ' ,', ',')) order by pos) as n from claims) where n = 1", "claims")
 
 
-def _items(v: Views) -> DataFrame:
-    cut = sentences.number_splits(sentences.split_clauses(v.claims.where("doc_id % 2 = 0")))
+def _items(v: Views, answered: DataFrame | None = None) -> DataFrame:
+    cut = sentences.number_splits(sentences.split_clauses(v.claims))
+    if answered is not None:
+        cut = cut.join(answered, "doc_id", "left_semi")
     items = F.transform(F.array_sort(F.collect_list(F.struct("part", "sid", F.col("clause").alias("simple")))), lambda x: F.struct(x["sid"].alias("sid"), x["simple"].alias("simple")))
     return cut.groupBy("doc_id", "pos", "text").agg(items.alias("splits")).select("doc_id", F.concat(F.lit("s"), F.col("pos") + 1).alias("id"), F.col("text").alias("original"), "splits")
 
 
-_SPLITS = f"(select doc_id, concat('s', pos + 1, '.', part + 1) as sid, clause as text, concat('s', pos + 1) as parent from {_CLAUSES} where doc_id % 2 = 0)"
+_SPLITS = f"(select doc_id, concat('s', pos + 1, '.', part + 1) as sid, clause as text, concat('s', pos + 1) as parent from {_CLAUSES})"
+#: Documents that a splitter has answered: those with a sentence of two clauses. The others fall back to their sentences.
+_ANSWERED = f"(select doc_id from {_CLAUSES} where part > 0)"
 _add("c14_flatten_splits", lambda v: sentences.flatten_splits(_items(v)), f"select * from {_SPLITS}", "claims")
-_add("c15_identity_splits", lambda v: sentences.identity_splits(v.sents, sentences.flatten_splits(_items(v))), f"select * from {_SPLITS} union all select doc_id, concat('s', pos + 1, '.1'), s, concat('s', pos + 1) from sents where doc_id not in (select doc_id from {_SPLITS})", "claims")
+_add("c15_identity_splits", lambda v: sentences.identity_splits(v.sents, sentences.flatten_splits(_items(v, sentences.split_clauses(v.claims).where("part > 0").select("doc_id")))), f"select * from {_SPLITS} where doc_id in {_ANSWERED} union all select doc_id, concat('s', pos + 1, '.1'), s, concat('s', pos + 1) from sents where doc_id not in {_ANSWERED}", "claims")
 
 # Boilerplate and standard forms
 _add("b1_scrub_boilerplate", _claims(T.scrub_boilerplate), f"select doc_id, pos, {_scrub_sql('text')} as out from claims", "claims")
@@ -128,11 +132,11 @@ _add("b12_prepositions", _claims(T.standardize_prepositions), r"select doc_id, p
 # References
 _ALIASES = {"the tank": "<TANK>", "pump": "<PUMP>", "the valve": "<VALVE>"}
 _add("r1_aliases", lambda v: references.apply_aliases(v.claims, _ALIASES), r"select doc_id, pos, regexp_replace(regexp_replace(regexp_replace(text, '\bthe valve\b', '<VALVE>', 'gi'), '\bthe tank\b', '<TANK>', 'gi'), '\bpump\b', '<PUMP>', 'gi') as text from claims", "claims")
-_UPDATES = "select conv_id as doc_id, turn as pos, concat('p.', role, case when turn % 2 = 0 then '.a' else '' end) as path, substring(text, 1, 20) as value from conversations where turn % 3 <> 2"
+_UPDATES = "select conv_id as doc_id, turn as pos, concat('p.', role, case when turn % 2 = 0 then '.a' else '' end) as path, substring(text, 1, 20) as value from conversations"
 
 
 def _updates(v: Views) -> DataFrame:
-    return v.table("conversations").where("turn % 3 <> 2").selectExpr("conv_id as doc_id", "turn as pos", "concat('p.', role, case when turn % 2 = 0 then '.a' else '' end) as path", "substring(text, 1, 20) as value")
+    return v.table("conversations").selectExpr("conv_id as doc_id", "turn as pos", "concat('p.', role, case when turn % 2 = 0 then '.a' else '' end) as path", "substring(text, 1, 20) as value")
 
 
 _add("r2_context_asof", lambda v: references.context_asof(_updates(v), v.table("conversations").selectExpr("conv_id as doc_id", "turn as pos")), f"select c.conv_id as doc_id, c.turn as pos, path, arg_max(value, u.pos) as value from conversations c join ({_UPDATES}) u on u.doc_id = c.conv_id and u.pos < c.turn group by 1, 2, 3")
