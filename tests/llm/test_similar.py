@@ -1,0 +1,55 @@
+"""Near duplicates of the pipeline against brute force over all pairs."""
+
+import pytest
+
+import corpus_pipeline
+from weft.llm import similar
+from weft.llm.common import read_table
+
+from . import cases
+
+
+def brute_set(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+@pytest.mark.parametrize("which", ["cases", "sf"])
+def test_near_duplicates(spark, sf_dir, which):
+    df = cases.docs(spark) if which == "cases" else read_table(spark, sf_dir, "documents")
+    rows = [(r["doc_id"], brute_set(r["text"])) for r in df.select("doc_id", "text").collect() if r["doc_id"] is not None]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, (_, x) in enumerate(rows):
+        for j in range(i):
+            y = rows[j][1]
+            if x == y or 10 * len(x & y) >= 8 * len(x | y):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    want = sorted((d, least[find(i)]) for i, (d, _) in enumerate(rows))
+    assert sorted(tuple(r) for r in similar.near_duplicates(df).collect()) == want
+
+
+def test_the_stage_removes_copies_with_a_few_other_words(spark):
+    words = cases.prose(50, 200).split()
+    other = [[*words[:k], f"changed{k}", *words[k + 1 :]] for k in (20, 90, 160)]
+    cut = [*words[:60], *(f"new{i}" for i in range(60)), *words[120:]]
+    texts = [words, *other, cut]
+    df = cases.docs(spark, [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 4]
+    assert similar.keep_one_of_each(df.limit(0)).count() == 0
+
+
+def test_links_past_the_least_text_are_found(spark):
+    """Texts that share a shingle with the least one, but are similar to each other only."""
+    line = cases.prose(60, 30)
+    texts = [line + " " + cases.prose(61 + i // 2, 100) + (" end" if i % 2 else "") for i in range(12)]
+    df = cases.docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    assert sorted(tuple(r) for r in similar.near_duplicates(df).collect()) == [(i, i // 2 * 2) for i in range(12)]

@@ -1,0 +1,169 @@
+"""Near duplicates by the Jaccard similarity of word shingles, exact: every pair at or above the bound is linked.
+
+Shingles stand in one order for the whole corpus, frequent ones last. Two sets of similarity t or more share a shingle
+among the first n - ceil(t n) + 1 of each (prefix filter), so only these are shuffled. Which shingles are frequent is
+taken from a sample: any order is exact, the sample decides on cost alone. Texts that share such a shingle are first
+compared with the least of them; afterwards only those that are still in different components are compared in pairs, so
+a large group of near copies costs a comparison each. All comparisons are of whole shingle sets.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import WordHashes, components, gram_hashes, slices, write_shared
+from .repeats import packed, unpack
+
+SHINGLE = 5
+TENTHS = 8  # similarity in tenths, so that bounds are exact integers
+SAMPLE, FREQUENT, SALTS = 20_000, 200_000, 16
+
+
+def shingle_set(text: bytes | None, words: WordHashes, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text (UTF-8), A-Z lower-cased. Fewer words than a shingle: the whole sequence."""
+    ids = words.of(text.lower().split() if text else [])
+    return np.unique(gram_hashes(ids, max(1, min(shingle, len(ids)))))
+
+
+def node_of(grams: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(grams.tobytes()) - 2**63
+
+
+def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in ascending order, documents of a sample that hold each): at most FREQUENT, of three documents or more."""
+    import pyarrow as pa
+
+    def rows(batches):
+        words = WordHashes()
+        for b in slices(batches):
+            for text in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words, shingle).view(np.int64))], ["h"])
+
+    share = max(1, docs.count() // SAMPLE)
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
+    found = some.mapInArrow(rows, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    hashes, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def prefix(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], tenths: int = TENTHS) -> np.ndarray:
+    """The shingles of which two similar sets share one, in the order of the corpus."""
+    n = len(grams)
+    hashes, counts = frequent
+    rank = np.zeros(n, np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+        rank = np.where(hashes[at] == grams, counts[at], 0)
+    return grams[np.lexsort((grams, rank))[: n - -(-tenths * n // 10) + 1 if n else 0]]
+
+
+def _postings(texts: DataFrame, shingle: int, tenths: int, frequent: tuple) -> DataFrame:
+    """(h, node, n, pos): the prefix of each text; a task leaves out texts that it met before, as long as its table holds them."""
+    import pyarrow as pa
+
+    def rows(batches):
+        words, met = WordHashes(), set()
+        for b in slices(batches, 64):
+            h, node, n, pos = [], [], [], []
+            for text in b.column(1).to_pylist():
+                grams = shingle_set(text, words, shingle)
+                k = node_of(grams)
+                if k in met:
+                    continue
+                if len(met) >= 100_000:
+                    met.clear()
+                met.add(k)
+                first = prefix(grams, frequent, tenths)
+                h.append(first)
+                node.append(np.full(len(first), k, np.int64))
+                n.append(np.full(len(first), len(grams), np.int32))
+                pos.append(np.arange(len(first), dtype=np.int32))
+            if h:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(h).view(np.int64), *map(np.concatenate, (node, n, pos)))], ["h", "node", "n", "pos"])
+
+    return texts.mapInArrow(rows, "h bigint, node bigint, n int, pos int")
+
+
+def _similar(pairs: DataFrame, held: DataFrame, shingle: int, tenths: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets reach the similarity: common / (all - common) >= tenths / 10. held: (node, text), packed."""
+    import pyarrow as pa
+
+    def rows(batches):
+        words = WordHashes()
+        for b in slices(batches, 64):
+            good = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = (shingle_set(unpack(t), words, shingle) for t in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common * (10 + tenths) >= tenths * (len(x) + len(y)))
+            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(rows, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tenths: int = TENTHS) -> DataFrame:
+    """(doc_id, component_id) of every row with an id: the smallest id reachable over pairs of that similarity or more.
+
+    Texts without words are copies of each other. Rows with a null id are not looked at.
+    """
+    import pyarrow as pa
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
+    frequent = frequent_shingles(texts, shingle)
+
+    def nodes(batches):
+        words = WordHashes()
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node_of(shingle_set(t, words, shingle)) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "node"])
+
+    base = write_shared(texts.mapInArrow(nodes, "doc_id bigint, node bigint"), "nodes")
+    groups = write_shared(base.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "groups")
+    posted = _postings(texts, shingle, tenths, frequent)
+    w = Window.partitionBy("h")
+    met = posted.withColumn("hub", F.min(F.struct("node", "n")).over(w)).withColumn("last", F.max("node").over(w)).where("hub.node < last")
+    kin = write_shared(met.select("h", "node", "n", "pos", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")).distinct(), "kin")
+
+    def same(batches):
+        words = WordHashes()
+        for b in slices(batches, 64):
+            texts_of = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            yield b.filter(pa.array([node_of(shingle_set(unpack(t), words, shingle)) == k for k, t in texts_of], pa.bool_()))
+
+    # rows repeated under one id can differ in text: those of another node than the wanted one go
+    wanted = kin.select("node").distinct().join(groups, "node").select("node", F.col("least").alias("doc_id"))
+    held = packed(texts).join(wanted, "doc_id").select("node", "text").mapInArrow(same, "node bigint, text binary")
+    held = write_shared(held, "held")
+
+    sizes = 10 * F.least("n", "hub_n") >= tenths * F.greatest("n", "hub_n")
+    pairs = kin.where((F.col("node") != F.col("hub")) & sizes).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    pairs = write_shared(pairs.distinct(), "pairs")
+    linked = write_shared(_similar(pairs, held, shingle, tenths), "linked")
+    roots = components(linked)
+    placed = kin.join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    apart = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    placed = write_shared(placed.join(apart, "h", "left_semi"), "apart")
+    a, b = (placed.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "root"))) for x in "ab")
+    # at their first common shingle similar sets have room for the rest of what they must have in common
+    room = 1 + F.least(F.expr("n_a - pos_a - 1"), F.expr("n_b - pos_b - 1"))
+    close = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (room * (10 + tenths) >= tenths * (F.col("n_a") + F.col("n_b")))
+    rest = a.join(b, "h").where(close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    rest = write_shared(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    roots = components(linked.union(_similar(rest, held, shingle, tenths)))
+    member = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = member.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
+    label = member.join(least, "root").select("node", "component_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(label, ["node", "salt"], "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs but for those whose component has a smaller id. Rows with a null id stay; of rows repeated under one id, one stays."""
+    gone = near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
