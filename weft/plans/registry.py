@@ -142,6 +142,15 @@ def _updates(v: Views) -> DataFrame:
 _add("r2_context_asof", lambda v: references.context_asof(_updates(v), v.table("conversations").selectExpr("conv_id as doc_id", "turn as pos")), f"select c.conv_id as doc_id, c.turn as pos, path, arg_max(value, u.pos) as value from conversations c join ({_UPDATES}) u on u.doc_id = c.conv_id and u.pos < c.turn group by 1, 2, 3")
 _add("r3_merge_context", lambda v: references.merge_context(_updates(v)), f"""with l as (select doc_id, path, arg_max(value, pos) as value, max(pos) as pos from ({_UPDATES}) group by 1, 2)
  select doc_id, path, value from l where not exists (select 1 from l h where h.doc_id = l.doc_id and h.path <> l.path and ((starts_with(l.path, h.path || '.') and h.pos >= l.pos) or (starts_with(h.path, l.path || '.') and l.pos < h.pos)))""")
+
+
+def _whole_updates(v: Views) -> DataFrame:
+    """As _updates, with the whole text as value."""
+    return v.table("conversations").selectExpr("conv_id as doc_id", "turn as pos", "concat('p.', role, case when turn % 2 = 0 then '.a' else '' end) as path", "text as value")
+
+
+_add("r2_context_asof_whole", lambda v: references.context_asof(_whole_updates(v), v.table("conversations").selectExpr("conv_id as doc_id", "turn as pos")))
+_add("r3_merge_context_whole", lambda v: references.merge_context(_whole_updates(v)))
 _ATTEMPT = "case when (doc_id + pos + attempt) % 3 = 0 then ' ' else concat('std ', attempt, ' ', s) end"
 _add("r4_choose_standardised", lambda v: references.choose_standardised(v.sents.withColumnRenamed("s", "text"), v.sents.selectExpr("*", "explode(array(0, 1, 2)) as attempt").selectExpr("doc_id", "pos", "attempt", f"{_ATTEMPT} as answer")).select("doc_id", "pos", "standard"),
      f"select doc_id, pos, coalesce(arg_min(a, attempt) filter (where trim(a) <> '' and attempt < 2), any_value(s)) as standard from (select *, {_ATTEMPT} as a from sents, (select unnest([0, 1, 2]) as attempt)) group by 1, 2", "sents")
