@@ -105,6 +105,24 @@ def query(spark, sf_dir: str) -> DataFrame:
     return link_tool_calls(calls, results, spark.createDataFrame(SCHEMAS, "name string, param string, kind string, required boolean"))
 
 
+def all_turns(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls, results) made from each turn of each role, which is a call with its whole text in the arguments and a result of the turn before it."""
+    known = table.where("conv_id is not null and turn is not null").withColumn("k", F.col("conv_id") + F.col("turn"))
+    every = lambda n: F.col("k") % n == 0
+    length = F.length(F.coalesce("text", F.lit("")))
+    after = F.when(every(17), F.array(F.concat(F.lit("c"), "turn"))).when(F.col("turn") >= 3, F.array(F.concat(F.lit("c"), F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
+    rest = [F.when(~every(11), F.col("text")).alias("query"), F.when(every(11), F.col("text")).alias("text"), F.when(every(19), F.parse_json(F.lit('{"b": 1, "a": [true, null]}'))).alias("extra"), after.alias("after")]
+    given = F.when(every(5), F.to_json(F.struct(length.cast("string").alias("limit"), *rest))).otherwise(F.to_json(F.struct(length.alias("limit"), *rest)))
+    name = F.element_at(F.array(*map(F.lit, ("search", "translate", "summarize"))), (F.pmod("k", F.lit(3)) + 1).cast("int"))
+    calls = known.select("conv_id", F.concat(F.lit("c"), "turn").alias("call_id"), "turn", name.alias("name"), F.when(every(13), F.concat_ws(" ", F.lit("not json"), "text")).otherwise(given).alias("arguments"))
+    results = known.select("conv_id", F.concat(F.when(every(7), "x").otherwise("c"), F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, results
+
+
+def query_all_turns(spark, sf_dir: str) -> DataFrame:
+    return link_tool_calls(*all_turns(read_table(spark, sf_dir, "conversations")), spark.createDataFrame(SCHEMAS, "name string, param string, kind string, required boolean"))
+
+
 #: DuckDB over the same tables.
 ORACLE_SQL = rf"""
 with recursive calls as ({CALLS_SQL}), results as ({RESULTS_SQL}),

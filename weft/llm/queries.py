@@ -21,7 +21,7 @@ _MODULES = {
 
 
 def queries() -> dict[str, Callable]:
-    return {name: module.query for name, module in _MODULES.items()}
+    return {name: module.query for name, module in _MODULES.items()} | {"op4_tool_calls_all_turns": op4_tools.query_all_turns}
 
 
 def oracle_sql() -> dict[str, str]:
