@@ -1,20 +1,47 @@
-"""Session helpers: the shared folder and cutting of lineage for iterative operators."""
+"""The shared folder, and cutting of lineage for iterative operators."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df into the folder of spark.checkpoint.dir (set to a local one only where unset) and read it again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a master of one process (local[...], as in tests) gets a temporary folder of its own; on a cluster
+    that is an error, for no local folder is seen by all executors.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def cut_lineage(df: DataFrame, name: str = "step", replaces: DataFrame | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: a lost executor then costs a reread only.
+
+    replaces: a result of this function that nothing needs any more once df is written; its files are deleted.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    drop_written(replaces)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop_written(df: DataFrame | None) -> None:
+    """Delete the files of a result of cut_lineage; other frames are left alone."""
+    at = getattr(df, "_written_to", None) if df is not None else None
+    if at:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
