@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: ASCII white space: a word is a maximal run of other characters. bytes.split() cuts at exactly these six.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -18,20 +18,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors share. Only where it is unset (tests) a local one is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it again. A lost executor then costs a reread only."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+write_shared = cut_lineage
 
 
 def id_bucket(doc_id: Column, modulus: int) -> Column:
@@ -46,6 +33,23 @@ def slices(batches, rows: int = 512):
             yield b.slice(at, rows)
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with `place`, each row's place in the order from 0, and for each of `sums` the sum over the rows before it.
+
+    The order must be total and its columns not null but where it says so. Rows are range-partitioned by it; what is put
+    together in one place is one row of sums for each partition.
+    """
+    parts = write_shared(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = parts.groupBy("_part").agg(F.count("*").alias("_place"), *(F.sum(c).alias(f"_{name}") for name, c in sums.items()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", *(F.coalesce(F.sum(f"_{x}").over(before), F.lit(0)).alias(f"_{x}") for x in ("place", *sums)))
+    own = Window.partitionBy("_part").orderBy(*order)
+    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
+    inside = parts.select("*", (F.row_number().over(own) - 1).alias("place"), *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(name) for name, c in sums.items()))
+    out = inside.join(F.broadcast(totals), "_part")  # a row for each shuffle partition
+    return out.select(*df.columns, *((F.col(x) + F.col(f"_{x}")).alias(x) for x in ("place", *sums)))
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered; cleared when it holds 200,000 words, so memory stays bounded."""
 
@@ -121,7 +125,7 @@ def runs(mask: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Connected components of links (a, b: bigint): one row (node, root) per node that has a link, root its component's smallest.
+    """Connected components of links (a, b: of one type that can be ordered): one row (node, root) per node that has a link, root its component's smallest.
 
     Alternating large-star and small-star steps, each written to the shared folder, until no link changes; the number
     of steps grows with the logarithm of the number of nodes. Self-links and repeated links are harmless; no links: no rows.
@@ -139,12 +143,12 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         stars = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        edges = write_shared(stars.where("a <> b"), "stars")
+        edges = write_shared(stars.where("a <> b"), "stars", replaces=edges)
         # small star: a node and its smaller neighbours are linked to the smallest of them
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         moved = edges.join(least, "a")
         stars = moved.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = write_shared(stars.distinct(), "stars")
+        edges = write_shared(stars.distinct(), "stars", replaces=edges)
         now = mark(edges)
         if now == last:
             break
