@@ -4,11 +4,15 @@ A byte-level vocabulary's tokens lay end to end over the text's UTF-8 bytes, whi
 interval-joined with the sections' spans, both in order. A token that crosses a boundary goes, by the rule chosen, to the
 section of its first character ("start", the default) or to that holding most of its bytes, the first of several
 ("largest"). So the sections' counts add up to the document's.
+
+The encoder looks ahead at white space and runs out of stack on runs of some hundred thousand spaces. Such runs are cut out
+where a token ends anyway and encoded alone, by the same merges: the tokens are those of the whole text.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,11 +23,36 @@ from .common import read_table, slices
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's encoder cuts text before merging (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as the encoder's pattern has it (fixed value).
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+LONG_RUN = 50_000
 MOST_VOCABULARY_MB = 64
 RESULT = "doc_id bigint, section int, start_char bigint, end_char bigint, n_tokens bigint, n_crossing bigint"
 _encoders: dict[int, tuple] = {}
 
 
+def _by_parts(plain, run):
+    """Encoder of whole texts: `run` has the long runs of white space, `plain` what lies between.
+
+    All of a run but its last character is one piece for the encoder (the whole run at the end of a text); the last one
+    goes with what follows. No other piece crosses the cuts.
+    """
+
+    def encode(text: str) -> list[int]:
+        if len(text) < LONG_RUN:
+            return plain(text)
+        out, at = [], 0
+        for m in _SPACES.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            if end - m.start() >= LONG_RUN:
+                out += plain(text[at : m.start()])
+                out += run(text[m.start() : end])
+                at = end
+        return out + plain(text[at:])
+
+    return encode
+
+
 def _encoder(data: bytes) -> tuple:
     """(encode, bytes of each token); built once in a worker."""
     key = hash(data)
@@ -34,7 +63,8 @@ def _encoder(data: bytes) -> tuple:
         lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             lengths[rank] = len(token)
-        _encoders[key] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, lengths
+        plain, run = (tiktoken.Encoding("vocabulary", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (PATTERN, r"\s+"))
+        _encoders[key] = _by_parts(plain, run), lengths
     return _encoders[key]
 
 
