@@ -14,10 +14,10 @@ import random
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, slices, write_shared
+from .common import read_table, running, slices, write_shared
 
 BLOCK_ROWS = 2_000
 FAN_IN = 1_000
@@ -46,24 +46,23 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
-    """(source, source_size, target, n, nth): one row per source; the windows without partition see these rows only.
+    """(source, source_size, target, nth, entries) of sizes(source, size, n): one row per source, n rows of a size counting each.
 
     In order of source_size / weight, sources are full (target = most * source_size) while the words that are left, shared
-    out by weight among the sources that are left, would exceed what they hold. Sources without words get 0.
+    out by weight among the sources that are left, would exceed what they hold. Sources without words get 0. Sources may
+    be many: ranks and running sums come from range partitions, of which one row each is put together.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    by = by.withColumn("nth", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    by = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("entries"))
+    by = running(by, [F.col("source").asc_nulls_last()], {}).withColumnRenamed("place", "nth")
     by = by.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int")).cast("double"))
-    order = Window.orderBy(F.col("source_size") / F.col("w"), "nth")
-    every = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("total", F.sum("source_size").over(every)).withColumn("place", F.row_number().over(order))
-    by = by.withColumn("share", (F.col("total") - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    by = by.withColumn("open", F.col("share") * F.col("w") <= most * F.col("source_size"))
-    by = by.withColumn("from", F.min(F.when(F.col("open"), F.col("place"))).over(every))
-    by = by.withColumn("level", F.max(F.when(F.col("place") == F.col("from"), F.col("share"))).over(every))
-    full = F.col("place") < F.coalesce("from", F.lit(2**31 - 1))
-    return by.select("source", "source_size", F.when(full, (most * F.col("source_size")).cast("double")).otherwise(F.col("level") * F.col("w")).alias("target"), "n", "nth")
+    by = write_shared(running(by, [(F.col("source_size") / F.col("w")).asc(), F.col("nth").asc()], {"before": F.col("source_size"), "w_before": F.col("w")}), "sources")
+    total, w = by.agg(F.sum("source_size"), F.sum("w")).first()
+    share = (F.lit(total or 0) - most * F.col("before")) / (F.lit(w or 0.0) - F.col("w_before"))
+    is_open = share * F.col("w") <= most * F.col("source_size")
+    first = by.select("place", share.alias("share"), is_open.alias("open")).where("open").agg(F.min(F.struct("place", "share")).alias("f")).select("f.*").first()
+    place, level = (first["place"], first["share"]) if first and first["place"] is not None else (2**62, 0.0)
+    target = F.when(F.col("place") < place, (most * F.col("source_size")).cast("double")).otherwise(F.lit(float(level)) * F.col("w"))
+    return by.select("source", "source_size", target.alias("target"), "nth", "entries")
 
 
 def settle(size: list[int], x: list[float], key: str) -> list[float]:
@@ -89,44 +88,60 @@ def settle(size: list[int], x: list[float], key: str) -> list[float]:
     return x
 
 
-def _round(df: DataFrame, by: list[str]) -> DataFrame:
-    """settle() each block; a block's rows come to one task, in bounded number."""
+def _round(df: DataFrame) -> DataFrame:
+    """settle() each block; a block's rows come to one task, in bounded number. Arrow keeps ids as they are, nulls too."""
 
-    def block(keys, pdf):
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], na_position="last")
-        pdf["x"] = settle(pdf["size"].tolist(), pdf["x"].tolist(), "|".join(map(str, keys)))
-        return pdf
+    def block(keys, table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    return df.groupBy(*by).applyInPandas(block, df.schema)
+        table = table.take(pc.sort_indices(table, sort_keys=[("size", "descending"), ("doc_id", "ascending")], null_placement="at_end"))
+        x = settle(table["size"].to_pylist(), table["x"].to_pylist(), "|".join(str(k.as_py()) for k in keys))
+        return table.set_column(table.schema.get_field_index("x"), "x", pa.array(x, pa.float64()))
+
+    return df.groupBy("nth", "level", "block").applyInArrow(block, df.schema)
+
+
+def _rows(entries: DataFrame, chunk: int = 1_000) -> DataFrame:
+    """n rows for each entry, numbered by i. An entry of very many rows is made in parts, by many tasks."""
+    parts = F.floor((F.col("n") - 1) / chunk).cast("int")
+    few = entries.where(F.col("n") <= chunk).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    many = entries.where(F.col("n") > chunk).withColumn("c", F.explode(F.sequence(F.lit(0), parts))).repartition("doc_id", "size", "c")
+    begin = F.col("c").cast("bigint") * chunk
+    return few.unionByName(many.withColumn("i", F.explode(F.sequence(begin, F.least(begin + chunk, F.col("n")) - 1))).drop("c"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, part, taken) of every row: `copies` whole copies and the first `part` words.
 
     A null source is a source, the last; null and wordless texts have size 0 and are never copied; a null id is no
-    matter. Rows repeated under one id count each for itself. No rows: no rows. Other columns are not looked at. Reruns
-    draw alike, for draws depend on sizes, ids and sources only.
+    matter. Rows of one id, size and source are alike: their fractions add up, so that all but one of them are whole, and
+    only that one is rounded; each counts for itself. No rows: no rows. Other columns are not looked at. Reruns draw
+    alike, for draws depend on sizes, ids and sources only.
     """
-    sizes = write_shared(word_counts(docs, id_col, source_col, text_col), "sizes")
-    goals = write_shared(targets(sizes), "goals")
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("bigint")
+    sizes = write_shared(word_counts(docs, id_col, source_col, text_col).groupBy("source", "doc_id", "size").agg(F.count("*").alias("n")), "sizes")
+    goals = write_shared(targets(sizes, weights), "goals")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_COPIES)))).otherwise(0.0)
-    rows = sizes.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("doc_id", "d.source", "size", "source_size", "target", "nth", F.pmod(F.xxhash64("doc_id", "size"), blocks).alias("block"), rate.alias("rate"))
-    rows = rows.withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("x", F.when(F.col("size") > 0, F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))).otherwise(0.0)).drop("rate")
+    blocks = F.ceil(F.col("entries") / BLOCK_ROWS).cast("bigint")
+    rows = sizes.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("doc_id", "d.source", "size", "n", "source_size", "target", "nth", F.pmod(F.xxhash64("doc_id", "size"), blocks).alias("block"), rate.alias("rate"))
+    rows = rows.withColumn("whole", F.floor(F.col("rate") + 1e-9))
+    rows = rows.withColumn("x", F.when(F.col("size") > 0, F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))).otherwise(0.0) * F.col("n")).drop("rate")
+    rows = rows.withColumn("up", F.floor(F.col("x") + 1e-9)).withColumn("x", F.greatest(F.col("x") - F.col("up"), F.lit(0.0))).withColumn("level", F.lit(0))
     is_open = (F.col("x") > 0) & (F.col("x") < 1)
-    done = write_shared(_round(rows, ["nth", "block"]), "round")
-    results, left = [done.where(~is_open)], done.where(is_open)
+    rows = write_shared(rows, "fractions")
+    results, done = [rows.where(~is_open)], write_shared(_round(rows.where(is_open)), "round")
     most = goals.agg(F.max(blocks)).first()[0] or 1
     for level in range(1, 1 + math.ceil(math.log(most, FAN_IN)) if most > 1 else 1):
-        done = write_shared(_round(left.withColumn("block", F.floor(F.col("block") / FAN_IN)).withColumn("level", F.lit(level)), ["nth", "level", "block"]).drop("level"), "round")
         results.append(done.where(~is_open))
-        left = done.where(is_open)
-    out = left
+        left = done.where(is_open).withColumn("block", F.floor(F.col("block") / FAN_IN)).withColumn("level", F.lit(level))
+        done = write_shared(_round(left), "round")
+    out = done
     for df in results:
         out = out.unionByName(df)
-    has_words = F.col("size") > 0
-    out = out.withColumn("copies", F.when(has_words, F.col("whole") + F.floor("x")).otherwise(0).cast("bigint"))
-    out = out.withColumn("part", F.when(has_words & is_open, F.round(F.col("x") * F.col("size"))).otherwise(0).cast("bigint"))
+    out = _rows(out)
+    has_words, own = F.col("size") > 0, is_open & (F.col("i") == F.col("up"))
+    out = out.withColumn("copies", F.when(has_words, F.col("whole") + F.when(F.col("i") < F.col("up") + F.floor("x"), 1).otherwise(0)).otherwise(0).cast("bigint"))
+    out = out.withColumn("part", F.when(has_words & own, F.round(F.col("x") * F.col("size"))).otherwise(0).cast("bigint"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "part", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"))
 
 
