@@ -21,8 +21,8 @@ _MODULES = {
 
 
 def queries() -> dict[str, Callable]:
-    return {name: module.query for name, module in _MODULES.items()} | {"op4_tool_calls_all_turns": op4_tools.query_all_turns}
+    return {name: module.query for name, module in _MODULES.items()} | {"op4_tool_calls_all_turns": op4_tools.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: module.ORACLE_SQL for name, module in _MODULES.items() if hasattr(module, "ORACLE_SQL")}
+    return {name: module.ORACLE_SQL for name, module in _MODULES.items() if hasattr(module, "ORACLE_SQL")} | {"op4_tool_calls_all_turns": op4_tools.ORACLE_SQL}
