@@ -1,15 +1,16 @@
 """Near duplicates and substring removal against brute force."""
 
 import hashlib
-from collections import defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from weft.llm import op5_simhash as simhash
 from weft.llm import op7_substring as substring
 from weft.llm import op10_suffix as suffix
 from weft.llm.common import components, read_table
+from weft.llm.repeats import PIECE, row_id
 
 from . import cases
 
@@ -77,77 +78,90 @@ def test_components_of_a_long_chain(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-@pytest.mark.parametrize(("which", "common"), [("cases", 4096), ("cases", 5), ("sf", 4096), ("sf", 3)])
-def test_substring(spark, sf_dir, which, common):
-    df = table(spark, sf_dir, which)
-    rows = [(d, (t or "").encode().split()) for d, t in rows_of(df)]
+BOUNDS = [{}, {"common": 5, "very_common": 1000}, {"common": 2, "very_common": 4}]
+TABLES = [(w, b) for w in ("cases", "sf") for b in BOUNDS] + [("long", {})]
+
+
+def long_rows():
+    """Texts beyond a piece of the search, with repeats across its border, long runs, and rows of one id with different texts."""
+    passage, filler = cases.prose(70, 120), cases.prose(71, 195_000)
+    head = filler[: PIECE - 300]
+    return [
+        (1, head + " " + passage + " " + filler[-2000:], "en", "a"), (2, "x " + passage, "en", "a"), (3, "a" * (PIECE + 500), "en", "a"), (8, "b" * 5000 + "a" * 70_000, "en", "a"), (4, "ab" * 3000 + passage, "en", "a"),
+        (5, passage + " one", "en", "a"), (5, "two " + passage, "en", "a"), (5, cases.prose(72, 80), "en", "a"), (6, cases.prose(72, 80) + " end", "en", "a"), (7, "na " * 40_000, "en", "a"), (7, "na " * 300, "en", "a"),
+    ]
+
+
+def some_table(spark, sf_dir, which):
+    return cases.docs(spark, long_rows()) if which == "long" else table(spark, sf_dir, which)
+
+
+@pytest.mark.parametrize(("which", "bounds"), TABLES)
+def test_substring(spark, sf_dir, which, bounds):
+    df = some_table(spark, sf_dir, which)
+    rows = [(d, t, (t or "").encode().split()) for d, t in rows_of(df)]
     first = {}
-    for d, w in rows:
+    for d, _, w in rows:
         if d is not None:
             for i in range(len(w) - 49):
-                k = tuple(w[i : i + 50])
+                k = hash(tuple(w[i : i + 50]))
                 first[k] = min(first.get(k, d), d)
     want = set()
-    for d, w in rows:
+    for d, _, w in rows:
         gone = set()
         for i in range(len(w) - 49):
-            if d is not None and first[tuple(w[i : i + 50])] < d:
+            if d is not None and first[hash(tuple(w[i : i + 50]))] < d:
                 gone.update(range(i, i + 50))
         want.add((d, len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest()))
-    base, removed = substring.removals(df, common=common)
-    lost = {(r["doc_id"], r["sha"]): r for r in removed.collect()}
+    base, removed = substring.removals(df, **bounds)
+    lost = {(r["doc_id"], r["rid"]): r for r in removed.collect()}
     got = set()
     for r in base.collect():
-        x = lost.get((r["doc_id"], r["sha"]))
+        x = lost.get((r["doc_id"], r["rid"]))
         got.add((r["doc_id"], r["n"], x["n_removed"] if x else 0, x["kept_sha256"] if x else r["sha"]))
         if x:
             assert hashlib.sha256(b" ".join(bytes(x["kept_text"]).split())).hexdigest() == x["kept_sha256"]
     assert got == want
 
 
-@pytest.mark.parametrize(("which", "common"), [("cases", 4096), ("cases", 5), ("sf", 4096), ("sf", 3)])
-def test_suffix(spark, sf_dir, which, common):
-    df = table(spark, sf_dir, which)
-    if which == "cases":
-        df = df.dropDuplicates(["doc_id"])
-    rows = [(d, (t or "").encode()) for d, t in rows_of(df)]
-    first = {}
-    for d, b in rows:
-        if d is not None:
-            for i in range(len(b) - 99):
-                k = b[i : i + 100]
-                first[k] = min(first.get(k, (d, i)), (d, i))
-    want = {}
-    for d, b in rows:
-        late = [i for i in range(len(b) - 99) if d is not None and first[b[i : i + 100]] < (d, i)]
+@pytest.mark.parametrize(("which", "bounds"), TABLES)
+def test_suffix(spark, sf_dir, which, bounds):
+    df = some_table(spark, sf_dir, which)
+    df = df.dropDuplicates(["doc_id", "text"])
+    rids = {(r["doc_id"], r["text"]): r["rid"] for r in df.select("doc_id", "text", row_id(F.col("text")).alias("rid")).collect()}
+    rows = sorted((d, rids[d, t], (t or "").encode()) for d, t in rows_of(df) if d is not None)
+    seen, want = set(), {}
+    for d, rid, b in rows:
         gone = bytearray(len(b))
-        for i in late:
-            gone[i : i + 100] = b"\1" * 100
+        for i in range(len(b) - 99):
+            k = hash(b[i : i + 100])
+            if k in seen:
+                gone[i : i + 100] = b"\1" * 100
+            seen.add(k)
         spans = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
-        want[d] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
-    base, removed = suffix.removals(df, common=common)
-    lost = {r["doc_id"]: r for r in removed.collect()}
-    got = {r["doc_id"]: (r["n"], *((x["n_removed"], x["n_spans"], x["kept_sha256"]) if (x := lost.get(r["doc_id"])) else (0, 0, r["sha"]))) for r in base.collect()}
+        want[d, rid] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
+    base, removed = suffix.removals(df, **bounds)
+    lost = {(r["doc_id"], r["rid"]): r for r in removed.collect()}
+    got = {k: (r["n"], *((x["n_removed"], x["n_spans"], x["kept_sha256"]) if (x := lost.get(k)) else (0, 0, r["sha"]))) for r in base.collect() if (k := (r["doc_id"], r["rid"]))[0] is not None}
     assert got == want
 
 
-def test_difference_cover_groups_equal_windows():
+def test_difference_cover_sorts_windows():
     import numpy as np
 
     rnd = np.random.default_rng(1)
     for letters in (1, 2, 4):
-        unit = rnd.integers(97, 97 + letters, 150).astype(np.uint8)
-        text = np.concatenate([unit, rnd.integers(97, 99, 130).astype(np.uint8), unit, unit[::-1], unit[:120]])
-        middles = np.tile(np.concatenate([unit[:20], unit[:60], unit[:20]]), 30)
-        middles[np.arange(30) * 100 + 50] = np.arange(30)
+        unit = rnd.integers(97, 97 + letters, 13 * 12).astype(np.uint8)
+        text = np.concatenate([unit, rnd.integers(97, 99, 13 * 10).astype(np.uint8), unit, unit[::-1], unit[:130]])
+        middles = np.tile(np.concatenate([unit[:20], unit[:60], unit[:24]]), 30)
+        middles[np.arange(30) * 104 + 50] = np.arange(30)
         text = np.concatenate([text, middles])
         places = np.arange(len(text) - 99)
-        groups = suffix.equal_windows(text, places)
-        windows = [text[i : i + 100].tobytes() for i in places]
-        by = defaultdict(set)
-        for g, w in zip(groups.tolist(), windows, strict=True):
-            by[g].add(w)
-        assert all(len(x) == 1 for x in by.values()) and len(by) == len(set(windows))
+        order, new = suffix.sorted_windows(text, places)
+        key = lambda i: (text[i], i % 13, text[i : i + 100].tobytes())
+        keys = [key(i) for i in places[order].tolist()]
+        assert keys == sorted(map(key, places.tolist()))
+        assert new.tolist() == [True, *(a != b for a, b in zip(keys, keys[1:]))]
 
 
 def test_empty_tables(spark):

@@ -1,11 +1,11 @@
 """Exact removal of byte strings that stand earlier in the corpus, by blockwise suffix sorting with a difference cover.
 
 `repeats` narrows the corpus to segments whose 100-byte windows can repeat, routed so that equal windows meet. Sorted by
-route they form blocks of bounded size. In a block the suffixes at a difference cover's positions (4 of 13) are ranked
-first, by doubling. Then one suffix bucket (a leading byte) is sorted at a time by the first 13 and last 22 bytes of each
-window; long ties are resolved by the ranks of cover positions: any two suffixes have a shift below 13 at which both are
-in the cover, so one comparison of ranks settles the bytes between. Equal windows come out as groups; the earliest
-(document, start) of each is kept.
+route they form blocks of bounded size. Segments are laid into a block with their anchors at multiples of 13, so equal
+windows start at equal residues. The suffixes at a difference cover's positions (4 of 13 residues) are ranked first, by
+doubling, up to 91 bytes. Then one suffix bucket (a leading byte) is sorted at a time: a window's first bytes lead to the
+next cover position, whose rank settles the long tie in one comparison, and the bytes behind settle the rest. Equal
+windows stand together in this order; the earliest (document, start) of each stays.
 """
 
 from __future__ import annotations
@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import covered, read_table, runs, slices
-from .repeats import Windows, base_table, by_route, candidates, packed, repeated_by_document, segments, shards, unpack
+from .repeats import Windows, base_table, candidate_runs, first_places, packed, repeated_by_document, segments, shards, unpack, with_row_ids
 
 LENGTH = 100
 GRAM = 32
 BLOCK_BYTES = 1 << 20
 _MODULUS, _COVER = 13, (0, 1, 3, 9)
 _IN_COVER = np.isin(np.arange(_MODULUS), _COVER)
-#: A shift at which both residues are in the cover.
-_SHIFT = np.array([[next(d for d in range(_MODULUS) if _IN_COVER[(r + d) % _MODULUS] and _IN_COVER[(s + d) % _MODULUS]) for s in range(_MODULUS)] for r in range(_MODULUS)])
+#: From each residue the steps, one at least, to the next cover position.
+_STEP = np.array([next(d for d in range(1, _MODULUS + 1) if _IN_COVER[(r + d) % _MODULUS]) for r in range(_MODULUS)])
 _BYTE_IDS = np.random.default_rng(100).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
 
 
@@ -33,167 +33,140 @@ def byte_units(text: bytes) -> tuple[np.ndarray, bytes]:
     return _BYTE_IDS[np.frombuffer(text, np.uint8)], text
 
 
-def byte_windows(common: int = 4096) -> Windows:
-    return Windows(LENGTH, GRAM, True, 8, byte_units, lambda text, s, e: text[s:e], common)
+def byte_windows(common: int = 256, very_common: int = 16_384) -> Windows:
+    return Windows(LENGTH, GRAM, True, 16, byte_units, lambda text, s, e: text[s:e], common, very_common)
 
 
-def _dense(*keys: np.ndarray) -> np.ndarray:
-    """Ranks of the tuples of keys: equal tuples share a rank."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    ranks = np.empty(len(order), np.int64)
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """Dense ranks of the keys, in their order: equal keys share a rank."""
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    new = np.zeros(len(order), np.uint64)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    ranks = np.empty(len(order), np.uint64)
     ranks[order] = np.cumsum(new)
     return ranks
 
 
-def equal_windows(text: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """A group number for each place: two places share it if and only if their windows of 100 bytes are equal."""
+def _pair(high: np.ndarray, low: np.ndarray, bits: int = 32) -> np.ndarray:
+    return high << np.uint64(bits) | low
+
+
+def sorted_windows(text: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): the places in the order of (leading byte, residue modulo 13, window of 100 bytes); new: does a window differ from the one before?
+
+    Windows of different residues are not compared: equal ones must start at equal residues. Blocks hold fewer than 2**31 bytes.
+    """
     n = len(text)
     padded = np.concatenate((text, np.zeros(2 * LENGTH, np.uint8))).astype(np.uint64)
     eight = np.zeros(n + LENGTH, np.uint64)
     for i in range(8):
         eight = eight << np.uint64(8) | padded[i : i + n + LENGTH]
-    sample = np.flatnonzero(_IN_COVER[np.arange(n + LENGTH - 13) % _MODULUS])
-    index = np.full(n + 3 * LENGTH, len(sample), np.int64)
+    sample = np.flatnonzero(_IN_COVER[np.arange(n + 8) % _MODULUS])
+    index = np.full(n + 2 * LENGTH, len(sample), np.int64)
     index[sample] = np.arange(len(sample))
-    rank13 = _dense(eight[sample], eight[sample + 5])
 
-    def after(ranks: np.ndarray, shift: int) -> np.ndarray:
-        return np.append(ranks, -1)[index[sample + shift]]
+    def after(ranks: np.ndarray, shift: int) -> np.ndarray:  # 0 beyond the end
+        return np.append(ranks + np.uint64(1), np.uint64(0))[index[sample + shift]]
 
-    rank26 = _dense(rank13, after(rank13, 13))
-    rank52 = _dense(rank26, after(rank26, 26))
-    rank78 = _dense(rank52, after(rank26, 52))
-    groups = np.empty(len(places), np.int64)
-    made = 0
+    rank13 = _ranks(_pair(_ranks(eight[sample]), eight[sample + 8] >> np.uint64(24), 40)) if n < 1 << 24 else _ranks(_pair(_ranks(eight[sample]), _ranks(eight[sample + 8] >> np.uint64(24))))
+    rank26 = _ranks(_pair(rank13, after(rank13, 13)))
+    rank52 = _ranks(_pair(rank26, after(rank26, 26)))
+    rank78 = _ranks(_pair(rank52, after(rank26, 52)))
+    rank91 = _ranks(_pair(rank78, after(rank13, 78)))
+    orders, news = [], []
     leading = text[places]
-    for byte in np.unique(leading):
-        bucket = np.flatnonzero(leading == byte)
+    by_byte = np.argsort(leading, kind="stable")
+    ends = np.cumsum(np.bincount(leading, minlength=256))
+    for byte in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+        bucket = by_byte[ends[byte - 1] if byte else 0 : ends[byte]]
         p = places[bucket]
-        tie = _dense(eight[p], eight[p + 5], eight[p + 78], eight[p + 86], eight[p + 92])
-        order = np.argsort(tie, kind="stable")
-        rounds = 0
-        while len(order):
-            t = tie[order]
-            head = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-            which = np.cumsum(np.concatenate(([0], (t[1:] != t[:-1]).astype(np.int64))))
-            if rounds < 16:
-                lead, here = p[order[head]][which], p[order]
-                shift = _SHIFT[lead % _MODULUS, here % _MODULUS]
-                same = rank78[index[lead + shift]] == rank78[index[here + shift]]
-                groups[bucket[order[same]]] = made + which[same]
-                made += len(head)
-                order = order[~same]
-                rounds += 1
-            else:  # many different middles between equal ends: compare the rest byte by byte
-                whole = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[p[order]]
-                _, inverse = np.unique(np.ascontiguousarray(whole).view(f"V{LENGTH}").ravel(), return_inverse=True)
-                groups[bucket[order]] = made + inverse
-                made += int(inverse.max()) + 1
-                order = order[:0]
-    return groups
-
-
-def first_places(batches):
-    """(doc_id, from, to): the candidate windows of a document that stand nowhere earlier."""
-    import pyarrow as pa
-
-    def flush(block):
-        rows = [row for group in block for row in group]
-        sizes = np.array([len(r[1]) for r in rows], np.int64)
-        begin = np.cumsum(sizes) - sizes
-        count = sizes - LENGTH + 1
-        which = np.repeat(np.arange(len(rows)), count)
-        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        text = np.frombuffer(b"".join(r[1] for r in rows), np.uint8)
-        doc = np.array([r[2] for r in rows], np.int64)[which]
-        start = np.array([r[3] for r in rows], np.int64)[which] + offset
-        groups = equal_windows(text, begin[which] + offset)
-        order = np.lexsort((start, doc, groups))
-        first = order[np.concatenate(([True], groups[order][1:] != groups[order][:-1]))]
-        kept = np.zeros(len(groups), bool)
-        kept[first] = True
-        edge = np.concatenate(([False], which[1:] != which[:-1]))
-        began = kept & (edge | ~np.concatenate(([False], kept[:-1])))
-        ended = kept & (np.concatenate((edge[1:], [True])) | ~np.concatenate((kept[1:], [False])))
-        return list(zip(doc[began].tolist(), start[began].tolist(), (start[ended] + 1).tolist(), strict=True))
-
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "s", "e"])
-
-    out, block, size = [], [], 0
-    for group in by_route(batches):
-        if len(group) == 1 and not _may_repeat_itself(group[0][1]):
-            _, seg, doc_id, start = group[0]
-            out.append((doc_id, start, start + len(seg) - LENGTH + 1))
-        else:
-            block.append(group)
-            size += sum(len(row[1]) for row in group)
-            if size >= BLOCK_BYTES:
-                out += flush(block)
-                block, size = [], 0
-        if len(out) >= 20_000:
-            yield batch(out)
-            out = []
-    if block:
-        out += flush(block)
-    if out:
-        yield batch(out)
-
-
-def _may_repeat_itself(seg: bytes) -> bool:
-    """Windows of one segment share a representative; they can only be equal if some gram stands twice in it."""
-    return len(seg) > LENGTH and seg.find(seg[LENGTH - GRAM : LENGTH], LENGTH - GRAM + 1) >= 0 or len(seg) > 2 * LENGTH
-
-
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(base, removed). base: (doc_id, n, sha) of every row; removed, for rows that lose bytes: (doc_id, sha, n_removed, n_spans, kept_sha256, kept).
-
-    Null, empty and short texts lose nothing, nor do rows with a null id, which are not compared. Rows repeated under one
-    id are one document. Other columns are not looked at. `kept` is binary: a cut can part a character.
+        residue = p % _MODULUS
+        step = _STEP[residue]
+        first = eight[p] >> (np.uint64(64) - np.uint64(8) * step.astype(np.uint64))  # the bytes before the next cover position, six at most
+        head = _ranks(first | residue.astype(np.uint64) << np.uint64(48))
+        middle = _ranks(_pair(head, rank91[index[p + step]]))
+        key = _pair(middle, _ranks(eight[p + LENGTH - 8]))
+        order = np.argsort(key)
+        orders.append(bucket[order])
+        news.append(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+    return np.concatenate(orders), np.concatenate(news)
+
+
+def decide(block: list) -> list[tuple[int, int, int, int]]:
+    """(doc_id, rid, from, to): the windows of a block's segments that stand nowhere earlier."""
+    sizes = np.array([len(row[1]) for row in block], np.int64)
+    off, doc_ids, rids, starts = (np.array([row[k] for row in block], np.int64) for k in (2, 3, 4, 5))
+    # anchors at multiples of 13
+    room = sizes + 2 * _MODULUS
+    begin = np.cumsum(room) - room
+    begin += -(begin + off) % _MODULUS
+    text = np.zeros(int(room.sum()), np.uint8)
+    for (_, seg, *_), at in zip(block, begin.tolist(), strict=True):
+        text[at : at + len(seg)] = np.frombuffer(seg, np.uint8)
+    count = sizes - LENGTH + 1
+    which = np.repeat(np.arange(len(block)), count)
+    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    order, new = sorted_windows(text, begin[which] + offset)
+    # the earliest of each group of equal windows: places as one number in the order of (document, row, start)
+    place = np.empty(len(which), np.int64)
+    by_place = np.lexsort((starts[which] + offset, rids[which], doc_ids[which]))
+    place[by_place] = np.arange(len(which))
+    heads = np.flatnonzero(new)
+    kept = np.zeros(len(which), bool)
+    kept[by_place[np.minimum.reduceat(place[order], heads)]] = True
+    edge = np.concatenate(([True], which[1:] != which[:-1]))
+    began = kept & (edge | ~np.concatenate(([False], kept[:-1])))
+    ended = kept & (np.concatenate((edge[1:], [True])) | ~np.concatenate((kept[1:], [False])))
+    first, last = which[began], starts[which] + offset
+    return list(zip(doc_ids[first].tolist(), rids[first].tolist(), last[began].tolist(), (last[ended] + 1).tolist(), strict=True))
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> tuple[DataFrame, DataFrame]:
+    """(base, removed). base: (doc_id, rid, n, sha) of every row; removed, for rows that lose bytes: (doc_id, rid, n_removed, n_spans, kept_sha256, kept).
+
+    rid is the hash of the text. Null, empty and short texts lose nothing, nor do rows with a null id, which are not
+    compared. Rows of one id come one after the other, by rid; equal rows count as one. Other columns are not looked at.
+    `kept` is binary: a cut can part a character. bounds: see byte_windows.
     """
     import pyarrow as pa
 
-    w = byte_windows(common)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    base = base_table(texts, w, b"")
+    w = byte_windows(**bounds)
+    texts = with_row_ids(docs, id_col, text_col)
+    base = base_table(texts, w)
     repeated = repeated_by_document(base, w)
     moved = packed(texts)
-    classes = shards(segments(moved, repeated, w), [F.min(F.struct("doc_id", "start")).alias("at")]).select("route", "seg", "at.doc_id", "at.start")
-    firsts = classes.mapInArrow(first_places, "doc_id bigint, s bigint, e bigint")
-    firsts = firsts.groupBy("doc_id").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
+    firsts = first_places(shards(segments(moved, repeated, w)), decide, BLOCK_BYTES, len)
 
     def rows(batches):
         for b in slices(batches):
             out = [[], [], [], [], [], []]
-            for doc_id, text, rare, hot, begin, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc_id, rid, text, reps, ranks, begin, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = unpack(text)
                 ids, _ = byte_units(text)
-                late = np.zeros(max(0, len(text) - LENGTH + 1), bool)
-                for at, reps, _, is_candidate, _ in candidates(ids, rare, hot, w):
-                    late[at : at + len(reps)] = is_candidate
+                late = np.zeros(len(text) + 1, bool)
+                for _, _, s, e, _ in candidate_runs(ids, reps, ranks, w):
+                    late[s:e] = True
                 for s, e in zip(begin or [], end or [], strict=True):
                     late[s:e] = False
                 if late.any():
                     gone = covered(np.flatnonzero(late), LENGTH, len(text))
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                    for x, v in zip(out, (doc_id, hashlib.sha256(text).hexdigest(), int(gone.sum()), sum(1 for _ in runs(gone)), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                    for x, v in zip(out, (doc_id, rid, int(gone.sum()), sum(1 for _ in runs(gone)), hashlib.sha256(kept).hexdigest(), kept), strict=True):
                         x.append(v)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "sha", "n_removed", "n_spans", "kept_sha256", "kept"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "rid", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = moved.join(repeated, "doc_id").join(firsts, "doc_id", "left").select("doc_id", "text", "rare", "common", "s", "e")
-    removed = joined.mapInArrow(rows, "doc_id bigint, sha string, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    return base.select("doc_id", "n", "sha"), removed
+    joined = moved.join(repeated, "doc_id").join(firsts, ["doc_id", "rid"], "left").select("doc_id", "rid", "text", "reps", "ranks", "s", "e")
+    removed = joined.mapInArrow(rows, "doc_id bigint, rid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return base.select("doc_id", "rid", "n", "sha"), removed
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     base, removed = removals(read_table(spark, sf_dir, "documents"))
-    removed = removed.select("doc_id", "sha", "n_removed", "n_spans", "kept_sha256").dropDuplicates(["doc_id", "sha"])
+    removed = removed.select("doc_id", "rid", "n_removed", "n_spans", "kept_sha256").dropDuplicates(["doc_id", "rid"])
     zero = F.lit(0).cast("bigint")
-    return base.join(removed, ["doc_id", "sha"], "left").select("doc_id", F.col("n").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    return base.join(removed, ["doc_id", "rid"], "left").select("doc_id", F.col("n").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
 #: DuckDB over the same tables; bytes as pairs of hexadecimal digits.

@@ -2,10 +2,10 @@
 
 The corpus is its own reference. `repeats` narrows it to passages that can repeat, routed so that equal passages of
 `length` words meet. Sorted by route they form reference shards of bounded size; a suffix automaton is built over each
-shard, its states know the smallest document in which their strings stand, and the shard's passages are streamed through
-it for matching statistics: at each word the longest match, cut to `length` words, gives the first document of that window.
-A word goes if a window over it has its first document before its own. Shards travel by shuffle to the task that builds
-their automaton, not by broadcast, for the reference grows with the corpus.
+shard's words, its states know the smallest document in which their strings stand, and the shard's passages are streamed
+through it for matching statistics: at each word the longest match, cut to `length` words, gives the first document of that
+window. A word goes if a window over it has its first document before its own. Shards travel by shuffle to the task that
+builds their automaton, not by broadcast, for the reference grows with the corpus.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import covered, gram_hashes, read_table, runs, slices, WordHashes, write_shared
-from .repeats import Windows, base_table, by_route, candidates, packed, repeated_by_document, segments, shards, unpack
+from .repeats import Windows, base_table, candidate_runs, first_places, packed, repeated_by_document, row_id, segments, shards, unpack, with_row_ids
 
 LENGTH = 50
 SHARD_WORDS = 20_000
@@ -31,8 +31,8 @@ def word_units(text: bytes) -> tuple[np.ndarray, list]:
     return _hashes.of(words), words
 
 
-def passage_windows(length: int = LENGTH, common: int = 4096) -> Windows:
-    return Windows(length, max(1, length // 2), False, 1, word_units, lambda words, s, e: b" ".join(words[s:e]), common)
+def passage_windows(length: int = LENGTH, common: int = 64, very_common: int = 2048) -> Windows:
+    return Windows(length, max(1, length // 2), False, max(1, min(8, length // 4)), word_units, lambda words, s, e: b" ".join(words[s:e]), common, very_common)
 
 
 class SuffixAutomaton:
@@ -42,36 +42,38 @@ class SuffixAutomaton:
         self.next, self.link, self.size, self.label = [{}], [-1], [0], [None]
 
     def add(self, tokens: list, label: int) -> None:
+        follow, link, size, labels = self.next, self.link, self.size, self.label
         last = 0
         for t in tokens:
-            last = self._extend(last, t)
-            if self.label[last] is None or label < self.label[last]:
-                self.label[last] = label
-
-    def _state(self, size: int, link: int, following: dict) -> int:
-        self.next.append(following)
-        self.link.append(link)
-        self.size.append(size)
-        self.label.append(None)
-        return len(self.size) - 1
-
-    def _extend(self, last: int, t) -> int:
-        follow, link, size = self.next, self.link, self.size
-        q = follow[last].get(t)
-        if q is not None:
-            return q if size[q] == size[last] + 1 else self._split(last, q, t)
-        new = self._state(size[last] + 1, 0, {})
-        p = last
-        while p >= 0 and t not in follow[p]:
-            follow[p][t] = new
-            p = link[p]
-        if p >= 0:
-            q = follow[p][t]
-            link[new] = q if size[q] == size[p] + 1 else self._split(p, q, t)
-        return new
+            q = follow[last].get(t)
+            if q is not None:
+                last = q if size[q] == size[last] + 1 else self._split(last, q, t)
+            else:
+                new = len(size)
+                follow.append({})
+                size.append(size[last] + 1)
+                labels.append(None)
+                p = last
+                while p >= 0 and t not in follow[p]:
+                    follow[p][t] = new
+                    p = link[p]
+                up = 0
+                if p >= 0:
+                    q = follow[p][t]
+                    up = q if size[q] == size[p] + 1 else None
+                link.append(0 if up is None else up)
+                if up is None:
+                    link[new] = self._split(p, q, t)
+                last = new
+            if labels[last] is None or label < labels[last]:
+                labels[last] = label
 
     def _split(self, p: int, q: int, t) -> int:
-        clone = self._state(self.size[p] + 1, self.link[q], dict(self.next[q]))
+        clone = len(self.size)
+        self.next.append(dict(self.next[q]))
+        self.link.append(self.link[q])
+        self.size.append(self.size[p] + 1)
+        self.label.append(None)
         self.link[q] = clone
         while p >= 0 and self.next[p].get(t) == q:
             self.next[p][t] = clone
@@ -104,45 +106,29 @@ class SuffixAutomaton:
                 yield i - length + 1, self.label[s]
 
 
-def first_windows(batches, length: int):
-    """For each document the hashes of its candidate windows of which it is the first document."""
-    import pyarrow as pa
+def decide(shard: list, length: int) -> list[tuple[int, int, int, int]]:
+    """(doc_id, rid, from, to): the windows of a shard's passages of which their document is the first."""
+    automaton, words = SuffixAutomaton(), [row[1].split() for row in shard]
+    for row, tokens in zip(shard, words, strict=True):
+        automaton.add(tokens, row[3])
+    automaton.finish()
+    out = []
+    for (_, _, _, doc_id, rid, start), tokens in zip(shard, words, strict=True):
+        own = np.zeros(len(tokens), bool)
+        for i, label in automaton.first_labels(tokens, length):
+            own[i] = label == doc_id
+        out += [(doc_id, rid, start + s, start + e) for s, e in runs(own)]
+    return out
+
 
-    def flush(shard):
-        out = []
-        automaton = SuffixAutomaton()
-        tokens = [[(_hashes.of(seg.split())).tolist() for _, seg, _ in group] for group in shard]
-        for group, lists in zip(shard, tokens, strict=True):
-            for (_, _, doc_id), words in zip(group, lists, strict=True):
-                automaton.add(words, doc_id)
-        automaton.finish()
-        for group, lists in zip(shard, tokens, strict=True):
-            for (_, _, doc_id), words in zip(group, lists, strict=True):
-                own = [i for i, label in automaton.first_labels(words, length) if label == doc_id]
-                if own:
-                    out.append((doc_id, gram_hashes(np.array(words, np.uint64), length)[own]))
-        return out
-
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([h.view(np.int64) for _, h in rows], pa.list_(pa.int64()))], ["doc_id", "firsts"])
-
-    out, shard, size = [], [], 0
-    for group in by_route(batches):
-        if len(group) == 1:  # one passage, however often it stands: its first document has it first
-            out.append((group[0][2], gram_hashes(_hashes.of(group[0][1].split()), length)))
-        else:
-            shard.append(group)
-            size += sum(seg.count(b" ") + 1 for _, seg, _ in group)
-            if size >= SHARD_WORDS:
-                out += flush(shard)
-                shard, size = [], 0
-        if len(out) >= 2000:
-            yield batch(out)
-            out = []
-    if shard:
-        out += flush(shard)
-    if out:
-        yield batch(out)
+def same_windows(words: list, ids: np.ndarray, late: np.ndarray, known: np.ndarray, length: int) -> np.ndarray:
+    """Those of the places `late` whose window equals, word by word, the window at one of the places `known`."""
+    hashes = gram_hashes(ids, length)
+    order = known[np.argsort(hashes[known], kind="stable")]
+    low, high = (np.searchsorted(hashes[order], hashes[late], side) for side in ("left", "right"))
+    hit = np.flatnonzero(high > low)
+    equal = [any(words[i : i + length] == words[j : j + length] for j in order[a:b].tolist()) for i, a, b in zip(late[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True)]
+    return late[hit[np.array(equal, bool)]]
 
 
 def cut(text: bytes, gone: np.ndarray) -> bytes:
@@ -157,63 +143,72 @@ def cut(text: bytes, gone: np.ndarray) -> bytes:
     return b"".join(pieces)
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, common: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(base, removed). base: (doc_id, n, sha) of every row; removed, for rows that lose words: (doc_id, sha, n_removed, kept_sha256, kept_text).
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **bounds) -> tuple[DataFrame, DataFrame]:
+    """(base, removed). base: (doc_id, rid, n, sha) of every row; removed, for rows that lose words: (doc_id, rid, n_removed, kept_sha256, kept_text).
 
-    Null, empty and short texts lose nothing, nor do rows with a null id, which are not compared. Rows repeated under one
-    id are one document: none is before the other. Other columns are not looked at.
+    rid is row_id() of the text. Null, empty and short texts lose nothing, nor do rows with a null id, which are not
+    compared. Rows repeated under one id are one document: none is before the other; each has its own row in the results,
+    once for equal texts. Other columns are not looked at. bounds: see passage_windows.
     """
     import pyarrow as pa
 
-    w = passage_windows(length, common)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    base = base_table(texts, w, b" ")
+    w = passage_windows(length, **bounds)
+    texts = with_row_ids(docs, id_col, text_col)
+    base = base_table(texts, w)
     repeated = repeated_by_document(base, w)
     moved = packed(texts)
-    passages = shards(segments(moved, repeated, w), [F.min("doc_id").alias("doc_id")])
-    firsts = passages.mapInArrow(lambda b: first_windows(b, length), "doc_id bigint, firsts array<bigint>")
-    firsts = firsts.groupBy("doc_id").agg(F.flatten(F.collect_list("firsts")).alias("firsts"))
+    passages = shards(segments(moved, repeated, w))
+    firsts = first_places(passages, lambda shard: decide(shard, length), SHARD_WORDS, lambda seg: seg.count(b" ") + 1)
 
     def rows(batches):
         for b in slices(batches):
             out = [[], [], [], [], []]
-            for doc_id, text, rare, hot, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc_id, rid, text, reps, ranks, begin, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = unpack(text)
                 ids, words = word_units(text)
-                whole = gram_hashes(ids, length)
-                late = np.zeros(len(whole), bool)
-                for at, reps, _, is_candidate, _ in candidates(ids, rare, hot, w):
-                    late[at : at + len(reps)] = is_candidate
-                if own:
-                    late &= ~np.isin(whole, np.array(own, np.int64).view(np.uint64))
+                late = np.zeros(len(ids) + 1, bool)
+                for _, _, s, e, _ in candidate_runs(ids, reps, ranks, w):
+                    late[s:e] = True
+                if begin:
+                    own = np.zeros(len(ids) + 1, bool)
+                    for s, e in zip(begin, end, strict=True):
+                        own[s:e] = True
+                    late &= ~own
+                    late[same_windows(words, ids, np.flatnonzero(late), np.flatnonzero(own), length)] = False
                 if late.any():
                     gone = covered(np.flatnonzero(late), length, len(ids))
                     kept = b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()])
-                    for x, v in zip(out, (doc_id, hashlib.sha256(b" ".join(words)).hexdigest(), int(gone.sum()), hashlib.sha256(kept).hexdigest(), cut(text, gone)), strict=True):
+                    for x, v in zip(out, (doc_id, rid, int(gone.sum()), hashlib.sha256(kept).hexdigest(), cut(text, gone)), strict=True):
                         x.append(v)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "sha", "n_removed", "kept_sha256", "kept_text"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "rid", "n_removed", "kept_sha256", "kept_text"])
 
-    joined = moved.join(repeated, "doc_id").join(firsts, "doc_id", "left").select("doc_id", "text", "rare", "common", "firsts")
-    removed = joined.mapInArrow(rows, "doc_id bigint, sha string, n_removed bigint, kept_sha256 string, kept_text binary")
-    return base.select("doc_id", "n", "sha"), removed
+    joined = moved.join(repeated, "doc_id").join(firsts, ["doc_id", "rid"], "left").select("doc_id", "rid", "text", "reps", "ranks", "s", "e")
+    removed = joined.mapInArrow(rows, "doc_id bigint, rid bigint, n_removed bigint, kept_sha256 string, kept_text binary")
+    return base.select("doc_id", "rid", "n", "sha"), removed
 
 
 def remove_repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the repeated passages cut from `text`; documents of which nothing is left go. Other texts are unchanged."""
+    """docs with the repeated passages cut from `text`; documents of which nothing is left go. Other rows are unchanged, in all columns.
+
+    A row is told by its id and its text, so rows repeated under one id each keep their own text.
+    """
     _, removed = removals(docs, length=length)
-    cuts = write_shared(removed.select("doc_id", F.col("kept_text").cast("string").alias("kept_text")).dropDuplicates(["doc_id"]), "cuts")
-    out = docs.join(cuts, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text"))
-    out = out.where("kept_text is null or kept_text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    cuts = write_shared(removed.select("doc_id", "rid", F.col("kept_text").cast("string").alias("kept_text")).dropDuplicates(["doc_id", "rid"]), "cuts")
+    d, c = docs.alias("d"), cuts.alias("c")
+    out = d.join(c, (F.col("d.doc_id") == F.col("c.doc_id")) & (row_id(F.col("d.text")) == F.col("c.rid")), "left")
+    out = out.where("c.kept_text is null or c.kept_text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    lost, text = F.col("c.kept_text").isNotNull(), F.coalesce("c.kept_text", "d.text")
+    new = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(lost, F.char_length("c.kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("d.n_chars")).alias("n_chars")
+    return out.select(*(new.get(x, F.col(f"d.`{x}`")) for x in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     base, removed = removals(read_table(spark, sf_dir, "documents"))
-    removed = removed.select("doc_id", "sha", "n_removed", "kept_sha256").dropDuplicates(["doc_id", "sha"])
-    return base.join(removed, ["doc_id", "sha"], "left").select("doc_id", F.col("n").alias("n_words"), F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    removed = removed.select("doc_id", "rid", "n_removed", "kept_sha256").dropDuplicates(["doc_id", "rid"])
+    return base.join(removed, ["doc_id", "rid"], "left").select("doc_id", F.col("n").alias("n_words"), F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
 #: DuckDB over the same tables.

@@ -1,10 +1,14 @@
 """Candidate search for repeated windows, shared by the two substring deduplications.
 
-Every window of `length` units (words or bytes) is represented by the least hash of its k-unit grams. Equal windows have
-equal representatives, and neighbouring windows mostly share theirs, so a text has few. Representatives that occur once
-in the corpus rule out all their windows exactly; only the windows of repeated ones travel on, as short segments of text
-routed by representative, to the method that compares them. A representative that occurs in very many texts (a common
-line) is routed by finer keys, so that texts which share no more than the line part ways. Nothing is dropped or capped.
+Every window of `length` units (words or bytes) is represented by the least hash of its k-unit grams, and anchored where
+the first gram of that hash stands in it. Equal windows have equal representatives at equal distances from their starts,
+and neighbouring windows mostly share an anchor, so a text has few runs of windows. Representatives that occur once in the
+corpus rule out all their windows exactly; only the windows of repeated ones travel on, as short segments of text routed by
+representative, to the method that compares them. Which windows are equal is the method's decision alone.
+
+A representative of many runs (a common line) is routed by finer keys: windows at about the same distance from it meet by
+the units that they all hold; one of very many runs by whole windows. So a route's segments stay few however common a
+passage is. Nothing is dropped or capped.
 """
 
 from __future__ import annotations
@@ -27,104 +31,117 @@ class Windows:
     length: int  # units of a window
     gram: int  # units of the grams whose least hash represents a window
     within: bool  # do repeats within one document count?
-    split: int  # windows per segment where a representative is very common
+    split: int  # windows per segment where a representative is common
     units: Callable[[bytes], tuple]  # text -> (ids of its units, units that `join` takes)
     join: Callable[[object, int, int], bytes]  # units, start, end -> bytes of a segment
-    common: int = 4096  # a representative in more documents than this is very common
+    common: int  # a representative of more runs than this is common
+    very_common: int  # and of more than this, very common
 
-    def representatives(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first window, representative of each window, hashes of the grams), by pieces of bounded size."""
+    @property
+    def width(self) -> int:
+        return self.length - self.gram + 1
+
+    def pieces(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first window, representative of each window, hashes of the grams, starts of the runs), by pieces of bounded size.
+
+        A run's windows share their anchor: it ends where the representative changes or the anchor drops out.
+        """
         for at in range(0, max(0, len(ids) - self.length + 1), PIECE):
             grams = gram_hashes(ids[at : at + PIECE + self.length - 1], self.gram)
-            yield at, sliding(grams, self.length - self.gram + 1), grams
+            reps = sliding(grams, self.width)
+            new = (reps[1:] != reps[:-1]) | (grams[: len(reps) - 1] == reps[:-1])
+            yield at, reps, grams, np.concatenate(([0], 1 + np.flatnonzero(new)))
 
 
-def base_table(docs: DataFrame, w: Windows, joiner: bytes) -> DataFrame:
-    """Per row: doc_id, n units, sha256 of all units, its representatives, and those that stand at two places of the text. Written."""
-    import pyarrow as pa
+def row_id(text):
+    """Tells rows apart that have one id but different texts."""
+    return F.xxhash64(text.cast("binary"))
+
+
+def with_row_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, rid, text), the text as bytes."""
+    text = F.col(text_col).cast("binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_id(text).alias("rid"), text.alias("text"))
 
-    width = w.length - w.gram + 1
+
+def base_table(docs: DataFrame, w: Windows) -> DataFrame:
+    """Per row: doc_id, rid, n units, sha256 of all units, its representatives and of how many runs each is. Written."""
+    import pyarrow as pa
 
     def rows(batches):
         for b in slices(batches):
             out = [[], [], [], []]
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 ids, units = w.units(text or b"")
-                least, twice = [], []
-                for _, reps, grams in w.representatives(ids):
-                    least.append(np.unique(reps))
-                    if w.within:
-                        highest = sliding(np.concatenate((np.zeros(width - 1, np.uint64), reps, np.zeros(width - 1, np.uint64))), width, np.maximum)
-                        twice.append(grams[highest == grams])
-                least = np.unique(np.concatenate(least)) if least else np.empty(0, np.uint64)
-                if twice:
-                    values, n = np.unique(np.concatenate(twice), return_counts=True)
-                    twice = values[n > 1]
+                found = [reps[starts] for _, reps, _, starts in w.pieces(ids)]
+                reps, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
                 out[0].append(len(ids))
                 out[1].append(hashlib.sha256(w.join(units, 0, len(ids))).hexdigest())
-                out[2].append(least.view(np.int64))
-                out[3].append(np.asarray(twice, np.uint64).view(np.int64))
+                out[2].append(reps.view(np.int64))
+                out[3].append(times)
             kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], ["doc_id", "n", "sha", "reps", "twice"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], ["doc_id", "rid", "n", "sha", "reps", "times"])
 
-    return write_shared(docs.mapInArrow(rows, "doc_id bigint, n bigint, sha string, reps array<bigint>, twice array<bigint>"), "base")
+    return write_shared(docs.mapInArrow(rows, "doc_id bigint, rid bigint, n bigint, sha string, reps array<bigint>, times array<bigint>"), "base")
 
 
 def repeated_by_document(base: DataFrame, w: Windows) -> DataFrame:
-    """(doc_id, rare, common): the document's representatives that also stand elsewhere. Written."""
-    pairs = base.where("doc_id is not null").select("doc_id", F.explode("reps").alias("h"))
-    counts = pairs.groupBy("h").agg(F.count("*").alias("n"))  # a row lists each of its representatives once
-    found = pairs.join(counts.where("n > 1"), "h").select("doc_id", "h", (F.col("n") > w.common).alias("hot"))
-    if w.within:
-        found = found.union(base.where("doc_id is not null").select("doc_id", F.explode("twice"), F.lit(False)))
-    lists = [F.array_distinct(F.collect_list(F.when(F.col("hot") == hot, F.col("h")))).alias(name) for hot, name in ((False, "rare"), (True, "common"))]
-    return write_shared(found.groupBy("doc_id").agg(*lists), "repeated")
-
-
-def candidates(ids: np.ndarray, rare: list, common: list, w: Windows) -> Iterator[tuple]:
-    """(first window, representatives, gram hashes, is it a candidate, is its representative very common), by pieces."""
-    rare, common = (np.array(x, np.int64).view(np.uint64) for x in (rare, common))
-    for at, reps, grams in w.representatives(ids):
-        hot = np.isin(reps, common)
-        yield at, reps, grams, hot | np.isin(reps, rare), hot
-
-
-def parts(ids: np.ndarray, at: int, reps: np.ndarray, grams: np.ndarray, is_candidate: np.ndarray, hot: np.ndarray, w: Windows) -> Iterator[tuple[int, int, int]]:
-    """(route, start, end) of runs of candidate windows of a piece.
-
-    A run shares its representative, which is the route. Where that is very common, the windows are grouped by their
-    distance from it, `split` to a group; the units that all windows of a group hold make the route. Either depends on
-    a window's own content alone, so equal windows meet.
+    """(doc_id, reps, ranks, twin): the document's representatives that also stand elsewhere, with their ranks; written.
+
+    Ranks 0, 1, 2: rare, common, very common. twin: the id has several rows.
     """
-    cuts = np.flatnonzero(np.concatenate(([True], reps[1:] != reps[:-1], [True]))).tolist()
-    for s, e in zip(cuts, cuts[1:], strict=False):
-        if not is_candidate[s]:
-            continue
-        if not hot[s]:
-            for x in range(s, e, 4096):
-                yield int(reps[s : s + 1].view(np.int64)[0]), at + x, at + min(e, x + 4096)
-            continue
-        place = s + np.flatnonzero(grams[s : e + w.length - w.gram] == reps[s])
-        windows = np.arange(s, e)
-        anchor = place[np.searchsorted(place, windows)]
-        core_at = anchor - (anchor - windows) // w.split * w.split
-        cores = gram_hashes(ids[at + s : at + e - 1 + w.length], w.length - w.split + 1).view(np.int64)
-        edges = [s, *(s + 1 + np.flatnonzero(np.diff(core_at))).tolist(), e]
-        for x, y in zip(edges, edges[1:], strict=False):
-            yield int(cores[core_at[x - s] - s]), at + x, at + y
+    pairs = base.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("reps", "times")).alias("r")).select("doc_id", F.col("r.reps").alias("h"), F.col("r.times").alias("times"))
+    counts = pairs.groupBy("h").agg(F.sum("times").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    counts = counts.where("n > 1" if w.within else "low < high").select("h", F.when(F.col("n") > w.very_common, 2).when(F.col("n") > w.common, 1).otherwise(0).alias("rank"))
+    found = pairs.join(counts, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "rank")).alias("r"))
+    twins = base.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id", F.lit(True).alias("twin"))
+    return write_shared(found.join(twins, "doc_id", "left").select("doc_id", F.col("r.h").alias("reps"), F.col("r.rank").alias("ranks"), F.coalesce("twin", F.lit(False)).alias("twin")), "repeated")
+
+
+def candidate_runs(ids: np.ndarray, reps: list, ranks: list, w: Windows) -> Iterator[tuple[int, int, int, int, int]]:
+    """(representative, rank, start, end, anchor) of the text's runs whose representative stands elsewhere too."""
+    order = np.argsort(np.array(reps, np.int64).view(np.uint64))
+    known, rank_of = np.array(reps, np.int64).view(np.uint64)[order], np.array(ranks, np.int64)[order]
+    for at, here, grams, starts in w.pieces(ids):
+        at_start = here[starts]
+        place = np.minimum(np.searchsorted(known, at_start), len(known) - 1)
+        ends = np.append(starts[1:], len(here))
+        for k in np.flatnonzero(known[place] == at_start).tolist():
+            s = int(starts[k])
+            anchor = s + int(np.argmax(grams[s : s + w.width] == here[s]))
+            yield int(at_start[k : k + 1].view(np.int64)[0]), int(rank_of[place[k]]), at + s, at + int(ends[k]), at + anchor
+
+
+def routed(ids: np.ndarray, run: tuple, w: Windows) -> Iterator[tuple[int, int, int, int]]:
+    """(route, start, end, distance of the anchor) of the parts of a run; each depends on a window's own content alone, so equal windows meet.
+
+    Where the representative is common the windows are grouped by their distance from the anchor, `split` to a group (one,
+    if it is very common), and the units that all windows of a group hold make the route.
+    """
+    rep, rank, s, e, anchor = run
+    if not rank:
+        yield rep, s, e, anchor - s
+        return
+    split = w.split if rank == 1 else 1
+    windows = np.arange(s, e)
+    core_at = anchor - (anchor - windows) // split * split
+    cores = gram_hashes(ids[s : e - 1 + w.length], w.length - split + 1).view(np.int64)
+    edges = [s, *(s + 1 + np.flatnonzero(np.diff(core_at))).tolist(), e]
+    for x, y in zip(edges, edges[1:], strict=False):
+        yield int(cores[core_at[x - s] - s]), x, y, anchor - x
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with the text compressed, for the joins that must move whole texts. Rows with a null id go."""
+    """(doc_id, rid, text) with the text compressed, for the joins that must move whole texts. Rows with a null id go."""
     import pyarrow as pa
     import zstandard
 
     def rows(batches):
         compress = zstandard.ZstdCompressor(level=3).compress
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([compress(t or b"") for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([compress(t or b"") for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "rid", "text"])
 
-    return docs.where("doc_id is not null").mapInArrow(rows, "doc_id bigint, text binary")
+    return docs.where("doc_id is not null").mapInArrow(rows, "doc_id bigint, rid bigint, text binary")
 
 
 def unpack(text: bytes) -> bytes:
@@ -134,40 +151,47 @@ def unpack(text: bytes) -> bytes:
 
 
 def segments(docs: DataFrame, repeated: DataFrame, w: Windows) -> DataFrame:
-    """(route, seg, doc_id, start): candidate windows as the text that they cover, with the first place where a task met that text.
+    """(route, seg, off, twin, doc_id, rid, start): candidate windows as the text that they cover, with the first place where a task met that text.
 
-    docs: packed(). Copies meet in a table of bounded size in the task, before they are shuffled.
+    docs: packed(). off: distance of the anchor from the segment's start. twin: 0, but rid for ids of several rows, so that
+    each of their rows gets its own places. Copies meet in a table of bounded size in the task, before they are shuffled.
     """
     import pyarrow as pa
 
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    names = ["route", "seg", "off", "twin", "doc_id", "rid", "start"]
+
     def batch(met: dict):
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
-        columns = list(zip(*((*k, *v) for k, v in met.items()), strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["route", "seg", "doc_id", "start"])
+        columns = list(zip(*((*k, *v) for k, v in met.items()), strict=True)) or [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
 
     def rows(batches):
-        met: dict[tuple[int, bytes], tuple[int, int]] = {}
+        met: dict[tuple, tuple[int, int, int]] = {}
         for b in slices(batches):
-            for doc_id, text, rare, common in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc_id, rid, text, reps, ranks, twin in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids, units = w.units(unpack(text))
-                for piece in candidates(ids, rare, common, w):
-                    if piece[3].any():
-                        for route, s, e in parts(ids, *piece, w):
-                            key, at = (route, w.join(units, s, e - 1 + w.length)), (doc_id, s)
-                            if (was := met.get(key)) is None or at < was:
-                                met[key] = at
-                if len(met) >= 50_000:
-                    yield batch(met)
-                    met.clear()
+                own, last = rid if twin else 0, None
+                for run in candidate_runs(ids, reps, ranks, w):
+                    last, before = (run[0], run[4] - run[2], w.join(units, run[2], run[3] - 1 + w.length)), last
+                    if last == before:  # within a run of one character, say: these windows stand just before
+                        continue
+                    for route, s, e, off in routed(ids, run, w):
+                        key, at = (route, w.join(units, s, e - 1 + w.length), off, own), (doc_id, rid, s)
+                        if (was := met.get(key)) is None or at < was:
+                            met[key] = at
+                    if len(met) >= 50_000:
+                        yield batch(met)
+                        met.clear()
         yield batch(met)
 
-    joined = docs.join(repeated, "doc_id").select("doc_id", "text", "rare", "common")
-    return joined.mapInArrow(rows, "route bigint, seg binary, doc_id bigint, start bigint")
+    joined = docs.join(repeated, "doc_id").select("doc_id", "rid", "text", "reps", "ranks", "twin")
+    return joined.mapInArrow(rows, ", ".join(f"{n} {'binary' if n == 'seg' else 'bigint'}" for n in names))
 
 
-def shards(found: DataFrame, first: list) -> DataFrame:
-    """Distinct segments with their first place, dealt by route, each task's rows sorted by route. One shuffle."""
-    return found.repartition("route").groupBy("route", "seg").agg(*first).sortWithinPartitions("route")
+def shards(found: DataFrame) -> DataFrame:
+    """(route, seg, off, doc_id, rid, start): distinct segments with their first place, dealt by route, each task's rows sorted by route. One shuffle."""
+    first = F.min(F.struct("doc_id", "rid", "start")).alias("at")
+    return found.repartition("route").groupBy("route", "seg", "off", "twin").agg(first).sortWithinPartitions("route").select("route", "seg", "off", "at.*")
 
 
 def by_route(batches) -> Iterator[list[tuple]]:
@@ -181,3 +205,36 @@ def by_route(batches) -> Iterator[list[tuple]]:
             group.append(row)
     if group:
         yield group
+
+
+def first_places(shard_rows: DataFrame, decide: Callable[[list], list], most: int, weigh: Callable[[bytes], int]) -> DataFrame:
+    """(doc_id, rid, s array, e array): for each row the ranges of candidate windows that `decide` finds to stand nowhere before.
+
+    decide: list of (route, seg, off, doc_id, rid, start) -> list of (doc_id, rid, from, to). It is given whole routes, as
+    many at a time as weigh `most` together.
+    """
+    import pyarrow as pa
+
+    names = ["doc_id", "rid", "s", "e"]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
+
+    def rows(batches):
+        out, held, size = [], [], 0
+        for group in by_route(batches):
+            held += group
+            size += sum(weigh(row[1]) for row in group)
+            if size >= most:
+                out += decide(held)
+                held, size = [], 0
+            if len(out) >= 20_000:
+                yield batch(out)
+                out = []
+        if held:
+            out += decide(held)
+        if out:
+            yield batch(out)
+
+    places = shard_rows.mapInArrow(rows, "doc_id bigint, rid bigint, s bigint, e bigint")
+    return places.groupBy("doc_id", "rid").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
