@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import covered, read_table, runs, slices
-from .repeats import Windows, base_table, candidate_runs, first_places, packed, repeated_by_document, segments, shards, unpack, with_row_ids
+from .repeats import Windows, base_table, candidate_windows, first_places, packed, repeated_by_document, segments, shards, unpack, with_row_ids
 
 LENGTH = 100
 GRAM = 32
@@ -33,8 +33,8 @@ def byte_units(text: bytes) -> tuple[np.ndarray, bytes]:
     return _BYTE_IDS[np.frombuffer(text, np.uint8)], text
 
 
-def byte_windows(common: int = 256, very_common: int = 16_384) -> Windows:
-    return Windows(LENGTH, GRAM, True, 16, byte_units, lambda text, s, e: text[s:e], common, very_common)
+def byte_windows(common: int = 2048, very_common: int = 65_536) -> Windows:
+    return Windows(LENGTH, GRAM, True, 32, byte_units, lambda text, s, e: text[s:e], common, very_common)
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
@@ -93,33 +93,37 @@ def sorted_windows(text: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate(orders), np.concatenate(news)
 
 
-def decide(block: list) -> list[tuple[int, int, int, int]]:
-    """(doc_id, rid, from, to): the windows of a block's segments that stand nowhere earlier."""
-    sizes = np.array([len(row[1]) for row in block], np.int64)
-    off, doc_ids, rids, starts = (np.array([row[k] for row in block], np.int64) for k in (2, 3, 4, 5))
+def decide(block) -> tuple[np.ndarray, ...]:
+    """doc_id, rid, from, to: the windows of a block's segments that stand nowhere earlier."""
+    off, doc_ids, rids, starts = (block[c].to_numpy() for c in ("off", "doc_id", "rid", "start"))
+    segs = block["seg"].combine_chunks()
+    bounds = np.frombuffer(segs.buffers()[1], np.int32)[segs.offset : segs.offset + len(segs) + 1].astype(np.int64)
+    sizes = np.diff(bounds)
     # anchors at multiples of 13
     room = sizes + 2 * _MODULUS
     begin = np.cumsum(room) - room
     begin += -(begin + off) % _MODULUS
     text = np.zeros(int(room.sum()), np.uint8)
-    for (_, seg, *_), at in zip(block, begin.tolist(), strict=True):
-        text[at : at + len(seg)] = np.frombuffer(seg, np.uint8)
+    text[np.repeat(begin - bounds[:-1], sizes) + np.arange(bounds[0], bounds[-1])] = np.frombuffer(segs.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
     count = sizes - LENGTH + 1
-    which = np.repeat(np.arange(len(block)), count)
+    which = np.repeat(np.arange(len(segs)), count)
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     order, new = sorted_windows(text, begin[which] + offset)
     # the earliest of each group of equal windows: places as one number in the order of (document, row, start)
-    place = np.empty(len(which), np.int64)
-    by_place = np.lexsort((starts[which] + offset, rids[which], doc_ids[which]))
-    place[by_place] = np.arange(len(which))
+    by_row = np.lexsort((rids, doc_ids))
+    row = np.empty(len(segs), np.int64)
+    row[by_row] = np.cumsum(np.concatenate(([0], (np.diff(doc_ids[by_row]) != 0) | (np.diff(rids[by_row]) != 0))))
+    place = (row[which] << 36) + starts[which] + offset
+    ordered = place[order]
     heads = np.flatnonzero(new)
+    least = np.repeat(np.minimum.reduceat(ordered, heads), np.diff(np.append(heads, len(order))))
     kept = np.zeros(len(which), bool)
-    kept[by_place[np.minimum.reduceat(place[order], heads)]] = True
+    kept[order[ordered == least]] = True
     edge = np.concatenate(([True], which[1:] != which[:-1]))
     began = kept & (edge | ~np.concatenate(([False], kept[:-1])))
     ended = kept & (np.concatenate((edge[1:], [True])) | ~np.concatenate((kept[1:], [False])))
-    first, last = which[began], starts[which] + offset
-    return list(zip(doc_ids[first].tolist(), rids[first].tolist(), last[began].tolist(), (last[ended] + 1).tolist(), strict=True))
+    first, at = which[began], starts[which] + offset
+    return doc_ids[first], rids[first], at[began], at[ended] + 1
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +140,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     base = base_table(texts, w)
     repeated = repeated_by_document(base, w)
     moved = packed(texts)
-    firsts = first_places(shards(segments(moved, repeated, w)), decide, BLOCK_BYTES, len)
+    firsts = first_places(shards(segments(moved, repeated, w)), decide, BLOCK_BYTES)
 
     def rows(batches):
         for b in slices(batches):
@@ -144,9 +148,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
             for doc_id, rid, text, reps, ranks, begin, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = unpack(text)
                 ids, _ = byte_units(text)
-                late = np.zeros(len(text) + 1, bool)
-                for _, _, s, e, _ in candidate_runs(ids, reps, ranks, w):
-                    late[s:e] = True
+                late = candidate_windows(ids, reps, ranks, w)
                 for s, e in zip(begin or [], end or [], strict=True):
                     late[s:e] = False
                 if late.any():

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import covered, gram_hashes, read_table, runs, slices, WordHashes, write_shared
-from .repeats import Windows, base_table, candidate_runs, first_places, packed, repeated_by_document, row_id, segments, shards, unpack, with_row_ids
+from .repeats import Windows, base_table, candidate_windows, first_places, packed, repeated_by_document, row_id, segments, shards, unpack, with_row_ids
 
 LENGTH = 50
-SHARD_WORDS = 20_000
+SHARD_BYTES = 150_000  # of text under one automaton, about
 _hashes = WordHashes()
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 
@@ -106,18 +106,28 @@ class SuffixAutomaton:
                 yield i - length + 1, self.label[s]
 
 
-def decide(shard: list, length: int) -> list[tuple[int, int, int, int]]:
-    """(doc_id, rid, from, to): the windows of a shard's passages of which their document is the first."""
-    automaton, words = SuffixAutomaton(), [row[1].split() for row in shard]
-    for row, tokens in zip(shard, words, strict=True):
-        automaton.add(tokens, row[3])
+def decide(shard, length: int) -> tuple[list, list, list, list]:
+    """doc_id, rid, from, to: the windows of a shard's passages of which their document is the first."""
+    words = [seg.split() for seg in shard["seg"].to_pylist()]
+    doc_ids, rids, starts = (shard[c].to_pylist() for c in ("doc_id", "rid", "start"))
+    automaton = SuffixAutomaton()
+    for tokens, doc_id in zip(words, doc_ids, strict=True):
+        automaton.add(tokens, doc_id)
     automaton.finish()
-    out = []
-    for (_, _, _, doc_id, rid, start), tokens in zip(shard, words, strict=True):
-        own = np.zeros(len(tokens), bool)
+    out = ([], [], [], [])
+    for tokens, doc_id, rid, start in zip(words, doc_ids, rids, starts, strict=True):
+        begin = None
         for i, label in automaton.first_labels(tokens, length):
-            own[i] = label == doc_id
-        out += [(doc_id, rid, start + s, start + e) for s, e in runs(own)]
+            if (label == doc_id) == (begin is None):  # a range begins or ends
+                if begin is None:
+                    begin = i
+                else:
+                    for x, v in zip(out, (doc_id, rid, start + begin, start + i), strict=True):
+                        x.append(v)
+                    begin = None
+        if begin is not None:
+            for x, v in zip(out, (doc_id, rid, start + begin, start + len(tokens) - length + 1), strict=True):
+                x.append(v)
     return out
 
 
@@ -158,7 +168,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     repeated = repeated_by_document(base, w)
     moved = packed(texts)
     passages = shards(segments(moved, repeated, w))
-    firsts = first_places(passages, lambda shard: decide(shard, length), SHARD_WORDS, lambda seg: seg.count(b" ") + 1)
+    firsts = first_places(passages, lambda shard: decide(shard, length), SHARD_BYTES)
 
     def rows(batches):
         for b in slices(batches):
@@ -166,9 +176,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             for doc_id, rid, text, reps, ranks, begin, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = unpack(text)
                 ids, words = word_units(text)
-                late = np.zeros(len(ids) + 1, bool)
-                for _, _, s, e, _ in candidate_runs(ids, reps, ranks, w):
-                    late[s:e] = True
+                late = candidate_windows(ids, reps, ranks, w)
                 if begin:
                     own = np.zeros(len(ids) + 1, bool)
                     for s, e in zip(begin, end, strict=True):

@@ -1,7 +1,7 @@
 """Candidate search for repeated windows, shared by the two substring deduplications.
 
-Every window of `length` units (words or bytes) is represented by the least hash of its k-unit grams, and anchored where
-the first gram of that hash stands in it. Equal windows have equal representatives at equal distances from their starts,
+Every window of `length` units (words or bytes) is anchored at the gram of k units that has the least hash in it, the first
+if there are several, and represented by that gram. Equal windows have equal representatives at equal distances from their starts,
 and neighbouring windows mostly share an anchor, so a text has few runs of windows. Representatives that occur once in the
 corpus rule out all their windows exactly; only the windows of repeated ones travel on, as short segments of text routed by
 representative, to the method that compares them. Which windows are equal is the method's decision alone.
@@ -41,16 +41,15 @@ class Windows:
     def width(self) -> int:
         return self.length - self.gram + 1
 
-    def pieces(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(first window, representative of each window, hashes of the grams, starts of the runs), by pieces of bounded size.
-
-        A run's windows share their anchor: it ends where the representative changes or the anchor drops out.
-        """
+    def pieces(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By pieces of bounded size, the runs of windows of one anchor: (first window of the piece, starts, ends, anchors, representatives)."""
+        place = np.uint64((1 << 21) - 1)  # enough for the places of a piece
         for at in range(0, max(0, len(ids) - self.length + 1), PIECE):
             grams = gram_hashes(ids[at : at + PIECE + self.length - 1], self.gram)
-            reps = sliding(grams, self.width)
-            new = (reps[1:] != reps[:-1]) | (grams[: len(reps) - 1] == reps[:-1])
-            yield at, reps, grams, np.concatenate(([0], 1 + np.flatnonzero(new)))
+            least = sliding(grams & ~place | np.arange(len(grams), dtype=np.uint64), self.width)
+            cuts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1], [True])))
+            anchors = (least[cuts[:-1]] & place).astype(np.int64)
+            yield at, cuts[:-1], cuts[1:], anchors, grams[anchors]
 
 
 def row_id(text):
@@ -73,7 +72,7 @@ def base_table(docs: DataFrame, w: Windows) -> DataFrame:
             out = [[], [], [], []]
             for text in b.column(2).to_pylist():
                 ids, units = w.units(text or b"")
-                found = [reps[starts] for _, reps, _, starts in w.pieces(ids)]
+                found = [piece[4] for piece in w.pieces(ids)]
                 reps, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
                 out[0].append(len(ids))
                 out[1].append(hashlib.sha256(w.join(units, 0, len(ids))).hexdigest())
@@ -98,37 +97,37 @@ def repeated_by_document(base: DataFrame, w: Windows) -> DataFrame:
     return write_shared(found.join(twins, "doc_id", "left").select("doc_id", F.col("r.h").alias("reps"), F.col("r.rank").alias("ranks"), F.coalesce("twin", F.lit(False)).alias("twin")), "repeated")
 
 
-def candidate_runs(ids: np.ndarray, reps: list, ranks: list, w: Windows) -> Iterator[tuple[int, int, int, int, int]]:
-    """(representative, rank, start, end, anchor) of the text's runs whose representative stands elsewhere too."""
-    order = np.argsort(np.array(reps, np.int64).view(np.uint64))
-    known, rank_of = np.array(reps, np.int64).view(np.uint64)[order], np.array(ranks, np.int64)[order]
-    for at, here, grams, starts in w.pieces(ids):
-        at_start = here[starts]
-        place = np.minimum(np.searchsorted(known, at_start), len(known) - 1)
-        ends = np.append(starts[1:], len(here))
-        for k in np.flatnonzero(known[place] == at_start).tolist():
-            s = int(starts[k])
-            anchor = s + int(np.argmax(grams[s : s + w.width] == here[s]))
-            yield int(at_start[k : k + 1].view(np.int64)[0]), int(rank_of[place[k]]), at + s, at + int(ends[k]), at + anchor
+def candidate_runs(ids: np.ndarray, reps: list, ranks: list, w: Windows) -> Iterator[tuple[np.ndarray, ...]]:
+    """(representatives, ranks, starts, ends, anchors) of the text's runs whose representative stands elsewhere too, by pieces."""
+    known = np.array(reps, np.int64).view(np.uint64)
+    order = np.argsort(known)
+    known, rank_of = known[order], np.array(ranks, np.int64)[order]
+    for at, starts, ends, anchors, own in w.pieces(ids):
+        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        found = np.flatnonzero(known[place] == own)
+        yield own[found].view(np.int64), rank_of[place[found]], at + starts[found], at + ends[found], at + anchors[found]
+
 
+def candidate_windows(ids: np.ndarray, reps: list, ranks: list, w: Windows) -> np.ndarray:
+    """Mask of the text's windows that may stand elsewhere too."""
+    edges = np.zeros(len(ids) + 1, np.int8)
+    for _, _, starts, ends, _ in candidate_runs(ids, reps, ranks, w):
+        edges[starts] += 1  # runs don't overlap
+        edges[ends] -= 1
+    return np.cumsum(edges, dtype=np.int8).astype(bool)
 
-def routed(ids: np.ndarray, run: tuple, w: Windows) -> Iterator[tuple[int, int, int, int]]:
-    """(route, start, end, distance of the anchor) of the parts of a run; each depends on a window's own content alone, so equal windows meet.
 
-    Where the representative is common the windows are grouped by their distance from the anchor, `split` to a group (one,
-    if it is very common), and the units that all windows of a group hold make the route.
+def routed(ids: np.ndarray, s: int, e: int, anchor: int, split: int, w: Windows) -> Iterator[tuple[int, int, int]]:
+    """(route, start, end) of the parts of a run whose representative is common; each depends on a window's own content alone, so equal windows meet.
+
+    Windows are grouped by their distance from the anchor, `split` to a group; what all windows of a group hold makes the route.
     """
-    rep, rank, s, e, anchor = run
-    if not rank:
-        yield rep, s, e, anchor - s
-        return
-    split = w.split if rank == 1 else 1
     windows = np.arange(s, e)
     core_at = anchor - (anchor - windows) // split * split
     cores = gram_hashes(ids[s : e - 1 + w.length], w.length - split + 1).view(np.int64)
     edges = [s, *(s + 1 + np.flatnonzero(np.diff(core_at))).tolist(), e]
     for x, y in zip(edges, edges[1:], strict=False):
-        yield int(cores[core_at[x - s] - s]), x, y, anchor - x
+        yield int(cores[core_at[x - s] - s]), x, y
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -171,17 +170,19 @@ def segments(docs: DataFrame, repeated: DataFrame, w: Windows) -> DataFrame:
             for doc_id, rid, text, reps, ranks, twin in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids, units = w.units(unpack(text))
                 own, last = rid if twin else 0, None
-                for run in candidate_runs(ids, reps, ranks, w):
-                    last, before = (run[0], run[4] - run[2], w.join(units, run[2], run[3] - 1 + w.length)), last
-                    if last == before:  # within a run of one character, say: these windows stand just before
-                        continue
-                    for route, s, e, off in routed(ids, run, w):
-                        key, at = (route, w.join(units, s, e - 1 + w.length), off, own), (doc_id, rid, s)
-                        if (was := met.get(key)) is None or at < was:
-                            met[key] = at
-                    if len(met) >= 50_000:
-                        yield batch(met)
-                        met.clear()
+                for piece in candidate_runs(ids, reps, ranks, w):
+                    for rep, rank, s, e, anchor in zip(*(x.tolist() for x in piece), strict=True):
+                        last, before = (rep, w.join(units, s, e - 1 + w.length), anchor - s, own), last
+                        if last == before:  # within a run of one character, say: these windows stand just before
+                            continue
+                        parts = routed(ids, s, e, anchor, w.split if rank == 1 else 1, w) if rank else ()
+                        keys = [((route, w.join(units, x, y - 1 + w.length), anchor - x, own), (doc_id, rid, x)) for route, x, y in parts] or [(last, (doc_id, rid, s))]
+                        for key, at in keys:
+                            if (was := met.get(key)) is None or at < was:
+                                met[key] = at
+                        if len(met) >= 50_000:
+                            yield batch(met)
+                            met.clear()
         yield batch(met)
 
     joined = docs.join(repeated, "doc_id").select("doc_id", "rid", "text", "reps", "ranks", "twin")
@@ -194,47 +195,35 @@ def shards(found: DataFrame) -> DataFrame:
     return found.repartition("route").groupBy("route", "seg", "off", "twin").agg(first).sortWithinPartitions("route").select("route", "seg", "off", "at.*")
 
 
-def by_route(batches) -> Iterator[list[tuple]]:
-    """The rows of a task, which come sorted by route, one route at a time."""
-    group: list[tuple] = []
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if group and group[-1][0] != row[0]:
-                yield group
-                group = []
-            group.append(row)
-    if group:
-        yield group
-
-
-def first_places(shard_rows: DataFrame, decide: Callable[[list], list], most: int, weigh: Callable[[bytes], int]) -> DataFrame:
+def first_places(shard_rows: DataFrame, decide: Callable, most: int) -> DataFrame:
     """(doc_id, rid, s array, e array): for each row the ranges of candidate windows that `decide` finds to stand nowhere before.
 
-    decide: list of (route, seg, off, doc_id, rid, start) -> list of (doc_id, rid, from, to). It is given whole routes, as
-    many at a time as weigh `most` together.
+    decide: Arrow table (route, seg, off, doc_id, rid, start) -> four arrays doc_id, rid, from, to. It is given whole
+    routes, as many at a time as hold about `most` bytes together.
     """
     import pyarrow as pa
 
     names = ["doc_id", "rid", "s", "e"]
 
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
-
     def rows(batches):
-        out, held, size = [], [], 0
-        for group in by_route(batches):
-            held += group
-            size += sum(weigh(row[1]) for row in group)
-            if size >= most:
-                out += decide(held)
-                held, size = [], 0
-            if len(out) >= 20_000:
-                yield batch(out)
-                out = []
+        def decided(table):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in decide(table)], names)
+
+        held, size = [], 0
+        for b in slices(batches):
+            held.append(b)
+            size += b.column(1).nbytes
+            if size < most:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            routes = table["route"].to_numpy()
+            cut = int(np.searchsorted(routes, routes[-1]))  # the last route may go on
+            if cut:
+                yield decided(table.slice(0, cut))
+                table = table.slice(cut)
+            held, size = table.to_batches(), table["seg"].nbytes
         if held:
-            out += decide(held)
-        if out:
-            yield batch(out)
+            yield decided(pa.Table.from_batches(held).combine_chunks())
 
     places = shard_rows.mapInArrow(rows, "doc_id bigint, rid bigint, s bigint, e bigint")
     return places.groupBy("doc_id", "rid").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
