@@ -2,7 +2,8 @@
 
 Bytes have learned embeddings; learned filters of five bytes slide over the whole text. Their responses (ReLU) are
 max-pooled over overlapping chunks that cover the text, and the mean and the maximum of the chunks' values are combined
-into one probability. It is fitted on a bounded sample of labelled rows and applied to every byte of every text.
+into one probability. It is fitted on whole texts of a bounded sample of labelled rows and applied to every byte of every
+text.
 """
 
 from __future__ import annotations
@@ -14,42 +15,40 @@ from pyspark.sql import functions as F
 from .common import id_bucket, read_table, slices
 
 THRESHOLD = 0.3
-SAMPLE_ROWS = 4000  # labelled rows learned from: those of the least hash of the id
-SAMPLE_CHUNKS = 8  # chunks of each of them, evenly spaced
+SAMPLE_ROWS = 4000  # labelled rows learned from, at most: those of the least hash of the id
+SAMPLE_BYTES = 64 << 20  # bytes of their texts, at most: in that order, a row is taken if its whole text still fits
 BLOCK, CHUNK_BLOCKS, CHUNK_STEP = 64, 8, 7  # chunks of 512 bytes, one every 448
 EMBED, WIDTH, FILTERS = 4, 5, 16
 _PIECE_BLOCKS = 1 << 11
+_PIECE_CHUNKS = 256
 
 
-def _sample_chunks(text: bytes) -> list[bytes]:
-    size, step = BLOCK * CHUNK_BLOCKS, BLOCK * CHUNK_STEP
-    starts = list(range(0, max(1, len(text) - (size - step)), step))
-    if len(starts) > SAMPLE_CHUNKS:
-        starts = [starts[i * (len(starts) - 1) // (SAMPLE_CHUNKS - 1)] for i in range(SAMPLE_CHUNKS)]
-    return [text[s : s + size] for s in starts]
-
-
-def sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(chunks, row of each chunk, label of each row). At most SAMPLE_ROWS * SAMPLE_CHUNKS chunks of 512 bytes reach the driver."""
-    import pyarrow as pa
-
-    def cut(batches):
-        for b in slices(batches, 256):
-            cuts = [_sample_chunks(t or b"") for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cuts, pa.list_(pa.binary()))], ["doc_id", "y", "chunks"])
+def sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunks, row of each chunk, label of each row): all chunks of the whole texts of at most most_rows rows and most_bytes bytes.
 
+    Rows are those of docs that have a label 0 or 1 (the least, if an id has several), in order of the hash of their id.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label_col).cast("int").alias("y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")
-    got = sorted(rows.mapInArrow(cut, "doc_id bigint, y int, chunks array<binary>").collect(), key=lambda r: (r["doc_id"], len(r["chunks"]), r["chunks"][0]))
-    chunks = np.zeros((sum(len(r["chunks"]) for r in got), BLOCK * CHUNK_BLOCKS), np.uint8)
-    row, i = np.zeros(len(chunks), np.int64), 0
-    for k, r in enumerate(got):
-        for c in r["chunks"]:
-            chunks[i, : len(c)] = np.frombuffer(bytes(c), np.uint8)
-            row[i] = k
-            i += 1
-    return chunks, row, np.array([r["y"] for r in got], np.float32)
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(F.broadcast(known), "doc_id")  # most_rows rows
+    rows = rows.select("doc_id", "y", F.xxhash64("text").alias("rid"), "text", F.octet_length("text").alias("size")).dropDuplicates(["doc_id", "rid"])
+    taken, left = [], most_bytes
+    for r in rows.select("doc_id", "rid", "size").orderBy(F.xxhash64("doc_id"), "doc_id", "rid").limit(most_rows).collect():
+        if r["size"] <= left:
+            left -= r["size"]
+            taken.append((r["doc_id"], r["rid"]))
+    picked = docs.sparkSession.createDataFrame(taken, "doc_id bigint, rid bigint")
+    got = sorted(rows.join(F.broadcast(picked), ["doc_id", "rid"]).select("doc_id", "rid", "y", "text").collect(), key=lambda r: (r["doc_id"], r["rid"]))
+    size, step = BLOCK * CHUNK_BLOCKS, BLOCK * CHUNK_STEP
+    counts = np.array([max(1, -(-(len(r["text"]) - (size - step)) // step)) for r in got], np.int64)
+    chunks = np.zeros((counts.sum(), size), np.uint8)
+    i = 0
+    for r, n in zip(got, counts.tolist(), strict=True):
+        whole = np.zeros((n - 1) * step + size, np.uint8)
+        whole[: len(r["text"])] = np.frombuffer(bytes(r["text"]), np.uint8)
+        chunks[i : i + n] = np.lib.stride_tricks.sliding_window_view(whole, size)[::step]
+        i += n
+    return chunks, np.repeat(np.arange(len(got)), counts), np.array([r["y"] for r in got], np.float32)
 
 
 def start(seed: int = 3) -> dict[str, np.ndarray]:
@@ -70,6 +69,16 @@ def _responses(model: dict, codes: np.ndarray) -> np.ndarray:
     return np.concatenate([e[..., j : j + n, :] for j in range(WIDTH)], axis=-1) @ model["filters"]
 
 
+def _peaks(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(largest response of each filter in each chunk, where it is), a few chunks at a time, so that memory is bounded."""
+    most, where = np.empty((len(x), FILTERS), np.float32), np.empty((len(x), FILTERS), np.int64)
+    for at in range(0, len(x), _PIECE_CHUNKS):
+        z = _responses(model, x[at : at + _PIECE_CHUNKS])
+        where[at : at + _PIECE_CHUNKS] = best = z.argmax(axis=1)
+        most[at : at + _PIECE_CHUNKS] = np.take_along_axis(z, best[:, None, :], 1)[:, 0, :]
+    return most, where
+
+
 def fit(chunks: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int = 600, batch: int = 48, rate: float = 0.01, seed: int = 3) -> dict[str, np.ndarray]:
     """Weights that minimise the logistic loss (Adam, at least `steps` batches and four rounds). With no rows, or labels of one kind only, the bias alone is set."""
     model = start(seed)
@@ -90,10 +99,9 @@ def fit(chunks: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int = 600, ba
             sizes = first[docs + 1] - first[docs]
             begin = np.cumsum(sizes) - sizes
             own = np.repeat(np.arange(len(docs)), sizes)
-            x = chunks[take].astype(np.int64)
-            z = _responses(model, x)
-            where = z.argmax(axis=1)
-            pooled = np.maximum(np.take_along_axis(z, where[:, None, :], 1)[:, 0, :] + model["bias"], 0)
+            x = chunks[take]
+            peaks, where = _peaks(model, x)
+            pooled = np.maximum(peaks + model["bias"], 0)
             mean, most = np.add.reduceat(pooled, begin) / sizes[:, None], np.maximum.reduceat(pooled, begin)
             features = np.concatenate([mean, most], axis=1)
             p = 1 / (1 + np.exp(-(features @ model["out"] + model["out_bias"])))
@@ -173,7 +181,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """Fitted on labelled rows whose crc32(doc_id as text) mod 5 is not 0."""
-    return fit(*sample(docs.where(id_bucket(F.col("doc_id"), 5) > 0), labels))
+    learned = id_bucket(F.col("doc_id"), 5) > 0
+    return fit(*sample(docs.where(learned), labels.where(learned)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
