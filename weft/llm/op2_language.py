@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. An n-gram's vector binds its letters' vectors, each permuted (rotated) by
+Every letter, whatever its script, has a random vector of +1 and -1 of its own, drawn from its code point. An n-gram's vector binds its letters' vectors, each permuted (rotated) by
 its place, by elementwise product; a text's vector bundles (adds up) the vectors of its n-grams. A language's prototype
 is the sum of the unit vectors of its training texts. A text is given the language whose prototype has the highest cosine.
 """
@@ -11,49 +11,73 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, read_table, slices
+from .common import id_bucket, read_table, slices, write_shared
 
 DIMENSIONS = 1024
 UNKNOWN = "und"
-_SYMBOLS = 64  # 0 white space and other non-letters, 1-26 a-z, 27-63 further letters by code point modulo 37
+MOST_LANGUAGES = 10_000  # of which prototypes come to the driver
 _PIECE = 1 << 20
-_tables: tuple | None = None
+_GRAMS = 1 << 13
+_letters: np.ndarray | None = None
+_vectors: dict[int, np.ndarray] = {}
 
 
-def _symbols() -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of each code point and vector of each symbol; made once in a worker."""
-    global _tables
-    if _tables is None:
+def _symbols() -> np.ndarray:
+    """Symbol of each code point: itself for letters (str.isalpha), 0 for all else; made once in a worker."""
+    global _letters
+    if _letters is None:
         letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        table = np.where(letters, 27 + np.arange(0x110000) % 37, 0).astype(np.uint8)
-        for i in range(26):
-            table[97 + i] = table[65 + i] = 1 + i
-        vectors = np.random.default_rng(2).choice(np.array([-1, 1], np.int8), (_SYMBOLS, DIMENSIONS))
-        _tables = table, vectors
-    return _tables
+        _letters = np.where(letters, np.arange(0x110000), 0)
+    return _letters
 
 
-def _gram_vectors(codes: np.ndarray) -> np.ndarray:
-    _, v = _symbols()
-    first, second = np.roll(v, 2, axis=1), np.roll(v, 1, axis=1)
-    return (first[codes >> 12] * second[codes >> 6 & 63] * v[codes & 63]).astype(np.float32)
+def letter_vector(symbol: int) -> np.ndarray:
+    """The symbol's vector of +1 and -1. Some thousands are remembered."""
+    v = _vectors.get(symbol)
+    if v is None:
+        if len(_vectors) >= 20_000:
+            _vectors.clear()
+        _vectors[symbol] = v = np.random.default_rng((2, symbol)).choice(np.array([-1, 1], np.int8), DIMENSIONS)
+    return v
+
+
+def _gram_vectors(v: np.ndarray, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    return (np.roll(v, 2, axis=1)[first] * np.roll(v, 1, axis=1)[second] * v[third]).astype(np.float32)
 
 
 def text_vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(vector of each text, does it have a letter). Works through the texts in pieces of bounded size."""
-    table, _ = _symbols()
+    table = _symbols()
     bundled, letters = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), bool)
     held: list[tuple[int, np.ndarray]] = []
 
     def flush() -> None:
-        codes = np.concatenate([c for _, c in held])
-        present = np.flatnonzero(np.bincount(codes, minlength=_SYMBOLS**3))
-        rank = np.zeros(_SYMBOLS**3, np.int64)
-        rank[present] = np.arange(len(present))
-        who = np.repeat(np.arange(len(held)), [len(c) for _, c in held])
-        counts = np.bincount(who * len(present) + rank[codes], minlength=len(held) * len(present))
-        sums = counts.reshape(len(held), -1).astype(np.float32) @ _gram_vectors(present)
-        np.add.at(bundled, [i for i, _ in held], sums)
+        symbols = np.concatenate([c for _, c in held])
+        who = np.repeat(np.arange(len(held)), [len(c) - 2 for _, c in held])
+        inside = np.ones(len(symbols), bool)  # starts of grams
+        ends = np.cumsum([len(c) for _, c in held])
+        inside[ends - 1] = inside[ends - 2] = False
+        alphabet = np.flatnonzero(np.bincount(symbols))
+        place = np.zeros(alphabet[-1] + 1, np.int64)
+        place[alphabet] = np.arange(len(alphabet))
+        symbols, a = place[symbols], len(alphabet)
+        start = np.flatnonzero(inside)
+        codes = (symbols[start] * a + symbols[start + 1]) * a + symbols[start + 2]
+        if a**3 <= 1 << 22:
+            present = np.flatnonzero(np.bincount(codes))
+            rank = np.zeros(a**3, np.int64)
+            rank[present] = np.arange(len(present))
+            nth = rank[codes]
+        else:
+            present, nth = np.unique(codes, return_inverse=True)
+        v = np.stack([letter_vector(c) for c in alphabet.tolist()])
+        rows = np.array([i for i, _ in held])
+        for at in range(0, len(present), _GRAMS):  # as many grams' vectors at a time
+            some = present[at : at + _GRAMS]
+            mine = (nth >= at) & (nth < at + len(some)) if len(present) > _GRAMS else slice(None)
+            counts = np.bincount(who[mine] * len(some) + nth[mine] - at, minlength=len(held) * len(some))
+            sums = counts.reshape(len(held), -1).astype(np.float32) @ _gram_vectors(v, some // (a * a), some // a % a, some % a)
+            np.add.at(bundled, rows, sums)
         held.clear()
 
     size = 0
@@ -65,9 +89,8 @@ def text_vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if not letters[i]:
             continue
         symbols = symbols[(symbols > 0) | np.concatenate(([True], symbols[:-1] > 0))]
-        codes = symbols[:-2] << 12 | symbols[1:-1] << 6 | symbols[2:]
-        for at in range(0, len(codes), _PIECE):
-            held.append((i, codes[at : at + _PIECE]))
+        for at in range(0, len(symbols) - 2, _PIECE):
+            held.append((i, symbols[at : at + _PIECE + 2]))
             size += len(held[-1][1])
             if size >= _PIECE:
                 flush()
@@ -85,7 +108,7 @@ def prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     """Unit prototype of each language. Rows with a null language or a text without letters teach nothing.
 
     Each task sums its texts' vectors by language; the sums meet in a grouped sum. What comes to the driver is
-    DIMENSIONS numbers for each language, however many rows there are.
+    DIMENSIONS numbers for each language, however many rows there are; more than MOST_LANGUAGES languages are an error.
     """
     import pyarrow as pa
 
@@ -102,6 +125,9 @@ def prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     summed = rows.mapInArrow(sums, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    summed = write_shared(summed, "prototypes")
+    if summed.where("i = 0").count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     out: dict[str, np.ndarray] = {}
     for r in summed.collect():
         out.setdefault(r["lang"], np.zeros(DIMENSIONS))[r["i"]] = round(r["x"], 6)
