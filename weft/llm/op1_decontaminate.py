@@ -22,6 +22,7 @@ from .common import gram_hashes, read_table, runs, slices, WordHashes, write_sha
 SEED_WORDS = 5
 THRESHOLD = 0.6
 BROADCAST_WORDS = 2_000_000
+SALTS = 16
 _word = re.compile(r"\w+").findall
 _hashes = WordHashes()
 
@@ -87,7 +88,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(doc_id, item_id, n_words, n_covered, n_tiles, coverage): the pairs with coverage of `threshold` or more; n_words are the item's.
 
     Items under five words are never found; null and empty texts match nothing; rows with a null id are left out. Repeated
-    documents are each reported; of items repeated under one id, each is compared. Other columns are not looked at.
+    documents are each reported; of items repeated under one id, each is compared. Other columns are not looked at. Words
+    are runs of letters, digits and underscores; in scripts without spaces such a run is one word, whole. Without documents
+    or items there are no pairs.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     tests = items.where("item_id is not null").select(F.col("item_id").cast("bigint"), F.col("text"))
@@ -151,7 +154,10 @@ def _by_shuffle(texts: DataFrame, tests: DataFrame, threshold: float) -> DataFra
 
         return df.mapInArrow(rows, f"{id_name} bigint, seed bigint, place bigint, n bigint")
 
-    places = seeds("doc_id", texts).select("doc_id", "seed").join(seeds("item_id", tests), "seed").select("doc_id", "item_id", "n", F.explode(F.sequence("place", F.col("place") + SEED_WORDS - 1)).alias("at")).distinct()
+    # a seed that stands in very many documents (a common phrase) is dealt over SALTS tasks, beyond what skew joins part
+    own = seeds("doc_id", texts).select("doc_id", "seed", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    theirs = seeds("item_id", tests).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    places = own.join(theirs, ["seed", "salt"]).select("doc_id", "item_id", "n", F.explode(F.sequence("place", F.col("place") + SEED_WORDS - 1)).alias("at")).distinct()
     pairs = write_shared(places.groupBy("doc_id", "item_id", "n").count().where(F.col("count") >= threshold * F.col("n")).select("doc_id", "item_id").distinct(), "pairs")
 
     def rows(batches):
