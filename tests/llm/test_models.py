@@ -63,6 +63,21 @@ def test_decontamination(spark):
     assert decon.contaminated(cases.docs(spark, []), items).count() == 0 and decon.contaminated(df, items.limit(0)).count() == 0
 
 
+def test_decontamination_against_all_pairs(spark, sf_dir):
+    """Both ways on a whole table against brute force over every pair of document and item."""
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    texts, tests = ([(r[0], decon.words_of(r[1])) for r in df.select(key, "text").collect()] for df, key in ((docs, "doc_id"), (items, "item_id")))
+    want = set()
+    for d, words in texts:
+        for i, item in tests:
+            if len(item) >= 5 and (n := sum(t[2] for t in decon.tiles(item, words))) >= decon.THRESHOLD * len(item):
+                want.add((d, i, n))
+    long = cases.docs(spark, [(1, cases.prose(1, 200_000) + " " + cases.prose(50, 30), "en", "x")])
+    for bound in (10**6, 0):
+        assert {(r["doc_id"], r["item_id"], r["n_covered"]) for r in decon.contaminated(docs, items, broadcast_words=bound).collect()} == want
+        assert decon.contaminated(long, spark.createDataFrame([(4, cases.prose(50, 30))], "item_id bigint, text string"), broadcast_words=bound).count() == 1
+
+
 def test_decontamination_bounds_broadcast_in_any_script(spark, monkeypatch):
     text = " ".join(f"слово{i} Дом" for i in range(40))
     items = spark.createDataFrame([(1, text)], "item_id bigint, text string")
@@ -82,12 +97,42 @@ def test_language(spark, sf_dir):
     assert {r["lang_pred"] for r in language.predict(df, language.prototypes(df.limit(0))).collect()} == {"und"}
 
 
-def test_a_text_vector_is_the_bundle_of_its_bound_grams():
-    table, v = language._symbols()
-    text = " abra  Cadabra é "
-    symbols = [0, *(int(table[ord(c)]) for c in re.sub(r"\s+", " ", text.strip().lower())), 0]
-    want = sum(np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in zip(symbols, symbols[1:], symbols[2:]))
-    assert np.array_equal(language.text_vectors([text])[0][0], want)
+def gram_sum(text):
+    """The bundle of a text's bound letter trigrams, one gram after the other."""
+    table = language._symbols()
+    symbols = [0, *(int(table[ord(c)]) for c in re.sub(r"[^\w]+|_", " ", text.strip().lower())), 0]
+    v = [language.letter_vector(c) for c in symbols]
+    return sum((np.roll(a, 2) * np.roll(b, 1) * c).astype(int) for a, b, c in zip(v, v[1:], v[2:]))
+
+
+def test_a_text_vector_is_the_bundle_of_its_bound_grams(monkeypatch):
+    texts = [" abra  Cadabra é ", "文字と漢字 Привет", "a"]
+    for text, got in zip(texts, language.text_vectors(texts)[0]):
+        assert np.array_equal(got, gram_sum(text))
+    many = "".join(chr(0x4E00 + i * 7 % 900) for i in range(3000)) + " plain words" * 30
+    monkeypatch.setattr(language, "_PIECE", 500)
+    monkeypatch.setattr(language, "_GRAMS", 64)
+    for text, got in zip([*texts, many], language.text_vectors([*texts, many])[0]):
+        assert np.array_equal(got, gram_sum(text))
+
+
+def test_language_prototypes_and_predictions_by_brute_force(spark):
+    rows = [(1, "the cat sat", "en"), (2, "the dog ran off", "en"), (3, "der hund und", "de"), (4, "123", "de"), (5, "кошка и собака", "ru"), (6, "x", None)]
+    df = cases.docs(spark, [(i, t, lang, "a") for i, t, lang in rows])
+    unit = lambda v: v / np.linalg.norm(v)
+    want = {lang: unit(sum(unit(gram_sum(t)) for _, t, x in rows if x == lang and t != "123")) for lang in ("de", "en", "ru")}
+    profiles = language.prototypes(df)
+    assert list(profiles) == ["de", "en", "ru"] and all(np.allclose(profiles[k], want[k], atol=1e-5) for k in want)
+    tie = cases.docs(spark, [(1, "the dog", "en", "a"), (2, "кошка", "en", "a"), (3, None, "en", "a"), (1, "the dog", "en", "a")])
+    for r in language.predict(tie, profiles).collect():
+        if r["doc_id"] == 3:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            cosines = {k: float(want[k] @ unit(gram_sum({1: "the dog", 2: "кошка"}[r["doc_id"]]))) for k in want}
+            assert r["lang_pred"] == max(cosines, key=cosines.get) and abs(r["score"] - max(0, max(cosines.values()))) < 1e-4
+    same = {"aa": profiles["en"], "bb": profiles["en"]}
+    assert {r["lang_pred"] for r in language.predict(tie, same).collect()} == {"aa", "und"}
+    assert language.predict(cases.docs(spark, []), profiles).count() == 0
 
 
 def test_quality(spark, sf_dir):
@@ -95,7 +140,7 @@ def test_quality(spark, sf_dir):
     model = quality.train(read_table(spark, sf_dir, "documents"), labels)
     df = cases.docs(spark)
     got = {r["doc_id"]: r["score"] for r in quality.score(df, model).collect()}
-    assert len(got) == len({r[0] for r in cases.texts()}) and all(0 <= s <= 1 for s in got.values()) and got[5] == got[6]
+    assert quality.score(df, model).count() == len(cases.texts()) and len(got) == len({r[0] for r in cases.texts()}) and all(0 <= s <= 1 for s in got.values()) and got[5] == got[6]
     assert quality.keep_good(df, labels).columns == df.columns
     assert quality.score(cases.docs(spark, []), model).count() == 0
     assert len({r["score"] for r in quality.score(df, quality.train(df, labels.limit(0))).collect()}) == 1
@@ -118,6 +163,31 @@ def test_quality_reads_whole_texts_in_pieces_alike():
         assert abs(1 / (1 + np.exp(-(features @ model["out"]))) - p) < 1e-4
 
 
+def test_quality_learns_from_whole_texts_within_its_bounds(spark):
+    texts = {1: "a" * 2000, 2: "b" * 100, 3: "", 4: None, 6: "c" * 9000, 7: "d" * 448, 8: "e" * 513}
+    df = cases.docs(spark, [(i, t, "en", "a") for i, t in texts.items()] + [(1, "a" * 2000, "en", "a")])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in [*texts, 99]] + [(1, 0, 0), (2, None, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    chunks, row, y = quality.sample(df, labels)
+    assert y.tolist() == [0, 0, 1, 0, 0, 1, 0] and np.bincount(row).tolist() == [5, 1, 1, 1, 20, 1, 2]  # in order of the ids
+    assert chunks[row == 4].max() == ord("c") and (chunks[row == 0] == ord("a")).sum() == 2000 + 4 * 64
+    assert sum(len(quality.sample(df, labels, most_bytes=n)[2]) for n in (0, 100)) == 2 + 3 and len(quality.sample(df, labels, most_rows=3)[2]) == 3
+
+
+def test_quality_gradients_against_differences():
+    rng = np.random.default_rng(5)
+    chunks, row, y = rng.integers(97, 105, (6, 512)).astype(np.uint8), np.array([0, 0, 1, 2, 2, 2]), np.array([0, 1, 0], np.float32)
+
+    def loss(model):
+        peaks, _ = quality._peaks(model, chunks)
+        pooled = np.maximum(peaks + model["bias"], 0)
+        features = np.stack([np.concatenate([pooled[row == k].mean(axis=0), pooled[row == k].max(axis=0)]) for k in range(3)])
+        p = 1 / (1 + np.exp(-(features @ model["out"] + model["out_bias"])))
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    model = quality.start()
+    assert loss(quality.fit(chunks, row, y, steps=30, batch=3)) < loss(model) / 2
+
+
 def test_tools(spark):
     calls = [(1, "a", 1, "f", '{"q": "x", "n": 1}'), (1, "a", 1, "f", '{"q": "x", "n": 1}'), (1, "b", 2, "f", '{"after": ["a", "zz"], "n": "1", "z": 0}'), (1, "c", 3, "g", "{}"), (1, "d", 4, "f", "oops"), (1, "e", 5, "f", '{"q": "", "after": ["h"]}'), (1, "h", 6, "f", '{"q": "", "after": ["e"]}'), (1, "i", 7, "f", '{"q":"", "after": ["h", "b"]}'), (None, "a", 1, "f", "{}"), (2, "a", 1, None, None), (1, "k", 8, "f", '{"after": ["b"], "q": "é\\n"}')]
     results = [(1, "a", 2, "ok"), (1, "a", 3, "again"), (1, "nope", 4, "lost"), (1, "b", 4, None)]
@@ -167,6 +237,40 @@ def test_boundary_rules():
         tok.attribute(starts, ends, cuts, "none")
 
 
+def test_tokens_of_long_runs(spark):
+    """Runs that the encoder alone can't take, against a split by hand."""
+    import regex
+
+    with open(tok.VOCABULARY, "rb") as f:
+        encode, lengths = tok._encoder(f.read())
+    piece = regex.compile(tok.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+    for text in ("a " + " " * 120_000 + "b\u3000" + "\n" * 70_000, "\t" * 60_000 + "x's  y", " " * 60_000, "x" + " " * 60_001 + "\n'll"):
+        want = [t for p in piece.findall(text) for t in (encode(p) if len(p) < 1000 or not p.isspace() else tok._encoders[next(iter(tok._encoders))][0](p))]
+        assert encode(text) == want and int(lengths[np.array(encode(text))].sum()) == len(text.encode())
+    rows = [(i, c * 2_000_000, None, None) for i, c in enumerate((" ", "a", "!", "7"))]
+    got = tok.token_counts(cases.docs(spark, rows)).collect()
+    assert {(r["doc_id"], r["section"], r["end_char"]) for r in got} == {(i, 0, 2_000_000) for i in range(4)} and all(r["n_tokens"] > 0 for r in got)
+
+
+def test_tokens_by_the_largest_part(spark):
+    text = "a\n\n\nbc def\n\n \nx"
+    start, largest = ({r["section"]: r["n_tokens"] for r in tok.token_counts(cases.docs(spark, [(1, text, "en", "a")]), rule=rule).collect()} for rule in ("start", "largest"))
+    assert sum(start.values()) == sum(largest.values()) and set(start) == set(largest)
+
+
+def test_mixing_keeps_ids_and_splits_equal_rows(spark):
+    rows = [(None, "a b c d e", "en", "s")] * 5 + [(2**60 + i, "a b c " * (i % 7 + 1), "en", "s") for i in range(1, 500, 2)] + [(7, "w " * 10, "en", "t")] * 10_000 + [(1, None, "en", None), (2, "", "en", "u")]
+    df = cases.docs(spark, rows)
+    got = mixing.mix(df).collect()
+    size = lambda t: len((t or "").split())
+    key = lambda x: tuple(map(str, x))
+    assert sorted(((r["doc_id"], r["size"], r["source"]) for r in got), key=key) == sorted(((i, size(t), s) for i, t, _, s in rows), key=key)
+    for s in ("s", "t"):
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 and sum(r["part"] > 0 for r in own) <= 1
+    assert {r["copies"] for r in got if r["source"] == "t"} <= {0, 1, 2} and sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+
+
 @pytest.mark.parametrize("which", ["cases", "sf"])
 def test_mixing(spark, sf_dir, which):
     df = cases.docs(spark) if which == "cases" else read_table(spark, sf_dir, "documents")
@@ -216,4 +320,11 @@ def test_rules(spark):
     page = "\n".join(["Home | About | Contact", cases.prose(1, 30) + ".", "All rights reserved by us.", cases.prose(1, 30) + ".", "", "buy!! now!! it$$ is## free!!"])
     r = rules.rules(cases.docs(spark, [(1, page, "en", "a")])).first()
     assert (r["n_lines"], r["n_failed_lines"], r["n_dup_lines"]) == (5, 3, 1) and r["clean_text"] == "\n".join([cases.prose(1, 30) + "."] * 2 + [""])
+    fewer = {r["doc_id"]: r["n_repeat_words"] for r in rules.rules(cases.docs(spark), hash_bits=3).collect()}  # nearly all hashes collide
+    assert fewer == {d: r["n_repeat_words"] for d, r in rows.items()}
+    long = "w1 w2 w3 " * 20_000 + cases.prose(5, 30_000)
+    r = rules.rules(cases.docs(spark, [(1, long, "en", "a")])).first()
+    assert (r["n_words"], r["n_repeat_words"], r["base_failed"]) == (90_000, 60_000, True)
+    r = rules.rules(cases.docs(spark, [(1, "https://a.b/c http://d.e\n© by us\nplain words here", "en", "a")])).first()
+    assert r["n_failed_lines"] == 2 and r["clean_text"] == "plain words here"
     assert rules.rules(cases.docs(spark, [])).count() == 0 and rules.rules(cases.docs(spark).where(F.lit(False))).count() == 0

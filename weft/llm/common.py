@@ -124,6 +124,20 @@ def runs(mask: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)
 
 
+def join_labels(rows: DataFrame, labels: DataFrame, on: list[str]) -> DataFrame:
+    """rows left-joined with labels(*on, n, ...), one per key, n the number of rows that have it; n is left out.
+
+    Labels of keys that more than a ten-thousandth of all rows share, so of fewer than 10,000 keys, are broadcast; the
+    other keys meet by shuffle, where none is hot. Columns of `on` must not be null where they are to match.
+    """
+    total = labels.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > 1_000 + total // 10_000
+    extra = [c for c in labels.columns if c not in (*on, "n")]
+    found = rows.join(F.broadcast(labels.where(hot).select(*on, *extra, F.lit(True).alias("_hot"))), on, "left")
+    rest = found.where(F.col("_hot").isNull()).select(*rows.columns).join(labels.where(~hot).select(*on, *extra), on, "left")
+    return found.where(F.col("_hot")).select(*rows.columns, *extra).union(rest.select(*rows.columns, *extra))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b: of one type that can be ordered): one row (node, root) per node that has a link, root its component's smallest.
 

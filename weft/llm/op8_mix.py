@@ -14,10 +14,11 @@ import random
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, running, slices, write_shared
+from .repeats import row_id
 
 BLOCK_ROWS = 2_000
 FAN_IN = 1_000
@@ -27,22 +28,22 @@ _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, source, size): words of each text, null 0; counted over whole batches at once."""
+    """(doc_id, rid, source, size): words of each text, null 0; counted over whole batches at once. rid: row_id() of the text."""
     import pyarrow as pa
 
     def rows(batches):
         for b in slices(batches):
-            texts = [t or b"" for t in b.column(2).to_pylist()]
+            texts = [t or b"" for t in b.column(3).to_pylist()]
             data = np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)
             space = _SPACE[data]
             ends = np.zeros(len(data) + 1, np.int64)
             np.cumsum(space[1:] & ~space[:-1], out=ends[2 : len(data) + 1])
             edge = np.cumsum([len(t) + 1 for t in texts])
             sizes = np.diff(ends[np.concatenate(([0], edge))]) if texts else edge
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sizes, pa.int64())], ["doc_id", "rid", "source", "size"])
 
-    columns = (F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("binary").alias("text"))
-    return docs.select(*columns).mapInArrow(rows, "doc_id bigint, source string, size bigint")
+    columns = (F.col(id_col).cast("bigint").alias("doc_id"), row_id(F.col(text_col)).alias("rid"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("binary").alias("text"))
+    return docs.select(*columns).mapInArrow(rows, "doc_id bigint, rid bigint, source string, size bigint")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
@@ -95,7 +96,7 @@ def _round(df: DataFrame) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        table = table.take(pc.sort_indices(table, sort_keys=[("size", "descending"), ("doc_id", "ascending")], null_placement="at_end"))
+        table = table.take(pc.sort_indices(table, sort_keys=[("size", "descending"), ("doc_id", "ascending"), ("rid", "ascending")], null_placement="at_end"))
         x = settle(table["size"].to_pylist(), table["x"].to_pylist(), "|".join(str(k.as_py()) for k in keys))
         return table.set_column(table.schema.get_field_index("x"), "x", pa.array(x, pa.float64()))
 
@@ -106,24 +107,22 @@ def _rows(entries: DataFrame, chunk: int = 1_000) -> DataFrame:
     """n rows for each entry, numbered by i. An entry of very many rows is made in parts, by many tasks."""
     parts = F.floor((F.col("n") - 1) / chunk).cast("int")
     few = entries.where(F.col("n") <= chunk).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    many = entries.where(F.col("n") > chunk).withColumn("c", F.explode(F.sequence(F.lit(0), parts))).repartition("doc_id", "size", "c")
+    many = entries.where(F.col("n") > chunk).withColumn("c", F.explode(F.sequence(F.lit(0), parts))).repartition("doc_id", "rid", "c")
     begin = F.col("c").cast("bigint") * chunk
     return few.unionByName(many.withColumn("i", F.explode(F.sequence(begin, F.least(begin + chunk, F.col("n")) - 1))).drop("c"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, part, taken) of every row: `copies` whole copies and the first `part` words.
+def entries(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(doc_id, rid, source, size, n, source_size, target, whole, up, x): one row for each distinct row of docs, which stands n times.
 
-    A null source is a source, the last; null and wordless texts have size 0 and are never copied; a null id is no
-    matter. Rows of one id, size and source are alike: their fractions add up, so that all but one of them are whole, and
-    only that one is rounded; each counts for itself. No rows: no rows. Other columns are not looked at. Reruns draw
-    alike, for draws depend on sizes, ids and sources only.
+    Each of the n is copied `whole` times, the first `up` of them once more, and the next to the share x: 1 or 0, but for
+    the one open row of a source.
     """
-    sizes = write_shared(word_counts(docs, id_col, source_col, text_col).groupBy("source", "doc_id", "size").agg(F.count("*").alias("n")), "sizes")
+    sizes = write_shared(word_counts(docs, id_col, source_col, text_col).groupBy("source", "doc_id", "rid", "size").agg(F.count("*").alias("n")), "sizes")
     goals = write_shared(targets(sizes, weights), "goals")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_COPIES)))).otherwise(0.0)
     blocks = F.ceil(F.col("entries") / BLOCK_ROWS).cast("bigint")
-    rows = sizes.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("doc_id", "d.source", "size", "n", "source_size", "target", "nth", F.pmod(F.xxhash64("doc_id", "size"), blocks).alias("block"), rate.alias("rate"))
+    rows = sizes.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("doc_id", "rid", "d.source", "size", "n", "source_size", "target", "nth", F.pmod(F.xxhash64("doc_id", "rid"), blocks).alias("block"), rate.alias("rate"))
     rows = rows.withColumn("whole", F.floor(F.col("rate") + 1e-9))
     rows = rows.withColumn("x", F.when(F.col("size") > 0, F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))).otherwise(0.0) * F.col("n")).drop("rate")
     rows = rows.withColumn("up", F.floor(F.col("x") + 1e-9)).withColumn("x", F.greatest(F.col("x") - F.col("up"), F.lit(0.0))).withColumn("level", F.lit(0))
@@ -138,11 +137,43 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     out = done
     for df in results:
         out = out.unionByName(df)
-    out = _rows(out)
-    has_words, own = F.col("size") > 0, is_open & (F.col("i") == F.col("up"))
-    out = out.withColumn("copies", F.when(has_words, F.col("whole") + F.when(F.col("i") < F.col("up") + F.floor("x"), 1).otherwise(0)).otherwise(0).cast("bigint"))
-    out = out.withColumn("part", F.when(has_words & own, F.round(F.col("x") * F.col("size"))).otherwise(0).cast("bigint"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "part", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"))
+    return out.drop("nth", "block", "level")
+
+
+def _taken(df: DataFrame) -> DataFrame:
+    """Adds copies, part and taken to entries of which i numbers the equal rows from 0."""
+    has_words, own = F.col("size") > 0, (F.col("x") > 0) & (F.col("x") < 1) & (F.col("i") == F.col("up"))
+    df = df.withColumn("copies", F.when(has_words, F.col("whole") + F.when(F.col("i") < F.col("up") + F.floor("x"), 1).otherwise(0)).otherwise(0).cast("bigint"))
+    df = df.withColumn("part", F.when(has_words & own, F.round(F.col("x") * F.col("size"))).otherwise(0).cast("bigint"))
+    return df.withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, part, taken) of every row: `copies` whole copies and the first `part` words.
+
+    A null source is a source, the last; null and wordless texts have size 0 and are never copied; a null id is no
+    matter. Equal rows (id, source, text) are alike: their fractions add up, so that all but one of them are whole, and
+    only that one is rounded; each counts for itself. No rows: no rows. Other columns are not looked at. Reruns draw
+    alike, for draws depend on ids, sources and texts only.
+    """
+    rows = _taken(_rows(entries(docs, id_col, source_col, text_col, weights)))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", "part", "taken")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs with what the mix takes of each row: size, source_size, target, copies, part, taken and part_text, the first `part` words (null if none).
+
+    Every row stays; columns of docs with one of these names are replaced.
+    """
+    named = lambda df, doc_id, rid: df.withColumns({"_no_id": doc_id.isNull(), "_id": F.coalesce(doc_id.cast("bigint"), F.lit(0).cast("bigint")), "_rid": rid, "_source": F.struct(F.col("source"))})
+    key = ["_no_id", "_id", "_rid", "_source"]
+    new = ["size", "source_size", "target", "copies", "part", "taken", "part_text"]
+    kept = [c for c in docs.columns if c not in new]
+    found = named(entries(docs), F.col("doc_id"), F.col("rid")).select(*key, "size", "source_size", "target", "whole", "up", "x")
+    rows = named(docs.select(*kept), F.col("doc_id"), row_id(F.col("text"))).join(found, key)
+    rows = _taken(rows.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("_rid")) - 1))
+    words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    return rows.withColumn("part_text", F.when(F.col("part") > 0, F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), " "))).select(*kept, *new)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
