@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import covered, read_table, runs, slices
-from .repeats import Windows, base_table, candidate_windows, first_places, packed, repeated_by_document, segments, shards, unpack, with_row_ids
+from .repeats import Windows, base_table, candidate_windows, first_places, own_row, packed, repeated_by_document, segments, shards, unpack, with_row_ids
 
 LENGTH = 100
 GRAM = 32
@@ -94,8 +94,8 @@ def sorted_windows(text: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np
 
 
 def decide(block) -> tuple[np.ndarray, ...]:
-    """doc_id, rid, from, to: the windows of a block's segments that stand nowhere earlier."""
-    off, doc_ids, rids, starts = (block[c].to_numpy() for c in ("off", "doc_id", "rid", "start"))
+    """doc_id, own, from, to: the windows of a block's segments that stand nowhere earlier."""
+    off, doc_ids, owns, starts = (block[c].to_numpy() for c in ("off", "doc_id", "own", "start"))
     segs = block["seg"].combine_chunks()
     bounds = np.frombuffer(segs.buffers()[1], np.int32)[segs.offset : segs.offset + len(segs) + 1].astype(np.int64)
     sizes = np.diff(bounds)
@@ -110,9 +110,9 @@ def decide(block) -> tuple[np.ndarray, ...]:
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     order, new = sorted_windows(text, begin[which] + offset)
     # the earliest of each group of equal windows: places as one number in the order of (document, row, start)
-    by_row = np.lexsort((rids, doc_ids))
+    by_row = np.lexsort((owns, doc_ids))
     row = np.empty(len(segs), np.int64)
-    row[by_row] = np.cumsum(np.concatenate(([0], (np.diff(doc_ids[by_row]) != 0) | (np.diff(rids[by_row]) != 0))))
+    row[by_row] = np.cumsum(np.concatenate(([0], (np.diff(doc_ids[by_row]) != 0) | (np.diff(owns[by_row]) != 0))))
     place = (row[which] << 36) + starts[which] + offset
     ordered = place[order]
     heads = np.flatnonzero(new)
@@ -123,7 +123,7 @@ def decide(block) -> tuple[np.ndarray, ...]:
     began = kept & (edge | ~np.concatenate(([False], kept[:-1])))
     ended = kept & (np.concatenate((edge[1:], [True])) | ~np.concatenate((kept[1:], [False])))
     first, at = which[began], starts[which] + offset
-    return doc_ids[first], rids[first], at[began], at[ended] + 1
+    return doc_ids[first], owns[first], at[began], at[ended] + 1
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> tuple[DataFrame, DataFrame]:
@@ -159,7 +159,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "rid", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = moved.join(repeated, "doc_id").join(firsts, ["doc_id", "rid"], "left").select("doc_id", "rid", "text", "reps", "ranks", "s", "e")
+    joined = moved.join(repeated, "doc_id").withColumn("own", own_row()).join(firsts, ["doc_id", "own"], "left").select("doc_id", "rid", "text", "reps", "ranks", "s", "e")
     removed = joined.mapInArrow(rows, "doc_id bigint, rid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return base.select("doc_id", "rid", "n", "sha"), removed
 

@@ -27,6 +27,7 @@ THRESHOLD = 2
 HASH_SEED = 42
 COPY_SHINGLE, COPY_TENTHS = 5, 8  # near copies: words of a shingle, least similarity in tenths
 COPY_TABLES, COPY_THRESHOLD = 8, 1  # fingerprints of 46 bits, bits in which two of them may differ
+COPY_BITS = 6  # bits of a fingerprint in which texts may differ on average over all of them
 _BITS, _RADIUS = 23, 3
 _GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 _code: tuple | None = None
@@ -216,15 +217,16 @@ def _alike(pairs: DataFrame, held: DataFrame, shingle: int, tenths: int, chunk:
     return first.union(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(rows, "a binary, b binary")
 
 
-def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, tenths: int = COPY_TENTHS, tables: int = COPY_TABLES, threshold: int = COPY_THRESHOLD) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, tenths: int = COPY_TENTHS, tables: int = COPY_TABLES, threshold: int = COPY_THRESHOLD, bits: int = COPY_BITS) -> DataFrame:
     """(no_id, doc_id, rid, members): one row for each class of near copies, the class's first row (by id, then by row_id() of the text).
 
     Texts of the same words (A-Z lower-cased) are one. Each has `tables` fingerprints; texts of one fingerprint make a
     cell. The text of the least key leads its cell; it is compared with the cell's others and, where two cells'
-    fingerprints differ in `threshold` bits or fewer, with the other's leader. Compared texts with a similarity of
-    tenths / 10 or more are linked, and what is linked, over any steps, is one class. Pairs whose fingerprints are apart
-    in all tables, or that no leader stands for, are not found; the README gives the measured share. So a large
-    group costs a comparison for each member and table, never all pairs.
+    fingerprints differ in `threshold` bits or fewer, with the other's leader. Of these pairs those go on whose
+    fingerprints differ in `bits` bits on average or fewer, and whose numbers of distinct shingles allow the similarity:
+    their texts are compared. Those with a similarity of tenths / 10 or more are linked, and what is linked, over any
+    steps, is one class. Pairs whose fingerprints are apart, or that no leader stands for, are not found; the README
+    gives the measured share. So a large group costs a comparison for each member and table, never all pairs.
 
     Texts without words are copies of each other. Rows with a null id (no_id) come after all others and are only grouped
     with texts of the same words. Rows repeated under one id are told by their texts. No rows: no rows.
@@ -237,16 +239,17 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, tenths: int = COPY
 
     def read(batches):
         for b in slices(batches):
-            keys, fps = [], []
+            keys, fps, sizes = [], [], []
             for t in b.column(2).to_pylist():
                 words = t.lower().split() if t else []
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 fps.append(word_fingerprints(words, tables))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "rid", "key", "fps"])
+                sizes.append(len(shingle_set(t, shingle)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "rid", "key", "fps", "size"])
 
-    base = rows.mapInArrow(read, "doc_id bigint, rid bigint, key binary, fps array<bigint>")
+    base = rows.mapInArrow(read, "doc_id bigint, rid bigint, key binary, fps array<bigint>, size bigint")
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
-    nodes = write_shared(base.groupBy("key").agg(F.min(at).alias("at"), F.count("*").alias("members"), F.first("fps").alias("fps")), "nodes")
+    nodes = write_shared(base.groupBy("key").agg(F.min(at).alias("at"), F.count("*").alias("members"), F.first("fps").alias("fps"), F.first("size").alias("size")), "nodes")
     cells = nodes.where("not at.no_id").select("key", F.posexplode("fps").alias("t", "fp"))
     groups = write_shared(cells.groupBy("t", "fp").agg(F.min("key").alias("leader"), F.count("*").alias("n")), "cells")
     inside = join_labels(cells, groups.where("n > 1"), ["t", "fp"]).where("leader < key").select(F.col("leader").alias("a"), F.col("key").alias("b"))
@@ -254,7 +257,12 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, tenths: int = COPY
     for end in ("a", "b"):
         close = close.join(groups.select("t", F.col("fp").alias(end), F.col("leader").alias(f"lead_{end}")), ["t", end])
     across = close.where("lead_a <> lead_b").select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b"))
-    pairs = write_shared(inside.union(across).distinct(), "pairs")
+    pairs = inside.union(across).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("key").alias(end), F.col("fps").alias(f"fps_{end}"), F.col("size").alias(f"size_{end}")), end)
+    apart = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    fits = 10 * F.least("size_a", "size_b") >= tenths * F.greatest("size_a", "size_b")
+    pairs = write_shared(pairs.where(fits & (apart <= bits * tables)).select("a", "b"), "pairs")
     wanted = nodes.join(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "key", "left_semi").select("key", "at.doc_id", "at.rid")
     held = write_shared(packed(rows).join(wanted, ["doc_id", "rid"]).select("key", "text").dropDuplicates(["key"]), "held")
     roots = components(_alike(pairs, held, shingle, tenths))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import covered, gram_hashes, read_table, runs, slices, WordHashes, write_shared
-from .repeats import Windows, base_table, candidate_windows, first_places, packed, repeated_by_document, row_id, segments, shards, unpack, with_row_ids
+from .repeats import Windows, base_table, candidate_windows, first_places, own_row, packed, repeated_by_document, row_id, segments, shards, unpack, with_row_ids
 
 LENGTH = 50
 SHARD_BYTES = 150_000  # of text under one automaton, about
@@ -107,26 +107,26 @@ class SuffixAutomaton:
 
 
 def decide(shard, length: int) -> tuple[list, list, list, list]:
-    """doc_id, rid, from, to: the windows of a shard's passages of which their document is the first."""
+    """doc_id, own, from, to: the windows of a shard's passages of which their document is the first."""
     words = [seg.split() for seg in shard["seg"].to_pylist()]
-    doc_ids, rids, starts = (shard[c].to_pylist() for c in ("doc_id", "rid", "start"))
+    doc_ids, owns, starts = (shard[c].to_pylist() for c in ("doc_id", "own", "start"))
     automaton = SuffixAutomaton()
     for tokens, doc_id in zip(words, doc_ids, strict=True):
         automaton.add(tokens, doc_id)
     automaton.finish()
     out = ([], [], [], [])
-    for tokens, doc_id, rid, start in zip(words, doc_ids, rids, starts, strict=True):
+    for tokens, doc_id, own, start in zip(words, doc_ids, owns, starts, strict=True):
         begin = None
         for i, label in automaton.first_labels(tokens, length):
             if (label == doc_id) == (begin is None):  # a range begins or ends
                 if begin is None:
                     begin = i
                 else:
-                    for x, v in zip(out, (doc_id, rid, start + begin, start + i), strict=True):
+                    for x, v in zip(out, (doc_id, own, start + begin, start + i), strict=True):
                         x.append(v)
                     begin = None
         if begin is not None:
-            for x, v in zip(out, (doc_id, rid, start + begin, start + len(tokens) - length + 1), strict=True):
+            for x, v in zip(out, (doc_id, own, start + begin, start + len(tokens) - length + 1), strict=True):
                 x.append(v)
     return out
 
@@ -191,7 +191,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "rid", "n_removed", "kept_sha256", "kept_text"])
 
-    joined = moved.join(repeated, "doc_id").join(firsts, ["doc_id", "rid"], "left").select("doc_id", "rid", "text", "reps", "ranks", "s", "e")
+    joined = moved.join(repeated, "doc_id").withColumn("own", own_row()).join(firsts, ["doc_id", "own"], "left").select("doc_id", "rid", "text", "reps", "ranks", "s", "e")
     removed = joined.mapInArrow(rows, "doc_id bigint, rid bigint, n_removed bigint, kept_sha256 string, kept_text binary")
     return base.select("doc_id", "rid", "n", "sha"), removed
 

@@ -89,11 +89,18 @@ def repeated_by_document(base: DataFrame, w: Windows) -> DataFrame:
 
     Ranks 0, 1, 2: rare, common, very common. twin: the id has several rows.
     """
-    pairs = base.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("reps", "times")).alias("r")).select("doc_id", F.col("r.reps").alias("h"), F.col("r.times").alias("times"))
-    counts = pairs.groupBy("h").agg(F.sum("times").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    counts = counts.where("n > 1" if w.within else "low < high").select("h", F.when(F.col("n") > w.very_common, 2).when(F.col("n") > w.common, 1).otherwise(0).alias("rank"))
+    known = base.where("doc_id is not null")
+    pairs = known.select("doc_id", F.explode("reps").alias("h"))  # a row lists each of its representatives once
+    counts = pairs.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    again = known.select(F.explode(F.arrays_zip("reps", "times")).alias("r")).where("r.times > 1").groupBy(F.col("r.reps").alias("h")).agg(F.sum(F.col("r.times") - 1).alias("more"))
+    if w.within:
+        counts = counts.where("n > 1").join(again, "h", "full")
+    else:
+        counts = counts.where("low < high").join(again, "h", "left")
+    n = F.coalesce("n", F.lit(1)) + F.coalesce("more", F.lit(0))
+    counts = counts.select("h", F.when(n > w.very_common, 2).when(n > w.common, 1).otherwise(0).alias("rank"))
     found = pairs.join(counts, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "rank")).alias("r"))
-    twins = base.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id", F.lit(True).alias("twin"))
+    twins = known.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id", F.lit(True).alias("twin"))
     return write_shared(found.join(twins, "doc_id", "left").select("doc_id", F.col("r.h").alias("reps"), F.col("r.rank").alias("ranks"), F.coalesce("twin", F.lit(False)).alias("twin")), "repeated")
 
 
@@ -150,33 +157,33 @@ def unpack(text: bytes) -> bytes:
 
 
 def segments(docs: DataFrame, repeated: DataFrame, w: Windows) -> DataFrame:
-    """(route, seg, off, twin, doc_id, rid, start): candidate windows as the text that they cover, with the first place where a task met that text.
+    """(route, seg, off, own, doc_id, start): candidate windows as the text that they cover, with the first place where a task met that text.
 
-    docs: packed(). off: distance of the anchor from the segment's start. twin: 0, but rid for ids of several rows, so that
-    each of their rows gets its own places. Copies meet in a table of bounded size in the task, before they are shuffled.
+    docs: packed(). off: distance of the anchor from the segment's start. own: see own_row(); by it each row of an id gets
+    its own places. Copies meet in a table of bounded size in the task, before they are shuffled.
     """
     import pyarrow as pa
 
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-    names = ["route", "seg", "off", "twin", "doc_id", "rid", "start"]
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    names = ["route", "seg", "off", "own", "doc_id", "start"]
 
     def batch(met: dict):
-        columns = list(zip(*((*k, *v) for k, v in met.items()), strict=True)) or [[]] * 7
+        columns = list(zip(*((*k, *v) for k, v in met.items()), strict=True)) or [[]] * 6
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
 
     def rows(batches):
-        met: dict[tuple, tuple[int, int, int]] = {}
+        met: dict[tuple, tuple[int, int]] = {}
         for b in slices(batches):
-            for doc_id, rid, text, reps, ranks, twin in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc_id, own, text, reps, ranks in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids, units = w.units(unpack(text))
-                own, last = rid if twin else 0, None
+                last = None
                 for piece in candidate_runs(ids, reps, ranks, w):
                     for rep, rank, s, e, anchor in zip(*(x.tolist() for x in piece), strict=True):
                         last, before = (rep, w.join(units, s, e - 1 + w.length), anchor - s, own), last
                         if last == before:  # within a run of one character, say: these windows stand just before
                             continue
                         parts = routed(ids, s, e, anchor, w.split if rank == 1 else 1, w) if rank else ()
-                        keys = [((route, w.join(units, x, y - 1 + w.length), anchor - x, own), (doc_id, rid, x)) for route, x, y in parts] or [(last, (doc_id, rid, s))]
+                        keys = [((route, w.join(units, x, y - 1 + w.length), anchor - x, own), (doc_id, x)) for route, x, y in parts] or [(last, (doc_id, s))]
                         for key, at in keys:
                             if (was := met.get(key)) is None or at < was:
                                 met[key] = at
@@ -185,25 +192,30 @@ def segments(docs: DataFrame, repeated: DataFrame, w: Windows) -> DataFrame:
                             met.clear()
         yield batch(met)
 
-    joined = docs.join(repeated, "doc_id").select("doc_id", "rid", "text", "reps", "ranks", "twin")
+    joined = docs.join(repeated, "doc_id").select("doc_id", own_row(), "text", "reps", "ranks")
     return joined.mapInArrow(rows, ", ".join(f"{n} {'binary' if n == 'seg' else 'bigint'}" for n in names))
 
 
+def own_row():
+    """0, but the row's rid where its id has several rows."""
+    return F.when(F.col("twin"), F.col("rid")).otherwise(F.lit(0)).alias("own")
+
+
 def shards(found: DataFrame) -> DataFrame:
-    """(route, seg, off, doc_id, rid, start): distinct segments with their first place, dealt by route, each task's rows sorted by route. One shuffle."""
-    first = F.min(F.struct("doc_id", "rid", "start")).alias("at")
-    return found.repartition("route").groupBy("route", "seg", "off", "twin").agg(first).sortWithinPartitions("route").select("route", "seg", "off", "at.*")
+    """(route, seg, off, own, doc_id, start): distinct segments with their first place, dealt by route, each task's rows sorted by route. One shuffle."""
+    first = F.min(F.struct("doc_id", "start")).alias("at")
+    return found.repartition("route").groupBy("route", "seg", "off", "own").agg(first).sortWithinPartitions("route").select("route", "seg", "off", "own", "at.*")
 
 
 def first_places(shard_rows: DataFrame, decide: Callable, most: int) -> DataFrame:
-    """(doc_id, rid, s array, e array): for each row the ranges of candidate windows that `decide` finds to stand nowhere before.
+    """(doc_id, own, s array, e array): for each row the ranges of candidate windows that `decide` finds to stand nowhere before.
 
-    decide: Arrow table (route, seg, off, doc_id, rid, start) -> four arrays doc_id, rid, from, to. It is given whole
+    decide: Arrow table (route, seg, off, own, doc_id, start) -> four arrays doc_id, own, from, to. It is given whole
     routes, as many at a time as hold about `most` bytes together.
     """
     import pyarrow as pa
 
-    names = ["doc_id", "rid", "s", "e"]
+    names = ["doc_id", "own", "s", "e"]
 
     def rows(batches):
         def decided(table):
@@ -225,5 +237,5 @@ def first_places(shard_rows: DataFrame, decide: Callable, most: int) -> DataFram
         if held:
             yield decided(pa.Table.from_batches(held).combine_chunks())
 
-    places = shard_rows.mapInArrow(rows, "doc_id bigint, rid bigint, s bigint, e bigint")
-    return places.groupBy("doc_id", "rid").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
+    places = shard_rows.mapInArrow(rows, "doc_id bigint, own bigint, s bigint, e bigint")
+    return places.groupBy("doc_id", "own").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
