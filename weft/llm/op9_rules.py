@@ -92,7 +92,8 @@ def repeated_words(words: Column, n_words: Column, hash_bits: int = 64) -> Colum
 
         def repeat(x: Column, i: Column) -> Column:  # -1: equal hashes of different words
             before, after = same(i, i - 1), same(i, i + 1)
-            return F.when(before & differ(i, i - 1) | after & differ(i, i + 1), F.lit(-1)).when(before | after, place(x))
+            clash = before & differ(i, i - 1) | after & differ(i, i + 1)
+            return F.when(before | after, F.when(clash, F.lit(-1)).otherwise(place(x)))
 
         return F.array_sort(F.array_compact(F.transform(s, repeat)))
 
