@@ -68,14 +68,17 @@ def strip_said(c: Column) -> Column:
 
 
 def scrub_boilerplate(c: Column) -> Column:
-    c = reduce(lambda t, pattern: F.regexp_replace(t, f"(?iU){pattern}", ""), lex.BOILERPLATE, strip_said(c))
-    return strip(fix_punct_spacing(clean_whitespace(c)))
+    """Phrases go in order, then white space is cleaned. Texts in which none stands (one pattern tells) skip the chain: removal starts with a phrase."""
+    chain = reduce(lambda t, pattern: F.regexp_replace(t, f"(?iU){pattern}", ""), lex.BOILERPLATE, strip_said(c))
+    some = F.rlike(c, F.lit(f"(?iU){'|'.join(lex.BOILERPLATE)}"))
+    return strip(fix_punct_spacing(clean_whitespace(F.when(some, chain).otherwise(c))))
 
 
 def choose_cleaned(original: Column, external: Column) -> Column:
     """The external text, else the scrubbed one, else the original; blank originals pass."""
-    def full(x: Column) -> Column:
-        return F.nullif(clean_whitespace(x), F.lit(""))
+    def full(x: Column) -> Column:  # scrubbed once: an array of one is filtered
+        kept = F.filter(F.array(clean_whitespace(x)), lambda y: y != "")
+        return F.get(kept, F.lit(0))
 
     return F.when(strip(original) == "", original).otherwise(F.coalesce(full(external), full(scrub_boilerplate(original)), original))
 

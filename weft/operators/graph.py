@@ -1,37 +1,61 @@
-"""Graph operators over edges(src, dst, rel, weight, pos). Loops write each round to the shared folder."""
+"""Graph operators over edges(src, dst, rel, weight, pos). Loops write each round to the shared folder and drop the one before.
+
+Where edges have a doc_id, each document is a graph of its own; the iterative operators then take names made by named() and
+give them back by unnamed(). Edges with a null end are left out; repeated edges count once but in degrees and weights.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_written
+
+
+_SEPARATOR = "\u0001"
+
+
+def _by(df: DataFrame) -> list[str]:
+    return ["doc_id"] if "doc_id" in df.columns else []
+
+
+def named(df: DataFrame, *columns: str) -> DataFrame:
+    """Without doc_id, but with the document in the names of the columns, so that all documents' graphs are worked on at once."""
+    out = df.withColumns({c: F.concat_ws(_SEPARATOR, F.col("doc_id").cast("string"), F.col(c)) for c in columns})
+    return out.drop("doc_id")
+
+
+def unnamed(df: DataFrame, *columns: str) -> DataFrame:
+    """The document as doc_id (bigint) and the plain names again."""
+    doc_id = F.substring_index(columns[0], _SEPARATOR, 1).cast("bigint").alias("doc_id")
+    return df.select(doc_id, *(F.substring_index(c, _SEPARATOR, -1).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
 def simple_digraph(triples: DataFrame) -> DataFrame:
-    """One edge for each ordered pair; the last relation by pos stands."""
-    return triples.groupBy("src", "dst").agg(F.max_by("rel", "pos").alias("rel"))
+    """One edge for each ordered pair (of a document); the last relation by pos stands, of several at one place the greatest."""
+    return triples.groupBy(*_by(triples), "src", "dst").agg(F.max(F.struct("pos", "rel"))["rel"].alias("rel"))
 
 
 def strongest_edges(edges: DataFrame) -> DataFrame:
-    """Without self-loops, the heaviest edge of each pair; ties go to the first."""
-    best = F.max_by(F.struct("rel", "weight", "pos"), F.struct("weight", -F.col("pos")))
-    return edges.where("src <> dst").groupBy("src", "dst").agg(best.alias("e")).select("src", "dst", "e.rel", "e.weight", "e.pos")
+    """Without self-loops, the heaviest edge of each pair (of a document); ties go to the first by pos, then to the least relation."""
+    best = F.min(F.struct((-F.col("weight")).alias("w"), "pos", "rel")).alias("e")
+    return edges.where("src <> dst").groupBy(*_by(edges), "src", "dst").agg(best).select(*_by(edges), "src", "dst", "e.rel", (-F.col("e.w")).alias("weight"), "e.pos")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, degree, in_degree, out_degree); a self-loop counts twice."""
-    ends = edges.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(edges.select("dst", F.lit(1), F.lit(0)))
-    by = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    """(id, degree, in_degree, out_degree), by document if edges have a doc_id; a self-loop counts twice."""
+    key = [*_by(edges), "id"]
+    ends = edges.select(*_by(edges), F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(edges.select(*_by(edges), "dst", F.lit(1), F.lit(0)))
+    by = ends.groupBy(*key).agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
     zero = F.lit(0).cast("bigint")
-    full = nodes.select("id").distinct().join(by, "id", "left").select("id", F.coalesce("in_degree", zero).alias("in_degree"), F.coalesce("out_degree", zero).alias("out_degree"))
-    return full.select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree"), "in_degree", "out_degree")
+    full = nodes.select(*key).distinct().join(by, key, "left").select(*key, F.coalesce("in_degree", zero).alias("in_degree"), F.coalesce("out_degree", zero).alias("out_degree"))
+    return full.select(*key, (F.col("in_degree") + F.col("out_degree")).alias("degree"), "in_degree", "out_degree")
 
 
 def root_by_degree(deg: DataFrame) -> DataFrame:
-    """The node of the highest (in-degree, degree); ties go to the first name. A grouped maximum, not a sort."""
+    """The node of the highest (in-degree, degree), of each document if there is a doc_id; ties go to the first name. A grouped minimum, not a sort."""
     best = F.min(F.struct((-F.col("in_degree")).alias("i"), (-F.col("degree")).alias("d"), "id"))
-    return deg.agg(best.alias("b")).select("b.id").where("id is not null")
+    return deg.groupBy(*_by(deg)).agg(best.alias("b")).select(*_by(deg), "b.id").where("id is not null")
 
 
 def boost_part_of(edges: DataFrame, boost: float = 5.0) -> DataFrame:
@@ -44,7 +68,7 @@ def best_parent_tree(edges: DataFrame) -> DataFrame:
     Where chosen edges form a cycle, its lightest edge is dropped and its node takes its next best edge; exact on
     acyclic choices, simpler than contraction on cycles.
     """
-    left = edges.where("src <> dst").select("src", "dst", "rel", "weight").distinct()
+    left = cut_lineage(edges.where("src <> dst").select("src", "dst", "rel", "weight").distinct(), "left")
     while True:
         rank = F.row_number().over(Window.partitionBy("dst").orderBy(F.col("weight").desc(), "src", "rel"))
         tree = cut_lineage(left.withColumn("k", rank).where("k = 1").drop("k"), "tree")
@@ -52,7 +76,7 @@ def best_parent_tree(edges: DataFrame) -> DataFrame:
         if cycle.isEmpty():
             return tree
         lightest = cycle.withColumn("k", F.row_number().over(Window.partitionBy("cycle").orderBy("weight", "src", "dst"))).where("k = 1")
-        left = cut_lineage(left.join(lightest.select("src", "dst", "rel"), ["src", "dst", "rel"], "left_anti"), "left")
+        left = cut_lineage(left.join(lightest.select("src", "dst", "rel"), ["src", "dst", "rel"], "left_anti"), "left", replaces=left)
 
 
 def _on_cycles(tree: DataFrame) -> DataFrame:
@@ -61,7 +85,7 @@ def _on_cycles(tree: DataFrame) -> DataFrame:
     n, steps = tree.count(), 1
     while steps < n:
         up = jump.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("low").alias("low2"))
-        jump = cut_lineage(jump.join(up, "up").select("node", F.col("up2").alias("up"), F.least("low", "low2").alias("low")), "jump")
+        jump = cut_lineage(jump.join(up, "up").select("node", F.col("up2").alias("up"), F.least("low", "low2").alias("low")), "jump", replaces=jump)
         steps *= 2
         if jump.isEmpty():
             break
@@ -77,6 +101,7 @@ def _on_cycles(tree: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(id): the roots and all that can be reached from them. A round per step away; ends when nothing is new."""
+    edges = cut_lineage(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
     seen = front = cut_lineage(roots.select("id").distinct(), "seen")
     while not front.isEmpty():
         onward = edges.join(front.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
@@ -99,16 +124,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hooked = cut_lineage(hooked, "hooked")
         jump = hooked.select(F.col("id").alias("component"), F.col("component").alias("next"))
         after = cut_lineage(hooked.join(jump, "component").select("id", F.least("component", "next").alias("component"), "was"), "labels")
-        labels = after.drop("was")
+        drop_written(hooked)
+        drop_written(labels)
+        labels, before = after.drop("was"), after
+        labels._written_to = before._written_to
         if after.where("component <> was").isEmpty():
             return labels
 
 
 def largest_component(components: DataFrame) -> DataFrame:
-    """The ids of the component with most nodes; ties go to the least name."""
-    size = components.groupBy("component").agg(F.count("*").alias("n"))
-    best = size.agg(F.min(F.struct((-F.col("n")).alias("n"), "component")).alias("b")).select("b.component")
-    return components.join(F.broadcast(best), "component").select("id", "component")  # one row
+    """The ids of the component with most nodes, of each document if there is a doc_id; ties go to the least name."""
+    by = _by(components)
+    size = components.groupBy(*by, "component").agg(F.count("*").alias("n"))
+    best = size.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("n"), "component")).alias("b")).select(*by, "b.component")
+    return components.join(best, [*by, "component"], "left_semi").select(*by, "id", "component")
 
 
 def maximum_spanning_forest(edges: DataFrame) -> DataFrame:
@@ -117,6 +146,7 @@ def maximum_spanning_forest(edges: DataFrame) -> DataFrame:
     open_edges = cut_lineage(pairs.select("u", "v", "weight", F.col("u").alias("cu"), F.col("v").alias("cv")), "open")
     forest = None
     while not open_edges.isEmpty():
+        was = open_edges
         order = F.struct((-F.col("weight")).alias("w"), "u", "v")
         ends = open_edges.select(F.col("cu").alias("c"), order.alias("o")).union(open_edges.select("cv", order))
         chosen = cut_lineage(ends.groupBy("c").agg(F.min("o").alias("o")).select("o.u", "o.v", (-F.col("o.w")).alias("weight")).distinct(), "chosen")
@@ -124,7 +154,7 @@ def maximum_spanning_forest(edges: DataFrame) -> DataFrame:
         merged = connected_components(open_edges.join(chosen.select("u", "v"), ["u", "v"]).select(F.col("cu").alias("src"), F.col("cv").alias("dst")))
         for end in ("cu", "cv"):
             open_edges = open_edges.join(merged.select(F.col("id").alias(end), F.col("component").alias(f"n{end}")), end, "left").withColumn(end, F.coalesce(f"n{end}", end)).drop(f"n{end}")
-        open_edges = cut_lineage(open_edges.where("cu <> cv").select("u", "v", "weight", "cu", "cv"), "open")
+        open_edges = cut_lineage(open_edges.where("cu <> cv").select("u", "v", "weight", "cu", "cv"), "open", replaces=was)
     return pairs.limit(0) if forest is None else forest
 
 

@@ -1,4 +1,8 @@
-"""Triples and votes to a knowledge graph; everything is per document and first-seen order is a column."""
+"""Triples and votes to a knowledge graph; everything is per document and first-seen order is a column.
+
+A null in a part of a key or label counts as empty: such rows are skipped where parts must be filled. Repeated rows count
+each. Ties go by the columns that the docstrings name. Empty inputs give empty results of the same schema.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 
 KEY = ("doc_id", "sid", "subject", "object", "surface_pred")
 
@@ -83,9 +88,15 @@ def edges_with_ids(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def filter_predicates(edges: DataFrame, names, colon_prefix: bool = False) -> DataFrame:
-    """Predicates that are listed or start with custom_; with colon_prefix, custom: counts as custom_."""
+    """Predicates that are listed or start with custom_; with colon_prefix, custom: counts as custom_.
+
+    names: a list, the same for all documents, or a table (doc_id, name), each document's own (clean_relations()).
+    """
     if colon_prefix:
         edges = edges.withColumn("predicate", F.regexp_replace("predicate", "^custom:", "custom_"))
+    if isinstance(names, DataFrame):
+        listed = names.select("doc_id", F.col("name").alias("predicate")).distinct().withColumn("_listed", F.lit(True))
+        return edges.join(listed, ["doc_id", "predicate"], "left").where("_listed or startswith(predicate, 'custom_')").select(*edges.columns)
     return edges.where(F.col("predicate").isin(*names) | F.col("predicate").startswith("custom_"))
 
 
@@ -109,9 +120,12 @@ def lineage(links: DataFrame) -> DataFrame:
 
 
 def voted_graph(triples: DataFrame, votes: DataFrame, names) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): votes tallied, majority taken, fallback for documents without votes, nodes numbered before the allow-list."""
+    """(nodes, edges): votes tallied, majority taken, fallback for documents without votes, nodes numbered before the allow-list.
+
+    The voted edges are written once; nodes and edges both read them. names: the allow-list, names or a table with a column `name`.
+    """
     voted = majority_predicate(tally_votes(votes)).drop("first")
     columns = ("doc_id", "pos", "sid", "subject", "object", "surface_pred", "predicate", "confidence")
-    edges = voted.select(*columns).unionByName(fallback_edges(triples, votes).select(*columns))
+    edges = cut_lineage(voted.select(*columns).unionByName(fallback_edges(triples, votes).select(*columns)), "voted")
     nodes = assign_node_ids(edges)
     return nodes, filter_predicates(edges_with_ids(edges, nodes), names)

@@ -16,13 +16,15 @@ def apply_aliases(df: DataFrame, aliases: dict[str, str], column: str = "text")
 def context_asof(updates: DataFrame, sentences: DataFrame) -> DataFrame:
     """(doc_id, pos, path, value): for each sentence the latest value of each path from sentences before it.
 
-    updates: (doc_id, pos, path, value). A value holds from the sentence after its update to that of the next update.
+    updates: (doc_id, pos, path, value); of several at one place the greatest value stands; a null value is one. Sentences
+    are met with the paths of their document that were set before, which makes just the rows of the result, and a window
+    over each path carries the values on. Nulls in doc_id, pos or path match nothing.
     """
-    w = Window.partitionBy("doc_id", "path").orderBy("pos")
-    spans = updates.withColumn("until", F.lead("pos").over(w)).withColumnRenamed("pos", "since").alias("u")
-    s = sentences.select("doc_id", "pos").alias("s")
-    holds = (F.col("s.doc_id") == F.col("u.doc_id")) & (F.col("u.since") < F.col("s.pos")) & (F.col("u.until").isNull() | (F.col("s.pos") <= F.col("u.until")))
-    return s.join(spans, holds).select("s.doc_id", "s.pos", "path", "value")
+    paths = updates.where("pos is not null").groupBy("doc_id", "path").agg(F.min("pos").alias("since")).where("path is not null")
+    asked = sentences.select("doc_id", "pos").join(paths, "doc_id").where("pos > since").select("doc_id", "path", "pos", F.lit(0).alias("set"), F.lit(None).cast(f"struct<value: {updates.schema['value'].dataType.simpleString()}>").alias("v"))
+    given = updates.where("path is not null and pos is not null").select("doc_id", "path", "pos", F.lit(1), F.struct("value"))
+    latest = F.last("v", ignorenulls=True).over(Window.partitionBy("doc_id", "path").orderBy("pos", "set", "v").rowsBetween(Window.unboundedPreceding, 0))
+    return asked.union(given).withColumn("v", latest).where("set = 0").select("doc_id", "pos", "path", "v.value")
 
 
 def merge_context(updates: DataFrame) -> DataFrame:
@@ -47,7 +49,8 @@ def resolve_paired_ends(df: DataFrame, column: str = "text") -> DataFrame:
     """`one end of the X` -> [X.EndA]; a later `the other end` -> [X.EndB] of the latest X of the document."""
     named = F.nullif(F.regexp_extract(column, r"(?i)\bone end of the (\w+)", 1), F.lit(""))
     latest = F.last(named, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("end_of", latest)
+    columns = df.columns
+    df = df.withColumn("_end_of", latest)
     first = F.regexp_replace(column, r"(?i)\bone end of the (\w+)", "[$1.EndA]")
-    other = F.regexp_replace(first, F.lit(r"(?i)\bthe other end\b"), F.concat(F.lit("["), F.col("end_of"), F.lit(".EndB]")))
-    return df.withColumn(column, F.when(F.col("end_of").isNull(), first).otherwise(other))
+    other = F.regexp_replace(first, F.lit(r"(?i)\bthe other end\b"), F.concat(F.lit("["), F.col("_end_of"), F.lit(".EndB]")))
+    return df.withColumn(column, F.when(F.col("_end_of").isNull(), first).otherwise(other)).select(*columns)

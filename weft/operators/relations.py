@@ -1,136 +1,171 @@
-"""Relations and triples by joins over token tables. `np` is a table of subtree texts (tokens.subtree_spans)."""
+"""Relations and triples from sentence rows (tokens.parse): each sentence's array yields its own, without joins or shuffles.
+
+Results have a row for each find; sentences without any have none. Fields of tokens that are null match no rule.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
 from ..functions import text as T
-from .tokens import KEY, NOMINAL, ordered_text
+from .tokens import KEY, NOMINAL, at
 
 SUBJECTS = ("nsubj", "nsubjpass")
 OBJECTS = ("dobj", "obj")
 
 
-def _np(spans: DataFrame, tok: str, name: str) -> DataFrame:
-    return spans.select(*KEY, F.col("tok").alias(tok), T.normalize_np(F.col("text")).alias(name))
+def _kids(t: Column, x: Column, *deps: str) -> Column:
+    """The children of token x with one of the dependencies, in order."""
+    return F.filter(t, lambda k: (k["head"] == x["tok"]) & (k["tok"] != x["tok"]) & k["dep"].isin(*deps))
+
+
+def _first(items: Column) -> Column:
+    return F.get(items, F.lit(0))
+
+
+def _found(parsed: DataFrame, tokens: Callable[[Column], Column], rows: Callable[[Column, Column], Column]) -> DataFrame:
+    """(doc_id, sent, ...): the structs that rows(t, x) gives for the tokens x that satisfy the condition, in one pass over the sentences."""
+    t = F.col("t")
+    return parsed.select(*KEY, F.inline(F.flatten(F.transform(F.filter(t, lambda x: F.coalesce(tokens(x), F.lit(False))), lambda x: rows(t, x)))))
 
 
-def first_child(tokens: DataFrame, deps, name: str, where: str = "true") -> DataFrame:
-    """(doc_id, sent, tok, name): each head's first child with one of the dependencies."""
-    return tokens.where(F.col("dep").isin(*deps) & F.expr(where) & (F.col("head") != F.col("tok"))).groupBy(*KEY, F.col("head").alias("tok")).agg(F.min("tok").alias(name))
+def _edges(parsed: DataFrame, rel: str, tokens: Callable, ends: Callable) -> DataFrame:
+    """(doc_id, sent, tok, src, dst, rel, weight); ends(t, x): source and an array of targets, null or empty for none."""
 
+    def rows(t: Column, x: Column) -> Column:
+        src, targets = ends(t, x)
+        return F.transform(targets, lambda d: F.struct(x["tok"].alias("tok"), src.alias("src"), d.alias("dst")))
 
-def _edges(df: DataFrame, rel: str) -> DataFrame:
-    return df.where("src is not null and dst is not null").select(*KEY, "tok", "src", "dst", F.lit(rel).alias("rel"), F.lit(lex.RELATION_WEIGHTS[rel]).alias("weight"))
+    out = _found(parsed, tokens, rows).where("src is not null and dst is not null")
+    return out.select(*KEY, "tok", "src", "dst", F.lit(rel).alias("rel"), F.lit(lex.RELATION_WEIGHTS[rel]).alias("weight"))
 
 
-def rel_part_of(tokens: DataFrame, spans: DataFrame, verbs=lex.PART_VERBS) -> DataFrame:
-    heads = tokens.select(*KEY, F.col("tok").alias("head"), F.col("pos_tag").alias("head_pos"))
-    verb = tokens.where((F.col("pos_tag") == "VERB") & F.col("lemma").isin(*verbs)).select(*KEY, "tok", "head").join(heads, [*KEY, "head"], "left")
-    verb = verb.join(first_child(tokens, SUBJECTS, "subj"), [*KEY, "tok"], "left")
-    verb = verb.withColumn("whole", F.coalesce("subj", F.when(F.col("head_pos").isin(*NOMINAL), F.col("head")))).join(_np(spans, "whole", "src"), [*KEY, "whole"])
-    direct = tokens.where(F.col("dep").isin(*OBJECTS) & (F.col("head") != F.col("tok"))).select(*KEY, F.col("head").alias("tok"), F.col("tok").alias("part"))
-    preps = tokens.where("dep = 'prep' and head <> tok").select(*KEY, F.col("head").alias("tok"), F.col("tok").alias("prep"))
-    pobj = tokens.where("dep = 'pobj' and head <> tok").select(*KEY, F.col("head").alias("prep"), F.col("tok").alias("part"))
-    parts = direct.union(preps.join(pobj, [*KEY, "prep"]).select(*direct.columns))
-    return _edges(verb.join(parts, [*KEY, "tok"]).join(_np(spans, "part", "dst"), [*KEY, "part"]), "part-of")
+def _phrases(edges: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        edges = edges.withColumn(c, T.normalize_np(F.col(c)))
+    return edges
 
 
-def _first_verb_below(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
-    verbs = tokens.where("pos_tag = 'VERB'").select(*KEY, F.col("tok").alias("t"), "lemma")
-    return pairs.withColumnRenamed("tok", "t").join(verbs, [*KEY, "t"]).groupBy(*KEY, F.col("anc").alias("tok")).agg(F.min_by("lemma", "t").alias("verb_below"))
+def rel_part_of(parsed: DataFrame, verbs=lex.PART_VERBS) -> DataFrame:
+    """Whole: the verb's first subject, else the noun that it depends on; parts: its objects and those of its prepositions."""
 
+    def ends(t: Column, x: Column) -> tuple[Column, Column]:
+        head = at(t, x["head"])
+        whole = F.coalesce(_first(_kids(t, x, *SUBJECTS))["sub"], F.when(head["pos_tag"].isin(*NOMINAL), head["sub"]))
+        under = F.flatten(F.transform(_kids(t, x, "prep"), lambda p: F.transform(_kids(t, p, "pobj"), lambda o: o["sub"])))
+        return whole, F.concat(F.transform(_kids(t, x, *OBJECTS), lambda k: k["sub"]), under)
 
-def rel_function_marker(tokens: DataFrame, spans: DataFrame, pairs: DataFrame, markers=lex.FUNCTION_MARKERS) -> DataFrame:
-    marked = tokens.where(F.lower("text").isin(*markers) & F.col("dep").isin("amod", "acl"))
-    out = marked.join(_np(spans, "head", "src"), [*KEY, "head"]).join(_first_verb_below(tokens, pairs), [*KEY, "tok"])
-    return _edges(out.withColumn("dst", F.col("verb_below")), "function-of")
+    return _phrases(_edges(parsed, "part-of", lambda x: (x["pos_tag"] == "VERB") & x["lemma"].isin(*verbs), ends), "src", "dst")
 
 
-def rel_function_verb(tokens: DataFrame, spans: DataFrame, pairs: DataFrame, verbs=lex.FUNCTION_VERBS) -> DataFrame:
-    verb = tokens.where((F.col("pos_tag") == "VERB") & F.col("lemma").isin(*verbs)).select(*KEY, "tok")
-    verb = verb.join(first_child(tokens, SUBJECTS, "subj"), [*KEY, "tok"]).join(_np(spans, "subj", "src"), [*KEY, "subj"])
-    lemma = tokens.select(*KEY, F.col("tok").alias("comp"), F.col("lemma").alias("comp_lemma"))
-    verb = verb.join(first_child(tokens, ("xcomp", "ccomp"), "comp", "pos_tag = 'VERB'"), [*KEY, "tok"], "left").join(lemma, [*KEY, "comp"], "left")
-    to = tokens.where("lower(text) = 'to'").select(*KEY, F.col("tok").alias("t"))
-    below = pairs.withColumnRenamed("tok", "t").join(to, [*KEY, "t"]).select(*KEY, F.col("anc"), F.col("t").alias("tok")).join(_first_verb_below(tokens, pairs), [*KEY, "tok"])
-    below = below.groupBy(*KEY, F.col("anc").alias("tok")).agg(F.min_by("verb_below", "tok").alias("to_verb"))
-    return _edges(verb.join(below, [*KEY, "tok"], "left").withColumn("dst", F.coalesce("comp_lemma", "to_verb")), "function-of")
+def rel_function_marker(parsed: DataFrame, markers=lex.FUNCTION_MARKERS) -> DataFrame:
+    """Owner: the marker's head; function: the first verb of the marker's subtree."""
+    return _phrases(_edges(parsed, "function-of", lambda x: F.lower(x["text"]).isin(*markers) & x["dep"].isin("amod", "acl"), lambda t, x: (at(t, x["head"])["sub"], F.array(x["verb"]))), "src")
+
+
+def rel_function_verb(parsed: DataFrame, verbs=lex.FUNCTION_VERBS) -> DataFrame:
+    """Owner: the verb's first subject; function: its first clausal verb, else the first verb below the first "to" below it that has one."""
+
+    def ends(t: Column, x: Column) -> tuple[Column, Column]:
+        clause = _first(F.filter(_kids(t, x, "xcomp", "ccomp"), lambda k: k["pos_tag"] == "VERB"))["lemma"]
+        to = _first(F.filter(t, lambda k: (F.lower(k["text"]) == "to") & k["verb"].isNotNull() & F.array_contains(x["members"], k["tok"])))["verb"]
+        return _first(_kids(t, x, *SUBJECTS))["sub"], F.array(F.coalesce(clause, to))
+
+    return _phrases(_edges(parsed, "function-of", lambda x: (x["pos_tag"] == "VERB") & x["lemma"].isin(*verbs), ends), "src")
 
 
 def rel_property(tokens: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Of each noun chunk, the adjectives (lemma) and numbers (text) that depend on its head."""
     of = tokens.where("dep in ('amod', 'nummod') and head <> tok").select(*KEY, "tok", F.col("head").alias("head_tok"), F.lower(F.when(F.col("dep") == "amod", F.col("lemma")).otherwise(F.col("text"))).alias("dst"))
-    return _edges(chunks.join(of, [*KEY, "head_tok"]).withColumn("src", T.normalize_np(F.col("chunk"))), "property-of")
+    out = chunks.select(*KEY, "head_tok", "chunk").join(of, [*KEY, "head_tok"]).where("dst is not null")
+    return out.select(*KEY, "tok", T.normalize_np(F.col("chunk")).alias("src"), "dst", F.lit("property-of").alias("rel"), F.lit(lex.RELATION_WEIGHTS["property-of"]).alias("weight"))
+
+
+def rel_spatial(parsed: DataFrame, words=lex.SPATIAL_WORDS) -> DataFrame:
+    """Target: the preposition's first object; source: the noun that it depends on, or the first argument of the verb that it depends on."""
 
+    def ends(t: Column, x: Column) -> tuple[Column, Column]:
+        head = at(t, x["head"])
+        anchor = F.when(head["pos_tag"].isin(*NOMINAL), head["sub"]).when(head["pos_tag"] == "VERB", _first(_kids(t, head, *OBJECTS, *SUBJECTS))["sub"])
+        return anchor, F.array(_first(_kids(t, x, "pobj"))["sub"])
 
-def rel_spatial(tokens: DataFrame, spans: DataFrame, words=lex.SPATIAL_WORDS) -> DataFrame:
-    heads = tokens.select(*KEY, F.col("tok").alias("head"), F.col("pos_tag").alias("head_pos"))
-    prep = tokens.where((F.col("pos_tag") == "ADP") & F.col("lemma").isin(*words)).select(*KEY, "tok", "head").join(heads, [*KEY, "head"])
-    prep = prep.join(first_child(tokens, ("pobj",), "obj"), [*KEY, "tok"]).join(_np(spans, "obj", "dst"), [*KEY, "obj"])
-    arg = first_child(tokens, (*OBJECTS, *SUBJECTS), "arg").withColumnRenamed("tok", "head")
-    prep = prep.join(arg, [*KEY, "head"], "left")
-    anchor = F.when(F.col("head_pos").isin(*NOMINAL), F.col("head")).when(F.col("head_pos") == "VERB", F.col("arg"))
-    return _edges(prep.withColumn("anchor", anchor).join(_np(spans, "anchor", "src"), [*KEY, "anchor"]), "spatial")
+    return _phrases(_edges(parsed, "spatial", lambda x: (x["pos_tag"] == "ADP") & x["lemma"].isin(*words), ends), "src", "dst")
 
 
-def rel_condition(tokens: DataFrame, spans: DataFrame, words=lex.CONDITION_WORDS) -> DataFrame:
-    mark = tokens.where(F.col("lemma").isin(*words) & (F.col("dep") == "mark")).select(*KEY, "tok", "head")
-    arg = first_child(tokens, ("nsubj", *OBJECTS), "arg").withColumnRenamed("tok", "head")
-    mark = mark.join(arg, [*KEY, "head"]).join(_np(spans, "arg", "src"), [*KEY, "arg"])
-    clause = spans.select(*KEY, F.col("tok").alias("head"), F.btrim("text", F.lit(" ,;")).alias("dst"))
-    return _edges(mark.join(clause, [*KEY, "head"]), "condition")
+def rel_condition(parsed: DataFrame, words=lex.CONDITION_WORDS) -> DataFrame:
+    """Owner: the first argument of the mark's head; condition: the head's whole subtree."""
+
+    def ends(t: Column, x: Column) -> tuple[Column, Column]:
+        head = at(t, x["head"])
+        return _first(_kids(t, head, "nsubj", *OBJECTS))["sub"], F.array(F.btrim(head["sub"], F.lit(" ,;")))
+
+    return _phrases(_edges(parsed, "condition", lambda x: x["lemma"].isin(*words) & (x["dep"] == "mark"), ends), "src")
 
 
 def concept_nodes(chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, label): each phrase of a chunk or an end of an edge once; blanks go."""
     labels = chunks.select("doc_id", T.normalize_np(F.col("chunk")).alias("label")).union(edges.select("doc_id", "src")).union(edges.select("doc_id", "dst"))
     return labels.where("label <> ''").distinct()
 
 
 def with_rel_weight(edges: DataFrame) -> DataFrame:
+    """Adds weight by rel, or replaces it; 1 for relations that are not listed and for null."""
     weights = F.create_map(*(F.lit(x) for pair in lex.RELATION_WEIGHTS.items() for x in pair))
     return edges.withColumn("weight", F.coalesce(F.try_element_at(weights, F.col("rel")), F.lit(1.0)))
 
 
-def verb_phrase(tokens: DataFrame) -> DataFrame:
-    """(doc_id, sent, tok, phrase): negation (the last), lemma and particles of each verb or auxiliary."""
-    kids = tokens.where("dep in ('neg', 'prt') and head <> tok").groupBy(*KEY, F.col("head").alias("tok")).agg(
-        F.max_by("text", F.when(F.col("dep") == "neg", F.col("tok"))).alias("neg"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("dep") == "prt", F.struct("tok", "text")))), lambda x: x["text"]).alias("prt"),
-    )
-    verbs = tokens.where("pos_tag in ('VERB', 'AUX')").select(*KEY, "tok", "lemma")
-    parts = F.concat(F.array_compact(F.array("neg", "lemma")), F.coalesce("prt", F.array().cast("array<string>")))
-    return verbs.join(kids, [*KEY, "tok"], "left").select(*KEY, "tok", F.array_join(parts, " ").alias("phrase"))
+def _phrase(t: Column, x: Column) -> Column:
+    """Negation (the last), lemma and particles of a verb."""
+    neg = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(_kids(t, x, "neg"), lambda k: k["text"])), -1)
+    return F.array_join(F.concat(F.array_compact(F.array(neg, x["lemma"])), F.transform(_kids(t, x, "prt"), lambda k: k["text"])), " ")
+
 
+def verb_phrase(parsed: DataFrame) -> DataFrame:
+    """(doc_id, sent, tok, phrase): negation (the last), lemma and particles of each verb or auxiliary. Sentence rows without subtrees do."""
+    return _found(parsed, lambda x: x["pos_tag"].isin("VERB", "AUX"), lambda t, x: F.array(F.struct(x["tok"].alias("tok"), _phrase(t, x).alias("phrase"))))
 
-def svo_triples(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+
+def svo_triples(parsed: DataFrame) -> DataFrame:
     """(doc_id, sent, tok, subject, verb, object) for each verb that is no auxiliary and has a subject or object or is the root; `_` fills a blank."""
-    text = spans.select(*KEY, F.col("tok").alias("child"), "text")
-    kid = tokens.where("head <> tok").select(*KEY, F.col("head").alias("tok"), F.col("tok").alias("child"), "dep", "pos_tag")
-    subj = first_child(tokens, (*SUBJECTS, "csubj"), "child").join(text, [*KEY, "child"]).select(*KEY, "tok", F.col("text").alias("subject"))
-    direct = kid.where(F.col("dep").isin("dobj", "obj", "iobj")).join(text, [*KEY, "child"]).select(*KEY, "tok", F.lit(0).alias("late"), "child", F.lit(-1).alias("sub"), "text")
-    pobj = kid.where("dep = 'pobj'").groupBy(*KEY, F.col("tok").alias("prep")).agg(F.min("child").alias("sub")).join(text.withColumnRenamed("child", "sub"), [*KEY, "sub"])
-    prep = kid.where("dep = 'prep'").select(*KEY, "tok", F.col("child").alias("prep")).join(tokens.select(*KEY, F.col("tok").alias("prep"), F.col("text").alias("word")), [*KEY, "prep"])
-    prep = prep.join(pobj, [*KEY, "prep"]).select(*KEY, "tok", F.lit(0), F.col("prep"), "sub", F.concat_ws(" ", "word", "text"))
-    late = kid.where("dep in ('advmod', 'obl') and pos_tag in ('NOUN', 'PROPN', 'ADV')").join(text, [*KEY, "child"]).select(*KEY, "tok", F.lit(1), "child", F.lit(-1), "text")
-    objects = direct.union(prep).union(late).groupBy(*KEY, "tok").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("late", "child", "sub", "text"))), lambda x: x["text"]), "; ").alias("object"))
-    verbs = tokens.where("pos_tag = 'VERB' and dep <> 'aux'").select(*KEY, "tok", (F.col("head") == F.col("tok")).alias("is_root")).join(verb_phrase(tokens).withColumnRenamed("phrase", "verb"), [*KEY, "tok"])
-    both = verbs.join(subj, [*KEY, "tok"], "left").join(objects, [*KEY, "tok"], "left").where("subject is not null or object is not null or is_root")
+
+    def item(late: int, child: Column, sub: Column, text: Column) -> Column:
+        return F.struct(F.lit(late).alias("late"), child.alias("child"), sub.alias("sub"), text.alias("text"))
+
+    def row(t: Column, x: Column) -> Column:
+        none = F.lit(-1)
+        direct = F.transform(_kids(t, x, "dobj", "obj", "iobj"), lambda k: item(0, k["tok"], none, k["sub"]))
+
+        def preposition(p: Column) -> Column:
+            o = _first(_kids(t, p, "pobj"))
+            return F.when(o.isNotNull(), item(0, p["tok"], o["tok"], F.concat_ws(" ", p["text"], o["sub"])))
+
+        late = F.transform(F.filter(_kids(t, x, "advmod", "obl"), lambda k: k["pos_tag"].isin("NOUN", "PROPN", "ADV")), lambda k: item(1, k["tok"], none, k["sub"]))
+        objects = F.array_sort(F.concat(direct, F.array_compact(F.transform(_kids(t, x, "prep"), preposition)), late))
+        objects = F.when(F.size(objects) > 0, F.array_join(F.transform(objects, lambda o: o["text"]), "; "))
+        subject = _first(_kids(t, x, *SUBJECTS, "csubj"))["sub"]
+        return F.array(F.struct(x["tok"].alias("tok"), (x["head"] == x["tok"]).alias("is_root"), subject.alias("subject"), _phrase(t, x).alias("verb"), objects.alias("object")))
+
+    both = _found(parsed, lambda x: (x["pos_tag"] == "VERB") & (x["dep"] != "aux"), row).where("subject is not null or object is not null or is_root")
     return both.select(*KEY, "tok", F.coalesce("subject", F.lit("_")).alias("subject"), "verb", F.coalesce("object", F.lit("_")).alias("object"))
 
 
-def copular_triples(tokens: DataFrame, spans: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, sent, tok, subject, verb, object) of sentences whose root has a cop child; the complement is the root's acomp, attr and xcomp subtrees, else its own."""
-    roots = tokens.where("head = tok").select(*KEY, "tok").join(first_child(tokens, ("cop",), "cop"), [*KEY, "tok"])
-    verb = verb_phrase(tokens).select(*KEY, F.col("tok").alias("cop"), F.col("phrase").alias("verb"))
-    text = spans.select(*KEY, F.col("tok").alias("child"), "text")
-    subj = first_child(tokens, (*SUBJECTS, "csubj"), "child").join(text, [*KEY, "child"]).select(*KEY, "tok", F.col("text").alias("subject"))
-    comp = tokens.where("dep in ('acomp', 'attr', 'xcomp') and head <> tok").select(*KEY, F.col("head").alias("root"), F.col("tok").alias("anc"))
-    comp = comp.join(pairs, [*KEY, "anc"]).select(*KEY, "root", "tok").distinct().join(tokens.select(*KEY, "tok", "text"), [*KEY, "tok"])
-    comp = comp.groupBy(*KEY, F.col("root").alias("tok")).agg(ordered_text().alias("complement"))
-    out = roots.join(verb, [*KEY, "cop"]).join(subj, [*KEY, "tok"], "left").join(comp, [*KEY, "tok"], "left").join(spans.select(*KEY, "tok", F.col("text").alias("own")), [*KEY, "tok"])
-    return out.select(*KEY, "tok", F.coalesce("subject", F.lit("_")).alias("subject"), "verb", F.coalesce("complement", "own").alias("object"))
+def copular_triples(parsed: DataFrame) -> DataFrame:
+    """(doc_id, sent, tok, subject, verb, object) of sentences whose root has a cop child that is a verb or auxiliary; the complement is the root's acomp, attr and xcomp subtrees, else its own."""
+
+    def row(t: Column, x: Column) -> Column:
+        cop = _first(_kids(t, x, "cop"))
+        members = F.flatten(F.transform(_kids(t, x, "acomp", "attr", "xcomp"), lambda k: k["members"]))
+        words = F.transform(F.filter(t, lambda k: F.array_contains(members, k["tok"])), lambda k: k["text"])
+        complement = F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(x["sub"])
+        subject = F.coalesce(_first(_kids(t, x, *SUBJECTS, "csubj"))["sub"], F.lit("_"))
+        verb = F.when(cop["pos_tag"].isin("VERB", "AUX"), _phrase(t, cop))
+        return F.array(F.struct(x["tok"].alias("tok"), subject.alias("subject"), verb.alias("verb"), complement.alias("object")))
+
+    return _found(parsed, lambda x: x["head"] == x["tok"], row).where("verb is not null")
 
 
 def distinct_triples(triples: DataFrame, columns=("subject", "surface_pred", "object")) -> DataFrame:

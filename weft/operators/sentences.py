@@ -1,4 +1,8 @@
-"""Sentences and clauses: split, refine, select. Order is always a column."""
+"""Sentences and clauses: split, refine, select. Order is always a column.
+
+Null and blank texts give no rows where texts are cut, and stay as they are where they are judged. Repeated rows come back
+as often as they came. Columns that a function adds replace those of the same name.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +17,11 @@ SENTENCE_END = r"(?<!\b[A-Z])[.!?](?=\s|$)"
 
 def split_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, s): the terminator goes, single capitals with a period are no end, empty sentences go."""
-    parts = F.filter(F.transform(F.split(T.clean_whitespace(F.col("text")), SENTENCE_END), lambda x: F.trim(x)), lambda x: x != "")
-    return docs.select("doc_id", F.posexplode(parts).alias("pos", "s"))
+    return docs.select("doc_id", F.posexplode(sentence_parts(F.col("text"))).alias("pos", "s"))
+
+
+def sentence_parts(c: Column) -> Column:
+    return F.filter(F.transform(F.split(T.clean_whitespace(c), SENTENCE_END), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def number_sentences(sents: DataFrame) -> DataFrame:
@@ -43,14 +50,18 @@ def marker_parts(c: Column) -> Column:
 
 
 def clause_parts(c: Column) -> Column:
-    """Punctuation, then markers; stripped, empties dropped."""
+    """Punctuation, then markers; stripped, empties dropped. Where tokens are given, split_on_conj() cuts further."""
     pieces = F.flatten(F.transform(punct_parts(c), marker_parts))
     return F.filter(F.transform(pieces, T.strip), lambda x: x != "")
 
 
 def split_clauses(df: DataFrame, column: str = "text", parts=clause_parts) -> DataFrame:
     """The rows of df, one for each clause (part, clause)."""
-    return df.select("*", F.posexplode(parts(F.col(column))).alias("part", "clause"))
+    return _exploded(df, parts(F.col(column)), "part", "clause")
+
+
+def _exploded(df: DataFrame, parts: Column, place: str, item: str) -> DataFrame:
+    return df.select(*(c for c in df.columns if c not in (place, item)), F.posexplode(parts).alias(place, item))
 
 
 def split_on_conj(tokens: DataFrame) -> DataFrame:
@@ -65,23 +76,28 @@ def split_on_conj(tokens: DataFrame) -> DataFrame:
 
 def finalize_short_docs(clauses: DataFrame, limit: int = 80) -> DataFrame:
     """A document of which all clauses have at most `limit` characters gets final periods; others are unchanged."""
-    short = clauses.groupBy("doc_id").agg(F.min((F.length("clause") <= limit).cast("int")).alias("short"))
-    out = clauses.join(short, "doc_id").withColumn("clause", F.when(F.col("short") == 1, T.ensure_final_period(F.col("clause"))).otherwise(F.col("clause")))
-    return out.where("clause is not null").drop("short")
+    short = clauses.groupBy("doc_id").agg(F.min((F.length("clause") <= limit).cast("int")).alias("_short"))
+    out = clauses.join(short, "doc_id").withColumn("clause", F.when(F.col("_short") == 1, T.ensure_final_period(F.col("clause"))).otherwise(F.col("clause")))
+    return out.where("clause is not null").drop("_short")
 
 
 def refine_splits(df: DataFrame, max_iters: int = 3, **limits) -> tuple[DataFrame, DataFrame]:
-    """(accepted, dropped) of (doc_id, pos, text): pieces that fit are accepted, others split again; at the cap pieces that still don't fit are dropped.
+    """(accepted, dropped) of (doc_id, pos, text): pieces that fit are accepted, others split again.
 
-    path tells a piece's place; order by (pos, round, path).
+    At the cap what is left is cut into sentences: those that fit are accepted (round max_iters + 1), the others dropped.
+    path tells a piece's place; order by (pos, round, path). Nulls are neither.
     """
     fits = lambda: T.fits_constraints(F.col("text"), **limits)
+
+    def cut(rest: DataFrame, parts) -> DataFrame:
+        pieces = rest.select("doc_id", "pos", "path", F.posexplode(parts(F.col("text"))).alias("part", "text"))
+        return pieces.select("doc_id", "pos", "text", F.concat("path", F.array("part")).alias("path"))
+
     rest = df.select("doc_id", "pos", "text", F.array().cast("array<int>").alias("path"))
     accepted = rest.where(fits()).withColumn("round", F.lit(0))
     rest = rest.where(~fits())
-    for k in range(1, max_iters + 1):
-        pieces = rest.select("doc_id", "pos", "path", F.posexplode(clause_parts(F.col("text"))).alias("part", "text"))
-        pieces = pieces.select("doc_id", "pos", "text", F.concat("path", F.array("part")).alias("path"))
+    for k in range(1, max_iters + 2):
+        pieces = cut(rest, clause_parts if k <= max_iters else sentence_parts)
         accepted = accepted.unionByName(pieces.where(fits()).withColumn("round", F.lit(k)))
         rest = pieces.where(~fits())
     return accepted, rest
@@ -117,7 +133,7 @@ def dedupe_ci(df: DataFrame, column: str = "text") -> DataFrame:
     """The first row of each text of a document, whatever the case, after the weak punctuation fix."""
     fixed = df.withColumn(column, T.fix_period_comma(F.col(column)))
     place = F.row_number().over(Window.partitionBy("doc_id", F.lower(column)).orderBy("pos"))
-    return fixed.withColumn("n", place).where("n = 1").drop("n")
+    return fixed.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def flatten_splits(items: DataFrame) -> DataFrame:
@@ -135,7 +151,7 @@ def identity_splits(sents: DataFrame, splits: DataFrame) -> DataFrame:
 def isolate_enumerations(df: DataFrame, column: str = "text") -> DataFrame:
     """A row for each item (i), (ii), ... and for what stands before the first."""
     parts = F.filter(F.transform(F.split(F.col(column), r"(?=\((?:[ivx]+)\))"), T.strip), lambda x: x != "")
-    return df.select("*", F.posexplode(parts).alias("part", "item"))
+    return _exploded(df, parts, "part", "item")
 
 
 def length_report(df: DataFrame, column: str = "text", n: int = 10) -> DataFrame:

@@ -1,12 +1,16 @@
-"""Token tables: (doc_id, sent, tok, head, text, lemma, pos_tag, dep); a sentence's root is its own head."""
+"""Token tables: (doc_id, sent, tok, head, text, lemma, pos_tag, dep); a sentence's root is its own head.
+
+What looks at a sentence's tree works on sentence rows: parse() gathers a sentence's tokens in one row, by the only shuffle,
+and arrays and lambdas do the rest. Tokens with a null doc_id or sent make sentences like any others; of tokens repeated
+under one tok each stands. Heads that are no token of the sentence count as none. Other columns are not looked at.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut_lineage
 
 KEY = ["doc_id", "sent"]
 NOMINAL = ("NOUN", "PROPN")
@@ -18,45 +22,71 @@ def tokens_from_text(sents: DataFrame, lexicon: DataFrame) -> DataFrame:
     return rows.join(lexicon.select("lemma", "pos_tag"), "lemma", "left").select("doc_id", "sent", "tok", "text", "lemma", F.coalesce("pos_tag", F.lit("NOUN")).alias("pos_tag"))
 
 
-def subtree_pairs(tokens: DataFrame) -> DataFrame:
-    """(doc_id, sent, anc, tok): every token with each of its ancestors and itself.
+def at(t: Column, tok: Column) -> Column:
+    """The token of a sentence t by its number: where tokens are numbered without gaps it stands at its place."""
+    guess = F.get(t, tok - F.get(t, F.lit(0))["tok"])
+    return F.when(guess["tok"] == tok, guess).otherwise(F.get(F.filter(t, lambda x: x["tok"] == tok), F.lit(0)))
+
+
+def sentence_rows(tokens: DataFrame) -> DataFrame:
+    """(doc_id, sent, t): a row per sentence, t its tokens in order as structs (tok, head, text, lemma, pos_tag, dep)."""
+    return tokens.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("tok", "head", "text", "lemma", "pos_tag", "dep"))).alias("t"))
+
+
+def _ancestors(t: Column) -> Column:
+    """For each token of a sentence the places of its ancestors, nearest first.
 
-    Ancestors are found by pointer doubling: a round joins each token's pairs so far with those of the farthest ancestor,
-    so rounds grow with the logarithm of the depth. A cycle of heads without a root ends when no pair is new.
+    Pointer doubling: each step appends to a token's ancestors those of the farthest one, so steps grow with the logarithm
+    of the depth. On a cycle of heads a token is its own ancestor, and the lists stop growing at the sentence's size.
     """
-    edges = tokens.where("head <> tok").select(*KEY, F.col("head").alias("anc"), "tok", F.lit(1).alias("far"))
-    pairs, far = edges, 1
-    while True:
-        up = pairs.where(F.col("far") == far).select(*KEY, F.col("tok").alias("mid"), F.col("anc").alias("tok"))
-        more = pairs.alias("p").join(up, [*KEY, "tok"]).select(*KEY, "anc", F.col("mid").alias("tok"), (F.col("far") + far).alias("far"))
-        grown = cut_lineage(pairs.union(more).groupBy(*KEY, "anc", "tok").agg(F.min("far").alias("far")), "pairs")
-        far *= 2
-        pairs = grown
-        if pairs.where(F.col("far") == far).isEmpty():
-            break
-    return pairs.select(*KEY, "anc", "tok").union(tokens.select(*KEY, F.col("tok").alias("anc"), "tok"))
+    n = F.size(t)
+    places = F.transform(t, lambda x: F.coalesce(F.when(F.get(t, x["head"] - F.get(t, F.lit(0))["tok"])["tok"] == x["head"], x["head"] - F.get(t, F.lit(0))["tok"]).otherwise(F.array_position(F.transform(t, lambda y: y["tok"]), x["head"]).cast("int") - 1), F.lit(-1)))
+    up = F.transform(places, lambda p, i: F.when((p < 0) | (p == i), F.array().cast("array<int>")).otherwise(F.array(p)))
 
+    def double(above: Column, _: Column) -> Column:
+        return F.transform(above, lambda a: F.when((F.size(a) == 0) | (F.size(a) >= n), a).otherwise(F.concat(a, F.coalesce(F.get(above, F.element_at(a, -1)), F.array().cast("array<int>")))))
 
-def ordered_text(text: str = "text", order: str = "tok", sep: str = " "):
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), sep)
+    above = F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int")), up, double)
+    return F.transform(above, lambda a: F.when(F.size(a) >= n, F.array_distinct(a)).otherwise(a))
+
+
+def parse(tokens: DataFrame) -> DataFrame:
+    """(doc_id, sent, t): a row per sentence; t has its tokens in order, with their subtrees.
+
+    Structs (tok, head, text, lemma, pos_tag, dep, left, right, sub, members, verb): extent, text and token numbers of the
+    subtree, and the lemma of its first verb. One shuffle, by sentence. The size is that of all subtrees together.
+    """
+    rows = sentence_rows(tokens).withColumn("above", _ancestors(F.col("t")))
+    words = F.transform("t", lambda w, i: F.struct(F.array_distinct(F.concat(F.get(F.col("above"), i), F.array(i))).alias("tops"), i.alias("i"), w.alias("w")))
+    each = rows.select(*KEY, F.explode(words).alias("e")).select(*KEY, F.explode("e.tops").alias("top"), "e.i", "e.w")
+    below = each.groupBy(*KEY, "top").agg(
+        F.max(F.when(F.col("i") == F.col("top"), F.col("w"))).alias("w"),
+        F.array_sort(F.collect_list(F.struct("i", "w.tok", "w.text"))).alias("m"),
+        F.min(F.when(F.col("w.pos_tag") == "VERB", F.struct("i", "w.lemma")))["lemma"].alias("verb"),
+    )
+    toks, texts = F.transform("m", lambda x: x["tok"]), F.transform("m", lambda x: x["text"])
+    token = F.struct("top", "w.tok", "w.head", "w.text", "w.lemma", "w.pos_tag", "w.dep", F.array_min(toks).alias("left"), F.array_max(toks).alias("right"), F.array_join(texts, " ").alias("sub"), toks.alias("members"), "verb")
+    return below.groupBy(*KEY).agg(F.array_sort(F.collect_list(token)).alias("t"))
 
 
-def subtree_spans(tokens: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(doc_id, sent, tok, left, right, text): extent and text of each token's subtree."""
-    pairs = subtree_pairs(tokens) if pairs is None else pairs
-    full = pairs.join(tokens.select(*KEY, "tok", "text"), [*KEY, "tok"])
-    return full.groupBy(*KEY, "anc").agg(F.min("tok").alias("left"), F.max("tok").alias("right"), ordered_text().alias("text")).withColumnRenamed("anc", "tok")
+def subtree_spans(parsed: DataFrame) -> DataFrame:
+    """(doc_id, sent, tok, left, right, text): extent and text of each token's subtree; parsed: parse()."""
+    return parsed.select(*KEY, F.explode("t").alias("x")).select(*KEY, "x.tok", "x.left", "x.right", F.col("x.sub").alias("text"))
 
 
 def noun_chunks(tokens: DataFrame) -> DataFrame:
-    """(doc_id, sent, start, head_tok, chunk, head_lemma): maximal runs of DET, ADJ, NUM, NOUN, PROPN, up to their last noun."""
+    """(doc_id, sent, start, head_tok, chunk, head_lemma): maximal runs of DET, ADJ, NUM, NOUN, PROPN, up to their last noun. One shuffle."""
     run = tokens.where("pos_tag in ('DET', 'ADJ', 'NUM', 'NOUN', 'PROPN')")
     run = run.withColumn("island", F.col("tok") - F.row_number().over(Window.partitionBy(*KEY).orderBy("tok")))
-    ends = run.where(F.col("pos_tag").isin(*NOMINAL)).groupBy(*KEY, "island").agg(F.max("tok").alias("head_tok"))
-    inside = run.join(ends, [*KEY, "island"]).where("tok <= head_tok")
+    end = F.max(F.when(F.col("pos_tag").isin(*NOMINAL), F.col("tok"))).over(Window.partitionBy(*KEY, "island"))
+    inside = run.withColumn("head_tok", end).where("tok <= head_tok")
     return inside.groupBy(*KEY, "island", "head_tok").agg(F.min("tok").alias("start"), ordered_text().alias("chunk"), F.max_by("lemma", "tok").alias("head_lemma")).drop("island")
 
 
+def ordered_text(text: str = "text", order: str = "tok", sep: str = " "):
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), sep)
+
+
 def verb_lemmas(tokens: DataFrame) -> DataFrame:
     return tokens.where("pos_tag = 'VERB'").select(*KEY, "tok", "lemma")
 
@@ -77,14 +107,18 @@ def word_nodes(tokens: DataFrame) -> DataFrame:
 
 
 def word_edges(tokens: DataFrame, window: int = 1) -> DataFrame:
-    """(a, b, w_coocc, w_dep, weight), a < b: lemmas up to `window` places apart in a sentence, and linked by head."""
-    order = Window.partitionBy(*KEY).orderBy("tok")
-    ahead = tokens.select("lemma", *(F.lead("lemma", k).over(order).alias(f"n{k}") for k in range(1, window + 1)))
-    near = ahead.select("lemma", F.explode(F.array_compact(F.array(*(f"n{k}" for k in range(1, window + 1))))).alias("other"))
-    heads = tokens.select(*KEY, F.col("tok").alias("head"), F.col("lemma").alias("other"))
-    deps = tokens.where("head <> tok").join(heads, [*KEY, "head"]).select("lemma", "other")
-    pairs = near.select("lemma", "other", F.lit(1).alias("c"), F.lit(0).alias("d")).union(deps.select("lemma", "other", F.lit(0), F.lit(1)))
-    by = pairs.where("lemma <> other").groupBy(F.least("lemma", "other").alias("a"), F.greatest("lemma", "other").alias("b"))
+    """(a, b, w_coocc, w_dep, weight), a < b: lemmas up to `window` places apart in a sentence, and linked by head.
+
+    Pairs are made inside sentence rows, so beside the shuffle by sentence only counts are shuffled.
+    """
+    rows = sentence_rows(tokens)
+
+    def ahead(k: int) -> Column:
+        return F.transform("t", lambda x, i: F.struct(x["lemma"].alias("a"), F.get(F.col("t"), i + k)["lemma"].alias("b"), F.lit(1).alias("c"), F.lit(0).alias("d")))
+
+    deps = F.transform(F.filter("t", lambda x: x["head"] != x["tok"]), lambda x: F.struct(x["lemma"].alias("a"), at(F.col("t"), x["head"])["lemma"].alias("b"), F.lit(0).alias("c"), F.lit(1).alias("d")))
+    pairs = rows.select(F.inline(F.concat(*map(ahead, range(1, window + 1)), deps))).where("a <> b")
+    by = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return by.agg(F.sum("c").alias("w_coocc"), F.sum("d").alias("w_dep"), F.count("*").alias("weight"))
 
 

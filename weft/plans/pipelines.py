@@ -6,30 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, kg, relations, sentences, tokens
+from ..session import cut_lineage
 
 
-def text_to_kg(docs: DataFrame, triples_of, votes_of, names) -> dict[str, DataFrame]:
-    """Documents to input, splits, nodes and edges; triples_of(sents) and votes_of(triples) give the outside answers as tables."""
+def text_to_kg(docs: DataFrame, splits_of, triples_of, votes_of, relations_of) -> dict[str, DataFrame]:
+    """Documents to input, splits, relation schema, nodes and edges.
+
+    The functions give the outside answers as tables: splits_of(sentences), a document's splits (doc_id, sid, text, parent)
+    or none, in which case each of its sentences is its own; triples_of(splits); relations_of(splits), the relations
+    (doc_id, pos, name, ...) that its predicates may have; votes_of(triples). A document without triples has no nodes and
+    no edges, but its splits. Splits are written once, for all that reads them.
+    """
     sents = sentences.split_sentences(docs)
-    splits = sentences.identity_splits(sents, sents.sparkSession.createDataFrame([], "doc_id bigint, sid string, text string, parent string"))
-    triples = kg.clean_triples(triples_of(sents))
-    nodes, edges = kg.voted_graph(triples, votes_of(triples), names)
-    return {"input": docs, "splits": splits, "nodes": nodes, "edges": edges}
-
-
-def concept_edges(toks: DataFrame, pairs: DataFrame, spans: DataFrame, chunks: DataFrame, **words) -> DataFrame:
-    """The relations of all six kinds: (doc_id, sent, tok, src, dst, rel, weight)."""
-    parts = [
-        relations.rel_part_of(toks, spans, **({"verbs": words["part"]} if "part" in words else {})),
-        relations.rel_function_marker(toks, spans, pairs, **({"markers": words["marker"]} if "marker" in words else {})),
-        relations.rel_function_verb(toks, spans, pairs, **({"verbs": words["function"]} if "function" in words else {})),
-        relations.rel_property(toks, chunks),
-        relations.rel_spatial(toks, spans, **({"words": words["spatial"]} if "spatial" in words else {})),
-        relations.rel_condition(toks, spans, **({"words": words["condition"]} if "condition" in words else {})),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    splits = cut_lineage(sentences.identity_splits(sents, splits_of(sents)), "splits")
+    schema = kg.clean_relations(relations_of(splits))
+    triples = kg.clean_triples(triples_of(splits))
+    nodes, edges = kg.voted_graph(triples, votes_of(triples), schema)
+    return {"input": docs, "splits": splits, "relation_schema": schema, "nodes": nodes, "edges": edges}
+
+
+def concept_edges(toks: DataFrame, parsed: DataFrame, chunks: DataFrame, **words) -> DataFrame:
+    """The relations of all six kinds: (doc_id, sent, tok, src, dst, rel, weight); words: other word lists for part, marker, function, spatial, condition."""
+    kinds = {"part": relations.rel_part_of, "marker": relations.rel_function_marker, "function": relations.rel_function_verb, "spatial": relations.rel_spatial, "condition": relations.rel_condition}
+    out = relations.rel_property(toks, chunks)
+    for name, rel in kinds.items():
+        out = out.unionByName(rel(parsed, words[name]) if name in words else rel(parsed))
     return out
 
 
@@ -37,15 +38,14 @@ def concept_tree(toks: DataFrame, **words) -> DataFrame:
     """(doc_id, src, dst, rel, weight, method): each document's tree of concepts below its most frequent chunk head.
 
     Nodes are named by document, so that all documents' trees grow at once. Best parents after the part-of boost give the
-    tree (`best-parent`); what the root's chunk reaches is kept. Documents whose root reaches nothing take their maximum
-    spanning forest instead (`forest`).
+    tree (`best-parent`); what the root's chunk reaches is kept. Documents whose root reaches nothing take the maximum
+    spanning tree of their largest component instead (`forest`).
     """
-    pairs = tokens.subtree_pairs(toks)
-    spans, chunks = tokens.subtree_spans(toks, pairs), tokens.noun_chunks(toks)
-    found = concept_edges(toks, pairs, spans, chunks, **words)
+    parsed, chunks = cut_lineage(tokens.parse(toks), "parsed"), tokens.noun_chunks(toks)
+    found = concept_edges(toks, parsed, chunks, **words)
     name = lambda c: F.concat_ws("\u0001", F.col("doc_id").cast("string"), F.col(c))
     edges = found.select(name("src").alias("src"), name("dst").alias("dst"), "rel", "weight", (F.col("sent") * 100000 + F.col("tok")).alias("pos"))
-    strong = graph.boost_part_of(graph.strongest_edges(edges))
+    strong = cut_lineage(graph.boost_part_of(graph.strongest_edges(edges)), "strong")
     roots = tokens.root_by_frequency(chunks)
     from ..functions.text import normalize_np
 
@@ -55,7 +55,10 @@ def concept_tree(toks: DataFrame, **words) -> DataFrame:
     below = graph.induced_subgraph(tree, graph.reachable(tree, start)).withColumn("method", F.lit("best-parent"))
     doc = F.substring_index("src", "\u0001", 1).cast("bigint").alias("doc_id")
     done = below.select(doc).distinct()
-    rest = strong.withColumn("doc_id", doc).join(done, "doc_id", "left_anti")
+    rest = cut_lineage(strong.withColumn("doc_id", doc).join(done, "doc_id", "left_anti"), "rest")
+    parts = graph.connected_components(rest).withColumn("doc_id", F.substring_index("id", "\u0001", 1).cast("bigint"))
+    largest = graph.largest_component(parts)
+    rest = graph.induced_subgraph(rest.drop("doc_id"), largest.select("id"))
     forest = graph.maximum_spanning_forest(rest).selectExpr("u as src", "v as dst", "cast(null as string) as rel", "weight", "'forest' as method")
     both = below.select("src", "dst", "rel", "weight", "method").unionByName(forest)
     return both.select(doc, F.substring_index("src", "\u0001", -1).alias("src"), F.substring_index("dst", "\u0001", -1).alias("dst"), "rel", "weight", "method")

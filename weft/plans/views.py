@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import sentences, tokens
 from ..sources.documents import load_documents
@@ -26,6 +27,10 @@ CANONICAL = """case when (doc_id + pos) % 11 = 0 and v = 1 then ''
 POS_TAG = "case (tok + length(text)) % 5 when 0 then 'DET' when 1 then 'NOUN' when 2 then 'VERB' when 3 then 'ADJ' else 'ADP' end"
 DEP = """case when tok = 0 then 'ROOT' else case tok % 7 when 0 then 'det' when 1 then 'nsubj' when 2 then 'dobj'
  when 3 then 'prep' when 4 then 'pobj' when 5 then 'amod' else 'conj' end end"""
+#: Dependencies of sentences with a copula.
+COPULA = "case when tok = 2 and pos_tag = 'VERB' then 'cop' when tok = 3 and sent % 2 = 0 then 'attr' else dep end"
+#: Rings of ten keys each, so there are many components.
+SUPPLY_TO = "concat('s', k - k % 10 + (k * 3 + j) % 10) as dst"
 WORDS = ("the", "and", "of", "in", "de", "la", "die", "der", "is", "to")
 
 
@@ -67,12 +72,12 @@ class Views:
         return w.selectExpr("doc_id", "sent", "tok", "case when tok = 0 then 0 else cast(floor((tok - 1) / 2) as int) end as head", "text", "lower(text) as lemma", f"{POS_TAG} as pos_tag", f"{DEP} as dep")
 
     @cached_property
-    def pairs(self) -> DataFrame:
-        return tokens.subtree_pairs(self.toks)
+    def parsed(self) -> DataFrame:
+        return tokens.parse(self.toks)
 
     @cached_property
     def spans(self) -> DataFrame:
-        return tokens.subtree_spans(self.toks, self.pairs)
+        return tokens.subtree_spans(self.parsed)
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -80,9 +85,13 @@ class Views:
 
     @cached_property
     def spans_of_clauses(self) -> DataFrame:
-        """Constituents: every token's subtree, labelled by its dependency."""
-        labels = "case when dep = 'ROOT' then array('S') when dep in ('conj', 'nsubj') then array('SBAR', 'VP') else array('NP') end as labels"
-        return self.spans.join(self.toks.select("doc_id", "sent", "tok", "dep"), ["doc_id", "sent", "tok"]).selectExpr("doc_id", "sent", "left as start", "right + 1 as end", labels).distinct()
+        """Constituents of several kinds that lie apart, in each other, or across each other's ends."""
+        return self.toks.where("tok % 4 = 0").selectExpr("doc_id", "sent", "tok as start", "tok + 3 + length(text) % 5 as end", "case tok % 3 when 0 then array('S') when 1 then array('SBAR', 'VP') else array('NP') end as labels")
+
+    @cached_property
+    def copula_toks(self) -> DataFrame:
+        """Tokens of which the third also depends on the root, as its attribute in every second sentence."""
+        return self.toks.withColumns({"head": F.expr("case when tok = 3 then 0 else head end"), "dep": F.expr(COPULA)})
 
     @cached_property
     def tree(self) -> DataFrame:
@@ -94,13 +103,18 @@ class Views:
         ]
         return parts[0].union(parts[1]).union(parts[2]).selectExpr("*", "'part-of' as rel", "3.0D as weight", "0L as pos")
 
+    @cached_property
+    def supply(self) -> DataFrame:
+        """Suppliers with cycles and different weights: each points to three others of its region of keys, all weights differ."""
+        return self.table("supplier").selectExpr("s_suppkey as k").selectExpr("k", "explode(array(1, 7, 11)) as j").selectExpr("concat('s', k) as src", SUPPLY_TO, "'next' as rel", "cast((k * 31 + j * 17) % 997 + k / 1000.0 + j / 100000.0 as double) as weight", "k * 10 + j as pos")
+
     @cached_property
     def word_graph(self) -> DataFrame:
         return tokens.word_edges(self.toks).selectExpr("a as src", "b as dst", "case when w_dep > 0 then 'part-of' else 'spatial' end as rel", "cast(weight as double) as weight", "w_coocc as pos")
 
     @cached_property
     def triple_edges(self) -> DataFrame:
-        return self.triples.selectExpr("subject as src", "object as dst", "surface_pred as rel", "cast(length(surface_pred) as double) as weight", "doc_id * 100000 + pos as pos")
+        return self.triples.selectExpr("doc_id", "subject as src", "object as dst", "surface_pred as rel", "cast(length(surface_pred) as double) as weight", "pos")
 
 
 CTE = {
@@ -126,7 +140,11 @@ CTE = {
  x as (select t.lemma, h.lemma o, 0 c, 1 d from toks t join toks h on h.doc_id=t.doc_id and h.sent=t.sent and h.tok=t.head where t.head<>t.tok)
  select least(lemma,o) a, greatest(lemma,o) b, sum(c) w_coocc, sum(d) w_dep, count(*) weight from (select * from c union all select * from x) where lemma<>o group by 1,2)""",
 }
-_NEEDS = {"claims": ["sents"], "triples": ["sents"], "votes": ["triples"], "toks": ["sents"], "pairs": ["toks"], "spans": ["pairs"], "np": ["spans"], "chunks": ["toks"], "wedges": ["toks"]}
+CTE["copula"] = f"(select doc_id, sent, tok, case when tok = 3 then 0 else head end as head, text, lemma, pos_tag, {COPULA} as dep from toks)"
+CTE["copula_pairs"] = CTE["pairs"].replace("toks", "copula")
+CTE["copula_spans"] = CTE["spans"].replace("pairs", "copula_pairs").replace("toks", "copula")
+CTE["supply"] = f"(select concat('s', k) as src, {SUPPLY_TO}, 'next' as rel, ((k * 31 + j * 17) % 997 + k / 1000.0 + j / 100000.0)::double as weight, k * 10 + j as pos from (select s_suppkey as k, unnest([1, 7, 11]) as j from supplier))"
+_NEEDS = {"copula": ["toks"], "copula_pairs": ["copula"], "copula_spans": ["copula_pairs"], "claims": ["sents"], "triples": ["sents"], "votes": ["triples"], "toks": ["sents"], "pairs": ["toks"], "spans": ["pairs"], "np": ["spans"], "chunks": ["toks"], "wedges": ["toks"]}
 
 
 def with_views(sql: str, *names: str) -> str:

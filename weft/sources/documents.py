@@ -14,10 +14,10 @@ def load_text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).selectExpr("_metadata.file_path as path", "value as text")
 
 
-def write_kg(result: dict[str, DataFrame], path: str, partition_by: str | None = None) -> None:
-    """A Parquet table for each of input, splits, relation_schema, nodes and edges (as far as given)."""
+def write_kg(result: dict[str, DataFrame], path: str, partition_by: str | None = None, mode: str = "error") -> None:
+    """A Parquet table for each of input, splits, relation_schema, nodes and edges (as far as given). A folder that is there is an error, or as mode says."""
     for name, df in result.items():
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode(mode)
         (writer.partitionBy(partition_by) if partition_by and partition_by in df.columns else writer).parquet(f"{path}/{name}")
 
 

@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _VALUES = "attvalues struct<attvalue: array<struct<_for: string, _value: string>>>"
+_DECLARED = "_class string, attribute array<struct<_id: string, _title: string, _type: string>>"
+
+
+def _typed(value: Column, kind: Column) -> Column:
+    """A variant of the declared type; a value that isn't of it, or of a type that isn't known, stays a string."""
+    number = F.when(kind.isin("integer", "long", "int"), value.try_cast("bigint").cast("variant")).when(kind.isin("float", "double"), value.try_cast("double").cast("variant"))
+    return F.coalesce(number.when(kind == "boolean", value.try_cast("boolean").cast("variant")), value.cast("variant"))
 
 
 def read_graph_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes(id, label, attributes), edges(id, source, target, weight, attributes)); attributes map an attribute's id to its text."""
-    attributes = F.map_from_entries(F.coalesce(F.col("attvalues.attvalue"), F.array().cast("array<struct<_for: string, _value: string>>"))).alias("attributes")
-    read = lambda tag, fields: spark.read.format("xml").option("rowTag", tag).schema(f"{fields}, {_VALUES}").load(path)
-    nodes = read("node", "_id string, _label string").select(F.col("_id").alias("id"), F.col("_label").alias("label"), attributes)
-    edges = read("edge", "_id string, _source string, _target string, _weight double").select(F.col("_id").alias("id"), F.col("_source").alias("source"), F.col("_target").alias("target"), F.col("_weight").alias("weight"), attributes)
-    return nodes, edges
+    """(nodes(id, label, attributes), edges(id, source, target, weight, directed, attributes)); attributes: map of title -> variant of the declared type.
+
+    Attributes that are not declared go by their id, as strings. Edges are directed as they say, else by the graph's
+    default, else not. Declarations are as many as the graphs have kinds of attributes, and are read first.
+    """
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    declared = read("attributes", _DECLARED).select("_class", F.explode("attribute").alias("a")).select("_class", "a.*").distinct().collect()
+    default = read("graph", "_defaultedgetype string").where("_defaultedgetype is not null").select("_defaultedgetype").limit(1).collect()
+
+    def attributes(kind: str) -> Column:
+        own = {r["_id"]: (r["_title"], r["_type"]) for r in declared if r["_class"] == kind}
+        look = lambda k: F.create_map(*(F.lit(x) for i, v in sorted(own.items()) for x in (i, v[k]))) if own else F.create_map().cast("map<string,string>")
+        values = F.coalesce(F.col("attvalues.attvalue"), F.array().cast("array<struct<_for: string, _value: string>>"))
+        pairs = F.transform(values, lambda x: F.struct(F.coalesce(F.try_element_at(look(0), x["_for"]), x["_for"]).alias("key"), _typed(x["_value"], F.coalesce(F.try_element_at(look(1), x["_for"]), F.lit("string"))).alias("value")))
+        return F.map_from_entries(pairs).alias("attributes")
+
+    nodes = read("node", f"_id string, _label string, {_VALUES}").select(F.col("_id").alias("id"), F.col("_label").alias("label"), attributes("node"))
+    edges = read("edge", f"_id string, _source string, _target string, _weight double, _type string, {_VALUES}")
+    kind = F.coalesce("_type", F.lit(default[0][0] if default else "undirected"))
+    return nodes, edges.select(F.col("_id").alias("id"), F.col("_source").alias("source"), F.col("_target").alias("target"), F.col("_weight").alias("weight"), (kind == "directed").alias("directed"), attributes("edge"))
