@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lex
 from ..functions import text as T
 from ..operators import answers, graph, kg, references, relations, sentences, tokens
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from ..sources.documents import read_kg, write_kg
 from ..sources.graph_xml import read_graph_xml
 from . import pipelines
@@ -247,7 +247,7 @@ def _plain(name: str) -> str:
 
 
 _ENDS = " union all ".join(f"select doc_id, unnest([src, dst]) as label from ({_plain(x)})" for x in ("x1_part_of", "x2_function_marker", "x3_function_verb", "x4_property", "x5_spatial", "x6_condition"))
-_add("x7_concept_nodes", lambda v: relations.concept_nodes(v.chunks, pipelines.concept_edges(v.toks, tokens.parse(_marked_toks(v)), v.chunks, **_ALL_WORDS)), r"""select distinct doc_id, label from (select doc_id, trim(regexp_replace(regexp_replace(chunk, '(^|[^\pL\pN_])said\s+', '\1the ', 'gi'), '\s+', ' ', 'g'), ' ,;') as label from chunks
+_add("x7_concept_nodes", lambda v: relations.concept_nodes(v.chunks, pipelines.concept_edges(v.toks, cut_lineage(tokens.parse(_marked_toks(v)), "parsed"), v.chunks, **_ALL_WORDS)), r"""select distinct doc_id, label from (select doc_id, trim(regexp_replace(regexp_replace(chunk, '(^|[^\pL\pN_])said\s+', '\1the ', 'gi'), '\s+', ' ', 'g'), ' ,;') as label from chunks
  union all """ + _ENDS + ") where label <> ''", "chunks", "np")
 _REL = "case pos % 5 when 0 then 'part-of' when 1 then 'function-of' when 2 then 'spatial' when 3 then 'condition' else 'other' end"
 _add("x8_rel_weight", lambda v: relations.with_rel_weight(v.triples.selectExpr("doc_id", "pos", f"{_REL} as rel")), f"select doc_id, pos, rel, case rel when 'part-of' then 3.0 when 'function-of' then 2.0 else 1.0 end::double as weight from (select doc_id, pos, {_REL} as rel from triples)", "triples")
