@@ -185,7 +185,7 @@ def shingle_set(text: bytes | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(ids, max(1, min(shingle, len(ids)))))
 
 
-def _alike(pairs: DataFrame, held: DataFrame, shingle: int, tenths: int, chunk: int = 1_000) -> DataFrame:
+def _alike(pairs: DataFrame, held: DataFrame, shingle: int, tenths: int, chunk: int = 250) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets reach the similarity: common / (all - common) >= tenths / 10. held: (key, text), packed.
 
     A hub a with many partners is dealt out in groups of about `chunk`; its text comes first in each, the partners follow
