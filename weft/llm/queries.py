@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import op1_decontaminate, op2_language, op3_quality, op4_tools, op5_simhash, op6_tokens, op7_substring, op8_mix, op9_rules, op10_suffix
+from . import op1_decontaminate, op2_language, op3_quality, op4_tools, op5_simhash, op6_tokens, op7_substring, op8_mix, op9_rules, op10_suffix, op11_runs, op12_search, op13_tokens
 
 _MODULES = {
     "op1_decontamination": op1_decontaminate,
@@ -17,6 +17,9 @@ _MODULES = {
     "op8_mixing": op8_mix,
     "op9_quality_rules": op9_rules,
     "op10_suffix_dedup": op10_suffix,
+    "op11_periodic_runs": op11_runs,
+    "op12_lexical_search": op12_search,
+    "op13_token_files": op13_tokens,
 }
 
 
