@@ -206,7 +206,11 @@ def test_token_files_of_many_stripes(spark):
 
     at = tempfile.mkdtemp(prefix="spark-") + "/tokens"
     rows = [(i if i % 3 else 7, cases.prose(i, 40), "en", "a") for i in range(9000)]
-    tokens.write_token_files(cases.docs(spark, rows).repartition(4), at, VOCABULARY, **{"orc.stripe.size": "65536", "orc.row.index.stride": "1000"})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokens.write_token_files(cases.docs(spark, rows).repartition(4), at, VOCABULARY, **{"orc.stripe.size": "65536", "orc.row.index.stride": "1000"})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     files = [r[0].removeprefix("file://") for r in spark.read.orc(at).select(F.input_file_name()).distinct().collect()]
     assert len(files) >= 2 and all(orc.ORCFile(f).nstripes > 1 for f in files)
     assert spark.read.orc(at).where("doc_id = 7").select("file").distinct().count() >= 2

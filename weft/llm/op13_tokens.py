@@ -28,7 +28,7 @@ MOST_VOCABULARY_MB = 64
 MOST_WORDS = 400_000
 #: How the vocabulary's encoder cuts lower-cased words of ASCII (fixed value).
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-ORC = {"orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
+ORC = {"orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20), "orc.rows.between.memory.checks": "200", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
 _encoders: dict[int, Words] = {}
 
 
