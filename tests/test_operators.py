@@ -1,6 +1,7 @@
 """Rules of the operators on small fixtures whose answers were worked out by hand."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +135,50 @@ def test_annotated_mentions(spark):
     assert got == {(1, "s1"): "The red pump[Ref:E2] drives a Pump[Ref:E1] and pumps.", (1, "s2"): "axb, a.b[Ref:E3]", (1, "s3"): "nothing", (1, "s4"): None, (2, "s1"): "a red pump[Ref:E1]"}
 
 
+def test_mentions_beside_punctuation_and_inside_tags(spark):
+    schema = "doc_id bigint, sid string, text string, by string, h string, spans string"
+    splits = spark.createDataFrame([(1, "s1", "The pump, runs. A valve; (pump)", *"xyz"), (2, "s1", "the pump runs and ref is E1", *"xyz"), (None, "s1", "a  pump", *"xyz"), (2, "s1", "the pump runs and ref is E1", *"xyz"), (3, "s1", "pump", *"xyz")], schema)
+    entities = spark.createDataFrame([(1, "pump", "E1"), (1, "valve", "E2"), (2, "pump", "E1"), (2, "ref", "E2"), (2, "e1", "E3"), (None, "a pump", "E9"), (1, " ", "E7"), (1, None, "E8")], "doc_id bigint, label string, id string")
+    out = kg.annotate_refs(splits, entities)
+    assert out.columns == splits.columns
+    both = (2, "the pump[Ref:E1] runs and ref[Ref:E2] is E1[Ref:E3]")
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, "The pump[Ref:E1], runs. A valve[Ref:E2]; (pump[Ref:E1])"), both, both, (None, "a  pump[Ref:E9]"), (3, "pump")], key=str)
+    assert [r["text"] for r in kg.annotate_refs(splits, entities.limit(0)).where("doc_id = 3").collect()] == ["pump"] and kg.annotate_refs(splits.limit(0), entities).count() == 0
+
+
+def test_phrases_against_brute_force(spark):
+    rnd = random.Random(3)
+    word = lambda: rnd.choice(["a", "B", "ab", "ñ", "(", ".", "a1", "_"])
+    texts = ["".join(word() + rnd.choice(["", " ", "  "]) for _ in range(rnd.randint(0, 30))) for _ in range(300)]
+    aliases = {"".join(word() + rnd.choice(["", " "]) for _ in range(rnd.randint(1, 4))).strip(): f"<{k}>" for k in range(60)}
+    table = {}
+    for alias, entity in sorted(aliases.items(), reverse=True):  # the first of those that are equal but for case stands
+        table[alias.lower()] = entity
+
+    def rewritten(text):
+        parts, out, at = re.findall(r"\w+|\s+|[^\w\s]", text), "", 0
+        while at < len(parts):
+            for n in range(len(parts) - at, 0, -1):
+                found = table.get("".join(" " if p.isspace() else p.lower() for p in parts[at : at + n]))
+                if found:
+                    out, at = out + found, at + n
+                    break
+            else:
+                out, at = out + parts[at], at + 1
+        return out
+
+    got = references.apply_aliases(spark.createDataFrame([(t,) for t in texts], "text string"), aliases)
+    assert sorted(r[0] for r in got.collect()) == sorted(map(rewritten, texts))
+
+
+def test_many_aliases(spark):
+    """A hundred thousand aliases, most of one first word, cost joins and no pattern each."""
+    aliases = spark.range(100_000).selectExpr("concat('the part ', id) as alias", "concat('<P', id, '>') as entity")
+    texts = spark.range(2000).selectExpr("concat('The  part ', id * 7, ', the part x and THE PART ', id, '.') as text", "id")
+    got = references.apply_aliases(texts, aliases)
+    assert got.where("text <> concat('<P', id * 7, '>, the part x and <P', id, '>.')").count() == 0 and got.count() == 2000
+
+
 def test_concept_tree(toks):
     alone = toks.where("sent = 2").withColumn("doc_id", F.lit(2).cast("bigint"))
     got = {tuple(r) for r in pipelines.concept_tree(toks.unionByName(alone)).collect()}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import cut_lineage
+from .phrases import rewrite_phrases
 
 KEY = ("doc_id", "sid", "subject", "object", "surface_pred")
 
@@ -48,13 +49,14 @@ def entity_dictionary(mentions: DataFrame, prefix: str = "E") -> DataFrame:
 
 
 def annotate_refs(splits: DataFrame, entities: DataFrame) -> DataFrame:
-    """splits(doc_id, sid, text) with [Ref:EX] after each whole-word mention of its document's entities, longest label first."""
-    words = splits.select("doc_id", "sid", F.explode(F.array_distinct(T.words(F.lower("text")))).alias("word"))
-    heads = entities.select("doc_id", "label", "id", F.get(T.words(F.lower("label")), F.lit(0)).alias("word"))
-    near = words.join(heads, ["doc_id", "word"]).groupBy("doc_id", "sid").agg(F.array_sort(F.collect_set(F.struct((-F.length("label")).alias("n"), "label", "id"))).alias("refs"))
-    annotated = F.aggregate("refs", F.col("text"), lambda t, r: F.regexp_replace(t, F.concat(F.lit(r"(?iU)(?<!\w)("), F.regexp_replace(r["label"], r"([^\w\s])", r"\\$1"), F.lit(r")(?!\w|\[Ref)")), F.concat(F.lit("$1[Ref:"), r["id"], F.lit("]"))))
-    out = splits.join(near, ["doc_id", "sid"], "left")
-    return out.withColumn("text", F.when(F.col("refs").isNull(), F.col("text")).otherwise(annotated)).drop("refs")
+    """splits(doc_id, sid, text) with [Ref:EX] after each mention of its document's entities(doc_id, label, id).
+
+    Mentions are whole words in any case, whatever punctuation stands beside them; leftmost first, of one place the longest
+    label (see phrases). Labels that are equal but for case and white space are one, under the first of them. Tags are never
+    searched. Null texts stay; a null doc_id is a document like others.
+    """
+    tagged = entities.select("doc_id", "label", F.concat(F.lit("[Ref:"), "id", F.lit("]")).alias("tag"))
+    return rewrite_phrases(splits, tagged, "label", "tag", ("doc_id",), keep=True)
 
 
 def build_kg(entities: DataFrame, triples: DataFrame) -> tuple[DataFrame, DataFrame]:

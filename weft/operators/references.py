@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from .phrases import rewrite_phrases
 
 
-def apply_aliases(df: DataFrame, aliases: dict[str, str], column: str = "text") -> DataFrame:
-    """Phrases become their entity; the longest phrase wins."""
-    return df.withColumn(column, T.normalize_synonyms(F.col(column), aliases))
+def apply_aliases(df: DataFrame, aliases: DataFrame | dict[str, str], column: str = "text") -> DataFrame:
+    """Phrases become their entity: aliases(alias, entity), or a few as a dict. Of overlapping phrases the leftmost stands, of one place the longest.
+
+    Whole words in any case; entities are not searched again (see phrases). An alias with several entities takes the least.
+    """
+    if not isinstance(aliases, DataFrame):
+        aliases = df.sparkSession.createDataFrame(list(aliases.items()), "alias string, entity string")
+    return rewrite_phrases(df, aliases, "alias", "entity", column=column)
 
 
 def context_asof(updates: DataFrame, sentences: DataFrame) -> DataFrame:

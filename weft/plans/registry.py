@@ -167,6 +167,33 @@ _add("b12_prepositions", _claims(T.standardize_prepositions), r"select doc_id, p
 # References
 _ALIASES = {"the tank": "<TANK>", "pump": "<PUMP>", "the valve": "<VALVE>"}
 _add("r1_aliases", lambda v: references.apply_aliases(v.claims, _ALIASES), r"select doc_id, pos, regexp_replace(regexp_replace(regexp_replace(text, '\bthe valve\b', '<VALVE>', 'gi'), '\bthe tank\b', '<TANK>', 'gi'), '\bpump\b', '<PUMP>', 'gi') as text from claims", "claims")
+_PIECE = r"'[\pL\pN_]+|\s+|[^\pL\pN_\s]'"
+
+
+def _mentions_sql(texts: str, phrases: str, by: str = "") -> str:
+    """(doc_id, pos, p, out): pieces of texts(doc_id, pos, text) and the leftmost-longest mentions in them of phrases(by, phrase, value), as (at, e, value), e the piece after."""
+    on, key = (f"k.{by} = u.{by} and ", f"{by}, ") if by else ("", "")
+    return f"""(with k as materialized (select {key}lower(phrase) as key, len(regexp_extract_all(phrase, {_PIECE})) as n, lower(regexp_extract_all(phrase, {_PIECE})[1]) as head, min(value) as value from {phrases} where trim(phrase) <> '' group by all),
+ w as materialized (select doc_id, pos, regexp_extract_all(text, {_PIECE}) as p from {texts}),
+ h as (select distinct {key}head, n from k),
+ g as (select u.doc_id, u.pos, i, k.n, lower(array_to_string(p[i : i + n - 1], '')) as key from (select *, generate_subscripts(p, 1) as i from w) u join h k on {on}k.head = lower(p[i])),
+ m as (select u.doc_id, u.pos, i, max(k.n) as n, arg_max(value, k.n) as value from g u join k on {on}k.key = u.key and k.n = u.n group by 1, 2, 3),
+ l as (select doc_id, pos, list({{'s': i, 'e': i + n, 'out': [{{'at': i, 'e': i + n, 'value': value}}]}} order by i) as l from m group by 1, 2)
+ select doc_id, pos, p, list_reduce(l, lambda a, x: case when x.s >= a.e then {{'s': x.s, 'e': x.e, 'out': list_concat(a.out, x.out)}} else a end).out as out from w left join l using (doc_id, pos))"""
+
+
+#: Phrases of one and of two words, of the whole table.
+_PHRASES = "select object as label, pos, doc_id from triples where length(object) > 3 union all select concat(subject, ' ', surface_pred), pos, doc_id from triples where pos % 3 = 0"
+
+
+def _phrases(v: Views) -> DataFrame:
+    one = v.triples.where("length(object) > 3").select(F.col("object").alias("label"), "pos", "doc_id")
+    return one.union(v.triples.where("pos % 3 = 0").select(F.concat("subject", F.lit(" "), "surface_pred"), "pos", "doc_id"))
+
+
+_add("r1_alias_table", lambda v: references.apply_aliases(v.claims, _phrases(v).select(F.col("label").alias("alias"), F.concat(F.lit("<"), F.replace("label", F.lit(" "), F.lit("_")), F.lit(">")).alias("entity")).distinct()),
+     "select doc_id, pos, case when out is null then array_to_string(p, '') else array_to_string(list_transform(p, lambda x, i: case when list_bool_or(list_transform(out, lambda o: o.at = i)) then list_filter(out, lambda o: o.at = i)[1].value when list_bool_or(list_transform(out, lambda o: o.at < i and i < o.e)) then '' else x end), '') end as text from "
+     + _mentions_sql("claims", f"(select label as phrase, concat('<', replace(label, ' ', '_'), '>') as value from ({_PHRASES}))"), "claims", "triples")
 _UPDATES = "select conv_id as doc_id, turn as pos, concat('p.', role, case when turn % 2 = 0 then '.a' else '' end) as path, text as value from conversations"
 
 
@@ -292,7 +319,9 @@ _add("g2_clean_relations", lambda v: kg.clean_relations(v.triples.selectExpr("do
 _ENT = "(select doc_id, label, first_pos, concat('E', row_number() over (partition by doc_id order by first_pos, label)) as id from (select doc_id, object as label, min(pos) as first_pos from triples group by 1, 2))"
 _mentions = lambda v: v.triples.select("doc_id", "pos", F.col("object").alias("label"))
 _add("g3_entity_dictionary", lambda v: kg.entity_dictionary(_mentions(v)), f"select * from {_ENT}", "triples")
-_add("g4_annotate_refs", lambda v: kg.annotate_refs(v.sents.select("doc_id", F.concat(F.lit("s"), F.col("pos") + 1).alias("sid"), F.col("s").alias("text")), kg.entity_dictionary(_mentions(v))))
+_add("g4_annotate_refs", lambda v: kg.annotate_refs(v.sents.select("doc_id", F.concat(F.lit("s"), F.col("pos") + 1).alias("sid"), F.col("s").alias("text")), kg.entity_dictionary(_phrases(v))),
+     "select doc_id, concat('s', pos + 1) as sid, case when out is null then array_to_string(p, '') else array_to_string(list_transform(p, lambda x, i: x || coalesce('[Ref:' || list_filter(out, lambda o: o.e = i + 1)[1].value || ']', '')), '') end as text from "
+     + _mentions_sql("(select doc_id, pos, s as text from sents)", f"(select doc_id, label as phrase, concat('E', row_number() over (partition by doc_id order by first_pos, label)) as value from (select doc_id, label, min(pos) as first_pos from ({_PHRASES}) group by 1, 2))", "doc_id"), "triples")
 _add("g5_kg_nodes", lambda v: pipelines.kg.build_kg(kg.entity_dictionary(_mentions(v)), v.triples)[0], f"select doc_id, id, label, 'Entity' as type from {_ENT}", "triples")
 _add("g5_kg_edges", lambda v: pipelines.kg.build_kg(kg.entity_dictionary(_mentions(v)), v.triples)[1], "select doc_id, subject as source, object as target, surface_pred as predicate, sid as evidence from triples", "triples")
 _KEY = "doc_id, sid, subject, object, surface_pred"
