@@ -174,9 +174,9 @@ def test_word_ids_are_those_of_the_whole_text(spark, sf_dir):
     from tokenizers import Tokenizer
 
     own, whole = tokens.Words(open(VOCABULARY, encoding="utf-8").read()), Tokenizer.from_file(VOCABULARY)
-    rnd = random.Random(5)
+    rnd, latin = random.Random(5), "".join(map(chr, range(0x20, 0x250)))
     alphabet = "ab'sS téñÑ İΣσ1½,.\n\t\x85<|>_" + "é"
-    texts = STRANGE + ["".join(rnd.choice(alphabet) for _ in range(60)) for _ in range(2000)] + [r[0] or "" for r in read_table(spark, sf_dir, "documents").select("text").collect()]
+    texts = STRANGE + ["".join(rnd.choice(alphabet) for _ in range(60)) for _ in range(2000)] + ["".join(rnd.choice(latin) for _ in range(60)) for _ in range(500)] + [r[0] or "" for r in read_table(spark, sf_dir, "documents").select("text").collect()]
     for text in texts:
         assert np.frombuffer(own.of(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text[:80]
 

@@ -7,7 +7,8 @@ encoded stripes, keeps least and greatest values of each stripe and of each few
 ids; readers split files at stripes and pass over those that can't hold what is asked for.
 
 No piece that the vocabulary's encoder merges reaches over white space, so words are encoded one by one and remembered: the ids
-are those of the whole text (tests compare both). Words of printable ASCII go straight to the encoder's merges.
+are those of the whole text (tests compare both). Words of ASCII and Latin-1 letters go straight to the encoder's merges,
+others through the whole encoder.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,32 +27,53 @@ from .common import read_table, slices
 
 END = 1
 MOST_VOCABULARY_MB = 64
-MOST_WORDS = 400_000
-#: How the vocabulary's encoder cuts lower-cased words of ASCII (fixed value).
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+MOST_WORDS, MOST_PIECES = 500_000, 1_000_000
+_LETTERS = "a-z\u00df\u00e0-\u00f6\u00f8-\u00ff"
+#: Words that are cut here: of printable ASCII and the letters of Latin-1, which are their own composed forms.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,100}")
+#: How the vocabulary's encoder cuts such words in lower case (fixed value).
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
 ORC = {"orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20), "orc.rows.between.memory.checks": "200", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
 _encoders: dict[int, Words] = {}
 
 
+class Pieces(dict):
+    """Ids of a piece in lower case, by the encoder's merges, as bytes (unsigned, 32 bits, little-endian); remembered; cleared at MOST_PIECES."""
+
+    def __init__(self, encoder):
+        from tokenizers import pre_tokenizers
+
+        super().__init__()
+        self.merge = encoder.model.tokenize
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}  # how the merges spell bytes
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MOST_PIECES:
+            self.clear()
+        self[piece] = out = array("I", [t.id for t in self.merge(piece if piece.isascii() else piece.translate(self.spelled))]).tobytes()
+        return out
+
+
 class Words(dict):
-    """Ids of a word as bytes (unsigned, 32 bits, little-endian), remembered; cleared when it holds MOST_WORDS words, so memory stays bounded."""
+    """Ids of a word, as Pieces has them; cleared when it holds MOST_WORDS words, so memory stays bounded."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.encoder = Tokenizer.from_str(vocabulary)
-        self.merge = self.encoder.model.tokenize
+        self.pieces = Pieces(self.encoder)
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MOST_WORDS:
             self.clear()
         text = word.decode("utf-8", "replace")
-        if text.isascii() and text.isprintable() and "<|" not in text and len(text) < 100:
-            ids = [t.id for piece in _PIECES.findall(text.lower()) for t in self.merge(piece)]
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            out = b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
         else:
-            ids = self.encoder.encode(text, add_special_tokens=False).ids
-        self[word] = out = np.array(ids, "<u4").tobytes()
+            out = array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = out
         return out
 
     def of(self, text: bytes | None) -> bytes:
