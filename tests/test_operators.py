@@ -135,6 +135,23 @@ def test_annotated_mentions(spark):
     assert got == {(1, "s1"): "The red pump[Ref:E2] drives a Pump[Ref:E1] and pumps.", (1, "s2"): "axb, a.b[Ref:E3]", (1, "s3"): "nothing", (1, "s4"): None, (2, "s1"): "a red pump[Ref:E1]"}
 
 
+def test_clauses_of_three_levels(spark):
+    """Punctuation, markers and conjuncts cut one sentence; a conjunct of another clause's root doesn't."""
+    text = "The pump runs and  stops ;it heats wherein valves open, and close and leak: done"
+    words = "The>1 pump>2 runs>2 and>4 stops>2:conj ;>2 it>7 heats>2 wherein>10 valves>10 open>7 ,>12 and>13 close>10:conj and>15 leak>10:conj :>2 done>2:conj"
+    rows = [(1, 0, k, int(w.split(">")[1].split(":")[0]), w.split(">")[0], "conj" if w.endswith(":conj") else "x") for k, w in enumerate(words.split())]
+    toks = spark.createDataFrame(rows + [(None, 0, k, 0, w, "conj" if k else "ROOT") for k, w in enumerate(["a", "b"])], "doc_id bigint, sent int, tok int, head int, text string, dep string")
+    df = spark.createDataFrame([(1, 0, text, "x", 7), (1, 1, "no tokens: here", "x", 7), (1, 2, None, "x", 7), (1, 3, " ", "x", 7), (None, 0, "a b", "x", 7)], "doc_id bigint, pos int, text string, at string, part int")
+    got = sorted(((r["doc_id"], r["pos"], r["part"], r["clause"]) for r in sentences.split_clauses(df, tokens=toks).collect()), key=str)
+    want = ["The pump runs and", "stops", "it heats", "wherein valves open, and", "close and", "leak", "done"]
+    assert got == sorted([*((1, 0, k, c) for k, c in enumerate(want)), (1, 1, 0, "no tokens"), (1, 1, 1, "here"), (None, 0, 0, "a"), (None, 0, 1, "b")], key=str)
+    long = spark.createDataFrame([(1, 0, "ab " * 30_000)], "doc_id bigint, pos int, text string")
+    many = spark.range(30_000).selectExpr("1L as doc_id", "0 as sent", "id as tok", "0 as head", "'ab' as text", "if(id in (7, 29999), 'conj', 'x') as dep")
+    assert [len(r["clause"].split()) for r in sentences.split_clauses(long, tokens=many).orderBy("part").collect()] == [7, 29_992, 1]
+    plain = sentences.split_clauses(df, tokens=toks.limit(0))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, sentences.split_clauses(df).collect()))
+
+
 def test_mentions_beside_punctuation_and_inside_tags(spark):
     schema = "doc_id bigint, sid string, text string, by string, h string, spans string"
     splits = spark.createDataFrame([(1, "s1", "The pump, runs. A valve; (pump)", *"xyz"), (2, "s1", "the pump runs and ref is E1", *"xyz"), (None, "s1", "a  pump", *"xyz"), (2, "s1", "the pump runs and ref is E1", *"xyz"), (3, "s1", "pump", *"xyz")], schema)

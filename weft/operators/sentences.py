@@ -50,14 +50,80 @@ def marker_parts(c: Column) -> Column:
 
 
 def clause_parts(c: Column) -> Column:
-    """Punctuation, then markers; stripped, empties dropped. Where tokens are given, split_on_conj() cuts further."""
+    """Punctuation, then markers; stripped, empties dropped."""
     pieces = F.flatten(F.transform(punct_parts(c), marker_parts))
     return F.filter(F.transform(pieces, T.strip), lambda x: x != "")
 
 
-def split_clauses(df: DataFrame, column: str = "text", parts=clause_parts) -> DataFrame:
-    """The rows of df, one for each clause (part, clause)."""
-    return _exploded(df, parts(F.col(column)), "part", "clause")
+def split_clauses(df: DataFrame, column: str = "text", parts=clause_parts, tokens: DataFrame | None = None) -> DataFrame:
+    """The rows of df, one for each clause (part, clause).
+
+    tokens(doc_id, sent, tok, head, text, dep): the tokens of each row's text, df's (doc_id, pos) being their (doc_id, sent). With
+    them the clauses of punctuation and markers (parts is not looked at) are also cut before each token of dep conj that hangs
+    on its clause's root, the first of its tokens of which the head is itself or outside the clause. Tokens are laid over the
+    clauses by counting characters other than white space. Sentences without tokens, and clauses in which none starts, stay.
+    """
+    if tokens is None:
+        return _exploded(df, parts(F.col(column)), "part", "clause")
+    before = Window.partitionBy("doc_id", "sent").orderBy("tok").rowsBetween(Window.unboundedPreceding, -1)
+    rows = tokens.withColumn("at", F.coalesce(F.sum(_solid(F.col("text"))).over(before), F.lit(0)))
+    rows = rows.groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(F.struct("tok", "head", "dep", "at"))).alias("_tokens"))
+    key = [F.col("_doc").eqNullSafe(F.col("doc_id")) & F.col("_sent").eqNullSafe(F.col("pos"))]
+    both = df.join(rows.withColumnsRenamed({"doc_id": "_doc", "sent": "_sent"}), key, "left").drop("_doc", "_sent")
+    placed = _placed(F.col(column))
+    cut = both.withColumn("_clauses", F.when(F.col("_tokens").isNull(), F.transform(placed, lambda c: F.array(c["text"]))).otherwise(_conj_parts(placed, F.col("_tokens"))))
+    return _exploded(cut, F.flatten("_clauses"), "part", "clause").drop("_clauses", "_tokens")
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _solid(c: Column) -> Column:
+    """Number of characters that are no white space."""
+    return F.length(F.regexp_replace(c, r"(?U)\s+", ""))
+
+
+def _summed(items: Column, size) -> Column:
+    """For each of the items the sum of the sizes before it, and behind them the sum of all."""
+    zero = F.array(F.lit(0))
+    return F.aggregate(items, zero, lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + F.coalesce(size(x), F.lit(0)))))
+
+
+def _placed(c: Column) -> Column:
+    """Clauses of punctuation and markers as structs: text, and the range [at, end) of solid characters of c that it covers; separators count between."""
+    pieces = punct_parts(c)
+    sums = lambda items: _summed(items, _solid)
+
+    def inside(piece: Column, at: Column) -> Column:
+        own = marker_parts(piece)
+        return _let(own, lambda own: _let(sums(own), lambda s: F.transform(own, lambda x, k: F.struct(T.strip(x).alias("text"), (at + F.get(s, k)).alias("at"), (at + F.get(s, k + 1)).alias("end")))))
+
+    placed = _let(pieces, lambda pieces: _let(sums(pieces), lambda s: F.flatten(F.transform(pieces, lambda x, k: inside(x, F.get(s, k) + k)))))
+    return F.filter(placed, lambda x: x["text"] != "")
+
+
+def _conj_parts(placed: Column, tokens: Column) -> Column:
+    """For each placed clause its parts, cut before the conjuncts of its root."""
+
+    def parts(c: Column) -> Column:
+        own = F.filter(tokens, lambda t: (t["at"] >= c["at"]) & (t["at"] < c["end"]))
+        return _let(own, lambda own: F.when(F.size(own) == 0, F.array(c["text"])).otherwise(cut(c, own, F.get(own, F.lit(0))["tok"], F.element_at(own, -1)["tok"])))
+
+    def cut(c: Column, own: Column, lo: Column, hi: Column) -> Column:
+        roots = F.filter(own, lambda t: (t["head"] == t["tok"]) | (t["head"] < lo) | (t["head"] > hi))
+        cuts = _let(F.get(roots, F.lit(0))["tok"], lambda root: F.transform(F.filter(own, lambda t: (t["dep"] == "conj") & (t["head"] == root) & (t["tok"] > lo)), lambda t: t["at"] - c["at"]))
+        return _let(cuts, lambda cuts: F.when(F.size(cuts) == 0, F.array(c["text"])).otherwise(pieces(c["text"], F.concat(cuts, F.array(c["end"] - c["at"])))))
+
+    def pieces(text: Column, ends: Column) -> Column:
+        letters = F.regexp_extract_all(F.regexp_replace(text, r"(?U)\s", " "), F.lit("(?s)."), F.lit(0))
+        solid = F.array_compact(F.transform(letters, lambda x, i: F.when(x != " ", i + 1)))  # the place of each solid character
+        at = _let(solid, lambda solid: F.concat(F.array(F.lit(0)), F.transform(ends, lambda n: F.get(solid, n - 1))))
+        places = _let(at, lambda at: F.transform(ends, lambda _, k: F.substring(text, F.get(at, k) + 1, F.get(at, k + 1) - F.get(at, k))))
+        return F.filter(F.transform(places, T.strip), lambda x: x != "")
+
+    return F.transform(placed, parts)
 
 
 def _exploded(df: DataFrame, parts: Column, place: str, item: str) -> DataFrame:

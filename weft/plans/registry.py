@@ -95,6 +95,21 @@ _add("c4_split_on_markers", lambda v: sentences.split_clauses(v.claims, parts=se
  from (select *, {_WORDS.format('text')} as w from claims))""", "claims")
 _add("c5_split_on_conj", lambda v: sentences.split_on_conj(v.toks), "select doc_id, sent, part, string_agg(text, ' ' order by tok) as clause from (select *, sum(case when dep = 'conj' and head = 0 and tok > 0 then 1 else 0 end) over (partition by doc_id, sent order by tok) as part from toks) group by 1, 2, 3", "toks")
 _add("c6_split_clauses", lambda v: sentences.split_clauses(v.claims).select("doc_id", "pos", "part", "clause"), f"select * from {_CLAUSES}", "claims")
+_SOLID = r"length(regexp_replace({0}, '\s+', '', 'g'))"
+_BEFORE = "rows between unbounded preceding and 1 preceding"
+_add("c6_split_clauses_conj", lambda v: sentences.split_clauses(v.claims, tokens=v.clause_toks).select("doc_id", "pos", "part", "clause"),
+     rf""", pc as (select doc_id, pos, generate_subscripts(l, 1) as k, unnest(l) as piece from {_PUNCT}),
+ pa as (select *, coalesce(sum({_SOLID.format('piece')}) over (partition by doc_id, pos order by k {_BEFORE}), 0) + k - 1 as a from pc),
+ mk as (select doc_id, pos, k, a, generate_subscripts(m, 1) as j, unnest(m) as c from (select *, case when {_MARKED} then {_CUT} else [piece] end as m from (select *, {_WORDS.format('piece')} as w from pa))),
+ cl as (select doc_id, pos, k, j, {_STRIP.format('c')} as clause, {_SOLID.format('c')} as n, a + coalesce(sum({_SOLID.format('c')}) over (partition by doc_id, pos, k order by j {_BEFORE}), 0) as s from mk),
+ tk as (select doc_id, sent as pos, tok, head, dep, coalesce(sum(length(text)) over (partition by doc_id, sent order by tok {_BEFORE}), 0) as o from clause_toks),
+ own as (select cl.*, tok, head, dep, o, min(tok) over w as lo, max(tok) over w as hi from cl join tk on tk.doc_id = cl.doc_id and tk.pos = cl.pos and o >= s and o < s + n window w as (partition by cl.doc_id, cl.pos, k, j)),
+ rt as (select doc_id, pos, k, j, min(tok) filter (where head = tok or head < lo or head > hi) as root from own group by all),
+ ct as (select doc_id, pos, k, j, list((o - s)::bigint order by o) as cuts from own join rt using (doc_id, pos, k, j) where dep = 'conj' and head = root and tok > lo group by all),
+ sp as (select doc_id, pos, k, j, clause, cuts, list_filter(range(1, length(clause) + 1), lambda i: trim(substring(clause, i, 1)) <> '') as x from cl left join ct using (doc_id, pos, k, j)),
+ bd as (select *, list_concat(list_concat([0], list_transform(coalesce(cuts, []), lambda q: x[q + 1] - 1)), [length(clause)]) as b from sp),
+ pt as (select doc_id, pos, k, j, generate_subscripts(l, 1) as i, unnest(l) as clause from (select *, list_transform(range(1, len(b)), lambda i: trim(substring(clause, b[i] + 1, b[i + 1] - b[i]))) as l from bd))
+ select doc_id, pos, cast(row_number() over (partition by doc_id, pos order by k, j, i) - 1 as int) as part, clause from pt where clause <> ''""", "clause_toks")
 _add("c7_finalize_short_docs", lambda v: sentences.finalize_short_docs(sentences.split_clauses(v.claims)).select("doc_id", "pos", "part", "clause"), f"select doc_id, pos, part, case when max(length(clause)) over (partition by doc_id) <= 80 and clause not like '%.' then clause || '.' else clause end as clause from {_CLAUSES}", "claims")
 _FITS = f"({_STRIP.format('{0}')} = '' or (length({{0}}) <= 80 and len({_WORDS.format('{0}')}) between 6 and 30))"
 _add("c8_fits_constraints", _claims(lambda c: T.fits_constraints(c, max_len=80)), f"select doc_id, pos, {_FITS.format('text')} as out from claims", "claims")

@@ -29,6 +29,9 @@ DEP = """case when tok = 0 then 'ROOT' else case tok % 7 when 0 then 'det' when
  when 3 then 'prep' when 4 then 'pobj' when 5 then 'amod' else 'conj' end end"""
 #: Dependencies of sentences with a copula.
 COPULA = "case when tok = 2 and pos_tag = 'VERB' then 'cop' when tok = 3 and sent % 2 = 0 then 'attr' else dep end"
+#: Tokens of clauses: chains with conjuncts three or seven places behind their heads.
+CLAUSE_HEAD = "case when tok = 0 then 0 when tok % 8 = 7 then tok - 7 when tok % 4 = 3 then tok - 3 else tok - 1 end"
+CLAUSE_DEP = "case when tok = 0 then 'ROOT' when tok % 4 = 3 then 'conj' else 'dep' end"
 #: Rings of ten keys each, so there are many components.
 SUPPLY_TO = "concat('s', k - k % 10 + (k * 3 + j) % 10) as dst"
 WORDS = ("the", "and", "of", "in", "de", "la", "die", "der", "is", "to")
@@ -71,6 +74,11 @@ class Views:
         w = self.sents.selectExpr("doc_id", "pos as sent", "posexplode(split(s, ' ')) as (tok, text)")
         return w.selectExpr("doc_id", "sent", "tok", "case when tok = 0 then 0 else cast(floor((tok - 1) / 2) as int) end as head", "text", "lower(text) as lemma", f"{POS_TAG} as pos_tag", f"{DEP} as dep")
 
+    @cached_property
+    def clause_toks(self) -> DataFrame:
+        w = self.claims.selectExpr("doc_id", "pos as sent", "posexplode(split(text, ' ')) as (tok, text)")
+        return w.selectExpr("doc_id", "sent", "tok", f"{CLAUSE_HEAD} as head", "text", f"{CLAUSE_DEP} as dep")
+
     @cached_property
     def parsed(self) -> DataFrame:
         return tokens.parse(self.toks)
@@ -140,11 +148,12 @@ CTE = {
  x as (select t.lemma, h.lemma o, 0 c, 1 d from toks t join toks h on h.doc_id=t.doc_id and h.sent=t.sent and h.tok=t.head where t.head<>t.tok)
  select least(lemma,o) a, greatest(lemma,o) b, sum(c) w_coocc, sum(d) w_dep, count(*) weight from (select * from c union all select * from x) where lemma<>o group by 1,2)""",
 }
+CTE["clause_toks"] = f"(select doc_id, sent, tok, {CLAUSE_HEAD} as head, text, {CLAUSE_DEP} as dep from (select doc_id, pos as sent, cast(generate_subscripts(l, 1) - 1 as int) as tok, unnest(l) as text from (select *, string_split(text, ' ') as l from claims)))"
 CTE["copula"] = f"(select doc_id, sent, tok, case when tok = 3 then 0 else head end as head, text, lemma, pos_tag, {COPULA} as dep from toks)"
 CTE["copula_pairs"] = CTE["pairs"].replace("toks", "copula")
 CTE["copula_spans"] = CTE["spans"].replace("pairs", "copula_pairs").replace("toks", "copula")
 CTE["supply"] = f"(select concat('s', k) as src, {SUPPLY_TO}, 'next' as rel, ((k * 31 + j * 17) % 997 + k / 1000.0 + j / 100000.0)::double as weight, k * 10 + j as pos from (select s_suppkey as k, unnest([1, 7, 11]) as j from supplier))"
-_NEEDS = {"copula": ["toks"], "copula_pairs": ["copula"], "copula_spans": ["copula_pairs"], "claims": ["sents"], "triples": ["sents"], "votes": ["triples"], "toks": ["sents"], "pairs": ["toks"], "spans": ["pairs"], "np": ["spans"], "chunks": ["toks"], "wedges": ["toks"]}
+_NEEDS = {"clause_toks": ["claims"], "copula": ["toks"], "copula_pairs": ["copula"], "copula_spans": ["copula_pairs"], "claims": ["sents"], "triples": ["sents"], "votes": ["triples"], "toks": ["sents"], "pairs": ["toks"], "spans": ["pairs"], "np": ["spans"], "chunks": ["toks"], "wedges": ["toks"]}
 
 
 def with_views(sql: str, *names: str) -> str:
