@@ -170,9 +170,11 @@ def test_search_passes_over_most_documents(monkeypatch, at_once):
 STRANGE = ["", " ", "A’s it'S don't WE'LL 's", "ÀÉ é ΑΣ Σ ς ΟΔΟΣ İi ß ǅ", "x\u0085y z 　 a\x1cb\x00c\x01 \x7f", "12½ ²³ 1,234.5 a1b2 _-_ ''s", "<|endoftext|> a<|startoftext|>b <|x|>", "文字 日本語テキスト 🙂👍🏽 ا ب", "́x ́ ạ̀", "a" * 3000 + " " * 5000 + "B" * 99 + "." * 200]
 
 
-def test_word_ids_are_those_of_the_whole_text(spark, sf_dir):
+@pytest.mark.parametrize("chunk", [7, 1 << 20])
+def test_word_ids_are_those_of_the_whole_text(spark, sf_dir, monkeypatch, chunk):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(tokens, "CHUNK", chunk)
     own, whole = tokens.Words(open(VOCABULARY, encoding="utf-8").read()), Tokenizer.from_file(VOCABULARY)
     rnd, latin = random.Random(5), "".join(map(chr, range(0x20, 0x250)))
     alphabet = "ab'sS téñÑ İΣσ1½,.\n\t\x85<|>_" + "é"

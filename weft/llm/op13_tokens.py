@@ -6,9 +6,9 @@ that, and the files' totals (one row for each) are all that is put together. ORC
 encoded stripes, keeps least and greatest values of each stripe and of each few thousand rows, and a Bloom filter of the document
 ids; readers split files at stripes and pass over those that can't hold what is asked for.
 
-No piece that the vocabulary's encoder merges reaches over white space, so words are encoded one by one and remembered: the ids
-are those of the whole text (tests compare both). Words of ASCII and Latin-1 letters go straight to the encoder's merges,
-others through the whole encoder.
+No piece that the vocabulary's encoder merges reaches over white space or from one kind of characters into another, so pieces are
+merged one by one and remembered: the ids are those of the whole text (tests compare both). Texts of ASCII and Latin-1 letters
+are cut into pieces here; words of others go through the whole encoder.
 """
 
 from __future__ import annotations
@@ -27,18 +27,21 @@ from .common import read_table, slices
 
 END = 1
 MOST_VOCABULARY_MB = 64
-MOST_WORDS, MOST_PIECES = 500_000, 1_000_000
-_LETTERS = "a-z\u00df\u00e0-\u00f6\u00f8-\u00ff"
-#: Words that are cut here: of printable ASCII and the letters of Latin-1, which are their own composed forms.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,100}")
-#: How the vocabulary's encoder cuts such words in lower case (fixed value).
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+MOST_WORDS, MOST_PIECES = 100_000, 1_000_000
+CHUNK = 1 << 20
+_SPACE = re.compile(rb"[ \t-\r]")
+_LETTERS = "A-Z\u00c0-\u00d6\u00d8-\u00dea-z\u00df-\u00f6\u00f8-\u00ff"
+#: Characters of the texts that are cut here: printable ASCII, white space, and Latin-1's letters, which are their own composed forms.
+_PLAIN = bytes([*range(9, 14), *range(32, 127), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
+_LOWER = bytes(ord(chr(c).lower()) if c < 0xD7 or 0xD7 < c < 0xDF else c for c in range(256))
+#: How the vocabulary's encoder cuts such texts in lower case (fixed value).
+_PIECES = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s0-9{_LETTERS}]+".encode("latin-1"))
 ORC = {"orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20), "orc.rows.between.memory.checks": "200", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
 _encoders: dict[int, Words] = {}
 
 
 class Pieces(dict):
-    """Ids of a piece in lower case, by the encoder's merges, as bytes (unsigned, 32 bits, little-endian); remembered; cleared at MOST_PIECES."""
+    """Ids of a piece (Latin-1, lower case) by the encoder's merges, as bytes (unsigned, 32 bits, little-endian); remembered, and cleared at MOST_PIECES, so memory stays bounded."""
 
     def __init__(self, encoder):
         from tokenizers import pre_tokenizers
@@ -48,15 +51,16 @@ class Pieces(dict):
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelled = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}  # how the merges spell bytes
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= MOST_PIECES:
             self.clear()
-        self[piece] = out = array("I", [t.id for t in self.merge(piece if piece.isascii() else piece.translate(self.spelled))]).tobytes()
+        text = piece.decode("latin-1")
+        self[piece] = out = array("I", [t.id for t in self.merge(text if text.isascii() else text.translate(self.spelled))]).tobytes()
         return out
 
 
 class Words(dict):
-    """Ids of a word, as Pieces has them; cleared when it holds MOST_WORDS words, so memory stays bounded."""
+    """Ids of a word (UTF-8) by the whole encoder, as Pieces has them; cleared at MOST_WORDS."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -68,16 +72,27 @@ class Words(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MOST_WORDS:
             self.clear()
-        text = word.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            out = b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
-        else:
-            out = array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
-        self[word] = out
+        self[word] = out = array("I", self.encoder.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
         return out
 
     def of(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or b"").split()))
+        """Ids of a text; long ones go by parts that end before white space."""
+        text, out, at = text or b"", [], 0
+        while at < len(text):
+            end = _SPACE.search(text, at + CHUNK)
+            end = end.start() if end else len(text)
+            out.append(self._part(text[at:end]))
+            at = end
+        return b"".join(out)
+
+    def _part(self, text: bytes) -> bytes:
+        try:
+            plain = text if text.isascii() else text.decode().encode("latin-1")
+        except UnicodeError:
+            plain = None
+        if plain is None or plain.translate(None, _PLAIN) or b"<|" in plain:  # the encoder's own tokens are written so
+            return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(plain.translate(_LOWER))))
 
 
 def _encoder(vocabulary: str) -> Words:
@@ -117,7 +132,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, id_col: str =
             ids = [words.of(t) + closing for t in b.column(1).to_pylist()]
             ends = np.cumsum([len(x) // 4 for x in ids])
             sizes = np.concatenate(([0], ends)).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.full(len(ids), file, np.int32)), pa.array(before + sizes[:-1].astype(np.int64)), pa.array(np.diff(sizes).astype(np.int64)), pa.ListArray.from_arrays(pa.array(sizes), flat)],
                 ["doc_id", "file", "before", "n_tokens", "ids"],
