@@ -288,11 +288,28 @@ def test_sentence_rows_of_any_shape(spark):
             up = head[d, s, up]
     verb = {(d, s, t): pos for d, s, t, _, _, _, pos, _ in rows}
     toks = spark.createDataFrame(rows, "doc_id bigint, sent int, tok int, head int, text string, lemma string, pos_tag string, dep string").repartition(5)
-    got = tokens.parse(toks).select("doc_id", "sent", F.explode("t").alias("x")).select("doc_id", "sent", "x.*").collect()
+    words = lambda x: F.transform(tokens.subtree(F.col("t"), x), lambda k: k["tok"])
+    got = tokens.parse(toks).select("doc_id", "sent", F.explode(F.transform("t", lambda x: F.struct(x.alias("x"), words(x).alias("members"), tokens.subtree_text(F.col("t"), x).alias("sub")))).alias("y")).select("doc_id", "sent", "y.*", "y.x.*").collect()
     assert {(r["doc_id"], r["sent"], r["tok"]): (r["members"], r["left"], r["right"], r["sub"], r["verb"]) for r in got} == {
         (d, s, t): (sorted(m), min(m), max(m), " ".join(f"w{x}" for x in sorted(m)), next((f"l{x}" for x in sorted(m) if verb[d, s, x] == "VERB"), None)) for (d, s, t), m in below.items()
     }
+    spans = {tuple(r)[:3]: (r["left"], r["right"], r["text"]) for r in tokens.subtree_spans(tokens.parse(toks)).collect()}
+    assert spans == {(r["doc_id"], r["sent"], r["tok"]): (r["left"], r["right"], r["sub"]) for r in got}
     assert tokens.parse(toks.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, 0, 0, None, "a", None, None, None), (None, 0, 1, 0, "b", "b", "VERB", "x"), (None, 0, 1, 0, "b", "b", "VERB", "x"), (1, None, -3, -3, "c", "c", "NOUN", "x"), (1, None, None, -3, "d", "d", "VERB", "x")], toks.schema)
+    assert {(r["doc_id"], r["tok"], r["size"]) for r in tokens.subtree_extents(tokens.parse(odd)).collect()} == {(None, 0, 3), (None, 1, 1), (1, -3, 2), (1, None, 1)}
+
+
+def test_deep_and_wide_trees(spark):
+    """A chain of 20,000 tokens in one sentence, and 20,000 children of one head, in memory that goes with the tokens; relations read them too."""
+    deep = spark.range(20_000).selectExpr("1L as doc_id", "0 as sent", "cast(id as int) as tok", "cast(greatest(id - 1, 0) as int) as head", "concat('w', id) as text", "'l' as lemma", "if(id = 0, 'VERB', 'NOUN') as pos_tag", "if(id = 1, 'nsubj', 'x') as dep")
+    wide = deep.selectExpr("2L as doc_id", "sent", "tok", "0 as head", "text", "lemma", "pos_tag", "dep")
+    parsed = tokens.parse(deep.union(wide))
+    for r in tokens.subtree_extents(parsed).collect():
+        last = 19_999 if r["doc_id"] == 1 or r["tok"] == 0 else r["tok"]
+        assert (r["left"], r["right"], r["size"]) == (r["tok"], last, last - r["tok"] + 1)
+    found = {r["doc_id"]: r["subject"] for r in relations.svo_triples(parsed).collect()}
+    assert found[2] == "w1" and found[1].startswith("w1 w2 ") and found[1].endswith(" w19999")
 
 
 def test_graphs_by_brute_force(spark):

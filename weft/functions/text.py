@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from . import lexicon as lex
 
 
+def let(value: Column, then) -> Column:
+    """then(value), the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

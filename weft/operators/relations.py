@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
 from ..functions import text as T
-from .tokens import KEY, NOMINAL, at
+from .tokens import KEY, NOMINAL, at, inside, subtree_text
 
 SUBJECTS = ("nsubj", "nsubjpass")
 OBJECTS = ("dobj", "obj")
@@ -55,16 +55,16 @@ def rel_part_of(parsed: DataFrame, verbs=lex.PART_VERBS) -> DataFrame:
 
     def ends(t: Column, x: Column) -> tuple[Column, Column]:
         head = at(t, x["head"])
-        whole = F.coalesce(_first(_kids(t, x, *SUBJECTS))["sub"], F.when(head["pos_tag"].isin(*NOMINAL), head["sub"]))
-        under = F.flatten(F.transform(_kids(t, x, "prep"), lambda p: F.transform(_kids(t, p, "pobj"), lambda o: o["sub"])))
-        return whole, F.concat(F.transform(_kids(t, x, *OBJECTS), lambda k: k["sub"]), under)
+        whole = subtree_text(t, F.coalesce(_first(_kids(t, x, *SUBJECTS)), F.when(head["pos_tag"].isin(*NOMINAL), head)))
+        under = F.flatten(F.transform(_kids(t, x, "prep"), lambda p: F.transform(_kids(t, p, "pobj"), lambda o: subtree_text(t, o))))
+        return whole, F.concat(F.transform(_kids(t, x, *OBJECTS), lambda k: subtree_text(t, k)), under)
 
-    return _phrases(_edges(parsed, "part-of", lambda x: (x["pos_tag"] == "VERB") & x["lemma"].isin(*verbs), ends), "src", "dst")
+    return _phrases(_edges(parsed, "part-of", lambda x: (x["pos_tag"] == "VERB") & F.lower(x["lemma"]).isin(*verbs), ends), "src", "dst")
 
 
 def rel_function_marker(parsed: DataFrame, markers=lex.FUNCTION_MARKERS) -> DataFrame:
     """Owner: the marker's head; function: the first verb of the marker's subtree."""
-    return _phrases(_edges(parsed, "function-of", lambda x: F.lower(x["text"]).isin(*markers) & x["dep"].isin("amod", "acl"), lambda t, x: (at(t, x["head"])["sub"], F.array(x["verb"]))), "src")
+    return _phrases(_edges(parsed, "function-of", lambda x: F.lower(x["text"]).isin(*markers) & x["dep"].isin("amod", "acl"), lambda t, x: (subtree_text(t, at(t, x["head"])), F.array(x["verb"]))), "src")
 
 
 def rel_function_verb(parsed: DataFrame, verbs=lex.FUNCTION_VERBS) -> DataFrame:
@@ -72,10 +72,10 @@ def rel_function_verb(parsed: DataFrame, verbs=lex.FUNCTION_VERBS) -> DataFrame:
 
     def ends(t: Column, x: Column) -> tuple[Column, Column]:
         clause = _first(F.filter(_kids(t, x, "xcomp", "ccomp"), lambda k: k["pos_tag"] == "VERB"))["lemma"]
-        to = _first(F.filter(t, lambda k: (F.lower(k["text"]) == "to") & k["verb"].isNotNull() & F.array_contains(x["members"], k["tok"])))["verb"]
-        return _first(_kids(t, x, *SUBJECTS))["sub"], F.array(F.coalesce(clause, to))
+        to = _first(F.filter(t, lambda k: (F.lower(k["text"]) == "to") & k["verb"].isNotNull() & inside(k, x)))["verb"]
+        return subtree_text(t, _first(_kids(t, x, *SUBJECTS))), F.array(F.coalesce(clause, to))
 
-    return _phrases(_edges(parsed, "function-of", lambda x: (x["pos_tag"] == "VERB") & x["lemma"].isin(*verbs), ends), "src")
+    return _phrases(_edges(parsed, "function-of", lambda x: (x["pos_tag"] == "VERB") & F.lower(x["lemma"]).isin(*verbs), ends), "src")
 
 
 def rel_property(tokens: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -90,10 +90,10 @@ def rel_spatial(parsed: DataFrame, words=lex.SPATIAL_WORDS) -> DataFrame:
 
     def ends(t: Column, x: Column) -> tuple[Column, Column]:
         head = at(t, x["head"])
-        anchor = F.when(head["pos_tag"].isin(*NOMINAL), head["sub"]).when(head["pos_tag"] == "VERB", _first(_kids(t, head, *OBJECTS, *SUBJECTS))["sub"])
-        return anchor, F.array(_first(_kids(t, x, "pobj"))["sub"])
+        anchor = F.when(head["pos_tag"].isin(*NOMINAL), head).when(head["pos_tag"] == "VERB", _first(_kids(t, head, *OBJECTS, *SUBJECTS)))
+        return subtree_text(t, anchor), F.array(subtree_text(t, _first(_kids(t, x, "pobj"))))
 
-    return _phrases(_edges(parsed, "spatial", lambda x: (x["pos_tag"] == "ADP") & x["lemma"].isin(*words), ends), "src", "dst")
+    return _phrases(_edges(parsed, "spatial", lambda x: (x["pos_tag"] == "ADP") & F.lower(x["lemma"]).isin(*words), ends), "src", "dst")
 
 
 def rel_condition(parsed: DataFrame, words=lex.CONDITION_WORDS) -> DataFrame:
@@ -101,9 +101,9 @@ def rel_condition(parsed: DataFrame, words=lex.CONDITION_WORDS) -> DataFrame:
 
     def ends(t: Column, x: Column) -> tuple[Column, Column]:
         head = at(t, x["head"])
-        return _first(_kids(t, head, "nsubj", *OBJECTS))["sub"], F.array(F.btrim(head["sub"], F.lit(" ,;")))
+        return subtree_text(t, _first(_kids(t, head, "nsubj", *OBJECTS))), F.array(F.btrim(subtree_text(t, head), F.lit(" ,;")))
 
-    return _phrases(_edges(parsed, "condition", lambda x: x["lemma"].isin(*words) & (x["dep"] == "mark"), ends), "src")
+    return _phrases(_edges(parsed, "condition", lambda x: F.lower(x["lemma"]).isin(*words) & (x["dep"] == "mark"), ends), "src")
 
 
 def concept_nodes(chunks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -137,16 +137,16 @@ def svo_triples(parsed: DataFrame) -> DataFrame:
 
     def row(t: Column, x: Column) -> Column:
         none = F.lit(-1)
-        direct = F.transform(_kids(t, x, "dobj", "obj", "iobj"), lambda k: item(0, k["tok"], none, k["sub"]))
+        direct = F.transform(_kids(t, x, "dobj", "obj", "iobj"), lambda k: item(0, k["tok"], none, subtree_text(t, k)))
 
         def preposition(p: Column) -> Column:
             o = _first(_kids(t, p, "pobj"))
-            return F.when(o.isNotNull(), item(0, p["tok"], o["tok"], F.concat_ws(" ", p["text"], o["sub"])))
+            return F.when(o.isNotNull(), item(0, p["tok"], o["tok"], F.concat_ws(" ", p["text"], subtree_text(t, o))))
 
-        late = F.transform(F.filter(_kids(t, x, "advmod", "obl"), lambda k: k["pos_tag"].isin("NOUN", "PROPN", "ADV")), lambda k: item(1, k["tok"], none, k["sub"]))
+        late = F.transform(F.filter(_kids(t, x, "advmod", "obl"), lambda k: k["pos_tag"].isin("NOUN", "PROPN", "ADV")), lambda k: item(1, k["tok"], none, subtree_text(t, k)))
         objects = F.array_sort(F.concat(direct, F.array_compact(F.transform(_kids(t, x, "prep"), preposition)), late))
         objects = F.when(F.size(objects) > 0, F.array_join(F.transform(objects, lambda o: o["text"]), "; "))
-        subject = _first(_kids(t, x, *SUBJECTS, "csubj"))["sub"]
+        subject = subtree_text(t, _first(_kids(t, x, *SUBJECTS, "csubj")))
         return F.array(F.struct(x["tok"].alias("tok"), (x["head"] == x["tok"]).alias("is_root"), subject.alias("subject"), _phrase(t, x).alias("verb"), objects.alias("object")))
 
     both = _found(parsed, lambda x: (x["pos_tag"] == "VERB") & (x["dep"] != "aux"), row).where("subject is not null or object is not null or is_root")
@@ -158,10 +158,9 @@ def copular_triples(parsed: DataFrame) -> DataFrame:
 
     def row(t: Column, x: Column) -> Column:
         cop = _first(_kids(t, x, "cop"))
-        members = F.flatten(F.transform(_kids(t, x, "acomp", "attr", "xcomp"), lambda k: k["members"]))
-        words = F.transform(F.filter(t, lambda k: F.array_contains(members, k["tok"])), lambda k: k["text"])
-        complement = F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(x["sub"])
-        subject = F.coalesce(_first(_kids(t, x, *SUBJECTS, "csubj"))["sub"], F.lit("_"))
+        words = T.let(_kids(t, x, "acomp", "attr", "xcomp"), lambda tops: F.transform(F.filter(t, lambda k: F.exists(tops, lambda c: inside(k, c))), lambda k: k["text"]))
+        complement = T.let(words, lambda w: F.when(F.size(w) > 0, F.array_join(w, " ")).otherwise(subtree_text(t, x)))
+        subject = F.coalesce(subtree_text(t, _first(_kids(t, x, *SUBJECTS, "csubj"))), F.lit("_"))
         verb = F.when(cop["pos_tag"].isin("VERB", "AUX"), _phrase(t, cop))
         return F.array(F.struct(x["tok"].alias("tok"), subject.alias("subject"), verb.alias("verb"), complement.alias("object")))
 

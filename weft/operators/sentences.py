@@ -75,11 +75,6 @@ def split_clauses(df: DataFrame, column: str = "text", parts=clause_parts, token
     return _exploded(cut, F.flatten("_clauses"), "part", "clause").drop("_clauses", "_tokens")
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), the value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _solid(c: Column) -> Column:
     """Number of characters that are no white space."""
     return F.length(F.regexp_replace(c, r"(?U)\s+", ""))
@@ -98,9 +93,9 @@ def _placed(c: Column) -> Column:
 
     def inside(piece: Column, at: Column) -> Column:
         own = marker_parts(piece)
-        return _let(own, lambda own: _let(sums(own), lambda s: F.transform(own, lambda x, k: F.struct(T.strip(x).alias("text"), (at + F.get(s, k)).alias("at"), (at + F.get(s, k + 1)).alias("end")))))
+        return T.let(own, lambda own: T.let(sums(own), lambda s: F.transform(own, lambda x, k: F.struct(T.strip(x).alias("text"), (at + F.get(s, k)).alias("at"), (at + F.get(s, k + 1)).alias("end")))))
 
-    placed = _let(pieces, lambda pieces: _let(sums(pieces), lambda s: F.flatten(F.transform(pieces, lambda x, k: inside(x, F.get(s, k) + k)))))
+    placed = T.let(pieces, lambda pieces: T.let(sums(pieces), lambda s: F.flatten(F.transform(pieces, lambda x, k: inside(x, F.get(s, k) + k)))))
     return F.filter(placed, lambda x: x["text"] != "")
 
 
@@ -109,18 +104,18 @@ def _conj_parts(placed: Column, tokens: Column) -> Column:
 
     def parts(c: Column) -> Column:
         own = F.filter(tokens, lambda t: (t["at"] >= c["at"]) & (t["at"] < c["end"]))
-        return _let(own, lambda own: F.when(F.size(own) == 0, F.array(c["text"])).otherwise(cut(c, own, F.get(own, F.lit(0))["tok"], F.element_at(own, -1)["tok"])))
+        return T.let(own, lambda own: F.when(F.size(own) == 0, F.array(c["text"])).otherwise(cut(c, own, F.get(own, F.lit(0))["tok"], F.element_at(own, -1)["tok"])))
 
     def cut(c: Column, own: Column, lo: Column, hi: Column) -> Column:
         roots = F.filter(own, lambda t: (t["head"] == t["tok"]) | (t["head"] < lo) | (t["head"] > hi))
-        cuts = _let(F.get(roots, F.lit(0))["tok"], lambda root: F.transform(F.filter(own, lambda t: (t["dep"] == "conj") & (t["head"] == root) & (t["tok"] > lo)), lambda t: t["at"] - c["at"]))
-        return _let(cuts, lambda cuts: F.when(F.size(cuts) == 0, F.array(c["text"])).otherwise(pieces(c["text"], F.concat(cuts, F.array(c["end"] - c["at"])))))
+        cuts = T.let(F.get(roots, F.lit(0))["tok"], lambda root: F.transform(F.filter(own, lambda t: (t["dep"] == "conj") & (t["head"] == root) & (t["tok"] > lo)), lambda t: t["at"] - c["at"]))
+        return T.let(cuts, lambda cuts: F.when(F.size(cuts) == 0, F.array(c["text"])).otherwise(pieces(c["text"], F.concat(cuts, F.array(c["end"] - c["at"])))))
 
     def pieces(text: Column, ends: Column) -> Column:
         letters = F.regexp_extract_all(F.regexp_replace(text, r"(?U)\s", " "), F.lit("(?s)."), F.lit(0))
         solid = F.array_compact(F.transform(letters, lambda x, i: F.when(x != " ", i + 1)))  # the place of each solid character
-        at = _let(solid, lambda solid: F.concat(F.array(F.lit(0)), F.transform(ends, lambda n: F.get(solid, n - 1))))
-        places = _let(at, lambda at: F.transform(ends, lambda _, k: F.substring(text, F.get(at, k) + 1, F.get(at, k + 1) - F.get(at, k))))
+        at = T.let(solid, lambda solid: F.concat(F.array(F.lit(0)), F.transform(ends, lambda n: F.get(solid, n - 1))))
+        places = T.let(at, lambda at: F.transform(ends, lambda _, k: F.substring(text, F.get(at, k) + 1, F.get(at, k + 1) - F.get(at, k))))
         return F.filter(F.transform(places, T.strip), lambda x: x != "")
 
     return F.transform(placed, parts)

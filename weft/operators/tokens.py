@@ -1,14 +1,16 @@
 """Token tables: (doc_id, sent, tok, head, text, lemma, pos_tag, dep); a sentence's root is its own head.
 
 What looks at a sentence's tree works on sentence rows: parse() gathers a sentence's tokens in one row, by the only shuffle,
-and arrays and lambdas do the rest. Tokens with a null doc_id or sent make sentences like any others; of tokens repeated
+and labels each with the interval of its subtree, in batches; arrays and lambdas do the rest. Tokens with a null doc_id or sent make sentences like any others; of tokens repeated
 under one tok each stands. Heads that are no token of the sentence count as none. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..functions import text as T
 
@@ -33,45 +35,121 @@ def sentence_rows(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("tok", "head", "text", "lemma", "pos_tag", "dep"))).alias("t"))
 
 
-def _ancestors(t: Column) -> Column:
-    """For each token of a sentence the places of its ancestors, nearest first.
+def _trees(start: np.ndarray, tok: np.ndarray, head: np.ndarray, verb: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Interval labels of the trees of many sentences, end to end: (lo, hi, first, size, verb) of each token's subtree, in places.
 
-    Pointer doubling: each step appends to a token's ancestors those of the farthest one, so steps grow with the logarithm
-    of the depth. On a cycle of heads a token is its own ancestor, and the lists stop growing at the sentence's size.
+    start: where each sentence begins, and the end; tok and head: numbers, in order in a sentence, head -1 for none that can be a token's;
+    verb: is it one? Levels are gone through from the deepest up, so time and memory go with the tokens and the levels.
     """
-    n = F.size(t)
-    places = F.transform(t, lambda x: F.coalesce(F.when(F.get(t, x["head"] - F.get(t, F.lit(0))["tok"])["tok"] == x["head"], x["head"] - F.get(t, F.lit(0))["tok"]).otherwise(F.array_position(F.transform(t, lambda y: y["tok"]), x["head"]).cast("int") - 1), F.lit(-1)))
-    up = F.transform(places, lambda p, i: F.when((p < 0) | (p == i), F.array().cast("array<int>")).otherwise(F.array(p)))
-
-    def double(above: Column, _: Column) -> Column:
-        return F.transform(above, lambda a: F.when((F.size(a) == 0) | (F.size(a) >= n), a).otherwise(F.concat(a, F.coalesce(F.get(above, F.element_at(a, -1)), F.array().cast("array<int>")))))
-
-    above = F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int")), up, double)
-    return F.transform(above, lambda a: F.when(F.size(a) >= n, F.array_distinct(a)).otherwise(a))
+    n, sent = len(tok), np.repeat(np.arange(len(start) - 1), np.diff(start))
+    wide = int(tok.max(initial=0)) + 2
+    key = sent * wide + tok
+    asked = sent * wide + np.where((head >= 0) & (head < wide), head, wide - 1)
+    found = np.minimum(np.searchsorted(key, asked), max(n - 1, 0))
+    here = np.arange(n)
+    up = np.where((key[found] == asked) & (found != here), found, -1) if n else found
+
+    far = np.where(up < 0, here, up)
+    for _ in range(int(np.diff(start).max(initial=1)).bit_length()):
+        far = far[far]
+    same: dict[int, int] = {}  # tokens on a cycle of heads, with its first one: they share a subtree
+    for x in np.unique(far[up[far] >= 0]).tolist():
+        ring = [x]
+        while x not in same and (y := int(up[ring[-1]])) != x:
+            ring.append(y)
+        same |= dict.fromkeys(ring, min(ring)) if x not in same else {}
+    for x, low in same.items():
+        up[x] = -1 if x == low else low
+
+    jump, depth = np.where(up < 0, here, up), (up >= 0).astype(np.int64)
+    while (more := depth[jump]).any():
+        depth, jump = depth + more, jump[jump]
+    lo, hi, size, first_verb = here.copy(), here.copy(), np.ones(n, np.int64), np.where(verb, here, n)
+    order = np.argsort(-depth, kind="stable")
+    for level in np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)[: int(depth.max(initial=0))]:
+        at = up[level]
+        np.minimum.at(lo, at, lo[level])
+        np.maximum.at(hi, at, hi[level])
+        np.minimum.at(first_verb, at, first_verb[level])
+        np.add.at(size, at, size[level])
+
+    # a token's place in the walk through its tree: behind its head and that head's earlier children
+    order = np.lexsort((here, up))
+    total = np.concatenate(([0], np.cumsum(size[order])))[:-1]
+    group = up[order]
+    begins = np.concatenate(([True], group[1:] != group[:-1])) if n else np.empty(0, bool)
+    walk = np.zeros(n, np.int64)
+    walk[order] = total - np.repeat(total[begins], np.diff(np.concatenate((np.flatnonzero(begins), [n])))) + (group >= 0)
+    jump, behind = np.where(up < 0, here, up), np.where(up < 0, 0, walk)
+    while (more := behind[jump]).any():
+        behind, jump = behind + more, jump[jump]
+    walk = behind + np.where(up[jump] < 0, walk[jump], 0)
+    for x, low in same.items():
+        lo[x], hi[x], size[x], first_verb[x], walk[x] = lo[low], hi[low], size[low], first_verb[low], walk[low]
+    return lo, hi, walk, size, first_verb
 
 
 def parse(tokens: DataFrame) -> DataFrame:
-    """(doc_id, sent, t): a row per sentence; t has its tokens in order, with their subtrees.
+    """(doc_id, sent, t): a row per sentence; t has its tokens in order, with the extents of their subtrees.
 
-    Structs (tok, head, text, lemma, pos_tag, dep, left, right, sub, members, verb): extent, text and token numbers of the
-    subtree, and the lemma of its first verb. One shuffle, by sentence. The size is that of all subtrees together.
+    Structs (tok, head, text, lemma, pos_tag, dep, left, right, lo, hi, first, size, verb): the least and the greatest token
+    number and place of the subtree, its interval [first, first + size) in a walk through the trees, and the lemma of its first
+    verb. One shuffle, by sentence; the size goes with the tokens, however deep a tree is. Words of subtrees: subtree().
+    Tokens on a cycle of heads have one subtree, the cycle's.
     """
-    rows = sentence_rows(tokens).withColumn("above", _ancestors(F.col("t")))
-    words = F.transform("t", lambda w, i: F.struct(F.array_distinct(F.concat(F.get(F.col("above"), i), F.array(i))).alias("tops"), i.alias("i"), w.alias("w")))
-    each = rows.select(*KEY, F.explode(words).alias("e")).select(*KEY, F.explode("e.tops").alias("top"), "e.i", "e.w")
-    below = each.groupBy(*KEY, "top").agg(
-        F.max(F.when(F.col("i") == F.col("top"), F.col("w"))).alias("w"),
-        F.array_sort(F.collect_list(F.struct("i", "w.tok", "w.text"))).alias("m"),
-        F.min(F.when(F.col("w.pos_tag") == "VERB", F.struct("i", "w.lemma")))["lemma"].alias("verb"),
-    )
-    toks, texts = F.transform("m", lambda x: x["tok"]), F.transform("m", lambda x: x["text"])
-    token = F.struct("top", "w.tok", "w.head", "w.text", "w.lemma", "w.pos_tag", "w.dep", F.array_min(toks).alias("left"), F.array_max(toks).alias("right"), F.array_join(texts, " ").alias("sub"), toks.alias("members"), "verb")
-    return below.groupBy(*KEY).agg(F.array_sort(F.collect_list(token)).alias("t"))
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = sentence_rows(tokens)
+    fields = rows.schema["t"].dataType.elementType.fields
+    number = fields[0].dataType
+    more = [*(S.StructField(x, number) for x in ("left", "right")), *(S.StructField(x, S.IntegerType()) for x in ("lo", "hi", "first", "size")), S.StructField("verb", S.StringType())]
+    schema = S.StructType([rows.schema["doc_id"], rows.schema["sent"], S.StructField("t", S.ArrayType(S.StructType([*fields, *more])))])
+
+    def labelled(batches):
+        for b in batches:
+            t = b.column(2)
+            own = t.flatten()
+            start = np.concatenate(([0], np.cumsum(pc.list_value_length(t).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            columns = own.flatten()
+            tok, head = (pc.fill_null(c.cast(pa.int64()), 0).to_numpy(zero_copy_only=False) for c in columns[:2])
+            no_tok, no_head = (np.asarray(c.is_null()) for c in columns[:2])
+            least = int(tok.min(where=~no_tok, initial=0)) - 1
+            tok, head = np.where(no_tok, 0, tok - least), np.where(no_head | (head <= least), -1, head - least)  # numbers from 1; nulls come first
+            lo, hi, walk, size, verb = _trees(start, tok, head, np.asarray(pc.fill_null(pc.equal(columns[4], "VERB"), False)))
+            begin = np.repeat(start[:-1], np.diff(start))
+            verbs = columns[3].take(pa.array(verb, mask=verb == len(verb)))
+            places = [pa.array(x - begin, pa.int32()) for x in (lo, hi, walk)]
+            new = [columns[0].take(pa.array(lo)), columns[0].take(pa.array(hi)), *places, pa.array(size, pa.int32()), verbs]
+            structs = pa.StructArray.from_arrays([*columns, *new], names=[f.name for f in (*fields, *more)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(start, pa.int32()), structs)], ["doc_id", "sent", "t"])
+
+    return rows.mapInArrow(labelled, schema)
+
+
+def inside(k: Column, x: Column) -> Column:
+    """Is token k in the subtree of x?"""
+    return (k["first"] >= x["first"]) & (k["first"] < x["first"] + x["size"])
+
+
+def subtree(t: Column, x: Column) -> Column:
+    """The tokens of x's subtree, in order: a slice of the sentence unless other words stand between. Null for a null x."""
+    return T.let(x, lambda x: F.when(x["hi"] - x["lo"] + 1 == x["size"], F.slice(t, x["lo"] + 1, x["size"])).when(x.isNotNull(), F.filter(t, lambda k: inside(k, x))))
+
+
+def subtree_text(t: Column, x: Column) -> Column:
+    return F.array_join(F.transform(subtree(t, x), lambda k: k["text"]), " ")
+
+
+def subtree_extents(parsed: DataFrame) -> DataFrame:
+    """(doc_id, sent, tok, left, right, size): extent of each token's subtree; parsed: parse(). As large as the tokens."""
+    return parsed.select(*KEY, F.inline("t")).select(*KEY, "tok", "left", "right", "size")
 
 
 def subtree_spans(parsed: DataFrame) -> DataFrame:
-    """(doc_id, sent, tok, left, right, text): extent and text of each token's subtree; parsed: parse()."""
-    return parsed.select(*KEY, F.explode("t").alias("x")).select(*KEY, "x.tok", "x.left", "x.right", F.col("x.sub").alias("text"))
+    """(doc_id, sent, tok, left, right, text): extent and text of each token's subtree; parsed: parse(). As large as all subtrees together."""
+    spans = F.transform("t", lambda x: F.struct(x["tok"].alias("tok"), x["left"].alias("left"), x["right"].alias("right"), subtree_text(F.col("t"), x).alias("text")))
+    return parsed.select(*KEY, F.inline(spans))
 
 
 def noun_chunks(tokens: DataFrame) -> DataFrame:
