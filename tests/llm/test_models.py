@@ -58,11 +58,24 @@ def test_decontamination(spark):
         got = decon.contaminated(df, items, broadcast_words=words).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, 1) for d in want}
         assert {r["n_covered"] for r in got if r["doc_id"] == 300} == {75}
+    for words in (10**6, 0):  # rows of one id go or stay by their own texts, null ids are judged too
+        twice = cases.docs(spark, [(5, cases.prose(3, 75), "en", "x"), (5, cases.prose(77, 80), "en", "y"), (None, cases.prose(3, 75), "en", "z"), (None, None, "en", "w"), (6, cases.prose(3, 75), "en", "v"), (6, cases.prose(3, 75), "en", "v")])
+        assert {r["source"] for r in decon.keep_clean(twice, items, broadcast_words=words).collect()} == {"y", "w"}
     kept = decon.keep_clean(df, items)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows if r[0] not in want} | {301}
     assert decon.contaminated(cases.docs(spark, []), items).count() == 0 and decon.contaminated(df, items.limit(0)).count() == 0
 
 
+def test_many_items_of_one_seed(spark):
+    """Items that share a seed cost a document no more than the seeds found; both ways."""
+    common = "which of the following is "
+    items = spark.range(20_000).selectExpr("id as item_id", f"concat('{common}', array_join(transform(sequence(1, 31), k -> concat('w', id, '_', k)), ' ')) as text")
+    texts = [(k, common + cases.prose(k, 40) + (" " + " ".join(f"w{k}_{i}" for i in range(1, 32)) if k % 4 == 0 else ""), "en", "a") for k in range(12)]
+    for words in (10**7, 0):
+        got = decon.contaminated(cases.docs(spark, texts), items, broadcast_words=words).collect()
+        assert {(r["doc_id"], r["item_id"], r["n_covered"]) for r in got} == {(k, k, 36) for k in (0, 4, 8)}
+
+
 def test_decontamination_against_all_pairs(spark, sf_dir):
     """Both ways on a whole table against brute force over every pair of document and item."""
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
