@@ -246,6 +246,14 @@ def test_sources_and_stream(spark, tmp_path, sf_dir):
     shown = F.transform_values("attributes", lambda _, v: F.to_json(v)).alias("a")
     assert {r["id"]: r["a"] for r in nodes.select("id", shown).collect()} == {"a": {"freq": "3"}, "b": {}}
     assert [tuple(r) for r in links.select("source", "target", "weight", "directed", shown).collect()] == [("a", "b", 2.0, True, {"why": '"x"', "w": "1.5", "9": '"y"'})]
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.gexf").write_text(doc)
+    (tmp_path / "two" / "b.gexf").write_text('<gexf><graph><attributes class="node"><attribute id="0" title="lemma" type="string"/><attribute id="1" title="n" type="long"/></attributes><nodes><node id="a"><attvalues><attvalue for="0" value="3"/><attvalue for="0" value="4"/><attvalue for="1" value="x"/></attvalues></node></nodes><edges><edge id="0" source="a" target="a"/><edge id="1" source="a" target="b" type="directed"/></edges></graph></gexf>')
+    (tmp_path / "two" / "c.gexf").write_text("<gexf><graph/></gexf>")
+    both, ties = graph_xml.read_graph_xml(spark, str(tmp_path / "two"))
+    name = F.substring_index("file", "/", -1)
+    assert {(r["n"], r["id"]): r["a"] for r in both.select(name.alias("n"), "id", shown).collect()} == {("a.gexf", "a"): {"freq": "3"}, ("a.gexf", "b"): {}, ("b.gexf", "a"): {"lemma": '"3"', "n": '"x"'}}
+    assert sorted(tuple(r) for r in ties.select(name, "id", "directed").collect()) == [("a.gexf", "0", True), ("b.gexf", "0", False), ("b.gexf", "1", True)]
     documents.write_kg({"nodes": nodes.select("id", "label")}, str(tmp_path / "kg"))
     assert documents.read_kg(spark, str(tmp_path / "kg"), ["nodes"])["nodes"].count() == 2
     with pytest.raises(Exception, match="exists"):

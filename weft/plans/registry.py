@@ -458,6 +458,23 @@ def _as_files(head: str, foot: str) -> Callable:
 _add("s2_graph_nodes", lambda v: _saved_graph(v)[0].selectExpr("id", "label", "try_variant_get(attributes['nation'], '$', 'bigint') as nation", "try_variant_get(attributes['balance'], '$', 'double') as balance", "try_variant_get(attributes['good'], '$', 'boolean') as good"), "select concat('c', c_custkey) as id, c_name as label, c_nationkey::bigint as nation, c_acctbal::double as balance, c_acctbal > 0 as good from customer")
 _add("s2_graph_edges", lambda v: _saved_graph(v)[1].selectExpr("id", "source", "target", "weight", "directed", "try_variant_get(attributes['status'], '$', 'string') as status"), "select concat(o_orderkey) as id, concat('c', o_custkey) as source, concat('o', o_orderkey) as target, 2.0::double as weight, true as directed, o_orderstatus as status from orders")
 
+def _two_graphs(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Customers' and suppliers' graphs in one folder, whose declarations use the same ids for different attributes, and of which one is directed."""
+    at = f"{shared_folder(v.spark)}/graphs-{uuid.uuid4().hex}"
+    for name, table, kind, link, declared, default in (("a", "customer", "c", "edge_c", ("nation", "long"), "directed"), ("b", "supplier", "s", "edge_s", ("account", "double"), "undirected")):
+        key, value = ("c_custkey", "c_nationkey") if kind == "c" else ("s_suppkey", "s_acctbal")
+        node = F.concat(F.lit(f'<node id="{kind}'), key, F.lit('"><attvalues><attvalue for="0" value="'), F.col(value).cast("string"), F.lit('"/></attvalues></node>'))
+        edge = F.concat(F.lit(f'<edge id="{link}'), key, F.lit(f'" source="{kind}'), key, F.lit('" target="x"><attvalues><attvalue for="1" value="7"/><attvalue for="1" value="8"/></attvalues></edge>'))
+        head = f'<gexf><graph defaultedgetype="{default}"><attributes class="node"><attribute id="0" title="{declared[0]}" type="{declared[1]}"/></attributes><attributes class="edge"><attribute id="1" title="{declared[0]}_why" type="{"string" if kind == "c" else "long"}"/></attributes>'
+        v.table(table).select(F.concat(node, edge).alias("x")).mapInArrow(_as_files(head, "</graph></gexf>"), "x string").write.text(f"{at}/{name}")
+    return read_graph_xml(v.spark, f"{at}/*")
+
+
+_add("s2_graphs_nodes", lambda v: _two_graphs(v)[0].selectExpr("id", "array_join(map_keys(attributes), ',') as titles", "try_variant_get(attributes['nation'], '$', 'bigint') as nation", "try_variant_get(attributes['account'], '$', 'double') as account"),
+     "select concat('c', c_custkey) as id, 'nation' as titles, c_nationkey::bigint as nation, null::double as account from customer union all select concat('s', s_suppkey), 'account', null, s_acctbal::double from supplier")
+_add("s2_graphs_edges", lambda v: _two_graphs(v)[1].select("id", "source", "target", "directed", F.to_json(F.transform_values("attributes", lambda _, x: x)).alias("attributes")),
+     """select concat('edge_c', c_custkey) as id, concat('c', c_custkey) as source, 'x' as target, true as directed, '{"nation_why":"7"}' as attributes from customer union all select concat('edge_s', s_suppkey), concat('s', s_suppkey), 'x', false, '{"account_why":7}' from supplier""")
+
 # Graphs
 _TE = "(select subject as src, object as dst, surface_pred as rel, length(surface_pred)::double as weight, pos, doc_id from triples)"
 _STRONG = f"(select doc_id, src, dst, arg_max(rel, row(weight, -pos)) as rel, max(weight) as weight, arg_max(pos, row(weight, -pos)) as pos from {_TE} where src <> dst group by 1, 2, 3)"
