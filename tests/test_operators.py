@@ -196,6 +196,52 @@ def test_many_aliases(spark):
     assert got.where("text <> concat('<P', id * 7, '>, the part x and <P', id, '>.')").count() == 0 and got.count() == 2000
 
 
+def test_spans_against_brute_force(spark):
+    """Containment and finite verbs of random spans, with equal extents, nulls and other columns."""
+    rnd = random.Random(11)
+    rows = [(rnd.choice([1, None]), rnd.randrange(12), a, None if rnd.random() < 0.05 else a + rnd.randrange(12), rnd.choice([["S"], ["SBAR", "VP"], ["NP"]]), k) for k in range(400) for a in [rnd.randrange(20)]]
+    spans = spark.createDataFrame(rows, "doc_id bigint, sent int, start int, end int, labels array<string>, _at int")
+    clause = [r for r in rows if r[4] != ["NP"]]
+    held = lambda a, b: a[:2] == b[:2] and None not in (a[3], b[3]) and b[2] <= a[2] and a[3] <= b[3] and a[2:4] != b[2:4]
+    got = sentences.top_level_spans(spans)
+    assert got.columns == spans.columns and {r[5] for r in got.collect()} == {a[5] for a in clause if not any(held(a, b) for b in clause)}
+    toks = [(d, s, t, rnd.random() < 0.2, rnd.choice(["VERB", "AUX", "NOUN"])) for d in (1, None) for s in range(12) for t in range(30)]
+    finite = sentences.finite_spans(spans, spark.createDataFrame(toks, "doc_id bigint, sent int, tok int, finite boolean, pos_tag string"))
+    want = {a[5] for a in rows if a[3] is not None and a[3] - a[2] > 2 and any(t[:2] == a[:2] and t[3] and t[4] != "NOUN" and a[2] <= t[2] < a[3] for t in toks)}
+    assert finite.columns == spans.columns and {r[5] for r in finite.collect()} == want
+    # one sentence with very many nested spans: a sort, no pairs
+    many = spark.range(200_000).selectExpr("1L as doc_id", "0 as sent", "cast(id as int) as start", "cast(400000 - id as int) as end", "array('S') as labels")
+    assert [tuple(r)[2:4] for r in sentences.top_level_spans(many).collect()] == [(0, 400000)]
+    verbs = spark.range(200_000).selectExpr("1L as doc_id", "0 as sent", "cast(id * 3 as int) as tok", "id % 2 = 0 as finite", "'VERB' as pos_tag")
+    assert sentences.finite_spans(many, verbs).count() == 199_999  # the last has two tokens
+
+
+def test_attempts_and_their_retries(spark):
+    raw = [(0, '{"sentences": ["a", ""]}'), (1, '{"sentences": [" ", 3]}'), (2, 'so {"sentences": ["  b "]} ok'), (3, '{"sentences": ["c"]}')]
+    rows = [(1, "r", k, x) for k, x in raw] + [(2, "r", 0, "no"), (2, "r", 1, None), (3, "r", 0, '{"sentences": ["x"]}'), (3, "r", 1, "no")]
+    responses = spark.createDataFrame(rows, "doc_id bigint, request_id string, attempt int, raw string")
+    got = answers.first_valid_attempt(responses.select("doc_id", "request_id").distinct(), responses)
+    assert {(r["doc_id"], r["answer"]) for r in got.collect()} == {(1, "b"), (2, ""), (3, "x")}
+    assert {tuple(r) for r in answers.retry_rows(responses).collect()} == {(1, "r", 0, 2), (1, "r", 1, 1), (2, "r", 0, 0), (2, "r", 1, 0)}
+    pairs = spark.createDataFrame([('{"sentence1": "a", "sentence2": "b"}',), ('{"sentence2": "b", "sentence1": ""}',), ('{"sentence1": " ", "x": 1}',), ("[1]",), ("so {}",), ("{}",), (None,)], "raw string")
+    assert [r[0] for r in pairs.select(answers.answer_pair(F.col("raw"), F.lit(" t "))).collect()] == [["a", "b"], ["b"], [" "], ["t"], ["t"], [], ["t"]]
+
+
+def test_audit_totals(spark):
+    from pyspark.sql import Observation
+
+    rows = spark.createDataFrame([(1, 0, "ab", "ab"), (1, 1, "abc", "a"), (2, 0, None, None)], "doc_id bigint, pos int, original string, cleaned string").repartition(3)
+    seen, none = Observation(), Observation()
+    assert answers.cleaning_audit(rows, seen).count() == 3 and len(answers.cleaning_audit(rows.limit(0), none).collect()) == 0
+    assert seen.get == {"n_sentences": 3, "n_changed": 1, "chars_before": 5, "chars_after": 3}
+    assert none.get == {"n_sentences": 0, "n_changed": 0, "chars_before": 0, "chars_after": 0}
+
+
+def test_dedupe_strips_and_drops_blanks(spark):
+    df = spark.createDataFrame([(1, 0, " "), (1, 1, "A b ."), (1, 2, " a b. "), (1, 3, None), (2, 0, "a b.")], "doc_id bigint, pos int, text string")
+    assert {tuple(r) for r in sentences.dedupe_ci(df).collect()} == {(1, 1, "A b."), (2, 0, "a b.")}
+
+
 def test_concept_tree(toks):
     alone = toks.where("sent = 2").withColumn("doc_id", F.lit(2).cast("bigint"))
     got = {tuple(r) for r in pipelines.concept_tree(toks.unionByName(alone)).collect()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -33,25 +33,47 @@ def answer_sentences(answer: Column) -> Column:
     return F.coalesce(strings, F.array().cast("array<string>"))
 
 
-def answer_pair(answer: Column) -> Column:
-    """The two-field form sentence1, sentence2; blanks go."""
+def answer_pair(raw: Column, text: Column) -> Column:
+    """The two-field form, sentence1 and sentence2: their strings, empty ones left out. An answer that is no JSON object gives the text, stripped; null stays null."""
+    answer = F.try_parse_json(raw)
     both = F.array(*(F.try_variant_get(answer, f"$.sentence{k}", "string") for k in (1, 2)))
-    return F.filter(both, lambda x: x.isNotNull() & (T.strip(x) != ""))
+    is_object = F.call_function("schema_of_variant", answer).startswith("OBJECT")
+    return F.when(is_object, F.filter(both, lambda x: x.isNotNull() & (x != ""))).otherwise(F.array(T.strip(text)))
+
+
+def _made(responses: DataFrame, most: int) -> DataFrame:
+    """The attempts below `most`, with the strings that each returned and whether they are one sentence that is not blank."""
+    said = responses.where(F.col("attempt") < most).withColumn("said", answer_sentences(parse_json_answer(F.col("raw"))))
+    return said.withColumn("valid", F.coalesce((F.size("said") == 1) & (T.strip(F.get("said", F.lit(0))) != ""), F.lit(False)))
 
 
 def first_valid_attempt(requests: DataFrame, responses: DataFrame, most: int = 3) -> DataFrame:
-    """(doc_id, request_id, answer): the one sentence of the first attempt below `most` with exactly one non-blank sentence, else ''."""
-    said = F.filter(answer_sentences(parse_json_answer(F.col("raw"))), lambda x: T.strip(x) != "")
-    good = responses.where(F.col("attempt") < most).withColumn("said", said).where(F.size("said") == 1)
-    best = good.groupBy("doc_id", "request_id").agg(F.min_by(F.get("said", F.lit(0)), "attempt").alias("answer"))
+    """(doc_id, request_id, answer): the sentence, stripped, of the first attempt below `most` that returned exactly one string, which isn't blank; else ''."""
+    good = _made(responses, most).where("valid")
+    best = good.groupBy("doc_id", "request_id").agg(F.min_by(T.strip(F.get("said", F.lit(0))), "attempt").alias("answer"))
     return requests.select("doc_id", "request_id").join(best, ["doc_id", "request_id"], "left").withColumn("answer", F.coalesce("answer", F.lit("")))
 
 
+def retry_rows(responses: DataFrame, most: int = 3) -> DataFrame:
+    """(doc_id, request_id, attempt, returned_count): the attempts that had to be repeated, so those below `most` before the first valid one, with the number of strings each returned."""
+    earlier = Window.partitionBy("doc_id", "request_id").orderBy("attempt").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    done = _made(responses, most).withColumn("done", F.max("valid").over(earlier))
+    return done.where(~F.col("done")).select("doc_id", "request_id", "attempt", F.size("said").alias("returned_count"))
+
+
 def words_preserved(original: Column, parts: Column) -> Column:
     """Do the parts (an array) hold the original's words, in order?"""
     return T.words(original) == T.words(F.array_join(parts, " "))
 
 
-def cleaning_audit(df: DataFrame) -> DataFrame:
-    """df(doc_id, pos, original, cleaned): a row for each sentence with lengths and whether it changed."""
-    return df.select("doc_id", "pos", "original", "cleaned", (F.col("original") != F.col("cleaned")).alias("changed"), F.length("original").alias("chars_before"), F.length("cleaned").alias("chars_after"))
+def cleaning_audit(df: DataFrame, totals: Observation | None = None) -> DataFrame:
+    """df(doc_id, pos, original, cleaned): a row for each sentence with lengths and whether it changed.
+
+    totals gets the run's sums when the rows are first written or collected: n_sentences, n_changed, chars_before,
+    chars_after. They come with the rows, without a pass of their own; a null text counts as unchanged and without characters.
+    """
+    out = df.select("doc_id", "pos", "original", "cleaned", (F.col("original") != F.col("cleaned")).alias("changed"), F.length("original").alias("chars_before"), F.length("cleaned").alias("chars_after"))
+    if totals is None:
+        return out
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return out.observe(totals, F.count(F.lit(1)).alias("n_sentences"), F.count_if("changed").alias("n_changed"), total("chars_before").alias("chars_before"), total("chars_after").alias("chars_after"))

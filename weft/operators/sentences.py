@@ -165,19 +165,32 @@ def refine_splits(df: DataFrame, max_iters: int = 3, **limits) -> tuple[DataFram
 
 
 def top_level_spans(spans: DataFrame) -> DataFrame:
-    """Clause spans that lie in no other clause span of their sentence."""
+    """Clause spans that lie in no other clause span of their sentence; spans of one extent don't hold each other.
+
+    A sweep: in the order of (start, end descending) whatever may hold a span stands before it, so it is held if an end so far
+    reaches its own. Spans with a null start or end hold none and are held by none.
+    """
+    sent, extent = ["doc_id", "sent"], ["doc_id", "sent", "start", "end"]
     cand = spans.where(F.arrays_overlap("labels", F.array(*map(F.lit, lex.CLAUSE_LABELS))))
-    a, b = cand.alias("a"), cand.select("doc_id", "sent", "start", "end").alias("b")
-    inside = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.sent") == F.col("b.sent")) & (F.col("b.start") <= F.col("a.start")) & (F.col("a.end") <= F.col("b.end"))
-    other = (F.col("a.start") != F.col("b.start")) | (F.col("a.end") != F.col("b.end"))
-    return a.join(b, inside & other, "left_anti")
+    before = Window.partitionBy(*sent).orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    reach = cand.withColumn("_reach", F.max(F.when(F.col("start").isNotNull(), F.struct(F.lit(1), F.col("end").cast("bigint").alias("end")))).over(before))
+    # equal extents stand together; the first of them hasn't met the others
+    reach = reach.withColumn("_reach", F.min(F.coalesce("_reach", F.struct(F.lit(0), F.lit(0).cast("bigint").alias("end")))).over(Window.partitionBy(*extent)))
+    held = (F.col("_reach.col1") == 1) & (F.col("_reach.end") >= F.col("end")) & F.col("start").isNotNull()
+    return reach.where(~F.coalesce(held, F.lit(False))).select(*spans.columns)
 
 
 def finite_spans(spans: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Spans of more than two tokens that hold a finite verb (a column `finite` of tokens)."""
-    s, t = spans.alias("s"), tokens.where("finite and pos_tag in ('VERB', 'AUX')").alias("t")
-    holds = (F.col("s.doc_id") == F.col("t.doc_id")) & (F.col("s.sent") == F.col("t.sent")) & (F.col("t.tok") >= F.col("s.start")) & (F.col("t.tok") < F.col("s.end"))
-    return s.where("end - start > 2").join(t, holds, "left_semi")
+    """Spans of more than two tokens that hold a finite verb (a column `finite` of tokens).
+
+    Going back through a sentence, each span is told the nearest finite verb from its start on: one sort, no pairs.
+    """
+    verbs = tokens.where("finite and pos_tag in ('VERB', 'AUX') and tok is not null")
+    row = F.struct(*spans.columns)
+    asked = spans.where("end - start > 2").select("doc_id", "sent", F.col("start").cast("bigint").alias("_at"), F.lit(None).cast("bigint").alias("_verb"), row.alias("_row"))
+    given = verbs.select("doc_id", "sent", F.col("tok").cast("bigint"), F.col("tok").cast("bigint"), F.lit(None).cast(asked.schema["_row"].dataType))
+    back = Window.partitionBy("doc_id", "sent").orderBy(F.col("_at").desc(), F.col("_verb").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    return asked.union(given).withColumn("_verb", F.last("_verb", ignorenulls=True).over(back)).where("_row is not null and _verb < _row.end").select("_row.*")
 
 
 def fallback_full_sentence(sentences: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -191,8 +204,8 @@ def fallback_full_sentence(sentences: DataFrame, clauses: DataFrame) -> DataFram
 
 
 def dedupe_ci(df: DataFrame, column: str = "text") -> DataFrame:
-    """The first row of each text of a document, whatever the case, after the weak punctuation fix."""
-    fixed = df.withColumn(column, T.fix_period_comma(F.col(column)))
+    """The first row of each text of a document, whatever the case, after the weak punctuation fix and stripped. Null and blank texts go."""
+    fixed = df.withColumn(column, T.strip(T.fix_period_comma(F.col(column)))).where(F.col(column) != "")
     place = F.row_number().over(Window.partitionBy("doc_id", F.lower(column)).orderBy("pos"))
     return fixed.withColumn("_place", place).where("_place = 1").drop("_place")
 

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
@@ -140,7 +140,10 @@ _FINITE = "pos_tag = 'VERB' and length(text) % 2 = 0"
 _add("c11_finite_spans", lambda v: sentences.finite_spans(sentences.top_level_spans(v.spans_of_clauses), v.toks.selectExpr("*", "length(text) % 2 = 0 as finite")).select("doc_id", "sent", "start", "end").distinct(), f'select doc_id, sent, start, e as "end" from {_TOP} t where e - start > 2 and exists (select 1 from toks k where k.doc_id = t.doc_id and k.sent = t.sent and k.tok >= t.start and k.tok < t.e and {_FINITE})', "toks")
 _add("c12_fallback", lambda v: sentences.fallback_full_sentence(v.sents.select("doc_id", F.col("pos").alias("sent"), F.size(T.words(F.col("s"))).alias("n_words")), v.toks.where("pos_tag = 'VERB' and length(text) % 2 = 0").select("doc_id", "sent")),
      f"select doc_id, sent from (select doc_id, min(pos) as sent from sents where len({_WORDS.format('s')}) > 2 group by 1) left join (select doc_id, min(sent) as f from toks where {_FINITE} group by 1) using (doc_id) where f is null or sent < f", "toks")
-_add("c13_dedupe_ci", lambda v: sentences.dedupe_ci(v.claims), "select doc_id, pos, text from (select doc_id, pos, replace(replace(text, ' .', '.'), ' ,', ',') as text, row_number() over (partition by doc_id, lower(replace(replace(text, ' .', '.'), ' ,', ',')) order by pos) as n from claims) where n = 1", "claims")
+#: Repeats that differ by white space at their ends, and blanks.
+_SPACED = "case pos % 5 when 0 then concat(' ', text, ' ') when 1 then translate(text, 'adehint', 'ADEHINT') when 2 then '  ' else text end"
+_FIXED = _STRIP.format(f"replace(replace({_SPACED}, ' .', '.'), ' ,', ',')")
+_add("c13_dedupe_ci", lambda v: sentences.dedupe_ci(v.claims.withColumn("text", F.expr(_SPACED))), f"select doc_id, pos, text from (select doc_id, pos, t as text, row_number() over (partition by doc_id, lower(t) order by pos) as n from (select doc_id, pos, {_FIXED} as t from claims) where t <> '') where n = 1", "claims")
 
 
 def _items(v: Views, answered: DataFrame | None = None) -> DataFrame:
@@ -162,6 +165,16 @@ _add("b1_scrub_boilerplate", _claims(T.scrub_boilerplate), f"select doc_id, pos,
 _EXT = "case when pos % 3 = 0 then concat(' ', s, '  x') when pos % 3 = 1 then '  ' end"
 _add("b2_choose_cleaned", lambda v: v.claims.join(v.sents, ["doc_id", "pos"]).select("doc_id", "pos", T.choose_cleaned(F.col("text"), F.expr(_EXT)).alias("out")), f"select doc_id, pos, case when {_STRIP.format('text')} = '' then text else coalesce(nullif({_CLEAN.format(_EXT)}, ''), nullif({_scrub_sql('text')}, ''), text) end as out from claims join sents using (doc_id, pos)", "claims")
 _add("b3_cleaning_audit", lambda v: answers.cleaning_audit(v.claims.select("doc_id", "pos", F.col("text").alias("original"), T.scrub_boilerplate(F.col("text")).alias("cleaned"))), f"select doc_id, pos, text as original, c as cleaned, text <> c as changed, length(text) as chars_before, length(c) as chars_after from (select *, {_scrub_sql('text')} as c from claims)", "claims")
+
+
+def _audit_totals(v: Views) -> DataFrame:
+    """The run's totals, observed while the audit rows are written."""
+    seen = Observation()
+    cut_lineage(answers.cleaning_audit(v.claims.select("doc_id", "pos", F.col("text").alias("original"), T.scrub_boilerplate(F.col("text")).alias("cleaned")), seen), "audit")
+    return v.spark.createDataFrame([seen.get], "n_sentences bigint, n_changed bigint, chars_before bigint, chars_after bigint")
+
+
+_add("b3_totals", _audit_totals, f"select count(*) as n_sentences, count(*) filter (where text <> c) as n_changed, sum(length(text))::bigint as chars_before, sum(length(c))::bigint as chars_after from (select text, {_scrub_sql('text')} as c from claims)", "claims")
 _add("b4_strip_said", _claims(T.strip_said), f"select doc_id, pos, {_SAID.format('text')} as out from claims", "claims")
 _add("b5_figures", _claims(T.standardise_figures), r"select doc_id, pos, regexp_replace(text, '\bFIG\.?\s*(\d+)', '<FIG_\1>', 'g') as out from claims", "claims")
 _add("b6_enumerations", lambda v: sentences.isolate_enumerations(v.claims).select("doc_id", "pos", "part", "item"), rf"select doc_id, pos, cast(generate_subscripts(l, 1) - 1 as int) as part, unnest(l) as item from (select doc_id, pos, list_filter(list_transform(string_split(regexp_replace(text, '(\([ivx]+\))', chr(2) || '\1', 'g'), chr(2)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') as l from claims)", "claims")
@@ -324,7 +337,20 @@ def _raw(v: Views) -> DataFrame:
 
 _add("l3_parse_json", lambda v: _raw(v).select("doc_id", "pos", F.to_json(answers.parse_json_answer(F.col("raw"))).alias("out")), """select doc_id, pos, case pos % 5 when 0 then concat('{"sentences":[', to_json(s)::varchar, ']}') when 1 then concat('{"sentences":[', to_json(s)::varchar, ',1]}') when 2 then '{"sentences":"a"}' when 4 then '{"sentences":["x","y"]}' end as out from sents""", "sents")
 _add("l4_answer_sentences", lambda v: _raw(v).select("doc_id", "pos", F.array_join(answers.answer_sentences(answers.parse_json_answer(F.col("raw"))), "|").alias("out")), "select doc_id, pos, case when pos % 5 in (0, 1) then s when pos % 5 = 4 then 'x|y' else '' end as out from sents", "sents")
-_add("l5_first_valid", lambda v: answers.first_valid_attempt(v.sents.selectExpr("doc_id", "cast(floor(pos / 3) as string) as request_id").distinct(), _raw(v).selectExpr("doc_id", "cast(floor(pos / 3) as string) as request_id", "pos % 3 as attempt", "raw")), "select doc_id, cast(pos // 3 as varchar) as request_id, coalesce(arg_min(s, pos) filter (where pos % 5 in (0, 1)), '') as answer from sents group by 1, 2", "sents")
+_PAIR = "case pos % 4 when 0 then to_json(named_struct('sentence1', s, 'sentence2', '')) when 1 then to_json(named_struct('sentence2', s, 'sentence1', ' ')) when 2 then '{\"sentence1\": null}' else concat('[', pos, ']') end"
+_add("l4_answer_pair", lambda v: v.sents.select("doc_id", "pos", F.array_join(answers.answer_pair(F.expr(_PAIR), F.concat(F.lit(" "), "s")), "|").alias("out")), "select doc_id, pos, case pos % 4 when 0 then s when 1 then concat(' |', s) when 2 then '' else trim(s) end as out from sents", "sents")
+
+
+def _attempts(v: Views) -> DataFrame:
+    """Three attempts for a request; some return a blank beside their sentence, or white space around it."""
+    raw = F.when(F.col("pos") % 7 == 0, '{"sentences": ["a", ""]}').when(F.col("pos") % 7 == 1, '{"sentences": ["  b "]}').when(F.col("pos") % 7 == 2, '{"sentences": [" "]}').otherwise(F.col("raw"))
+    return _raw(v).withColumn("raw", raw).selectExpr("doc_id", "cast(floor(pos / 3) as string) as request_id", "pos % 3 as attempt", "raw")
+
+
+_ANSWERS = "(select doc_id, cast(pos // 3 as varchar) as request_id, pos % 3 as attempt, case when pos % 7 = 0 then ['a', ''] when pos % 7 = 1 then ['  b '] when pos % 7 = 2 then [' '] when pos % 5 in (0, 1) then [s] when pos % 5 = 4 then ['x', 'y'] else [] end as l from sents)"
+_VALID = "len(l) = 1 and trim(l[1]) <> ''"
+_add("l5_first_valid", lambda v: answers.first_valid_attempt(_attempts(v).select("doc_id", "request_id").distinct(), _attempts(v)), f"select doc_id, request_id, coalesce(arg_min(trim(l[1]), attempt) filter (where {_VALID}), '') as answer from {_ANSWERS} group by 1, 2", "sents")
+_add("b3_retries", lambda v: answers.retry_rows(_attempts(v)), f"select doc_id, request_id, attempt, cast(len(l) as int) as returned_count from {_ANSWERS} a where not exists (select 1 from {_ANSWERS} b where b.doc_id = a.doc_id and b.request_id = a.request_id and b.attempt <= a.attempt and len(b.l) = 1 and trim(b.l[1]) <> '')", "sents")
 _add("l6_words_preserved", lambda v: v.sents.selectExpr("doc_id", "pos", "s", "case when pos % 4 = 0 then substring(s, 3) else s end as t").select("doc_id", "pos", answers.words_preserved(F.col("s"), F.split("t", ", ")).alias("out")), f"select doc_id, pos, {_WORDS.format('s')} = {_WORDS.format('replace(t, chr(44) || chr(32), chr(32))')} as out from (select *, case when pos % 4 = 0 then substring(s, 3) else s end as t from sents)", "sents")
 
 # Graph building
