@@ -366,6 +366,74 @@ def test_deep_and_wide_trees(spark):
     assert found[2] == "w1" and found[1].startswith("w1 w2 ") and found[1].endswith(" w19999")
 
 
+def brute_best_parents(edges):
+    """The heaviest edge into each node; the lightest edge of each cycle gives way to its node's next one."""
+    left = {}
+    for s, t, rel, w in sorted({e for e in edges if e[0] != e[1]}, key=lambda e: (-e[3], e[0], e[2])):
+        left.setdefault(t, []).append((w, s, t, rel))
+    while True:
+        up = {t: es[0][1] for t, es in left.items() if es}
+        cycles = set()
+        for x in up:
+            seen = []
+            while x in up and x not in seen:
+                seen.append(x)
+                x = up[x]
+            if x in seen:
+                cycles.add(frozenset(seen[seen.index(x) :]))
+        if not cycles:
+            return {(s, t, rel, w) for es in left.values() for w, s, t, rel in es[:1]}
+        for c in cycles:
+            left[min((left[t][0] for t in c), key=lambda e: e[:3])[2]].pop(0)
+
+
+def shared_folders(spark):
+    import os
+
+    return set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
+
+
+def test_best_parents_with_cycles(spark):
+    rnd = random.Random(2)
+    rows = [(f"n{rnd.randrange(60):02}", f"n{rnd.randrange(60):02}", rnd.choice("ab"), float(rnd.randrange(5))) for _ in range(170)] + [(None, "n01", "a", 9.0), ("n01", None, "a", 9.0)]
+    rings = [(f"r{c}_{i}", f"r{c}_{(i + 1) % 3}", "a", float(i)) for c in range(1000) for i in range(3)]
+    df = spark.createDataFrame(rows + rings + rows[:5], "src string, dst string, rel string, weight double")
+    before = shared_folders(spark)
+    got = graph.best_parent_tree(df)
+    assert {tuple(r) for r in got.collect()} == brute_best_parents([r for r in rows if None not in r] + rings)
+    assert len(shared_folders(spark) - before) == 1  # the result's
+    assert graph.best_parent_tree(df.limit(0)).count() == 0
+
+
+def test_long_paths(spark):
+    """A path of 2,000 nodes takes rounds by the logarithm of its length; two ways in, cycles without a way in, and null ends."""
+    path = spark.range(2000).selectExpr("concat('p', id) as src", "concat('p', id + 1) as dst")
+    more = spark.createDataFrame([("p5", "q"), ("z", "q"), ("q", "q2"), ("c1", "c2"), ("c2", "c1"), ("p7", "p6"), (None, "x"), ("p9", None)], "src string, dst string")
+    before = shared_folders(spark)
+    got = graph.reachable(path.union(more), spark.createDataFrame([("p3",), ("lone",), (None,), ("p3",)], "id string"))
+    assert sorted(r[0] for r in got.collect()) == sorted([*(f"p{k}" for k in range(3, 2001)), "q", "q2", "lone"])
+    assert len(shared_folders(spark) - before) == 1
+    assert graph.reachable(more.limit(0), got.limit(0)).count() == 0
+
+
+def test_graphs_of_null_documents(spark):
+    df = spark.createDataFrame([(None, "a", "b", 0), (None, "c", "d", 1), (1, "a", None, 2), (1, None, "d", 3), (1, "d", "e", 4)], "doc_id bigint, src string, dst string, pos int").selectExpr("*", "'part-of' as rel", "1.0D as weight")
+    plain = graph.named(df, "src", "dst")
+    got = graph.unnamed(graph.connected_components(plain), "id", "component")
+    assert {tuple(r) for r in got.select("doc_id", "id", "component").collect()} == {(None, "a", "a"), (None, "b", "a"), (None, "c", "c"), (None, "d", "c"), (1, "d", "d"), (1, "e", "d")}
+    assert {tuple(r) for r in graph.simple_digraph(df).collect()} == {(None, "a", "b", "part-of"), (None, "c", "d", "part-of"), (1, "d", "e", "part-of")}
+    assert {tuple(r) for r in graph.unnamed(graph.maximum_spanning_forest(plain), "u", "v").select("doc_id", "u", "v").collect()} == {(None, "a", "b"), (None, "c", "d"), (1, "d", "e")}
+    assert graph.degrees(df.select("doc_id", F.col("src").alias("id")).where("id is not null"), df).where("degree > 0").count() == 3
+
+
+def test_concept_trees_of_null_documents(toks):
+    none = toks.withColumn("doc_id", F.lit(None).cast("bigint"))
+    own, both = pipelines.concept_tree(toks), pipelines.concept_tree(toks.union(none))
+    rows = {tuple(r)[1:] for r in own.collect()}
+    got = both.collect()
+    assert {tuple(r)[1:] for r in got if r[0] is None} == rows and {tuple(r)[1:] for r in got if r[0] == 1} == rows
+
+
 def test_graphs_by_brute_force(spark):
     """Components, reachability and the spanning forest of random graphs with cycles and equal weights; two documents at once."""
     rnd = random.Random(9)

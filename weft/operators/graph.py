@@ -1,6 +1,6 @@
-"""Graph operators over edges(src, dst, rel, weight, pos). Loops write each round to the shared folder and drop the one before.
+"""Graph operators over edges(src, dst, rel, weight, pos). Loops write each round to the shared folder and drop what no later round reads.
 
-Where edges have a doc_id, each document is a graph of its own; the iterative operators then take names made by named() and
+Where edges have a doc_id, each document is a graph of its own; the iterative operators then take nodes made by named() and
 give them back by unnamed(). Edges with a null end are left out; repeated edges count once but in degrees and weights.
 """
 
@@ -9,47 +9,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, drop_written
-
-
-_SEPARATOR = "\u0001"
+from ..session import Rounds, cut_lineage, drop_written
 
 
 def _by(df: DataFrame) -> list[str]:
     return ["doc_id"] if "doc_id" in df.columns else []
 
 
+def _whole(edges: DataFrame) -> DataFrame:
+    """The edges with both ends."""
+    return edges.where("src is not null and dst is not null")
+
+
 def named(df: DataFrame, *columns: str) -> DataFrame:
-    """Without doc_id, but with the document in the names of the columns, so that all documents' graphs are worked on at once."""
-    out = df.withColumns({c: F.concat_ws(_SEPARATOR, F.col("doc_id").cast("string"), F.col(c)) for c in columns})
-    return out.drop("doc_id")
+    """Without doc_id, but with the document in the columns, as structs (doc_id, name), so that all documents' graphs are worked on at once.
+
+    A null doc_id is a document like others; null names stay null.
+    """
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.struct("doc_id", F.col(c).alias("name"))) for c in columns}).drop("doc_id")
 
 
 def unnamed(df: DataFrame, *columns: str) -> DataFrame:
-    """The document as doc_id (bigint) and the plain names again."""
-    doc_id = F.substring_index(columns[0], _SEPARATOR, 1).cast("bigint").alias("doc_id")
-    return df.select(doc_id, *(F.substring_index(c, _SEPARATOR, -1).alias(c) if c in columns else F.col(c) for c in df.columns))
+    """The document as doc_id and the plain names again."""
+    return df.select(F.col(f"{columns[0]}.doc_id").alias("doc_id"), *(F.col(f"{c}.name").alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
 def simple_digraph(triples: DataFrame) -> DataFrame:
     """One edge for each ordered pair (of a document); the last relation by pos stands, of several at one place the greatest."""
-    return triples.groupBy(*_by(triples), "src", "dst").agg(F.max(F.struct("pos", "rel"))["rel"].alias("rel"))
+    return _whole(triples).groupBy(*_by(triples), "src", "dst").agg(F.max(F.struct("pos", "rel"))["rel"].alias("rel"))
 
 
 def strongest_edges(edges: DataFrame) -> DataFrame:
     """Without self-loops, the heaviest edge of each pair (of a document); ties go to the first by pos, then to the least relation."""
     best = F.min(F.struct((-F.col("weight")).alias("w"), "pos", "rel")).alias("e")
-    return edges.where("src <> dst").groupBy(*_by(edges), "src", "dst").agg(best).select(*_by(edges), "src", "dst", "e.rel", (-F.col("e.w")).alias("weight"), "e.pos")
+    return _whole(edges).where("src <> dst").groupBy(*_by(edges), "src", "dst").agg(best).select(*_by(edges), "src", "dst", "e.rel", (-F.col("e.w")).alias("weight"), "e.pos")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, degree, in_degree, out_degree), by document if edges have a doc_id; a self-loop counts twice."""
-    key = [*_by(edges), "id"]
-    ends = edges.select(*_by(edges), F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(edges.select(*_by(edges), "dst", F.lit(1), F.lit(0)))
-    by = ends.groupBy(*key).agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
-    zero = F.lit(0).cast("bigint")
-    full = nodes.select(*key).distinct().join(by, key, "left").select(*key, F.coalesce("in_degree", zero).alias("in_degree"), F.coalesce("out_degree", zero).alias("out_degree"))
-    return full.select(*key, (F.col("in_degree") + F.col("out_degree")).alias("degree"), "in_degree", "out_degree")
+    """(id, degree, in_degree, out_degree) of the nodes, by document if edges have a doc_id; a self-loop counts twice. One grouping."""
+    edges, key = _whole(edges), [*_by(edges), "id"]
+    end = lambda c, i, o: edges.select(*_by(edges), F.col(c).alias("id"), F.lit(i).alias("i"), F.lit(o).alias("o"), F.lit(False).alias("node"))
+    own = nodes.select(*key, F.lit(0).alias("i"), F.lit(0).alias("o"), F.lit(True).alias("node"))
+    by = own.union(end("src", 0, 1)).union(end("dst", 1, 0)).groupBy(*key).agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.max("node").alias("node"))
+    return by.where("node").select(*key, (F.col("in_degree") + F.col("out_degree")).alias("degree"), "in_degree", "out_degree")
 
 
 def root_by_degree(deg: DataFrame) -> DataFrame:
@@ -63,51 +65,86 @@ def boost_part_of(edges: DataFrame, boost: float = 5.0) -> DataFrame:
 
 
 def best_parent_tree(edges: DataFrame) -> DataFrame:
-    """(src, dst, rel, weight): the heaviest edge into each node (ties: first source).
+    """(src, dst, rel, weight): the heaviest edge into each node (ties: first source, then relation).
 
     Where chosen edges form a cycle, its lightest edge is dropped and its node takes its next best edge; exact on
-    acyclic choices, simpler than contraction on cycles.
+    acyclic choices, simpler than contraction on cycles. Edges are ranked once; a round looks only at the trees that its
+    new choices may have closed to cycles, and writes the choices that stand.
     """
-    left = cut_lineage(edges.where("src <> dst").select("src", "dst", "rel", "weight").distinct(), "left")
+    rank = F.row_number().over(Window.partitionBy("dst").orderBy(F.col("weight").desc(), "src", "rel"))
+    ranked = cut_lineage(_whole(edges).where("src <> dst").select("src", "dst", "rel", "weight").distinct().withColumn("k", rank), "ranked")
+    tree = cut_lineage(ranked.where("k = 1"), "tree")
     while True:
-        rank = F.row_number().over(Window.partitionBy("dst").orderBy(F.col("weight").desc(), "src", "rel"))
-        tree = cut_lineage(left.withColumn("k", rank).where("k = 1").drop("k"), "tree")
         cycle = _on_cycles(tree)
-        if cycle.isEmpty():
-            return tree
-        lightest = cycle.withColumn("k", F.row_number().over(Window.partitionBy("cycle").orderBy("weight", "src", "dst"))).where("k = 1")
-        left = cut_lineage(left.join(lightest.select("src", "dst", "rel"), ["src", "dst", "rel"], "left_anti"), "left", replaces=left)
+        lightest = cycle.withColumn("n", F.row_number().over(Window.partitionBy("cycle").orderBy("weight", "src", "dst"))).where("n = 1")
+        lost = cut_lineage(lightest.select("dst", "k"), "lost")
+        drop_written(cycle)
+        if lost.isEmpty():
+            drop_written(lost)
+            drop_written(ranked)
+            return _keep(tree.drop("k"), tree)
+        fresh = ranked.join(lost.select("dst", (F.col("k") + 1).alias("k")), ["dst", "k"]).select(*tree.columns)
+        tree = cut_lineage(tree.join(lost.select("dst"), "dst", "left_anti").select(*tree.columns).union(fresh), "tree", replaces=tree)
+        drop_written(lost)
+
+
+def _keep(df: DataFrame, written: DataFrame) -> DataFrame:
+    """df, with the files that it reads, so that they can be dropped with it."""
+    df._written_to = written._written_to
+    return df
+
+
+def _jumped(jump: DataFrame, n: int, *, low: bool) -> DataFrame:
+    """jump(node, up[, low]) after n steps up at least, by pointer doubling; nodes from which the way up ends sooner fall away. Written."""
+    steps = 1
+    while steps < n and not jump.isEmpty():
+        up = jump.select(F.col("node").alias("up"), F.col("up").alias("up2"), *([F.col("low").alias("low2")] if low else []))
+        jump = cut_lineage(jump.join(up, "up").select("node", F.col("up2").alias("up"), *([F.least("low", "low2").alias("low")] if low else [])), "jump", replaces=jump)
+        steps *= 2
+    return jump
 
 
 def _on_cycles(tree: DataFrame) -> DataFrame:
-    """Edges of a table with one parent per node that lie on cycles, with a cycle's name: nodes without parents fall away, by pointer doubling."""
-    jump = cut_lineage(tree.select(F.col("dst").alias("node"), F.col("src").alias("up"), F.least("src", "dst").alias("low")), "jump")
-    n, steps = tree.count(), 1
-    while steps < n:
-        up = jump.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("low").alias("low2"))
-        jump = cut_lineage(jump.join(up, "up").select("node", F.col("up2").alias("up"), F.least("low", "low2").alias("low")), "jump", replaces=jump)
-        steps *= 2
-        if jump.isEmpty():
-            break
-    reached = jump.select(F.col("up").alias("dst")).distinct()  # after n steps up every node is on its cycle
-    ring = tree.join(reached, "dst", "left_semi")
-    while True:  # whole rings: parents of ring nodes belong too
-        more = tree.join(ring.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(ring.select("dst"), "dst", "left_anti")
-        if more.isEmpty():
-            break
-        ring = cut_lineage(ring.union(more), "ring")
-    return ring.join(jump.select(F.col("node").alias("dst"), F.col("low").alias("cycle")), "dst").select("src", "dst", "rel", "weight", "cycle")
+    """Edges of a table with one parent per node that lie on cycles, with a cycle's name (written). After as many steps up as there are nodes, each node left is below a cycle, and where it has come to is on it."""
+    start = cut_lineage(tree.select(F.col("dst").alias("node"), F.col("src").alias("up"), F.least("src", "dst").alias("low")), "jump")
+    jump = _jumped(start, tree.count(), low=True)
+    ring = tree.join(jump.select(F.col("up").alias("dst")).distinct(), "dst", "left_semi")
+    out = cut_lineage(ring.join(jump.select(F.col("node").alias("dst"), F.col("low").alias("cycle")), "dst").select("src", "dst", "rel", "weight", "k", "cycle"), "cycles")
+    drop_written(jump)
+    return out
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id): the roots and all that can be reached from them. A round per step away; ends when nothing is new."""
-    edges = cut_lineage(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    seen = front = cut_lineage(roots.select("id").distinct(), "seen")
-    while not front.isEmpty():
-        onward = edges.join(front.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        front = cut_lineage(onward.join(seen, "id", "left_anti"), "front")
-        seen = cut_lineage(seen.union(front), "seen")
-    return seen
+    """(id): the roots and all that can be reached from them.
+
+    A node with one way in is reached as what stands before it is, so chains of such nodes are first shortened to their
+    beginnings, by pointer doubling; what is left takes a round per step. Each round writes only what is new.
+    """
+    edges = cut_lineage(_whole(edges).select("src", "dst").where("src <> dst").distinct(), "edges")
+    roots = roots.select("id").where("id is not null").distinct()
+    single = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("up")).where("n = 1").drop("n")
+    jump = cut_lineage(single.join(roots.withColumnRenamed("id", "node"), "node", "left_anti"), "jump")
+    n, steps = jump.count(), 1
+    while steps < n:  # a way up that ends stays where it ends; those on cycles without a way in go on
+        up = jump.select(F.col("node").alias("up"), F.col("up").alias("up2"))
+        longer = jump.join(up, "up", "left").select("node", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved"))
+        jump = cut_lineage(longer, "jump", replaces=jump)
+        steps *= 2
+        if jump.where("moved").isEmpty():
+            break
+        jump = _keep(jump.drop("moved"), jump)
+    short = jump.select(F.col("node").alias("src"), F.col("up").alias("first"))
+    core = edges.join(jump.select(F.col("node").alias("dst")), "dst", "left_anti").join(short, "src", "left")
+    core = cut_lineage(core.select(F.coalesce("first", "src").alias("src"), "dst").distinct(), "core", replaces=edges)
+    seen = Rounds(roots, "seen")
+    while not seen.last.isEmpty():
+        onward = core.join(seen.last.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        seen.add(onward.join(seen.all, "id", "left_anti"))
+    below = jump.join(seen.all.withColumnRenamed("id", "up"), "up", "left_semi").select(F.col("node").alias("id"))
+    out = cut_lineage(seen.all.union(below), "reached")
+    for done in (core, jump, seen.all):
+        drop_written(done)
+    return out
 
 
 def induced_subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -116,6 +153,7 @@ def induced_subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id of the component. Labels shrink to the least neighbour's and then to their label's label, until none changes."""
+    edges = _whole(edges)
     both = cut_lineage(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct(), "both")
     labels = cut_lineage(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("component", F.col("id")), "labels")
     while True:
@@ -123,12 +161,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hooked = labels.join(near, "id", "left").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         hooked = cut_lineage(hooked, "hooked")
         jump = hooked.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        after = cut_lineage(hooked.join(jump, "component").select("id", F.least("component", "next").alias("component"), "was"), "labels")
+        after = cut_lineage(hooked.join(jump, "component").select("id", F.least("component", "next").alias("component"), "was"), "labels", replaces=labels)
         drop_written(hooked)
-        drop_written(labels)
-        labels, before = after.drop("was"), after
-        labels._written_to = before._written_to
+        labels = _keep(after.drop("was"), after)
         if after.where("component <> was").isEmpty():
+            drop_written(both)
             return labels
 
 
@@ -137,39 +174,40 @@ def largest_component(components: DataFrame) -> DataFrame:
     by = _by(components)
     size = components.groupBy(*by, "component").agg(F.count("*").alias("n"))
     best = size.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("n"), "component")).alias("b")).select(*by, "b.component")
-    return components.join(best, [*by, "component"], "left_semi").select(*by, "id", "component")
+    key = F.struct(*by, "component").alias("_key")  # in which nulls are equal
+    return components.withColumn("_key", key).join(best.select(key), "_key", "left_semi").select(*by, "id", "component")
 
 
 def maximum_spanning_forest(edges: DataFrame) -> DataFrame:
-    """(u, v, weight), u < v: Boruvka rounds; the order (weight desc, u, v) makes the forest unique."""
-    pairs = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.max("weight").alias("weight"))
+    """(u, v, weight), u < v: Boruvka rounds; the order (weight desc, u, v) makes the forest unique. Each round writes only the edges that it chooses and those still open."""
+    pairs = _whole(edges).where("src <> dst").groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.max("weight").alias("weight"))
     open_edges = cut_lineage(pairs.select("u", "v", "weight", F.col("u").alias("cu"), F.col("v").alias("cv")), "open")
-    forest = None
+    forest = Rounds(open_edges.select("u", "v", "weight").limit(0), "forest")
     while not open_edges.isEmpty():
         was = open_edges
         order = F.struct((-F.col("weight")).alias("w"), "u", "v")
         ends = open_edges.select(F.col("cu").alias("c"), order.alias("o")).union(open_edges.select("cv", order))
-        chosen = cut_lineage(ends.groupBy("c").agg(F.min("o").alias("o")).select("o.u", "o.v", (-F.col("o.w")).alias("weight")).distinct(), "chosen")
-        forest = chosen if forest is None else cut_lineage(forest.union(chosen), "forest")
-        merged = connected_components(open_edges.join(chosen.select("u", "v"), ["u", "v"]).select(F.col("cu").alias("src"), F.col("cv").alias("dst")))
+        forest.add(ends.groupBy("c").agg(F.min("o").alias("o")).select("o.u", "o.v", (-F.col("o.w")).alias("weight")).distinct())
+        merged = connected_components(open_edges.join(forest.last.select("u", "v"), ["u", "v"]).select(F.col("cu").alias("src"), F.col("cv").alias("dst")))
         for end in ("cu", "cv"):
             open_edges = open_edges.join(merged.select(F.col("id").alias(end), F.col("component").alias(f"n{end}")), end, "left").withColumn(end, F.coalesce(f"n{end}", end)).drop(f"n{end}")
         open_edges = cut_lineage(open_edges.where("cu <> cv").select("u", "v", "weight", "cu", "cv"), "open", replaces=was)
-    return pairs.limit(0) if forest is None else forest
+        drop_written(merged)
+    drop_written(open_edges)
+    return forest.all
 
 
 def tree_rows(tree: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, id, depth, rel, path): a tree depth first when sorted by (root, path); children by weight, heaviest first, then by name."""
-    step = cut_lineage(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("rel"), F.array().cast("array<struct<w: double, name: string>>").alias("path")), "rows")
-    out = step
-    while True:
-        kids = tree.select(F.col("src").alias("id"), F.col("dst").alias("kid"), F.col("rel").alias("kid_rel"), "weight")
-        place = F.concat("path", F.array(F.struct((-F.col("weight").cast("double")).alias("w"), F.col("kid").alias("name"))))
+    """(root, id, depth, rel, path): a tree depth first when sorted by (root, path); children by weight, heaviest first, then by name. A round per level writes the level."""
+    kids = _whole(tree).select(F.col("src").alias("id"), F.col("dst").alias("kid"), F.col("rel").alias("kid_rel"), F.col("weight").cast("double").alias("weight"))
+    name = tree.schema["dst"].dataType.simpleString()
+    first = roots.where("id is not null").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("rel"), F.array().cast(f"array<struct<w: double, name: {name}>>").alias("path"))
+    rows = Rounds(first, "rows")
+    while not rows.last.isEmpty():
+        place = F.concat("path", F.array(F.struct((-F.col("weight")).alias("w"), F.col("kid").alias("name"))))
         fresh = ~F.exists("path", lambda p: p["name"] == F.col("kid")) & (F.col("kid") != F.col("root"))
-        step = cut_lineage(step.join(kids, "id").where(fresh).select("root", F.col("kid").alias("id"), (F.col("depth") + 1).alias("depth"), F.col("kid_rel").alias("rel"), place.alias("path")), "rows")
-        if step.isEmpty():
-            return out
-        out = out.union(step)
+        rows.add(rows.last.join(kids, "id").where(fresh).select("root", F.col("kid").alias("id"), (F.col("depth") + 1).alias("depth"), F.col("kid_rel").alias("rel"), place.alias("path")))
+    return rows.all
 
 
 def attributed_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:

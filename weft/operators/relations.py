@@ -81,7 +81,8 @@ def rel_function_verb(parsed: DataFrame, verbs=lex.FUNCTION_VERBS) -> DataFrame:
 def rel_property(tokens: DataFrame, chunks: DataFrame) -> DataFrame:
     """Of each noun chunk, the adjectives (lemma) and numbers (text) that depend on its head."""
     of = tokens.where("dep in ('amod', 'nummod') and head <> tok").select(*KEY, "tok", F.col("head").alias("head_tok"), F.lower(F.when(F.col("dep") == "amod", F.col("lemma")).otherwise(F.col("text"))).alias("dst"))
-    out = chunks.select(*KEY, "head_tok", "chunk").join(of, [*KEY, "head_tok"]).where("dst is not null")
+    key = F.struct(*KEY, "head_tok").alias("_key")  # in which nulls are equal
+    out = chunks.select(*KEY, "chunk", key).join(of.select("tok", "dst", key), "_key").where("dst is not null")
     return out.select(*KEY, "tok", T.normalize_np(F.col("chunk")).alias("src"), "dst", F.lit("property-of").alias("rel"), F.lit(lex.RELATION_WEIGHTS["property-of"]).alias("weight"))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_np
 from ..operators import graph, kg, relations, sentences, tokens
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_written
 
 
 def text_to_kg(docs: DataFrame, splits_of, triples_of, votes_of, relations_of) -> dict[str, DataFrame]:
@@ -41,24 +42,25 @@ def concept_tree(toks: DataFrame, **words) -> DataFrame:
     tree (`best-parent`); what the root's chunk reaches is kept. Documents whose root reaches nothing take the maximum
     spanning tree of their largest component instead (`forest`).
     """
-    parsed, chunks = cut_lineage(tokens.parse(toks), "parsed"), tokens.noun_chunks(toks)
+    parsed, chunks = cut_lineage(tokens.parse(toks), "parsed"), cut_lineage(tokens.noun_chunks(toks), "chunks")
     found = concept_edges(toks, parsed, chunks, **words)
-    name = lambda c: F.concat_ws("\u0001", F.col("doc_id").cast("string"), F.col(c))
-    edges = found.select(name("src").alias("src"), name("dst").alias("dst"), "rel", "weight", (F.col("sent") * 100000 + F.col("tok")).alias("pos"))
-    strong = cut_lineage(graph.boost_part_of(graph.strongest_edges(edges)), "strong")
-    roots = tokens.root_by_frequency(chunks)
-    from ..functions.text import normalize_np
-
-    named = chunks.join(roots, "doc_id").where("head_lemma = root").groupBy("doc_id").agg(F.min(F.struct("sent", "start", normalize_np(F.col("chunk")).alias("label"))).alias("x"))
-    start = named.select(F.concat_ws("\u0001", F.col("doc_id").cast("string"), "x.label").alias("id"))
+    place = (F.col("sent").cast("bigint") * 100000 + F.col("tok")).alias("pos")
+    strong = cut_lineage(graph.boost_part_of(graph.strongest_edges(graph.named(found.select("doc_id", "src", "dst", "rel", "weight", place), "src", "dst"))), "strong")
+    roots = tokens.root_by_frequency(chunks).withColumnRenamed("doc_id", "root_of")
+    heads = chunks.join(roots, F.col("doc_id").eqNullSafe(F.col("root_of")) & (F.col("head_lemma") == F.col("root")))
+    first = heads.groupBy("doc_id").agg(F.min(F.struct("sent", "start", normalize_np(F.col("chunk")).alias("label"))).alias("x"))
+    start = graph.named(first.select("doc_id", F.col("x.label").alias("id")), "id")
     tree = graph.best_parent_tree(strong)
-    below = graph.induced_subgraph(tree, graph.reachable(tree, start)).withColumn("method", F.lit("best-parent"))
-    doc = F.substring_index("src", "\u0001", 1).cast("bigint").alias("doc_id")
-    done = below.select(doc).distinct()
-    rest = cut_lineage(strong.withColumn("doc_id", doc).join(done, "doc_id", "left_anti"), "rest")
-    parts = graph.connected_components(rest).withColumn("doc_id", F.substring_index("id", "\u0001", 1).cast("bigint"))
-    largest = graph.largest_component(parts)
-    rest = graph.induced_subgraph(rest.drop("doc_id"), largest.select("id"))
-    forest = graph.maximum_spanning_forest(rest).selectExpr("u as src", "v as dst", "cast(null as string) as rel", "weight", "'forest' as method")
-    both = below.select("src", "dst", "rel", "weight", "method").unionByName(forest)
-    return both.select(doc, F.substring_index("src", "\u0001", -1).alias("src"), F.substring_index("dst", "\u0001", -1).alias("dst"), "rel", "weight", "method")
+    near = graph.reachable(tree, start)
+    below = cut_lineage(graph.induced_subgraph(tree, near).withColumn("method", F.lit("best-parent")), "below")
+    drop_written(near)
+    doc = F.struct(F.col("src.doc_id").alias("doc_id"))  # one column in which nulls are equal
+    rest = cut_lineage(strong.withColumn("doc", doc).join(below.select(doc.alias("doc")).distinct(), "doc", "left_anti").drop("doc"), "rest")
+    parts = graph.connected_components(rest)
+    largest = graph.largest_component(parts.withColumn("doc_id", F.struct(F.col("id.doc_id").alias("doc_id"))))
+    forest = graph.maximum_spanning_forest(graph.induced_subgraph(rest, largest.select("id")))
+    forest = forest.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(None).cast("string").alias("rel"), "weight", F.lit("forest").alias("method"))
+    both = cut_lineage(graph.unnamed(below.select("src", "dst", "rel", "weight", "method").unionByName(forest), "src", "dst"), "concepts")
+    for done in (parsed, chunks, strong, tree, below, rest, parts):
+        drop_written(done)
+    return both.select("doc_id", "src", "dst", "rel", "weight", "method")

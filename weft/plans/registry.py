@@ -512,6 +512,7 @@ _add("n3_degrees", lambda v: graph.degrees(_nodes(v.triple_edges), v.triple_edge
 _add("n4_root_by_degree", lambda v: graph.root_by_degree(graph.degrees(_nodes(v.triple_edges), v.triple_edges)), f"select doc_id, arg_max(id, row(in_degree, degree, -k)) as id from (select *, row_number() over (partition by doc_id order by id) as k from {_DEG.format(_TE)}) group by 1", "triples")
 _add("n5_boost_part_of", lambda v: graph.boost_part_of(v.word_graph).select("src", "dst", "rel", "weight"), "select a as src, b as dst, case when w_dep > 0 then 'part-of' else 'spatial' end as rel, weight + case when w_dep > 0 then 5.0 else 0.0 end::double as weight from wedges", "wedges")
 _add("n6_best_parent_tree", lambda v: graph.best_parent_tree(v.word_graph), "select src, dst, rel, weight from (select a as src, b as dst, case when w_dep > 0 then 'part-of' else 'spatial' end as rel, weight::double as weight, row_number() over (partition by b order by weight desc, a) as k from wedges) where k = 1", "wedges")
+_add("n6_best_parent_tree_cyclic", lambda v: graph.best_parent_tree(v.supply))
 _add("n7_reachable", lambda v: graph.reachable(v.tree, v.table("region").where("r_name < 'B'").selectExpr("concat('r', r_regionkey) as id")), "select * from (with recursive s as (select concat('r', r_regionkey) as id from region where r_name < 'B' union select dst from tree join s on src = id) select id from s)", "tree")
 _add("n7_induced_subgraph", lambda v: graph.induced_subgraph(v.tree, graph.reachable(v.tree, v.table("region").where("r_name < 'B'").selectExpr("concat('r', r_regionkey) as id"))).select("src", "dst"), "select src, dst from tree where src in (with recursive s as (select concat('r', r_regionkey) as id from region where r_name < 'B' union select dst from tree join s on src = id) select id from s)", "tree")
 _COMP = "(select id, min(least(id, r, n)) over (partition by r) as component from (with recursive s as (select distinct src as r, src as n, src as id from tree where starts_with(src, 'r') union select r, src, dst from tree join s on src = id) select r, id, id as n from s))"

@@ -45,3 +45,24 @@ def drop_written(df: DataFrame | None) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Rounds:
+    """A table that grows by rounds, in one folder: each round is written once, and reading all of them is one scan however many there are."""
+
+    def __init__(self, first: DataFrame, name: str):
+        self.spark, self.schema = first.sparkSession, first.schema
+        self.path, self.count = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> None:
+        """Write a round; `rows` may read those before it."""
+        self.count += 1
+        rows.write.parquet(f"{self.path}/round={self.count}")
+        self.last = self.spark.read.schema(self.schema).parquet(f"{self.path}/round={self.count}")
+
+    @property
+    def all(self) -> DataFrame:
+        out = self.spark.read.schema(self.schema).option("basePath", self.path).parquet(self.path).select(*self.schema.names)
+        out._written_to = self.path
+        return out
