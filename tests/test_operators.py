@@ -311,6 +311,56 @@ def test_sources_and_stream(spark, tmp_path, sf_dir):
     assert spark.table("sents").count() == sentences.split_sentences(docs).count()
 
 
+def test_tables_appear_together(spark, tmp_path):
+    """Partitioned tables behind a manifest: a write that fails leaves the old ones, an overwrite replaces all, a condition prunes."""
+    import os
+
+    at = str(tmp_path / "kg")
+    first = {"nodes": spark.range(10).selectExpr("id", "id % 3 as part"), "edges": spark.range(4).selectExpr("id as source")}
+    documents.write_kg(first, at, partition_by="part")
+    broken = {"nodes": spark.range(3).selectExpr("id"), "edges": spark.range(4).selectExpr("raise_error('lost') as source")}
+    with pytest.raises(Exception, match="lost"):
+        documents.write_kg(broken, at, mode="overwrite")
+    kept = documents.read_kg(spark, at)
+    assert set(kept) == {"nodes", "edges"} and kept["nodes"].count() == 10 and kept["edges"].count() == 4
+    one = kept["nodes"].where("part = 1")
+    assert one.count() == 3 and "PartitionFilters: [isnotnull(part" in one._jdf.queryExecution().toString()
+    documents.write_kg({"nodes": spark.range(2).selectExpr("id")}, at, mode="ignore")
+    assert documents.read_kg(spark, at, ["nodes"])["nodes"].count() == 10
+    documents.write_kg({"nodes": spark.range(2).selectExpr("id")}, at, mode="overwrite")
+    assert {k: df.count() for k, df in documents.read_kg(spark, at).items()} == {"nodes": 2}
+    assert len([x for x in os.listdir(at) if x.startswith("tables-")]) == 2  # the one in use and what the broken write left
+    with pytest.raises(FileNotFoundError):
+        documents.read_kg(spark, str(tmp_path / "none"))
+
+
+def test_streamed_contexts_equal_the_batch(spark, tmp_path):
+    """Micro-batches of a document's sentences give what the whole table gives."""
+    import time
+
+    from weft.streaming.context import stream_context_asof, stream_paired_ends
+
+    rnd = random.Random(8)
+    rows = [(d, pos, rnd.choice([None, None, "a", "a.b", "c"]), rnd.choice(["x", "y", "z", None])) for d in (1, 2, 3) for pos in range(30) for _ in range(rnd.randint(1, 3))]
+    texts = [(d, pos, rnd.choice(["one end of the pipe", "and The other end", "One end of the Rod or the other end", "none", None])) for d in (1, 2) for pos in range(30)]
+    contexts, pairs = "doc_id bigint, pos bigint, path string, value string", "doc_id bigint, pos bigint, text string"
+    for k in range(6):
+        for name, all_rows, schema in (("c", rows, contexts), ("p", texts, pairs)):
+            spark.createDataFrame([r for r in all_rows if r[1] // 5 == k], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        time.sleep(1.1)  # files are taken by age
+    got = {}
+    for name, schema, step in (("c", contexts, stream_context_asof), ("p", pairs, stream_paired_ends)):
+        stream = step(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)))
+        q = stream.writeStream.format("memory").queryName(f"streamed_{name}").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        got[name] = sorted(map(str, spark.table(f"streamed_{name}").collect()))
+    df = spark.createDataFrame(rows, contexts)
+    asked = df.where("path is null").select("doc_id", "pos")
+    want = references.context_asof(df.where("path is not null"), asked)
+    assert got["c"] == sorted(map(str, want.collect())) and len(got["c"]) > 100
+    assert got["p"] == sorted(map(str, references.resolve_paired_ends(spark.createDataFrame(texts, pairs)).collect()))
+
+
 def test_entry_imports_without_the_llm_folders(tmp_path):
     import os
     import shutil
