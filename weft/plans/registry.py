@@ -15,6 +15,7 @@ from ..operators import answers, graph, kg, references, relations, sentences, to
 from ..session import cut_lineage, shared_folder
 from ..sources.documents import read_kg, write_kg
 from ..sources.graph_xml import read_graph_xml
+from ..streaming.context import stream_context_asof
 from . import pipelines
 from .views import CANONICAL, WORDS, Views, with_views
 
@@ -236,6 +237,19 @@ _add("r3_merge_context", lambda v: references.merge_context(_updates(v)), f"""wi
 
 for _name in ("r2_context_asof", "r3_merge_context"):  # the same, under the names of their first versions on whole texts
     _QUERIES[f"{_name}_whole"] = _QUERIES[_name]
+
+
+def _streamed_context(v: Views) -> DataFrame:
+    """The same from a stream of conversations: each turn asks and then tells."""
+    at = f"{shared_folder(v.spark)}/stream-{uuid.uuid4().hex}"
+    turns = v.spark.readStream.schema(v.table("conversations").schema).parquet(f"{v.dir}/conversations*.parquet")  # a stream takes folders and patterns
+    rows = turns.selectExpr("conv_id as doc_id", "turn as pos", "explode(array(named_struct('path', cast(null as string), 'value', cast(null as string)), named_struct('path', concat('p.', role, case when turn % 2 = 0 then '.a' else '' end), 'value', text))) as x").select("doc_id", "pos", "x.*")
+    found = stream_context_asof(rows)
+    found.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/rows").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.schema(found.schema).parquet(f"{at}/rows").withColumn("pos", F.col("pos").cast(v.table("conversations").schema["turn"].dataType))
+
+
+_add("r2_stream_context", _streamed_context, _QUERIES["r2_context_asof"][1])
 _ATTEMPT = "case when (doc_id + pos + attempt) % 3 = 0 then ' ' else concat('std ', attempt, ' ', s) end"
 _add("r4_choose_standardised", lambda v: references.choose_standardised(v.sents.withColumnRenamed("s", "text"), v.sents.selectExpr("*", "explode(array(0, 1, 2)) as attempt").selectExpr("doc_id", "pos", "attempt", f"{_ATTEMPT} as answer")).select("doc_id", "pos", "standard"),
      f"select doc_id, pos, coalesce(arg_min(a, attempt) filter (where trim(a) <> '' and attempt < 2), any_value(s)) as standard from (select *, {_ATTEMPT} as a from sents, (select unnest([0, 1, 2]) as attempt)) group by 1, 2", "sents")
@@ -456,6 +470,16 @@ def _saved_kg(v: Views) -> DataFrame:
 _add("s3_saved_kg", _saved_kg, f"select * from (select unnest(['input', 'splits', 'relation_schema', 'nodes', 'edges']) as name, unnest([(select count(*) from documents), sum(n_splits), sum(n_relations), sum(n_nodes), sum(n_edges)]) as n from {_KG_SQL}) where n > 0", "sents")
 
 
+def _partitioned(v: Views) -> DataFrame:
+    """The documents saved by language and one language's read back."""
+    at = f"{shared_folder(v.spark)}/kg-{uuid.uuid4().hex}"
+    write_kg({"input": v.documents}, at, partition_by="lang")
+    return read_kg(v.spark, at)["input"].where("lang = 'en'").select("doc_id", "source", F.length("text").alias("chars"))
+
+
+_add("s3_partitioned", _partitioned, "select doc_id, source, length(text) as chars from documents where lang = 'en'")
+
+
 def _saved_graph(v: Views) -> tuple[DataFrame, DataFrame]:
     """The customers' graph, saved as XML by Spark and read again."""
     at = f"{shared_folder(v.spark)}/graph-{uuid.uuid4().hex}"
@@ -531,7 +555,7 @@ _add("n9_spanning_forest_weighted", lambda v: graph.maximum_spanning_forest(v.su
 _add("n9_spanning_forest_words", lambda v: graph.maximum_spanning_forest(v.word_graph))
 _add("n10_tree_rows", lambda v: graph.tree_rows(v.tree, v.table("region").selectExpr("concat('r', r_regionkey) as id")).select("root", "id", "depth", "rel", F.array_join(F.transform("path", lambda p: p["name"]), "/").alias("path")), "select root, id, depth, case when depth > 0 then 'part-of' end as rel, path from (with recursive s as (select concat('r', r_regionkey) as root, concat('r', r_regionkey) as id, 0 as depth, '' as path from region union all select root, dst, depth + 1, case when path = '' then dst else path || '/' || dst end from tree join s on src = id) select * from s)", "tree")
 _add("n11_concept_tree", lambda v: pipelines.concept_tree(v.toks, part=WORDS, marker=WORDS, function=WORDS, spatial=WORDS, condition=WORDS))
-_add("n12_attributed_graph", lambda v: graph.attributed_graph(v.table("customer").selectExpr("concat('c', c_custkey) as id", "c_acctbal as coverage", "array(c_acctbal, cast(c_nationkey as double)) as feat", "0.5D as importance"), v.table("orders").selectExpr("concat('c', o_custkey) as src", "concat('o', o_orderkey) as dst", "'places' as rel", "cast(o_totalprice as double) as weight")).select("id", "coverage", "importance", F.round("weighted_out", 2).alias("weighted_out")), "select concat('c', c_custkey) as id, c_acctbal as coverage, 0.5::double as importance, round(coalesce(w, 0), 2) as weighted_out from customer left join (select o_custkey, sum(o_totalprice)::double as w from orders group by 1) on o_custkey = c_custkey")
+_add("n12_attributed_graph", lambda v: graph.attributed_graph(v.table("customer").selectExpr("concat('c', c_custkey) as id", "c_acctbal as coverage", "array(cast(c_acctbal as double), cast(c_nationkey as double)) as feat", "0.5D as importance"), v.table("orders").selectExpr("concat('c', o_custkey) as src", "concat('o', o_orderkey) as dst", "'places' as rel", "cast(o_totalprice as double) as weight")).select("id", "coverage", F.get("feat", F.lit(0)).alias("feat0"), F.get("feat", F.lit(1)).alias("feat1"), "importance", F.round("weighted_out", 2).alias("weighted_out")), "select concat('c', c_custkey) as id, c_acctbal as coverage, c_acctbal::double as feat0, c_nationkey::double as feat1, 0.5::double as importance, round(coalesce(w, 0), 2) as weighted_out from customer left join (select o_custkey, sum(o_totalprice)::double as w from orders group by 1) on o_custkey = c_custkey")
 
 
 def entry(spark: SparkSession) -> DataFrame:
