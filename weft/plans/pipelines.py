@@ -16,12 +16,12 @@ def text_to_kg(docs: DataFrame, splits_of, triples_of, votes_of, relations_of) -
     The functions give the outside answers as tables: splits_of(sentences), a document's splits (doc_id, sid, text, parent)
     or none, in which case each of its sentences is its own; triples_of(splits); relations_of(splits), the relations
     (doc_id, pos, name, ...) that its predicates may have; votes_of(triples). A document without triples has no nodes and
-    no edges, but its splits. Splits are written once, for all that reads them.
+    no edges, but its splits. Splits and triples are written once, for all that reads them.
     """
     sents = sentences.split_sentences(docs)
     splits = cut_lineage(sentences.identity_splits(sents, splits_of(sents)), "splits")
     schema = kg.clean_relations(relations_of(splits))
-    triples = kg.clean_triples(triples_of(splits))
+    triples = cut_lineage(kg.clean_triples(triples_of(splits)), "triples")  # read for votes, for edges and for the fallback
     nodes, edges = kg.voted_graph(triples, votes_of(triples), schema)
     return {"input": docs, "splits": splits, "relation_schema": schema, "nodes": nodes, "edges": edges}
 
