@@ -35,6 +35,25 @@ def brute_classes(rows, tenths=8):
     return list(out.values())
 
 
+def brute_cut(rows, width=50):
+    """Rows of (id, text) without the words of windows that stand in a row of a smaller id; rows without a cut stay as they are."""
+    first = {}
+    for d, text in rows:
+        words = (text or "").split()
+        for i in range(len(words) - width + 1):
+            w = tuple(words[i : i + width])
+            first[w] = min(first.get(w, d), d)
+    out = []
+    for d, text in rows:
+        words = (text or "").split()
+        gone = {i + j for i in range(len(words) - width + 1) if first[tuple(words[i : i + width])] < d for j in range(width)}
+        if gone:
+            text = " ".join(w for i, w in enumerate(words) if i not in gone)
+        if not gone or text:
+            out.append((d, text))
+    return out
+
+
 @pytest.mark.parametrize("which", ["cases", "sf"])
 def test_near_copies_against_all_pairs(spark, sf_dir, which):
     df = cases.docs(spark) if which == "cases" else read_table(spark, sf_dir, "documents")
@@ -95,6 +114,10 @@ def test_the_whole_run(spark, folder):
     assert sorted(map(str, kept)) == sorted(str(r) for r, x in zip(given, p) if x >= op3_quality.THRESHOLD)
     given, kept = seen["simhash_near_dedup"]
     assert {(r["doc_id"], r["text"]) for r in kept} <= {(r["doc_id"], r["text"]) for r in given} and len(kept) >= len(brute_classes([(r["doc_id"], r["text"]) for r in given]))
+    given, kept = seen["substring_dedup"]
+    want, whole = brute_cut([(r["doc_id"], r["text"]) for r in given]), {(r["doc_id"], r["text"]) for r in given}
+    words = lambda rows: sorted((x if x in whole else (x[0], (x[1] or "").split()) for x in rows), key=str)  # noqa: E731  what is left of a cut text keeps its white space
+    assert words((r["doc_id"], r["text"]) for r in kept) == words(want) and not {x for x in want} <= whole
     given, kept = seen["benchmark_decontamination"]
     item = cases.prose(900, 40)
     assert {r["doc_id"] for r in given} - {r["doc_id"] for r in kept} == {r["doc_id"] for r in given if item in (r["text"] or "")} != set()

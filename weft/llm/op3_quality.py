@@ -79,6 +79,28 @@ def _peaks(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return most, where
 
 
+def gradients(model: dict, x: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean logistic loss over rows of `sizes` chunks each, which stand in x one after another, by each weight."""
+    begin = np.cumsum(sizes) - sizes
+    own = np.repeat(np.arange(len(y)), sizes)
+    peaks, where = _peaks(model, x)
+    pooled = np.maximum(peaks + model["bias"], 0)
+    mean, most = np.add.reduceat(pooled, begin) / sizes[:, None], np.maximum.reduceat(pooled, begin)
+    features = np.concatenate([mean, most], axis=1)
+    p = 1 / (1 + np.exp(-(features @ model["out"] + model["out_bias"])))
+    error = ((p - y) / len(y)).astype(np.float32)
+    back = error[:, None] * model["out"]
+    d_pooled = back[own, :FILTERS] / sizes[own, None] + back[own, FILTERS:] * (pooled == most[own])
+    d_pooled = d_pooled * (pooled > 0)
+    grads = {"out": features.T @ error, "out_bias": error.sum(keepdims=True), "bias": d_pooled.sum(axis=0), "filters": np.zeros_like(model["filters"]), "embed": np.zeros_like(model["embed"])}
+    for j in range(WIDTH):
+        codes = np.take_along_axis(x, where + j, 1)
+        part = slice(j * EMBED, (j + 1) * EMBED)
+        grads["filters"][part] = np.einsum("cfe,cf->ef", model["embed"][codes], d_pooled)
+        np.add.at(grads["embed"], codes, d_pooled[:, :, None] * model["filters"][part].T[None])
+    return grads
+
+
 def fit(chunks: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int = 600, batch: int = 48, rate: float = 0.01, seed: int = 3) -> dict[str, np.ndarray]:
     """Weights that minimise the logistic loss (Adam, at least `steps` batches and four rounds). With no rows, or labels of one kind only, the bias alone is set."""
     model = start(seed)
@@ -97,24 +119,7 @@ def fit(chunks: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int = 600, ba
             docs = order[at : at + batch]
             take = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
             sizes = first[docs + 1] - first[docs]
-            begin = np.cumsum(sizes) - sizes
-            own = np.repeat(np.arange(len(docs)), sizes)
-            x = chunks[take]
-            peaks, where = _peaks(model, x)
-            pooled = np.maximum(peaks + model["bias"], 0)
-            mean, most = np.add.reduceat(pooled, begin) / sizes[:, None], np.maximum.reduceat(pooled, begin)
-            features = np.concatenate([mean, most], axis=1)
-            p = 1 / (1 + np.exp(-(features @ model["out"] + model["out_bias"])))
-            error = ((p - y[docs]) / len(docs)).astype(np.float32)
-            back = error[:, None] * model["out"]
-            d_pooled = back[own, :FILTERS] / sizes[own, None] + back[own, FILTERS:] * (pooled == most[own])
-            d_pooled = d_pooled * (pooled > 0)
-            grads = {"out": features.T @ error, "out_bias": error.sum(keepdims=True), "bias": d_pooled.sum(axis=0), "filters": np.zeros_like(model["filters"]), "embed": np.zeros_like(model["embed"])}
-            for j in range(WIDTH):
-                codes = np.take_along_axis(x, where + j, 1)
-                part = slice(j * EMBED, (j + 1) * EMBED)
-                grads["filters"][part] = np.einsum("cfe,cf->ef", model["embed"][codes], d_pooled)
-                np.add.at(grads["embed"], codes, d_pooled[:, :, None] * model["filters"][part].T[None])
+            grads = gradients(model, chunks[take], sizes, y[docs])
             step += 1
             for k, g in grads.items():
                 m, v = moments[k]

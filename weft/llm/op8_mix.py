@@ -23,6 +23,7 @@ from .repeats import row_id
 BLOCK_ROWS = 2_000
 FAN_IN = 1_000
 MOST_COPIES = 3
+EQUAL_ROWS = 1_000  # equal rows that are numbered in one place, and a ten-thousandth of all rows more
 SEED = 8
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 
@@ -160,20 +161,44 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", "part", "taken")
 
 
+def _numbered(rows: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """rows joined with found(*key, n, ...), one per key and n the number of its rows, and numbered by i from 0 within each key.
+
+    Rows of a key meet in one place only while they are few. Keys that more than EQUAL_ROWS and a ten-thousandth of all
+    rows share, so fewer than 10,000, are broadcast; their rows are written in pieces of EQUAL_ROWS at most, and a piece
+    is numbered from the sum of those before it.
+    """
+    total, most = found.agg(F.sum("n"), F.max("n")).first()
+    bound = EQUAL_ROWS + (total or 0) // 10_000
+    inside = lambda *by: F.row_number().over(Window.partitionBy(*key, *by).orderBy("_rid")) - 1
+    if (most or 0) <= bound:
+        return rows.join(found, key).withColumn("i", inside())
+    hot = F.broadcast(found.where(F.col("n") > bound))
+    few = rows.join(hot.select(*key), key, "left_anti").join(found.where(F.col("n") <= bound), key).withColumn("i", inside())
+    many = rows.join(hot.select(*key), key, "left_semi").withColumn("_piece", F.floor(F.monotonically_increasing_id() / EQUAL_ROWS))
+    many = write_shared(many, "equal_rows")  # so that pieces stay as they are
+    pieces = running(many.groupBy(*key, "_piece").agg(F.count("*").alias("_in")), [F.col(c) for c in (*key, "_piece")], {"_from": F.col("_in")}).drop("place", "_in")
+    pieces = write_shared(pieces, "pieces")
+    begin = F.broadcast(pieces.groupBy(*key).agg(F.min("_from").alias("_begin")))
+    many = many.join(pieces, [*key, "_piece"]).withColumn("i", inside("_piece")).join(begin, key).withColumn("i", F.col("i") + F.col("_from") - F.col("_begin"))
+    return few.unionByName(many.drop("_piece", "_from", "_begin").join(hot, key))
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """docs with what the mix takes of each row: size, source_size, target, copies, part, taken and part_text, the first `part` words (null if none).
 
-    Every row stays; columns of docs with one of these names are replaced.
+    Every row stays; columns of docs with one of these names are replaced. Equal rows are dealt out in pieces (see _numbered).
     """
     named = lambda df, doc_id, rid: df.withColumns({"_no_id": doc_id.isNull(), "_id": F.coalesce(doc_id.cast("bigint"), F.lit(0).cast("bigint")), "_rid": rid, "_source": F.struct(F.col("source"))})
     key = ["_no_id", "_id", "_rid", "_source"]
     new = ["size", "source_size", "target", "copies", "part", "taken", "part_text"]
     kept = [c for c in docs.columns if c not in new]
-    found = named(entries(docs), F.col("doc_id"), F.col("rid")).select(*key, "size", "source_size", "target", "whole", "up", "x")
-    rows = named(docs.select(*kept), F.col("doc_id"), row_id(F.col("text"))).join(found, key)
-    rows = _taken(rows.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("_rid")) - 1))
+    inner = {c: f"_own_{c}" for c in kept if c in ("n", "i", "whole", "up", "x")}
+    found = named(entries(docs), F.col("doc_id"), F.col("rid")).select(*key, "n", "size", "source_size", "target", "whole", "up", "x")
+    rows = _taken(_numbered(named(docs.select(*kept), F.col("doc_id"), row_id(F.col("text"))).withColumnsRenamed(inner), found, key))
     words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
-    return rows.withColumn("part_text", F.when(F.col("part") > 0, F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), " "))).select(*kept, *new)
+    rows = rows.withColumn("part_text", F.when(F.col("part") > 0, F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), " ")))
+    return rows.select(*(F.col(inner.get(c, c)).alias(c) for c in kept), *new)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
