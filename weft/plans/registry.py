@@ -17,7 +17,7 @@ from ..sources.documents import read_kg, write_kg
 from ..sources.graph_xml import read_graph_xml
 from ..streaming.context import stream_context_asof
 from . import pipelines
-from .views import CANONICAL, WORDS, Views, with_views
+from .views import CANONICAL, DEP, WORDS, Views, with_views
 
 _QUERIES: dict[str, tuple[Callable, str | None]] = {}
 
@@ -260,13 +260,14 @@ _add("r5_paired_ends", lambda v: references.resolve_paired_ends(v.claims).select
 _LEX = [("the", "DET"), ("and", "CCONJ"), ("of", "ADP"), ("in", "ADP"), ("la", "DET"), ("die", "DET")]
 _GAZ = [("of the", "PHRASE"), ("the", "ARTICLE"), ("in the", "PHRASE"), ("is", "COPULA"), ("de la", "PHRASE")]
 _values = lambda rows: ", ".join(f"('{a}', '{b}')" for a, b in rows)
-_add("k1_tokens_from_text", lambda v: tokens.tokens_from_text(v.sents, v.spark.createDataFrame(_LEX, "lemma string, pos_tag string")), f"select doc_id, sent, tok, text, lemma, coalesce(x.p, 'NOUN') as pos_tag from (select doc_id, sent, tok, text, lemma from toks) left join (values {_values(_LEX)}) x(lemma, p) using (lemma)", "toks")
+_table = lambda v, rows, *names: v.spark.sql(f"select * from values {_values(rows)} as t({', '.join(names)})")  # noqa: E731  (of known size, so it is broadcast)
+_add("k1_tokens_from_text", lambda v: tokens.tokens_from_text(v.sents, _table(v, _LEX, "lemma", "pos_tag")), f"select doc_id, sent, tok, text, lemma, coalesce(x.p, 'NOUN') as pos_tag from (select doc_id, sent, tok, text, lemma from toks) left join (values {_values(_LEX)}) x(lemma, p) using (lemma)", "toks")
 _add("k2_subtree_spans", lambda v: v.spans, "select doc_id, sent, tok, l as \"left\", r as \"right\", text from spans", "spans")
 _add("k3_noun_chunks", lambda v: v.chunks, "select doc_id, sent, head_tok, start, chunk, head_lemma from chunks", "chunks")
 _add("k4_verb_lemmas", lambda v: tokens.verb_lemmas(v.toks), "select doc_id, sent, tok, lemma from toks where pos_tag = 'VERB'", "toks")
-_add("k5_gazetteer", lambda v: tokens.gazetteer_entities(v.toks, v.spark.createDataFrame(_GAZ, "entity string, label string")), f"select doc_id, sent, tok, entity, label from (select doc_id, sent, tok, unnest([lemma, lemma || ' ' || n1, lemma || ' ' || n1 || ' ' || n2]) as entity from (select *, lead(lemma) over w as n1, lead(lemma, 2) over w as n2 from toks window w as (partition by doc_id, sent order by tok))) join (values {_values(_GAZ)}) g(entity, label) using (entity)", "toks")
+_add("k5_gazetteer", lambda v: tokens.gazetteer_entities(v.sentence_toks, _table(v, _GAZ, "entity", "label")), f"select doc_id, sent, tok, entity, label from (select doc_id, sent, tok, unnest([lemma, lemma || ' ' || n1, lemma || ' ' || n1 || ' ' || n2]) as entity from (select *, lead(lemma) over w as n1, lead(lemma, 2) over w as n2 from toks window w as (partition by doc_id, sent order by tok))) join (values {_values(_GAZ)}) g(entity, label) using (entity)", "toks")
 _add("k6_word_nodes", lambda v: tokens.word_nodes(v.toks).select("lemma", "freq", F.explode("pos").alias("pos_tag", "n")), "select lemma, sum(n) over (partition by lemma) as freq, pos_tag, n from (select lemma, pos_tag, count(*) as n from toks group by 1, 2)", "toks")
-_add("k7_word_edges", lambda v: tokens.word_edges(v.toks), "select * from wedges", "wedges")
+_add("k7_word_edges", lambda v: tokens.word_edges(v.token_rows()), "select * from wedges", "wedges")
 _add("k8_root_by_frequency", lambda v: tokens.root_by_frequency(v.chunks), "select doc_id, arg_max(head_lemma, row(n, -s, -t)) as root from (select doc_id, head_lemma, count(*) as n, min(sent * 1000000 + start) // 1000000 as s, min(sent * 1000000 + start) % 1000000 as t from (select doc_id, head_lemma, sent, start from chunks) group by 1, 2) group by 1", "chunks")
 
 # Relations
@@ -293,20 +294,22 @@ _add("x3_function_verb", lambda v: relations.rel_function_verb(v.parsed, WORDS).
  join {_kid('tok', 'nsubj', 'nsubjpass')} s on s.doc_id = v.doc_id and s.sent = v.sent and s.tok = v.tok join np a on a.doc_id = v.doc_id and a.sent = v.sent and a.tok = s.k
  join (select doc_id, sent, anc as tok, arg_min(verb, t) as verb from (select p.doc_id, p.sent, p.anc, p.tok as t, b.verb from pairs p join toks t on t.doc_id = p.doc_id and t.sent = p.sent and t.tok = p.tok and lower(t.text) = 'to' join {_VERB_BELOW} b on b.doc_id = p.doc_id and b.sent = p.sent and b.tok = p.tok) group by 1, 2, 3) x
    on x.doc_id = v.doc_id and x.sent = v.sent and x.tok = v.tok where v.pos_tag = 'VERB' and v.lemma in ({_W})""", "np")
-_add("x4_property", lambda v: relations.rel_property(v.toks, v.chunks).select(*_XCOLS), r"select c.doc_id, c.sent, t.tok, trim(regexp_replace(regexp_replace(chunk, '(^|[^\pL\pN_])said\s+', '\1the ', 'gi'), '\s+', ' ', 'g'), ' ,;') as src, t.lemma as dst, 'property-of' as rel, 1.0::double as weight from chunks c join toks t on t.doc_id = c.doc_id and t.sent = c.sent and t.head = c.head_tok and t.tok <> t.head and t.dep = 'amod'", "chunks")
+_add("x4_property", lambda v: relations.chunk_properties(v.parsed).select(*_XCOLS), r"select c.doc_id, c.sent, t.tok, trim(regexp_replace(regexp_replace(chunk, '(^|[^\pL\pN_])said\s+', '\1the ', 'gi'), '\s+', ' ', 'g'), ' ,;') as src, t.lemma as dst, 'property-of' as rel, 1.0::double as weight from chunks c join toks t on t.doc_id = c.doc_id and t.sent = c.sent and t.head = c.head_tok and t.tok <> t.head and t.dep = 'amod'", "chunks")
 _add("x5_spatial", lambda v: relations.rel_spatial(v.parsed, WORDS).select(*_XCOLS), f"""select v.doc_id, v.sent, v.tok, a.np as src, b.np as dst, 'spatial' as rel, 1.0::double as weight from toks v {_HEADS}
  join {_kid('tok', 'pobj')} o on o.doc_id = v.doc_id and o.sent = v.sent and o.tok = v.tok join np b on b.doc_id = v.doc_id and b.sent = v.sent and b.tok = o.k
  left join {_kid('tok', 'dobj', 'obj', 'nsubj', 'nsubjpass')} g on g.doc_id = v.doc_id and g.sent = v.sent and g.tok = v.head
  join np a on a.doc_id = v.doc_id and a.sent = v.sent and a.tok = case h.pos_tag when 'NOUN' then v.head when 'VERB' then g.k end where v.pos_tag = 'ADP' and v.lemma in ({_W})""", "np")
+_marked_rows = lambda v: v.token_rows(dep=_MARKS.replace("else dep", f"else {DEP}"))
 _MARKS = "case when tok % 7 = 0 and tok > 0 then 'mark' else dep end"
-_add("x6_condition", lambda v: relations.rel_condition(tokens.parse(v.toks.withColumn("dep", F.expr(_MARKS))), WORDS).select(*_XCOLS), f"""select v.doc_id, v.sent, v.tok, a.np as src, trim(b.text, ' ,;') as dst, 'condition' as rel, 1.0::double as weight from toks v
+_add("x6_condition", lambda v: relations.rel_condition(tokens.parse(_marked_rows(v)), WORDS).select(*_XCOLS), f"""select v.doc_id, v.sent, v.tok, a.np as src, trim(b.text, ' ,;') as dst, 'condition' as rel, 1.0::double as weight from toks v
  join {_kid('tok', 'nsubj', 'dobj', 'obj')} g on g.doc_id = v.doc_id and g.sent = v.sent and g.tok = v.head join np a on a.doc_id = v.doc_id and a.sent = v.sent and a.tok = g.k
  join np b on b.doc_id = v.doc_id and b.sent = v.sent and b.tok = v.head where v.dep = 'det' and v.lemma in ({_W})""", "np")
 _ALL_WORDS = dict.fromkeys(("part", "marker", "function", "spatial", "condition"), WORDS)
 
 
-def _marked_toks(v: Views) -> DataFrame:
-    return v.toks.withColumn("dep", F.expr(_MARKS))
+def _concept_labels(v: Views) -> DataFrame:
+    parsed = cut_lineage(tokens.parse(_marked_rows(v)), "parsed")  # read for the chunks and each kind of relation
+    return relations.concept_nodes(tokens.noun_chunks(parsed), pipelines.concept_edges(parsed, **_ALL_WORDS))
 
 
 def _plain(name: str) -> str:
@@ -316,7 +319,7 @@ def _plain(name: str) -> str:
 
 
 _ENDS = " union all ".join(f"select doc_id, unnest([src, dst]) as label from ({_plain(x)})" for x in ("x1_part_of", "x2_function_marker", "x3_function_verb", "x4_property", "x5_spatial", "x6_condition"))
-_add("x7_concept_nodes", lambda v: relations.concept_nodes(v.chunks, pipelines.concept_edges(v.toks, cut_lineage(tokens.parse(_marked_toks(v)), "parsed"), v.chunks, **_ALL_WORDS)), r"""select distinct doc_id, label from (select doc_id, trim(regexp_replace(regexp_replace(chunk, '(^|[^\pL\pN_])said\s+', '\1the ', 'gi'), '\s+', ' ', 'g'), ' ,;') as label from chunks
+_add("x7_concept_nodes", lambda v: _concept_labels(v), r"""select distinct doc_id, label from (select doc_id, trim(regexp_replace(regexp_replace(chunk, '(^|[^\pL\pN_])said\s+', '\1the ', 'gi'), '\s+', ' ', 'g'), ' ,;') as label from chunks
  union all """ + _ENDS + ") where label <> ''", "chunks", "np")
 _REL = "case pos % 5 when 0 then 'part-of' when 1 then 'function-of' when 2 then 'spatial' when 3 then 'condition' else 'other' end"
 _add("x8_rel_weight", lambda v: relations.with_rel_weight(v.triples.selectExpr("doc_id", "pos", f"{_REL} as rel")), f"select doc_id, pos, rel, case rel when 'part-of' then 3.0 when 'function-of' then 2.0 else 1.0 end::double as weight from (select doc_id, pos, {_REL} as rel from triples)", "triples")
@@ -327,9 +330,9 @@ _add("x9_svo_triples", lambda v: relations.svo_triples(v.parsed), f"""with s as
  select v.doc_id, v.sent, v.tok, coalesce(n.text, '_') as subject, v.lemma as verb, coalesce(g.object, '_') as object from toks v left join s on s.doc_id = v.doc_id and s.sent = v.sent and s.tok = v.tok
  left join spans n on n.doc_id = v.doc_id and n.sent = v.sent and n.tok = s.k left join g on g.doc_id = v.doc_id and g.sent = v.sent and g.tok = v.tok where v.pos_tag = 'VERB' and (n.text is not null or g.object is not null or v.head = v.tok)""".replace("with s as", ", s as", 1), "spans")
 _NEG = "case when tok % 8 in (3, 4) then 'neg' when tok % 8 in (1, 6) then 'prt' else dep end"
-_add("x10_verb_phrase", lambda v: relations.verb_phrase(tokens.sentence_rows(v.toks.withColumn("dep", F.expr(_NEG)))), """select v.doc_id, v.sent, v.tok, concat_ws(' ', n.neg, v.lemma, n.prt) as phrase from toks v left join
+_add("x10_verb_phrase", lambda v: relations.verb_phrase(v.token_rows(dep=_NEG.replace("else dep", f"else {DEP}"))), """select v.doc_id, v.sent, v.tok, concat_ws(' ', n.neg, v.lemma, n.prt) as phrase from toks v left join
  (select doc_id, sent, head as tok, arg_max(text, tok) filter (where tok % 8 in (3, 4)) as neg, string_agg(text, ' ' order by tok) filter (where tok % 8 in (1, 6)) as prt from toks where head <> tok group by 1, 2, 3) n using (doc_id, sent, tok) where v.pos_tag = 'VERB'""", "toks")
-_add("x11_copular", lambda v: relations.copular_triples(tokens.parse(v.copula_toks)), """select r.doc_id, r.sent, 0 as tok, coalesce(s.text, '_') as subject, c.lemma as verb, coalesce(m.text, o.text) as object from copula r join copula c on c.doc_id = r.doc_id and c.sent = r.sent and c.tok = 2 and c.dep = 'cop'
+_add("x11_copular", lambda v: relations.copular_triples(tokens.parse(v.copula_rows)), """select r.doc_id, r.sent, 0 as tok, coalesce(s.text, '_') as subject, c.lemma as verb, coalesce(m.text, o.text) as object from copula r join copula c on c.doc_id = r.doc_id and c.sent = r.sent and c.tok = 2 and c.dep = 'cop'
  left join copula_spans s on s.doc_id = r.doc_id and s.sent = r.sent and s.tok = 1 join copula_spans o on o.doc_id = r.doc_id and o.sent = r.sent and o.tok = 0
  left join copula_spans m on m.doc_id = r.doc_id and m.sent = r.sent and m.tok = 3 and r.sent % 2 = 0 where r.tok = 0""", "copula_spans")
 _add("x12_distinct_triples", lambda v: relations.distinct_triples(v.triples), "select doc_id, subject, surface_pred, object, min(pos) as pos from triples group by 1, 2, 3, 4", "triples")
@@ -554,7 +557,7 @@ _add("n9_spanning_forest_weighted", lambda v: graph.maximum_spanning_forest(v.su
  select u, v, weight from p where (u, v) not in (select u, v from r where o = v))""", "supply")
 _add("n9_spanning_forest_words", lambda v: graph.maximum_spanning_forest(v.word_graph))
 _add("n10_tree_rows", lambda v: graph.tree_rows(v.tree, v.table("region").selectExpr("concat('r', r_regionkey) as id")).select("root", "id", "depth", "rel", F.array_join(F.transform("path", lambda p: p["name"]), "/").alias("path")), "select root, id, depth, case when depth > 0 then 'part-of' end as rel, path from (with recursive s as (select concat('r', r_regionkey) as root, concat('r', r_regionkey) as id, 0 as depth, '' as path from region union all select root, dst, depth + 1, case when path = '' then dst else path || '/' || dst end from tree join s on src = id) select * from s)", "tree")
-_add("n11_concept_tree", lambda v: pipelines.concept_tree(v.toks, part=WORDS, marker=WORDS, function=WORDS, spatial=WORDS, condition=WORDS))
+_add("n11_concept_tree", lambda v: pipelines.concept_tree(v.token_rows(), part=WORDS, marker=WORDS, function=WORDS, spatial=WORDS, condition=WORDS))
 _add("n12_attributed_graph", lambda v: graph.attributed_graph(v.table("customer").selectExpr("concat('c', c_custkey) as id", "c_acctbal as coverage", "array(cast(c_acctbal as double), cast(c_nationkey as double)) as feat", "0.5D as importance"), v.table("orders").selectExpr("concat('c', o_custkey) as src", "concat('o', o_orderkey) as dst", "'places' as rel", "cast(o_totalprice as double) as weight")).select("id", "coverage", F.get("feat", F.lit(0)).alias("feat0"), F.get("feat", F.lit(1)).alias("feat1"), "importance", F.round("weighted_out", 2).alias("weighted_out")), "select concat('c', c_custkey) as id, c_acctbal as coverage, c_acctbal::double as feat0, c_nationkey::double as feat1, 0.5::double as importance, round(coalesce(w, 0), 2) as weighted_out from customer left join (select o_custkey, sum(o_totalprice)::double as w from orders group by 1) on o_custkey = c_custkey")
 
 
