@@ -1,8 +1,10 @@
 """What must not grow faster than the input: shuffles of tokens, scans of a whole sentence for each token, rounds over small graphs."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from weft.operators import tokens
+from weft.operators import graph, tokens
 from weft.plans.views import Views
 
 
@@ -35,3 +37,20 @@ def test_children_and_walk(spark):
     assert sorted(x["nth"] for x in t) == list(range(len(t)))
     words = tokens.parse(toks).select(F.transform("t", lambda x: tokens.subtree_text(F.col("t"), x)).alias("w")).first()["w"]
     assert len(words[0].split()) == max(x["size"] for x in t)
+
+
+def test_components_of_documents(spark, monkeypatch):
+    """Documents' components equal those of the rounds, without rounds where documents are small, and where their nodes come in several pieces."""
+    rng = random.Random(5)
+    rows = [(d, f"n{rng.randrange(30)}", f"n{rng.randrange(30)}é"[: rng.choice((3, 4))]) for d in (None, 1, 2, 3, 7) for _ in range(25)] + [(4, "a", "a"), (5, None, "b"), (6, "b", "c"), (6, "c", "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, src string, dst string").repartition(3)
+    want = sorted(map(repr, graph.unnamed(graph.connected_components(graph.named(df, "src", "dst")), "id", "component").collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for most in (3, 12, 40, 1_000_000):
+            assert sorted(map(repr, graph.document_components(df, most).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(graph, "connected_components", None)  # no rounds
+    assert sorted(map(repr, graph.document_components(df).collect())) == want
+    assert graph.document_components(df.limit(0)).count() == 0

@@ -546,7 +546,7 @@ _COMP = "(select id, min(least(id, r, n)) over (partition by r) as component fro
 _add("n8_components", lambda v: graph.connected_components(v.tree), f"select id, component from {_COMP}", "tree")
 _add("n8_largest_component", lambda v: graph.largest_component(graph.connected_components(v.tree)), f"select id, component from {_COMP} where component = (select component from {_COMP} group by 1 order by count(*) desc, component limit 1)", "tree")
 _add("n9_spanning_forest", lambda v: graph.maximum_spanning_forest(v.tree), "select least(src, dst) as u, greatest(src, dst) as v, 3.0::double as weight from tree", "tree")
-_add("n8_document_components", lambda v: graph.unnamed(graph.connected_components(graph.named(v.triple_edges, "src", "dst")), "id", "component"), f"""select doc_id, id, min(o) as component from (with recursive e as materialized (select doc_id, src as a, dst as b from {_TE} union select doc_id, dst, src from {_TE}),
+_add("n8_document_components", lambda v: graph.document_components(v.triple_edges), f"""select doc_id, id, min(o) as component from (with recursive e as materialized (select doc_id, src as a, dst as b from {_TE} union select doc_id, dst, src from {_TE}),
  r as (select doc_id, a as id, a as o from e union select r.doc_id, r.id, e.b from r join e on e.doc_id = r.doc_id and e.a = r.o) select * from r) group by 1, 2""", "triples")
 _add("n7_reachable_cyclic", lambda v: graph.reachable(v.supply, v.table("supplier").where("s_suppkey % 20 = 3").selectExpr("concat('s', s_suppkey) as id")), "select * from (with recursive r as (select concat('s', s_suppkey) as id from supplier where s_suppkey % 20 = 3 union select dst from supply join r on src = id) select id from r)", "supply")
 _add("n8_components_cyclic", lambda v: graph.connected_components(v.supply), """select id, min(o) as component from (with recursive e as materialized (select src as a, dst as b from supply union select dst, src from supply),
