@@ -8,6 +8,8 @@ more than half of its words is rejected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,9 @@ def _words(text: Column) -> Column:
 
 
 def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    """How many of these characters stand in the text; texts without any, which are most, are only searched."""
+    some = reduce(lambda found, c: found | c, (F.contains(text, F.lit(c)) for c in characters))
+    return F.when(some, F.length(text) - F.length(F.translate(text, characters, ""))).otherwise(0)
 
 
 def _n_words(line: Column) -> Column:
@@ -130,7 +134,7 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_
     df = df.select(
         "doc_id",
         F.col("n").cast("bigint").alias("n_words"),
-        (F.length("text") - _count(F.col("text"), SPACES)).cast("bigint").alias("word_chars"),
+        F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         _count(F.col("text"), SYMBOLS).cast("bigint").alias("n_symbols"),
         F.transform(F.filter("l", lambda x: x["n"] > 0), lambda x: x["t"]).alias("full"),
         repeated_words(F.col("w"), F.col("n"), hash_bits).alias("n_repeat_words"),
