@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import graph, kg, phrases, references, sentences, tokens
 from weft.plans.views import Views
+from weft.session import cut_lineage
 
 
 def exchanges(df):
@@ -89,3 +90,37 @@ def test_phrases_of_documents(spark):
     out = kg.annotate_refs(splits, entities)
     assert exchanges(out) == 1
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "a pump[Ref:E1] " * 30_000, 2: "a pump", None: "PUMP[Ref:E2]"}
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    """A step that is written leaves no shuffle files on the disks, and the setting for it is as it was."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, own = files(), spark.conf.get(key)
+    for _ in range(3):
+        assert cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    assert files() <= was + 3 * 2 * 4  # those of the three counts
+    assert spark.conf.get(key) == own
+
+
+def test_forests_of_tasks(spark):
+    """Edges that a task's own edges rule out go before anything is written; the forest is that of a greedy choice, nulls first, in tasks of any size."""
+    rng = random.Random(8)
+    pairs = {tuple(sorted((f"n{a}", f"n{b}"))): rng.choice((None, 1.0, 2.0, 2.5, float("nan"))) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(400)) if a != b}
+    top = {f"n{k}": f"n{k}" for k in range(40)}
+
+    def find(x):
+        return x if top[x] == x else find(top[x])
+
+    want = []
+    for (u, v), w in sorted(pairs.items(), key=lambda e: (e[1] is not None, e[1] != e[1], -(e[1] or 0) if e[1] == e[1] else 0, e[0])):
+        if find(u) != find(v):
+            top[find(u)] = find(v)
+            want.append((u, v, w))
+    df = spark.createDataFrame([(u, v, w) for (u, v), w in pairs.items()], "u string, v string, weight double").repartition(2)
+    for most in (1, 60, 1_000_000):
+        left = graph._forests(df, most)
+        assert left.count() < len(pairs) or most == 1
+        for single in (True, False):
+            got = graph.maximum_spanning_forest(left.selectExpr("v as src", "u as dst", "weight"), single=single)
+            assert sorted(map(repr, got.collect())) == sorted(f"Row(u={u!r}, v={v!r}, weight={w!r})" for u, v, w in want)

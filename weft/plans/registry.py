@@ -555,7 +555,7 @@ _add("n9_spanning_forest_weighted", lambda v: graph.maximum_spanning_forest(v.su
  b as materialized (select u as a, v as b, weight, u, v from p union all select v, u, weight, u, v from p),
  r as (select u, v, weight, u as o from p union select r.u, r.v, r.weight, b.b from r join b on b.a = r.o and (b.weight > r.weight or b.weight = r.weight and (b.u, b.v) < (r.u, r.v)))
  select u, v, weight from p where (u, v) not in (select u, v from r where o = v))""", "supply")
-_add("n9_spanning_forest_words", lambda v: graph.maximum_spanning_forest(v.word_graph))
+_add("n9_spanning_forest_words", lambda v: graph.maximum_spanning_forest(v.word_graph, single=True))
 _add("n10_tree_rows", lambda v: graph.tree_rows(v.tree, v.table("region").selectExpr("concat('r', r_regionkey) as id")).select("root", "id", "depth", "rel", F.array_join(F.transform("path", lambda p: p["name"]), "/").alias("path")), "select root, id, depth, case when depth > 0 then 'part-of' end as rel, path from (with recursive s as (select concat('r', r_regionkey) as root, concat('r', r_regionkey) as id, 0 as depth, '' as path from region union all select root, dst, depth + 1, case when path = '' then dst else path || '/' || dst end from tree join s on src = id) select * from s)", "tree")
 _add("n11_concept_tree", lambda v: pipelines.concept_tree(v.token_rows(), part=WORDS, marker=WORDS, function=WORDS, spatial=WORDS, condition=WORDS))
 _add("n12_attributed_graph", lambda v: graph.attributed_graph(v.table("customer").selectExpr("concat('c', c_custkey) as id", "c_acctbal as coverage", "array(cast(c_acctbal as double), cast(c_nationkey as double)) as feat", "0.5D as importance"), v.table("orders").selectExpr("concat('c', o_custkey) as src", "concat('o', o_orderkey) as dst", "'places' as rel", "cast(o_totalprice as double) as weight")).select("id", "coverage", F.get("feat", F.lit(0)).alias("feat0"), F.get("feat", F.lit(1)).alias("feat1"), "importance", F.round("weighted_out", 2).alias("weighted_out")), "select concat('c', c_custkey) as id, c_acctbal as coverage, c_acctbal::double as feat0, c_nationkey::double as feat1, 0.5::double as importance, round(coalesce(w, 0), 2) as weighted_out from customer left join (select o_custkey, sum(o_totalprice)::double as w from orders group by 1) on o_custkey = c_custkey")
