@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from weft.operators import graph, kg, phrases, references, sentences, tokens
+from weft.plans import registry
 from weft.plans.views import Views
 from weft.session import cut_lineage
 
@@ -136,3 +137,48 @@ def test_nodes_are_numbered_once(spark):
     assert exchanges(nodes) == 0
     assert {(r["doc_id"], r["label"], r["id"]) for r in nodes.collect()} == {(1, "x", "N1"), (1, "y", "N2"), (1, "z", "N3"), (2, "z", "N1"), (2, "x", "N2")}
     assert {(r["doc_id"], r["source"], r["target"]) for r in voted.collect()} == {(1, "N1", "N2"), (1, "N2", "N3"), (2, "N1", "N2")}
+
+
+def test_clauses_with_tokens_of_texts(spark, tmp_path):
+    """Clauses with their tokens are made where the texts are: no token is shuffled, also where a doc_id is repeated or null, and the clauses are those of the gathered tokens."""
+    words = "a b c d wherein e f; g h i j k: l m thereby n o p q r s t é ü"
+    rows = [(1, f"{words}. {words} {words}! A b"), (1, "The x y; z. B c d e f g h"), (1, None), (2, ""), (3, None), (None, f"One. {words}"), (None, "Two words. c d e f"), *((k, f"{words} {k}") for k in range(4, 14))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    v = Views(spark, str(tmp_path))
+    made, gathered = sentences.split_clauses(v.claim_rows, tokens="t"), sentences.split_clauses(v.claims, tokens=v.clause_toks)
+    assert sorted(map(repr, made.select(*gathered.columns).collect())) == sorted(map(repr, gathered.collect()))
+    assert made.count() > sentences.split_clauses(v.claims).count()
+    assert exchanges(registry.queries()["c6_split_clauses_conj"](spark, str(tmp_path))) == 1
+
+
+def test_laid_tokens(spark):
+    """Cuts before the conjuncts of a clause's root, against a search of all tokens for each clause: any white space, tokens without a character, numbers and heads that are null."""
+    rng = random.Random(6)
+    white, rows, want = [" ", " ", "　", "\t\n", "  ", "\x85"], [], []
+    solid = lambda x: "".join(c for c in x if not c.isspace())
+    for k in range(200):
+        toks = [rng.choice(["ab", "é", "漢字", "wherein", "x", "", "​"]) for _ in range(rng.randrange(12))]
+        text = "".join(w + (rng.choice(white) if w else "") for w in toks)
+        n = [None] * rng.choice((0, 0, 0, 1)) + list(range(3, 15))
+        t = [(n[i], rng.choice([None, n[i], *n[:6]]), w, rng.choice(("conj", "conj", "x", None))) for i, w in enumerate(toks)]
+        rows.append((k, text, t))
+        clauses, at = [[]], 0
+        for w in text.split():
+            clauses += [[]] if w == "wherein" and clauses != [[]] else []
+            clauses[-1].append(w)
+        begins = [sum(len(w) for w in toks[:i]) for i in range(len(toks))]
+        for c in clauses:
+            end = at + len("".join(c))
+            own = [(b, *x) for b, x in zip(begins, t) if at <= b < end]
+            cuts = []
+            if own and own[0][1] is not None:
+                lo, hi = own[0][1], own[-1][1]
+                root = next((x[1] for x in own if x[2] is not None and (x[2] == x[1] or x[2] < lo or x[2] > hi)), None)
+                cuts = [x[0] - at for x in own if root is not None and x[4] == "conj" and x[2] == root and x[1] > lo]
+            whole = "".join(c)
+            want += [(k, part) for a, b in zip([0, *cuts], [*cuts, len(whole)]) if (part := whole[a:b])]
+            at = end
+    df = spark.createDataFrame(rows, "doc_id int, text string, t array<struct<tok int, head int, text string, dep string>>").repartition(3)
+    got = sentences.split_clauses(df, tokens="t").orderBy("doc_id", "part").collect()
+    assert [(r["doc_id"], solid(r["clause"])) for r in got] == want
+    assert all(r["clause"] == r["clause"].strip() and ("wherein" in rows[r["doc_id"]][1] or r["clause"] in rows[r["doc_id"]][1]) for r in got)

@@ -98,7 +98,7 @@ _add("c5_split_on_conj", lambda v: sentences.split_on_conj(v.toks), "select doc_
 _add("c6_split_clauses", lambda v: sentences.split_clauses(v.claims).select("doc_id", "pos", "part", "clause"), f"select * from {_CLAUSES}", "claims")
 _SOLID = r"length(regexp_replace({0}, '\s+', '', 'g'))"
 _BEFORE = "rows between unbounded preceding and 1 preceding"
-_add("c6_split_clauses_conj", lambda v: sentences.split_clauses(v.claims, tokens=v.clause_toks).select("doc_id", "pos", "part", "clause"),
+_add("c6_split_clauses_conj", lambda v: sentences.split_clauses(v.claim_rows, tokens="t").select("doc_id", "pos", "part", "clause"),
      rf""", pc as (select doc_id, pos, generate_subscripts(l, 1) as k, unnest(l) as piece from {_PUNCT}),
  pa as (select *, coalesce(sum({_SOLID.format('piece')}) over (partition by doc_id, pos order by k {_BEFORE}), 0) + k - 1 as a from pc),
  mk as (select doc_id, pos, k, a, generate_subscripts(m, 1) as j, unnest(m) as c from (select *, case when {_MARKED} then {_CUT} else [piece] end as m from (select *, {_WORDS.format('piece')} as w from pa))),
