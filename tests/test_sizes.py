@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from weft.operators import graph, kg, phrases, references, sentences, tokens
+from weft.operators import graph, kg, phrases, references, relations, sentences, tokens
 from weft.plans import registry
 from weft.plans.views import Views
 from weft.session import cut_lineage
@@ -182,3 +182,25 @@ def test_laid_tokens(spark):
     got = sentences.split_clauses(df, tokens="t").orderBy("doc_id", "part").collect()
     assert [(r["doc_id"], solid(r["clause"])) for r in got] == want
     assert all(r["clause"] == r["clause"].strip() and ("wherein" in rows[r["doc_id"]][1] or r["clause"] in rows[r["doc_id"]][1]) for r in got)
+
+
+def test_only_sentences_with_the_words_are_parsed(spark, monkeypatch):
+    """Relations of sentence rows parse only the sentences that hold a token which the relation asks for, once each; the finds are those of all sentences."""
+    rng, parsed = random.Random(9), []
+    words = lambda n: [(k, rng.choice([0, max(k - 1, 0), k // 2, None]), w, w, rng.choice(("VERB", "NOUN", "ADP", "AUX", None)), rng.choice(("cop", "nsubj", "dobj", "prep", "pobj", "amod", "mark", "x", None))) for k, w in enumerate(rng.choice(("to", "in", "when", "the", "has", None)) for _ in range(n))]
+    df = spark.createDataFrame([(k % 3 or None, k, words(rng.randrange(12))) for k in range(900)], "doc_id int, sent int, t array<struct<tok int, head int, text string, lemma string, pos_tag string, dep string>>")
+    every = tokens.parse(df)
+    monkeypatch.setattr(relations, "parse", lambda rows: parsed.append(rows) or tokens.parse(rows))
+    for f, some in (
+        (relations.copular_triples, "x.dep = 'cop' and x.pos_tag in ('VERB', 'AUX')"),
+        (lambda x: relations.rel_part_of(x, ["has"]), "x.pos_tag = 'VERB' and x.lemma = 'has'"),
+        (lambda x: relations.rel_function_marker(x, ["to"]), "x.text = 'to' and x.dep = 'amod'"),
+        (lambda x: relations.rel_function_verb(x, ["has"]), "x.pos_tag = 'VERB' and x.lemma = 'has'"),
+        (lambda x: relations.rel_spatial(x, ["in"]), "x.pos_tag = 'ADP' and x.lemma = 'in'"),
+        (lambda x: relations.rel_condition(x, ["when"]), "x.lemma = 'when' and x.dep = 'mark'"),
+    ):
+        got, want = f(df).collect(), f(every).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want)) and want
+        asked = df.where(f"exists(t, x -> {some})")
+        assert sorted(r["sent"] for r in parsed.pop().collect()) == sorted(r["sent"] for r in asked.collect())
+        assert 0 < asked.count() < 900 and not parsed

@@ -281,7 +281,7 @@ def _kid(of: str, *deps: str) -> str:
 
 
 _VERB_BELOW = "(select doc_id, sent, anc as tok, arg_min(lemma, tok) as verb from (select p.doc_id, p.sent, p.anc, p.tok, t.lemma from pairs p join toks t on t.doc_id = p.doc_id and t.sent = p.sent and t.tok = p.tok where t.pos_tag = 'VERB') group by 1, 2, 3)"
-_add("x1_part_of", lambda v: relations.rel_part_of(v.parsed, WORDS).select(*_XCOLS), f"""select v.doc_id, v.sent, v.tok, a.np as src, b.np as dst, 'part-of' as rel, 3.0::double as weight from (
+_add("x1_part_of", lambda v: relations.rel_part_of(v.token_rows(), WORDS).select(*_XCOLS), f"""select v.doc_id, v.sent, v.tok, a.np as src, b.np as dst, 'part-of' as rel, 3.0::double as weight from (
  select t.*, coalesce(s.k, case when h.pos_tag = 'NOUN' then t.head end) as whole from toks t join toks h on h.doc_id = t.doc_id and h.sent = t.sent and h.tok = t.head
  left join {_kid('tok', 'nsubj', 'nsubjpass')} s on s.doc_id = t.doc_id and s.sent = t.sent and s.tok = t.tok where t.pos_tag = 'VERB' and t.lemma in ({_W})) v
  join np a on a.doc_id = v.doc_id and a.sent = v.sent and a.tok = v.whole
@@ -289,19 +289,19 @@ _add("x1_part_of", lambda v: relations.rel_part_of(v.parsed, WORDS).select(*_XCO
    select p.doc_id, p.sent, p.head, o.tok from toks p join toks o on o.doc_id = p.doc_id and o.sent = p.sent and o.head = p.tok and o.dep = 'pobj' and o.head <> o.tok where p.dep = 'prep' and p.head <> p.tok) x
    on x.doc_id = v.doc_id and x.sent = v.sent and x.tok = v.tok
  join np b on b.doc_id = v.doc_id and b.sent = v.sent and b.tok = x.part""", "np")
-_add("x2_function_marker", lambda v: relations.rel_function_marker(v.parsed, WORDS).select(*_XCOLS), f"select v.doc_id, v.sent, v.tok, a.np as src, x.verb as dst, 'function-of' as rel, 2.0::double as weight from toks v join np a on a.doc_id = v.doc_id and a.sent = v.sent and a.tok = v.head join {_VERB_BELOW} x on x.doc_id = v.doc_id and x.sent = v.sent and x.tok = v.tok where lower(v.text) in ({_W}) and v.dep in ('amod', 'acl')", "np")
-_add("x3_function_verb", lambda v: relations.rel_function_verb(v.parsed, WORDS).select(*_XCOLS), f"""select v.doc_id, v.sent, v.tok, a.np as src, x.verb as dst, 'function-of' as rel, 2.0::double as weight from toks v
+_add("x2_function_marker", lambda v: relations.rel_function_marker(v.token_rows(), WORDS).select(*_XCOLS), f"select v.doc_id, v.sent, v.tok, a.np as src, x.verb as dst, 'function-of' as rel, 2.0::double as weight from toks v join np a on a.doc_id = v.doc_id and a.sent = v.sent and a.tok = v.head join {_VERB_BELOW} x on x.doc_id = v.doc_id and x.sent = v.sent and x.tok = v.tok where lower(v.text) in ({_W}) and v.dep in ('amod', 'acl')", "np")
+_add("x3_function_verb", lambda v: relations.rel_function_verb(v.token_rows(), WORDS).select(*_XCOLS), f"""select v.doc_id, v.sent, v.tok, a.np as src, x.verb as dst, 'function-of' as rel, 2.0::double as weight from toks v
  join {_kid('tok', 'nsubj', 'nsubjpass')} s on s.doc_id = v.doc_id and s.sent = v.sent and s.tok = v.tok join np a on a.doc_id = v.doc_id and a.sent = v.sent and a.tok = s.k
  join (select doc_id, sent, anc as tok, arg_min(verb, t) as verb from (select p.doc_id, p.sent, p.anc, p.tok as t, b.verb from pairs p join toks t on t.doc_id = p.doc_id and t.sent = p.sent and t.tok = p.tok and lower(t.text) = 'to' join {_VERB_BELOW} b on b.doc_id = p.doc_id and b.sent = p.sent and b.tok = p.tok) group by 1, 2, 3) x
    on x.doc_id = v.doc_id and x.sent = v.sent and x.tok = v.tok where v.pos_tag = 'VERB' and v.lemma in ({_W})""", "np")
 _add("x4_property", lambda v: relations.chunk_properties(v.parsed).select(*_XCOLS), r"select c.doc_id, c.sent, t.tok, trim(regexp_replace(regexp_replace(chunk, '(^|[^\pL\pN_])said\s+', '\1the ', 'gi'), '\s+', ' ', 'g'), ' ,;') as src, t.lemma as dst, 'property-of' as rel, 1.0::double as weight from chunks c join toks t on t.doc_id = c.doc_id and t.sent = c.sent and t.head = c.head_tok and t.tok <> t.head and t.dep = 'amod'", "chunks")
-_add("x5_spatial", lambda v: relations.rel_spatial(v.parsed, WORDS).select(*_XCOLS), f"""select v.doc_id, v.sent, v.tok, a.np as src, b.np as dst, 'spatial' as rel, 1.0::double as weight from toks v {_HEADS}
+_add("x5_spatial", lambda v: relations.rel_spatial(v.token_rows(), WORDS).select(*_XCOLS), f"""select v.doc_id, v.sent, v.tok, a.np as src, b.np as dst, 'spatial' as rel, 1.0::double as weight from toks v {_HEADS}
  join {_kid('tok', 'pobj')} o on o.doc_id = v.doc_id and o.sent = v.sent and o.tok = v.tok join np b on b.doc_id = v.doc_id and b.sent = v.sent and b.tok = o.k
  left join {_kid('tok', 'dobj', 'obj', 'nsubj', 'nsubjpass')} g on g.doc_id = v.doc_id and g.sent = v.sent and g.tok = v.head
  join np a on a.doc_id = v.doc_id and a.sent = v.sent and a.tok = case h.pos_tag when 'NOUN' then v.head when 'VERB' then g.k end where v.pos_tag = 'ADP' and v.lemma in ({_W})""", "np")
 _marked_rows = lambda v: v.token_rows(dep=_MARKS.replace("else dep", f"else {DEP}"))
 _MARKS = "case when tok % 7 = 0 and tok > 0 then 'mark' else dep end"
-_add("x6_condition", lambda v: relations.rel_condition(tokens.parse(_marked_rows(v)), WORDS).select(*_XCOLS), f"""select v.doc_id, v.sent, v.tok, a.np as src, trim(b.text, ' ,;') as dst, 'condition' as rel, 1.0::double as weight from toks v
+_add("x6_condition", lambda v: relations.rel_condition(_marked_rows(v), WORDS).select(*_XCOLS), f"""select v.doc_id, v.sent, v.tok, a.np as src, trim(b.text, ' ,;') as dst, 'condition' as rel, 1.0::double as weight from toks v
  join {_kid('tok', 'nsubj', 'dobj', 'obj')} g on g.doc_id = v.doc_id and g.sent = v.sent and g.tok = v.head join np a on a.doc_id = v.doc_id and a.sent = v.sent and a.tok = g.k
  join np b on b.doc_id = v.doc_id and b.sent = v.sent and b.tok = v.head where v.dep = 'det' and v.lemma in ({_W})""", "np")
 _ALL_WORDS = dict.fromkeys(("part", "marker", "function", "spatial", "condition"), WORDS)
@@ -332,7 +332,7 @@ _add("x9_svo_triples", lambda v: relations.svo_triples(v.parsed), f"""with s as
 _NEG = "case when tok % 8 in (3, 4) then 'neg' when tok % 8 in (1, 6) then 'prt' else dep end"
 _add("x10_verb_phrase", lambda v: relations.verb_phrase(v.token_rows(dep=_NEG.replace("else dep", f"else {DEP}"))), """select v.doc_id, v.sent, v.tok, concat_ws(' ', n.neg, v.lemma, n.prt) as phrase from toks v left join
  (select doc_id, sent, head as tok, arg_max(text, tok) filter (where tok % 8 in (3, 4)) as neg, string_agg(text, ' ' order by tok) filter (where tok % 8 in (1, 6)) as prt from toks where head <> tok group by 1, 2, 3) n using (doc_id, sent, tok) where v.pos_tag = 'VERB'""", "toks")
-_add("x11_copular", lambda v: relations.copular_triples(tokens.parse(v.copula_rows)), """select r.doc_id, r.sent, 0 as tok, coalesce(s.text, '_') as subject, c.lemma as verb, coalesce(m.text, o.text) as object from copula r join copula c on c.doc_id = r.doc_id and c.sent = r.sent and c.tok = 2 and c.dep = 'cop'
+_add("x11_copular", lambda v: relations.copular_triples(v.copula_rows), """select r.doc_id, r.sent, 0 as tok, coalesce(s.text, '_') as subject, c.lemma as verb, coalesce(m.text, o.text) as object from copula r join copula c on c.doc_id = r.doc_id and c.sent = r.sent and c.tok = 2 and c.dep = 'cop'
  left join copula_spans s on s.doc_id = r.doc_id and s.sent = r.sent and s.tok = 1 join copula_spans o on o.doc_id = r.doc_id and o.sent = r.sent and o.tok = 0
  left join copula_spans m on m.doc_id = r.doc_id and m.sent = r.sent and m.tok = 3 and r.sent % 2 = 0 where r.tok = 0""", "copula_spans")
 _add("x12_distinct_triples", lambda v: relations.distinct_triples(v.triples), "select doc_id, subject, surface_pred, object, min(pos) as pos from triples group by 1, 2, 3, 4", "triples")
