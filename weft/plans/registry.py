@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
 from ..functions import text as T
-from ..operators import answers, graph, kg, references, relations, sentences, tokens
+from ..operators import answers, finds, graph, kg, references, relations, sentences, tokens
 from ..session import cut_lineage, shared_folder
 from ..sources.documents import read_kg, write_kg
 from ..sources.graph_xml import read_graph_xml
@@ -308,8 +308,7 @@ _ALL_WORDS = dict.fromkeys(("part", "marker", "function", "spatial", "condition"
 
 
 def _concept_labels(v: Views) -> DataFrame:
-    parsed = cut_lineage(tokens.parse(_marked_rows(v)), "parsed")  # read for the chunks and each kind of relation
-    return relations.concept_nodes(tokens.noun_chunks(parsed), pipelines.concept_edges(parsed, **_ALL_WORDS))
+    return finds.concept_nodes(finds.concepts(_marked_rows(v), **_ALL_WORDS))
 
 
 def _plain(name: str) -> str:
