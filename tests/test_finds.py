@@ -45,9 +45,35 @@ def test_concepts_in_one_pass(rows, most):
     assert sorted_rows(got) == sorted_rows(tokens.noun_chunks(rows).select("doc_id", "sent", "start", T.normalize_np(F.col("chunk")).alias("chunk"), "head_lemma"))
 
 
+def brute_triples(t):
+    """The triples of a parsed sentence, token by token."""
+    kids = lambda x, *deps: [t[i] for i in x["kids"] if t[i]["dep"] in deps]
+    join = lambda words, sep=" ": sep.join(w for w in words if w is not None)
+    text = lambda x: join(t[i]["text"] for i in sorted(k["nth"] for k in t[x["first"] : x["first"] + x["size"]]))
+    for x in t:
+        if x["pos_tag"] != "VERB" or x["dep"] in (None, "aux"):
+            continue
+        subject = next(iter(kids(x, "nsubj", "nsubjpass", "csubj")), None)
+        items = [(0, k["tok"], -1, text(k)) for k in kids(x, "dobj", "obj", "iobj")]
+        items += [(0, p["tok"], o[0]["tok"], join((p["text"], text(o[0])))) for p in kids(x, "prep") if (o := kids(p, "pobj"))]
+        items += [(1, k["tok"], -1, text(k)) for k in kids(x, "advmod", "obl") if k["pos_tag"] in ("NOUN", "PROPN", "ADV")]
+        neg = kids(x, "neg")
+        verb = join([*([neg[-1]["text"]] if neg else []), x["lemma"], *(k["text"] for k in kids(x, "prt"))])
+        if subject or items or x["head"] == x["tok"]:
+            yield x["tok"], text(subject) if subject else "_", verb, join((i[3] for i in sorted(items, key=lambda i: (*i[:3], i[3].encode()))), "; ") if items else "_"
+
+
+@pytest.mark.parametrize("most", [1, 2_000_000])
+def test_triples_against_brute_force(rows, most):
+    parsed = tokens.parse(rows)
+    want = sorted(repr((r["doc_id"], r["sent"], *x)) for r in parsed.collect() for x in brute_triples(r["t"]))
+    assert sorted_rows(relations.svo_triples(rows, most)) == want and len(want) > 150
+    assert sorted_rows(relations.svo_triples(parsed, most)) == want
+
+
 def test_one_pass_over_sentences(spark, tmp_path):
-    """Concepts come from texts in one pass over the sentences: nothing is written, no token comes back with its tree."""
+    """Concepts and triples come from texts in one pass over the sentences: nothing is written, no token comes back with its tree."""
     spark.createDataFrame([(1, "A b c. D e f g! "), (2, "One two three")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    for name in ("x7_concept_nodes",):
+    for name in ("x7_concept_nodes", "x9_svo_triples"):
         plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == plan.count("MapInArrow") == 1 and "kids" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan

@@ -322,7 +322,7 @@ _add("x7_concept_nodes", lambda v: _concept_labels(v), r"""select distinct doc_i
  union all """ + _ENDS + ") where label <> ''", "chunks", "np")
 _REL = "case pos % 5 when 0 then 'part-of' when 1 then 'function-of' when 2 then 'spatial' when 3 then 'condition' else 'other' end"
 _add("x8_rel_weight", lambda v: relations.with_rel_weight(v.triples.selectExpr("doc_id", "pos", f"{_REL} as rel")), f"select doc_id, pos, rel, case rel when 'part-of' then 3.0 when 'function-of' then 2.0 else 1.0 end::double as weight from (select doc_id, pos, {_REL} as rel from triples)", "triples")
-_add("x9_svo_triples", lambda v: relations.svo_triples(v.parsed), f"""with s as (select * from {_kid('tok', 'nsubj', 'nsubjpass', 'csubj')}),
+_add("x9_svo_triples", lambda v: relations.svo_triples(v.token_rows()), f"""with s as (select * from {_kid('tok', 'nsubj', 'nsubjpass', 'csubj')}),
  o as (select doc_id, sent, head as tok, tok as child, -1 as sub, text as word, null as prep from toks where dep = 'dobj' and head <> tok union all
   select p.doc_id, p.sent, p.head, p.tok, o.tok, null, p.text from toks p join toks o on o.doc_id = p.doc_id and o.sent = p.sent and o.head = p.tok and o.head <> o.tok and o.dep = 'pobj' where p.dep = 'prep' and p.head <> p.tok),
  g as (select o.doc_id, o.sent, o.tok, string_agg(case when sub < 0 then n.text else prep || ' ' || n.text end, '; ' order by child, sub) as object from o join spans n on n.doc_id = o.doc_id and n.sent = o.sent and n.tok = case when sub < 0 then child else sub end group by 1, 2, 3)
