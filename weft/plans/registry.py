@@ -215,12 +215,12 @@ def _mentions_sql(texts: str, phrases: str, by: str = "") -> str:
 _PHRASES = "select object as label, pos, doc_id from triples where length(object) > 3 union all select concat(subject, ' ', surface_pred), pos, doc_id from triples where pos % 3 = 0"
 
 
-def _phrases(v: Views) -> DataFrame:
-    one = v.triples.where("length(object) > 3").select(F.col("object").alias("label"), "pos", "doc_id")
-    return one.union(v.triples.where("pos % 3 = 0").select(F.concat("subject", F.lit(" "), "surface_pred"), "pos", "doc_id"))
+def _phrases(triples: DataFrame) -> DataFrame:
+    both = F.array(F.when(F.length("object") > 3, F.col("object")), F.when(F.col("pos") % 3 == 0, F.concat("subject", F.lit(" "), "surface_pred")))
+    return triples.select(F.explode(F.array_compact(both)).alias("label"), "pos", "doc_id")
 
 
-_add("r1_alias_table", lambda v: references.apply_aliases(v.claims, _phrases(v).select(F.col("label").alias("alias"), F.concat(F.lit("<"), F.replace("label", F.lit(" "), F.lit("_")), F.lit(">")).alias("entity")).distinct()),
+_add("r1_alias_table", lambda v: references.apply_aliases(v.claims, _phrases(v.triples_of(v.sents)).select(F.col("label").alias("alias"), F.concat(F.lit("<"), F.replace("label", F.lit(" "), F.lit("_")), F.lit(">")).alias("entity")).distinct()),
      "select doc_id, pos, case when out is null then array_to_string(p, '') else array_to_string(list_transform(p, lambda x, i: case when list_bool_or(list_transform(out, lambda o: o.at = i)) then list_filter(out, lambda o: o.at = i)[1].value when list_bool_or(list_transform(out, lambda o: o.at < i and i < o.e)) then '' else x end), '') end as text from "
      + _mentions_sql("claims", f"(select label as phrase, concat('<', replace(label, ' ', '_'), '>') as value from ({_PHRASES}))"), "claims", "triples")
 _UPDATES = "select conv_id as doc_id, turn as pos, concat('p.', role, case when turn % 2 = 0 then '.a' else '' end) as path, text as value from conversations"
@@ -376,7 +376,7 @@ _add("g2_clean_relations", lambda v: kg.clean_relations(v.triples.selectExpr("do
 _ENT = "(select doc_id, label, first_pos, concat('E', row_number() over (partition by doc_id order by first_pos, label)) as id from (select doc_id, object as label, min(pos) as first_pos from triples group by 1, 2))"
 _mentions = lambda v: v.triples.select("doc_id", "pos", F.col("object").alias("label"))
 _add("g3_entity_dictionary", lambda v: kg.entity_dictionary(_mentions(v)), f"select * from {_ENT}", "triples")
-_add("g4_annotate_refs", lambda v: kg.annotate_refs(v.sents.select("doc_id", F.concat(F.lit("s"), F.col("pos") + 1).alias("sid"), F.col("s").alias("text")), kg.entity_dictionary(_phrases(v))),
+_add("g4_annotate_refs", lambda v: kg.annotate_refs(v.sents.select("doc_id", F.concat(F.lit("s"), F.col("pos") + 1).alias("sid"), F.col("s").alias("text")), kg.entity_dictionary(_phrases(v.triples))),
      "select doc_id, concat('s', pos + 1) as sid, case when out is null then array_to_string(p, '') else array_to_string(list_transform(p, lambda x, i: x || coalesce('[Ref:' || list_filter(out, lambda o: o.e = i + 1)[1].value || ']', '')), '') end as text from "
      + _mentions_sql("(select doc_id, pos, s as text from sents)", f"(select doc_id, label as phrase, concat('E', row_number() over (partition by doc_id order by first_pos, label)) as value from (select doc_id, label, min(pos) as first_pos from ({_PHRASES}) group by 1, 2))", "doc_id"), "triples")
 _add("g5_kg_nodes", lambda v: pipelines.kg.build_kg(kg.entity_dictionary(_mentions(v)), v.triples)[0], f"select doc_id, id, label, 'Entity' as type from {_ENT}", "triples")
